@@ -345,3 +345,199 @@ def q_range_count(spark, sf_dir):
     # [0, 99] in 100 chunks: width 1, so a row counts twice when both keys
     # are in range and differ
     return range_count(_t(spark, sf_dir, "lineitem"), LINEITEM, 0, 99)
+
+
+# ---------------------------------------------------------------------------
+# Overlapping copies, drifted copy (FIXTURES.md) -- built over the whole table:
+# copy A holds keys up to 60 % of the largest key, copy B from 40 %, so every
+# row is in at least one copy and the middle fifth is in both.
+# ---------------------------------------------------------------------------
+
+OVERLAP_SQL = """
+mx AS (SELECT max(o_orderkey) AS m FROM orders),
+a AS (SELECT o.* FROM orders o, mx WHERE o.o_orderkey <= (mx.m * 6) // 10),
+b AS (SELECT o.* FROM orders o, mx WHERE o.o_orderkey >= (mx.m * 4) // 10)"""
+
+DRIFT_SQL = """(SELECT o_orderkey, o_custkey, o_orderstatus,
+       CASE WHEN o_orderkey % 1000 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, o_orderpriority FROM orders WHERE o_orderkey <> 42)"""
+
+
+def _overlap(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    m = o.select(F.max("o_orderkey")).scalar()
+    a = o.filter(F.col("o_orderkey") <= F.floor(m * 6 / 10))
+    b = o.filter(F.col("o_orderkey") >= F.floor(m * 4 / 10))
+    return a, b
+
+
+def _drifted(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return o.filter(F.col("o_orderkey") != 42).withColumn(
+        "o_totalprice", F.when(F.col("o_orderkey") % 1000 == 7, F.col("o_totalprice") + 1)
+        .otherwise(F.col("o_totalprice")))
+
+
+@register("duplicate_keys_between_shards", f"""
+WITH {OVERLAP_SQL},
+u AS (SELECT o_orderkey, 'a' AS s FROM a UNION ALL SELECT o_orderkey, 'b' FROM b)
+SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n_rows, string_agg(s, ',' ORDER BY s) AS shards
+FROM u GROUP BY o_orderkey HAVING count(DISTINCT s) > 1
+""")
+def q_duplicate_keys(spark, sf_dir):
+    from keyspan.operators.audit import duplicate_keys
+    a, b = _overlap(spark, sf_dir)
+    return duplicate_keys({"a": a, "b": b}, "o_orderkey")
+
+
+@register("duplicate_rows_all_pairs", """
+WITH mx AS (SELECT max(o_orderkey) AS m FROM orders),
+u AS (
+  SELECT o_orderkey, o_custkey, o_totalprice, 's1' AS shard FROM orders, mx WHERE o_orderkey <= (m * 5) // 10
+  UNION ALL
+  SELECT o_orderkey, o_custkey, o_totalprice, 's2' FROM orders, mx
+  WHERE o_orderkey >= (m * 4) // 10 AND o_orderkey <= (m * 8) // 10
+  UNION ALL
+  SELECT o_orderkey, o_custkey, o_totalprice, 's3' FROM orders, mx WHERE o_orderkey >= (m * 7) // 10),
+d AS (SELECT o_orderkey, string_agg(shard, ',' ORDER BY shard) AS shards FROM u
+      GROUP BY o_orderkey HAVING count(DISTINCT shard) > 1)
+SELECT u.o_orderkey, u.o_custkey, u.o_totalprice, u.shard, d.shards FROM u JOIN d USING (o_orderkey)
+""")
+def q_duplicate_rows(spark, sf_dir):
+    from keyspan.operators.audit import duplicate_rows
+    o = _t(spark, sf_dir, "orders")
+    m = o.select(F.max("o_orderkey")).scalar()
+    k = F.col("o_orderkey")
+    shards = {"s1": o.filter(k <= F.floor(m * 5 / 10)),
+              "s2": o.filter((k >= F.floor(m * 4 / 10)) & (k <= F.floor(m * 8 / 10))),
+              "s3": o.filter(k >= F.floor(m * 7 / 10))}
+    return duplicate_rows(shards, "o_orderkey", ["o_custkey", "o_totalprice"])
+
+
+@register("merge_count_validation", f"""
+WITH m AS (SELECT * FROM {MAP_SQL}),
+src AS (
+  SELECT 'orders' AS table_name, count(*) AS n FROM orders o JOIN m
+    ON o.o_custkey >= m.min_id AND (m.max_id IS NULL OR o.o_custkey <= m.max_id)
+  UNION ALL
+  SELECT 'customer', count(*) FROM customer c JOIN m
+    ON c.c_custkey >= m.min_id AND (m.max_id IS NULL OR c.c_custkey <= m.max_id)),
+mer AS (SELECT 'orders' AS table_name, count(*) AS n FROM orders
+        UNION ALL SELECT 'customer', count(*) FROM customer)
+SELECT s.table_name, CAST(s.n AS BIGINT) AS source_rows, CAST(mer.n AS BIGINT) AS merged_rows,
+       s.n = mer.n AS valid
+FROM src s JOIN mer USING (table_name)
+""")
+def q_merge_validation(spark, sf_dir):
+    from keyspan.operators.audit import merge_count_validation
+    from keyspan.operators.counts import shard_counts
+    m = shard_map_from_rows(spark, CUSTS_MAP)
+    src = [shard_counts(_t(spark, sf_dir, s.name), s, m).select(
+        F.col("shard").alias("node"), "table_name", "n") for s in (ORDERS, CUSTOMER)]
+    merged = [_t(spark, sf_dir, s.name).agg(F.count(F.lit(1)).alias("n"))
+              .select(F.lit(s.name).alias("table_name"), "n") for s in (ORDERS, CUSTOMER)]
+    u = src[0].unionByName(src[1])
+    mu = merged[0].unionByName(merged[1])
+    return merge_count_validation(u, mu)
+
+
+@register("chunk_checksum_diff", f"""
+WITH d AS {DRIFT_SQL},
+b AS (SELECT max(o_custkey) AS hi, greatest((max(o_custkey) + 1) // 200, 1) AS w FROM orders),
+only_a AS (SELECT * FROM orders EXCEPT ALL SELECT * FROM d),
+only_b AS (SELECT * FROM d EXCEPT ALL SELECT * FROM orders),
+bad AS (SELECT DISTINCT (o_custkey // b.w) * b.w AS chunk_min FROM (
+          SELECT o_custkey FROM only_a UNION ALL SELECT o_custkey FROM only_b), b),
+ca AS (SELECT (o_custkey // b.w) * b.w AS chunk_min, count(*) AS n FROM orders, b GROUP BY 1),
+cb AS (SELECT (o_custkey // b.w) * b.w AS chunk_min, count(*) AS n FROM d, b GROUP BY 1)
+SELECT CAST(bad.chunk_min AS BIGINT) AS chunk_min,
+       CAST(least(bad.chunk_min + b.w - 1, b.hi) AS BIGINT) AS chunk_max,
+       CAST(coalesce(ca.n, 0) AS BIGINT) AS a_rows, CAST(coalesce(cb.n, 0) AS BIGINT) AS b_rows
+FROM bad CROSS JOIN b LEFT JOIN ca USING (chunk_min) LEFT JOIN cb USING (chunk_min)
+""")
+def q_checksum_diff(spark, sf_dir):
+    # chunks of the whole key span of orders, 200 of them (width floor(n/200))
+    from keyspan.operators.audit import checksum_diff
+    o = _t(spark, sf_dir, "orders")
+    lo, hi = 0, o.select(F.max("o_custkey")).first()[0]
+    cols = o.columns
+    return checksum_diff(o, _drifted(spark, sf_dir), "o_custkey", lo, hi, ORDERS.chunks, cols)
+
+
+@register("result_set_diff", f"""
+WITH d AS {DRIFT_SQL},
+qa AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders),
+qb AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM d)
+SELECT *, 'only_a' AS side FROM (SELECT * FROM qa EXCEPT ALL SELECT * FROM qb)
+UNION ALL
+SELECT *, 'only_b' FROM (SELECT * FROM qb EXCEPT ALL SELECT * FROM qa)
+""")
+def q_result_diff(spark, sf_dir):
+    from keyspan.operators.audit import result_set_diff
+    cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    return result_set_diff(_t(spark, sf_dir, "orders").select(*cols),
+                           _drifted(spark, sf_dir).select(*cols))
+
+
+@register("import_ignore", f"""
+WITH {OVERLAP_SQL},
+inc AS (SELECT d.* FROM {DRIFT_SQL} d, mx WHERE d.o_orderkey >= (mx.m * 4) // 10)
+SELECT o_orderkey, o_totalprice FROM a
+UNION ALL
+SELECT o_orderkey, o_totalprice FROM inc WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)
+""")
+def q_import_ignore(spark, sf_dir):
+    from keyspan.operators.transfer import import_rows
+    a, _ = _overlap(spark, sf_dir)
+    o = _t(spark, sf_dir, "orders")
+    m = o.select(F.max("o_orderkey")).scalar()
+    inc = _drifted(spark, sf_dir).filter(F.col("o_orderkey") >= F.floor(m * 4 / 10))
+    return import_rows(a, inc, ["o_orderkey"], "ignore").select("o_orderkey", "o_totalprice")
+
+
+@register("import_replace", f"""
+WITH {OVERLAP_SQL},
+inc AS (SELECT d.* FROM {DRIFT_SQL} d, mx WHERE d.o_orderkey >= (mx.m * 4) // 10)
+SELECT o_orderkey, o_totalprice FROM inc
+UNION ALL
+SELECT o_orderkey, o_totalprice FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM inc)
+""")
+def q_import_replace(spark, sf_dir):
+    from keyspan.operators.transfer import import_rows
+    a, _ = _overlap(spark, sf_dir)
+    o = _t(spark, sf_dir, "orders")
+    m = o.select(F.max("o_orderkey")).scalar()
+    inc = _drifted(spark, sf_dir).filter(F.col("o_orderkey") >= F.floor(m * 4 / 10))
+    return import_rows(a, inc, ["o_orderkey"], "replace").select("o_orderkey", "o_totalprice")
+
+
+@register("multi_key_export_dedup", """
+WITH c AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey // 20 AS ch FROM lineitem
+  WHERE l_partkey BETWEEN 0 AND 1999
+  UNION ALL
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey // 20 FROM lineitem
+  WHERE l_suppkey BETWEEN 0 AND 1999),
+files AS (SELECT DISTINCT * FROM c)
+SELECT CAST(count(*) AS BIGINT) AS exported_rows,
+       CAST((SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM files))
+            AS BIGINT) AS imported_rows
+FROM files
+""")
+def q_multi_key_export(spark, sf_dir):
+    # Chunks of [0, 1999] in 100 chunks (width 20) over both keys; a row
+    # lands in one file per distinct chunk its keys hit; import dedups on pk
+    from keyspan.operators.ranges import chunk_ranges
+    from keyspan.operators.rangejoin import range_join
+    li = _t(spark, sf_dir, "lineitem").select(*LINEITEM.pk)
+    ch = chunk_ranges(spark, 0, 1999, LINEITEM.chunks)
+    tagged = None
+    for k in LINEITEM.keys:
+        t = range_join(li, k, ch, lo="chunk_min", hi="chunk_max")
+        tagged = t if tagged is None else tagged.unionByName(t)
+    files = tagged.dropDuplicates([*LINEITEM.pk, "chunk_min"])
+    exported = files.agg(F.count(F.lit(1)).cast("long").alias("exported_rows"))
+    imported = files.select(*LINEITEM.pk).distinct().agg(
+        F.count(F.lit(1)).cast("long").alias("imported_rows"))
+    return exported.select("exported_rows",
+                           imported.select("imported_rows").scalar().alias("imported_rows"))
