@@ -78,13 +78,16 @@ def explode_ranges(ranges: DataFrame, plan: BucketPlan, lo: str = "min_id",
 def range_join(df: DataFrame, key: str, ranges: DataFrame, *, lo: str = "min_id",
                hi: str = "max_id", how: str = "inner", on: tuple[str, ...] = (),
                broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-               plan: BucketPlan | None = None) -> DataFrame:
+               plan: BucketPlan | None = None, broadcast: bool | None = None) -> DataFrame:
     """Join ``df`` with every row of ``ranges`` whose ``[lo, hi]`` holds ``key``.
 
     ``on`` lists extra equality columns present on both sides (e.g. ``pool``).
     ``how`` is ``inner`` or ``left``.  The output has ``df``'s columns plus the
     range columns (the internal bucket column is dropped).  ``plan`` may be
     given when the ranges are derived from a table already sized.
+    ``broadcast``: None = hint when the bounded exploded size is under
+    ``broadcast_max_rows``; False = no hint, Spark (AQE) decides from the
+    measured size at run time; True = always hint.
     """
     if how not in ("inner", "left"):
         raise ValueError("range_join supports inner and left joins")
@@ -94,7 +97,7 @@ def range_join(df: DataFrame, key: str, ranges: DataFrame, *, lo: str = "min_id"
                                              F.lit(plan.cap_bucket).cast("long")))
     # qualify through aliases so equal names on both sides stay unambiguous
     lq, rq = left.alias("__l"), right.alias("__r")
-    if plan.exploded_rows <= broadcast_max_rows:
+    if broadcast or (broadcast is None and plan.exploded_rows <= broadcast_max_rows):
         rq = F.broadcast(rq)
     lkey = F.col(f"__l.{key}")
     cond = (F.col("__l.__bucket") == F.col("__r.__bucket")) & (lkey >= F.col(f"__r.{lo}")) & \

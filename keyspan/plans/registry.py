@@ -6,6 +6,7 @@ import importlib
 
 CATALOG_MODULES = (
     "keyspan.plans.catalog",
+    "keyspan.plans.catalog_capacity",
 )
 
 
