@@ -1,0 +1,8 @@
+"""Scalar and text functions (survey §2.H), all built from
+``pyspark.sql.functions`` so they stay inside whole-stage codegen."""
+
+from keyspan.functions.text import (  # noqa: F401
+    hit_rate, logfile_number, parse_vertical, parse_vertical_rows, position_ahead, status_sections,
+    strip_ws, version_cmp, version_tuple,
+)
+from keyspan.functions.maps import deep_merge  # noqa: F401

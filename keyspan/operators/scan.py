@@ -12,6 +12,12 @@ instead:
    rows -- and a window over that small table for each partition's carry-in;
 4. a join of the carry-in back onto the rows (the summary is small; AQE
    broadcasts it when its measured size is under the broadcast threshold).
+
+The range-partitioned frame is checkpointed (into the shared checkpoint
+dir) before it is used twice: two separate range exchanges would each sample
+their own bounds, and partition ids would then disagree between the local
+pass and the summary.  The checkpoint also makes the scan restartable
+without recomputing its input.
 """
 
 from __future__ import annotations
@@ -30,15 +36,22 @@ def _combine(fn: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry)
 
 
+def range_chunks(df: DataFrame, cols: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned on ``cols`` with its partition id in
+    ``__pid``, checkpointed so every later use sees the same assignment."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in cols]) \
+        .withColumn("__pid", F.spark_partition_id())
+    return ranged.checkpoint(eager=True)
+
+
 def grouped_scan(df: DataFrame, group: list[str], order: list[str], value: str, fn: str,
                  out: str, backward: bool = False, partitions: int | None = None) -> DataFrame:
     """Running ``fn`` (sum / min / max) of ``value`` per ``group`` in ``order``
     (ascending, ties must be broken by ``order`` itself).  ``backward`` scans
     from the end (suffix aggregate, current row included)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in (*group, *order)]) \
-        .withColumn("__pid", F.spark_partition_id())
+    ranged = range_chunks(df, [*group, *order], partitions)
     frame = (Window.unboundedPreceding, Window.currentRow) if not backward else \
         (Window.currentRow, Window.unboundedFollowing)
     w = Window.partitionBy("__pid", *group).orderBy(*order).rowsBetween(*frame)
@@ -68,3 +81,21 @@ def next_at_or_after(points: DataFrame, queries: DataFrame, group: list[str], po
     ans = scanned.filter(F.col("__kind") == 0).select(*group, F.col("__qk").alias(key),
                                                      F.col("__nxt").alias(out))
     return queries.join(ans, [*group, key], "left")
+
+
+def grouped_lag(df: DataFrame, group: list[str], order: list[str], value: str, out: str,
+                partitions: int | None = None) -> DataFrame:
+    """``lag(value)`` per ``group`` in ``order`` without a per-group task: a
+    local lag inside each range partition, and for a partition's first row
+    of a group the last value of that group in the previous partition."""
+    ranged = range_chunks(df, [*group, *order], partitions)
+    w = Window.partitionBy("__pid", *group).orderBy(*order)
+    local = ranged.withColumn("__lag", F.lag(value).over(w)) \
+        .withColumn("__first", F.row_number().over(w) == 1)
+    lasts = ranged.groupBy("__pid", *group).agg(
+        F.max_by(F.col(value), F.struct(*[F.col(c) for c in order])).alias("__last"))
+    wt = Window.partitionBy(*group).orderBy("__pid")
+    carry = lasts.withColumn("__carry", F.lag("__last").over(wt)).drop("__last")
+    res = local.join(carry, ["__pid", *group], "left")
+    return res.withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__lag"))) \
+        .drop("__pid", "__lag", "__first", "__carry")

@@ -7,6 +7,7 @@ import importlib
 CATALOG_MODULES = (
     "keyspan.plans.catalog",
     "keyspan.plans.catalog_capacity",
+    "keyspan.plans.catalog_reports",
 )
 
 
