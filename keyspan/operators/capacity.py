@@ -393,6 +393,15 @@ def block_growth(h: DataFrame, pool: str, a: int, b: int) -> DataFrame:
                           (F.col("f.ts") - F.col("l.ts")).cast("double")).alias("rate"))
 
 
+def block_growth_by_pool(blk: DataFrame) -> DataFrame:
+    """D7 for every pool of an already-filtered block at once."""
+    first = F.min_by(F.struct("ts", "used"), "first_id")
+    last = F.max_by(F.struct("ts", "used"), "first_id")
+    return blk.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), first.alias("f"), last.alias("l")).select(
+        "pool", "n", F.try_divide((F.col("f.used") - F.col("l.used")).cast("double"),
+                                  (F.col("f.ts") - F.col("l.ts")).cast("double")).alias("rate"))
+
+
 # --- D8 / F1 key exhaustion -------------------------------------------------------
 
 def type_max(type_name: str, unsigned: bool = False) -> int:

@@ -8,6 +8,7 @@ CATALOG_MODULES = (
     "keyspan.plans.catalog",
     "keyspan.plans.catalog_capacity",
     "keyspan.plans.catalog_reports",
+    "keyspan.plans.catalog_jobs",
 )
 
 

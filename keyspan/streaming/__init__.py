@@ -1,0 +1 @@
+"""Structured Streaming: multi-source merge, progress, replay and monitors."""
