@@ -162,6 +162,8 @@ def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFra
         a, b = jump.alias("a"), jump.alias("b")
         jump = a.join(b, (F.col("a.pool") == F.col("b.pool")) & (F.col("a.to") == F.col("b.ts"))) \
             .select(F.col("a.pool"), F.col("a.ts"), F.col("b.to")).checkpoint(eager=True)
+        if jump.isEmpty():  # no chain is longer: later levels add nothing
+            break
     return anchors, nxt
 
 

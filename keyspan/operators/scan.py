@@ -52,13 +52,17 @@ def grouped_scan(df: DataFrame, group: list[str], order: list[str], value: str,
     (ascending, ties must be broken by ``order`` itself).  ``backward`` scans
     from the end (suffix aggregate, current row included)."""
     ranged = range_chunks(df, [*group, *order], partitions)
-    frame = (Window.unboundedPreceding, Window.currentRow) if not backward else \
-        (Window.currentRow, Window.unboundedFollowing)
-    w = Window.partitionBy("__pid", *group).orderBy(*order).rowsBetween(*frame)
+    # always a running frame (unbounded preceding .. current row), which
+    # Spark evaluates incrementally; a backward scan walks the reversed
+    # order (a "current row .. unbounded following" frame is re-aggregated
+    # per row, quadratic in the partition size)
+    sort = [F.col(c).desc() for c in order] if backward else [F.col(c) for c in order]
+    w = Window.partitionBy("__pid", *group).orderBy(*sort) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("__loc", _AGG[fn](value).over(w))
     totals = ranged.groupBy("__pid", *group).agg(_AGG[fn](value).alias("__tot"))
-    carry_frame = (Window.unboundedPreceding, -1) if not backward else (1, Window.unboundedFollowing)
-    wt = Window.partitionBy(*group).orderBy("__pid").rowsBetween(*carry_frame)
+    psort = F.col("__pid").desc() if backward else F.col("__pid")
+    wt = Window.partitionBy(*group).orderBy(psort).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumn("__carry", _AGG[fn]("__tot").over(wt)).drop("__tot")
     res = local.join(carry, ["__pid", *group], "left")
     return res.withColumn(out, _combine(fn, F.col("__loc"), F.col("__carry"))) \
