@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 WS_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 # a "*** 1. row ***" separator line (one digit, as the reference matches it)
 ROW_SEPARATOR = r"^\*+ \d\. row \*+$"
-# log file names: letters, dots and zeros, then the number
-LOGFILE_PATTERN = r"^[a-zA-Z.0]+(\d+)$"
+# log file number: the trailing digits of the name.  Wider than the
+# reference's pattern, which only allows letters, dots and zeros before the
+# number and so rejects names with a hyphen (documented divergence).
+LOGFILE_PATTERN = r"(\d+)$"
 
 
 def strip_ws(c: Column) -> Column:

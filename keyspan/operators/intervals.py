@@ -25,7 +25,7 @@ def parse_interval_sets(df: DataFrame, text: str, set_col: str | None = None) ->
                       F.explode(F.slice("__p", 2, 1 << 30)).alias("__iv"))
     b = F.split("__iv", "-")
     return iv.select(*keep, "source", F.element_at(b, 1).cast("long").alias("lo"),
-                     F.coalesce(F.element_at(b, 2), F.element_at(b, 1)).cast("long").alias("hi"))
+                     F.coalesce(F.try_element_at(b, F.lit(2)), F.element_at(b, 1)).cast("long").alias("hi"))
 
 
 def _events(iv: DataFrame, group: list[str]) -> DataFrame:

@@ -80,11 +80,13 @@ def command_counters(events: DataFrame, ts: str, node: str, kind: str,
                      kinds=("select", "insert", "delete"), watermark: str = "10 seconds") -> DataFrame:
     """Per node and one-second window, how many commands of each kind
     (``max(when...)`` style columns; streams cannot pivot)."""
-    e = events.withWatermark(ts, watermark)
+    # watermarks need TIMESTAMP (zone-aware); the tables carry TIMESTAMP_NTZ
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     aggs = [F.count(F.when(F.lower(F.col(kind)) == k, 1)).alias(f"com_{k}") for k in kinds]
     return e.groupBy(F.window(ts, "1 second"), F.col(node)).agg(*aggs)
 
 
 def dedup_redelivery(stream: DataFrame, pk: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
     """Drop a change delivered twice (same key) within the watermark."""
-    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(pk)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark) \
+        .dropDuplicatesWithinWatermark(pk)
