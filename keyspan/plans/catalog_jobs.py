@@ -267,3 +267,209 @@ def q_caught_up_stream(spark, sf_dir):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").filter(F.col("status") == "caught_up")
+
+
+# --- more transfer / routing / report coverage ---------------------------------------
+
+
+@register("export_rows_roundtrip", """
+SELECT * FROM orders WHERE o_custkey >= 100 AND o_custkey <= 999
+""")
+def q_export_roundtrip(spark, sf_dir):
+    """Range export as tab-separated text (``\\N`` nulls),
+    sorted within partitions by the key, and import back with the schema."""
+    from keyspan.operators.transfer import export_range, read_tsv, write_tsv
+    from keyspan.spec import TableSpec
+    o = _t(spark, sf_dir, "orders")
+    spec = TableSpec("orders", keys=("o_custkey",), pk=("o_orderkey",), chunks=200, order_by=("o_custkey",))
+    path = scratch_path(spark, "export")
+    write_tsv(export_range(o, spec, 100, 999), path)
+    return read_tsv(spark, path, o.schema)
+
+
+@register("chunked_export_counts", f"""
+WITH m AS (SELECT * FROM {MAP_SQL}),
+mx AS (SELECT CAST(floor(max(k) * 1.2) AS BIGINT) AS top FROM (
+         SELECT max(o_custkey) AS k FROM orders UNION ALL SELECT max(c_custkey) FROM customer)),
+b AS (SELECT m.min_id AS lo, coalesce(m.max_id, mx.top) AS hi, m.max_id IS NULL AS open FROM m, mx),
+w AS (SELECT *, greatest((hi - lo + 1) // 200, 1) AS width FROM b),
+c AS (SELECT CAST(s AS BIGINT) AS chunk_min, CAST(least(s + width - 1, hi) AS BIGINT) AS chunk_max
+      FROM w, unnest(generate_series(lo, hi, width)) AS t(s)
+      UNION ALL SELECT CAST(hi + 1 AS BIGINT), CAST(NULL AS BIGINT) FROM w WHERE open),
+f AS (SELECT CASE WHEN chunk_max IS NULL THEN 'orders' || chunk_min || '-and-up.out'
+                  ELSE 'orders' || chunk_min || '-' || chunk_max || '.out' END AS file_name,
+             chunk_min, chunk_max FROM c)
+SELECT f.file_name, CAST(count(*) AS BIGINT) AS rows FROM orders o
+JOIN f ON o.o_custkey >= f.chunk_min AND (f.chunk_max IS NULL OR o.o_custkey <= f.chunk_max)
+GROUP BY f.file_name
+""")
+def q_chunked_export(spark, sf_dir):
+    """A3/A4/A5: every chunk of every shard written as its own partition in
+    one job; the per-file counts come back (their sum = rows exported)."""
+    from keyspan.operators.transfer import export_chunked, export_chunks
+    m = shard_map_from_rows(spark, CUSTS_MAP)
+    o = _t(spark, sf_dir, "orders")
+    tables = {"orders": (o, "o_custkey"), "customer": (_t(spark, sf_dir, "customer"), "c_custkey")}
+    ch = export_chunks(m, tables, "orders", ORDERS.chunks)
+    return export_chunked(o, ORDERS, ch, scratch_path(spark, "chunks"))
+
+
+@register("schema_copy", "SELECT * FROM orders WHERE false")
+def q_schema_copy(spark, sf_dir):
+    """An empty table with the source schema, written and read back."""
+    from keyspan.operators.transfer import empty_like
+    o = _t(spark, sf_dir, "orders")
+    path = scratch_path(spark, "schema")
+    empty_like(o).write.mode("overwrite").parquet(path)
+    return spark.read.schema(o.schema).parquet(path)
+
+
+@register("key_projection", """
+WITH mx AS (SELECT max(o_orderkey) AS m FROM orders),
+k AS (SELECT o_orderkey FROM orders, mx WHERE o_orderkey >= (m * 4) // 10 AND o_orderkey <= (m * 6) // 10)
+SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM k)
+""")
+def q_key_projection(spark, sf_dir):
+    """The fields of the duplicate keys found between two copies, by a
+    semi-join (never a literal IN list)."""
+    from keyspan.operators.audit import duplicate_keys
+    from keyspan.operators.transfer import project_for_keys
+    from keyspan.plans.catalog import _overlap
+    a, b = _overlap(spark, sf_dir)
+    dups = duplicate_keys({"a": a, "b": b}, "o_orderkey")
+    return project_for_keys(_t(spark, sf_dir, "orders"), dups, "o_orderkey", ["o_orderkey", "o_totalprice"])
+
+
+@register("split_ranges_check", """
+SELECT false AS has_gaps, true AS covers_start, true AS covers_end, true AS ok
+""")
+def q_split_check(spark, sf_dir):
+    """B9 on data-derived pieces: the even split of the key span of orders
+    into 7 must be gap-free and cover it."""
+    from keyspan.operators.ranges import check_contiguous, even_split
+    o = _t(spark, sf_dir, "orders")
+    lo, hi = o.agg(F.min("o_custkey"), F.max("o_custkey")).first()
+    b = o.agg(F.min("o_custkey").alias("min_id"), F.max("o_custkey").alias("max_id"))
+    pieces = even_split(b, 7).select(F.col("piece_min").alias("min_id"), F.col("piece_max").alias("max_id"))
+    return check_contiguous(pieces, lo, hi)
+
+
+TARGET_MAP = [
+    ("custs", 0, 39, "merging"), ("custs", 40, 99, "merging"), ("custs", 0, 99, "initialized"),
+    ("custs", 100, 999, "ready"), ("custs", 100, 549, "child", "custs-100-999"),
+    ("custs", 550, 999, "replicating", "custs-100-999"), ("custs", 1000, None, "read_only"),
+]
+
+
+def _target_sql():
+    from keyspan.spec import shard_map_sql_values
+    return f"""
+WITH m AS (SELECT * FROM {shard_map_sql_values(TARGET_MAP)}),
+cand AS (SELECT * FROM m WHERE NOT (parent IS NOT NULL AND state NOT IN
+         ('merging', 'ready', 'child', 'needs_cleanup', 'read_only', 'offline'))),
+hits AS (SELECT o.o_orderkey, c.name, row_number() OVER (PARTITION BY o.o_orderkey
+                ORDER BY (c.parent IS NULL), c.seq) AS rk
+         FROM orders o JOIN cand c ON o.o_custkey >= c.min_id AND (c.max_id IS NULL OR o.o_custkey <= c.max_id)),
+cover AS (SELECT a.name, (SELECT b.name FROM m b WHERE b.pool = a.pool AND b.max_id IS NOT NULL
+                          AND b.state IN ('initialized', 'ready') AND b.min_id <= a.min_id
+                          AND b.max_id >= a.max_id AND b.name <> a.name ORDER BY b.seq LIMIT 1) AS merged
+          FROM m a WHERE a.max_id IS NOT NULL),
+t AS (SELECT m.name, CASE WHEN m.state IN ('ready', 'needs_cleanup', 'child', 'read_only') THEN m.name
+                          WHEN m.state = 'merging' THEN cover.merged END AS read_target,
+                     CASE WHEN m.state IN ('ready', 'needs_cleanup', 'merging') THEN m.name
+                          WHEN m.state = 'child' THEN m.parent END AS write_target
+      FROM m LEFT JOIN cover USING (name))
+SELECT h.name AS shard, t.read_target, t.write_target, CAST(count(*) AS BIGINT) AS n
+FROM hits h JOIN t ON t.name = h.name WHERE h.rk = 1 GROUP BY ALL
+"""
+
+
+@register("route_targets_orders", _target_sql())
+def q_route_targets(spark, sf_dir):
+    """B13 + C2: every order's read and write target under a map where two
+    shards are being merged and one is being split."""
+    from keyspan.operators.route import route_targets
+    m = shard_map_from_rows(spark, TARGET_MAP)
+    o = _t(spark, sf_dir, "orders").select("o_custkey")
+    r = route_targets(o, "o_custkey", m, "custs")
+    return r.filter(F.col("shard").isNotNull()).groupBy("shard", "read_target", "write_target") \
+        .agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("smallest_replica", """
+WITH mounts AS (SELECT event_type AS pool, CAST(user_id % 3 AS INTEGER) AS seq,
+                       'node-' || CAST(user_id % 3 AS VARCHAR) AS node,
+                       CAST(count(*) * 1000000 AS BIGINT) AS total,
+                       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS used
+                FROM events GROUP BY ALL)
+SELECT pool, node, total, used, total - used AS available FROM (
+  SELECT *, row_number() OVER (PARTITION BY pool ORDER BY total, seq) AS rk FROM mounts) WHERE rk = 1
+""")
+def q_smallest_replica(spark, sf_dir):
+    """Per pool, the mount stats of the copy with the smallest capacity
+    (copies = the three change-stream sources of each pool)."""
+    from keyspan.operators.capacity import smallest_replica
+    e = _t(spark, sf_dir, "events")
+    mounts = e.groupBy(F.col("event_type").alias("pool"), (F.col("user_id") % 3).cast("int").alias("seq")) \
+        .agg((F.count(F.lit(1)) * 1000000).cast("long").alias("total"),
+             F.sum(F.round(F.col("value") * 100).cast("long")).cast("long").alias("used")) \
+        .withColumn("node", F.concat(F.lit("node-"), F.col("seq").cast("string"))) \
+        .withColumn("available", F.col("total") - F.col("used"))
+    return smallest_replica(mounts)
+
+
+@register("command_counters", """
+SELECT user_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS window_start,
+       CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS com_select,
+       CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS com_insert,
+       CAST(count(*) FILTER (WHERE event_type NOT IN ('view', 'purchase')) AS BIGINT) AS com_delete
+FROM events GROUP BY ALL
+""")
+def q_command_counters(spark, sf_dir):
+    """I5 in batch form: per node (user) and one-second window, commands by
+    kind (view = SELECT, purchase = INSERT, the rest DELETE)."""
+    e = _t(spark, sf_dir, "events").withColumn(
+        "cmd", F.when(F.col("event_type") == "view", "SELECT")
+        .when(F.col("event_type") == "purchase", "INSERT").otherwise("DELETE"))
+    w = F.window(F.col("ts").cast("timestamp"), "1 second")
+    kinds = [("select", "SELECT"), ("insert", "INSERT"), ("delete", "DELETE")]
+    g = e.groupBy(F.col("user_id"), w.alias("w")).agg(
+        *[F.count(F.when(F.col("cmd") == v, 1)).cast("long").alias(f"com_{k}") for k, v in kinds])
+    return g.select("user_id", F.unix_seconds("w.start").alias("window_start"),
+                    "com_select", "com_insert", "com_delete")
+
+
+@register("backfill_tail", """
+WITH s AS (SELECT max(event_id) // 2 AS cut FROM events),
+snap AS (SELECT event_id, user_id, value FROM events, s WHERE event_id <= s.cut),
+tail AS (SELECT event_id, user_id, value + 1 AS value FROM events, s WHERE event_id > s.cut)
+SELECT * FROM (SELECT * FROM snap UNION ALL SELECT * FROM tail) WHERE user_id BETWEEN 0 AND 99
+""")
+def q_backfill_tail(spark, sf_dir):
+    """Snapshot at a position, changes after it applied on key, then the
+    rows outside the shard range pruned."""
+    from keyspan.streaming.merge import backfill_and_tail
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    cut = e.select((F.max("event_id") / 2).cast("long")).scalar()
+    cut = F.floor(cut)
+    snap = e.filter(F.col("event_id") <= cut)
+    changes = e.withColumn("value", F.col("value") + 1)
+    return backfill_and_tail(snap, changes, ["event_id"], "event_id", cut,
+                             keep=F.col("user_id").between(0, 99))
+
+
+@register("merge_shards", f"""
+WITH m AS (SELECT * FROM {MAP_SQL})
+SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS source_rows, CAST(count(*) AS BIGINT) AS merged_rows,
+       true AS valid
+FROM orders o JOIN m ON o.o_custkey BETWEEN m.min_id AND m.max_id WHERE m.name IN ('custs-0-39', 'custs-40-99')
+""")
+def q_merge_shards(spark, sf_dir):
+    """K2/K3: merge custs-0-39 and custs-40-99 (duplicate check, union, write,
+    count validation)."""
+    from keyspan.operators.route import route
+    from keyspan.plans.jobs import merge
+    m = shard_map_from_rows(spark, CUSTS_MAP)
+    routed = route(_t(spark, sf_dir, "orders"), "o_custkey", m, "custs", how="inner")
+    parts = {n: routed.filter(F.col("shard") == n).drop("shard") for n in ("custs-0-39", "custs-40-99")}
+    return merge(parts, ORDERS, scratch_path(spark, "merge"))
