@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.operators.scan import grouped_lag, grouped_scan
+from keyspan.operators.scan import grouped_scan
 
 
 def parse_interval_sets(df: DataFrame, text: str, set_col: str | None = None) -> DataFrame:
@@ -40,19 +40,23 @@ def merge_intervals(iv: DataFrame, group: list[str]) -> DataFrame:
     touching intervals (``hi + 1 == lo``) merge."""
     ev = _events(iv, group).groupBy(*group, "p").agg(F.sum("d").alias("d"))
     cov = grouped_scan(ev, group, ["p"], "d", "sum", "cov")
-    return _segments_where(cov, group, F.col("cov") > 0)
+    inside = F.col("cov") > 0
+    before = (F.col("cov") - F.col("d")) > 0
+    return _segments(cov, group, inside, before)
 
 
-def _segments_where(cov: DataFrame, group: list[str], inside) -> DataFrame:
-    """From boundary points with coverage state, the maximal runs where
-    ``inside`` holds: a run starts at a point entering the state and ends
-    just before the next point leaving it."""
-    flag = cov.withColumn("__in", inside)
-    flag = grouped_lag(flag, group, ["p"], "__in", "__prev_in")
-    edges = flag.filter(F.col("__in") != F.coalesce(F.col("__prev_in"), F.lit(False)))
-    # consecutive edges alternate start / end; pair each start with the next edge
-    edges = grouped_lag(edges.withColumn("__neg", -F.col("p")), group, ["__neg"], "p", "__next")
-    return edges.filter("__in").select(*group, F.col("p").alias("lo"), (F.col("__next") - 1).alias("hi"))
+def _segments(cov: DataFrame, group: list[str], inside, before) -> DataFrame:
+    """Maximal runs where ``inside`` holds, from boundary points carrying the
+    state at the point (``inside``) and just before it (``before``, i.e. the
+    running sums minus the point's own deltas -- no lag needed).  Edges
+    alternate start / end, so numbering them with one running count pairs
+    each start (odd) with its end (the next, even) by a plain aggregate."""
+    edges = cov.withColumn("__in", inside).filter(F.col("__in") != before) \
+        .select(*group, "p", "__in").withColumn("__one", F.lit(1))
+    edges = grouped_scan(edges, group, ["p"], "__one", "sum", "__k")
+    pairs = edges.groupBy(*group, F.floor((F.col("__k") - 1) / 2).alias("__pair")).agg(
+        F.min("p").alias("lo"), F.max("p").alias("__end"))
+    return pairs.select(*group, "lo", (F.col("__end") - 1).alias("hi"))
 
 
 def interval_difference(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
@@ -60,11 +64,11 @@ def interval_difference(a: DataFrame, b: DataFrame, group: list[str]) -> DataFra
     group (``gtid_subset(a, b)`` is false exactly when this is non-empty)."""
     ea = _events(a, group).select(*group, "p", F.col("d").alias("da"), F.lit(0).alias("db"))
     eb = _events(b, group).select(*group, "p", F.lit(0).alias("da"), F.col("d").alias("db"))
-    ev = ea.unionByName(eb)
-    ev = ev.groupBy(*group, "p").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    cov = grouped_scan(ev, group, ["p"], "da", "sum", "ca")
-    cov = grouped_scan(cov, group, ["p"], "db", "sum", "cb")
-    return _segments_where(cov, group, (F.col("ca") > 0) & (F.col("cb") <= 0))
+    ev = ea.unionByName(eb).groupBy(*group, "p").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    cov = grouped_scan(ev, group, ["p"], ["da", "db"], "sum", ["ca", "cb"])
+    inside = (F.col("ca") > 0) & (F.col("cb") <= 0)
+    before = ((F.col("ca") - F.col("da")) > 0) & ((F.col("cb") - F.col("db")) <= 0)
+    return _segments(cov, group, inside, before)
 
 
 def is_subset(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:

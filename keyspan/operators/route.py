@@ -58,7 +58,9 @@ def effective_map(shard_map: DataFrame, plan=None) -> DataFrame:
     gets its preferred shard, and neighbours with the same shard are merged.
     Output columns: the map's columns with ``min_id``/``max_id`` narrowed.
     """
-    cand = shard_map.filter(~(F.col("parent").isNotNull() & ~in_production()))
+    # the map is small (one row per shard): one partition up front, and every
+    # window / aggregate below needs no further shuffle
+    cand = shard_map.filter(~(F.col("parent").isNotNull() & ~in_production())).repartition(1)
     points = (cand.select("pool", F.col("min_id").alias("p"))
               .union(cand.filter(F.col("max_id").isNotNull())
                      .select("pool", (F.col("max_id") + 1).alias("p")))

@@ -46,11 +46,14 @@ def range_chunks(df: DataFrame, cols: list[str], partitions: int | None = None)
     return ranged.checkpoint(eager=True)
 
 
-def grouped_scan(df: DataFrame, group: list[str], order: list[str], value: str, fn: str,
-                 out: str, backward: bool = False, partitions: int | None = None) -> DataFrame:
+def grouped_scan(df: DataFrame, group: list[str], order: list[str], value, fn: str,
+                 out, backward: bool = False, partitions: int | None = None) -> DataFrame:
     """Running ``fn`` (sum / min / max) of ``value`` per ``group`` in ``order``
     (ascending, ties must be broken by ``order`` itself).  ``backward`` scans
-    from the end (suffix aggregate, current row included)."""
+    from the end (suffix aggregate, current row included).  ``value`` and
+    ``out`` may be lists to scan several columns in the same pass."""
+    if not isinstance(value, str):
+        return _grouped_scan_many(df, group, order, list(value), fn, list(out), backward, partitions)
     ranged = range_chunks(df, [*group, *order], partitions)
     # always a running frame (unbounded preceding .. current row), which
     # Spark evaluates incrementally; a backward scan walks the reversed
@@ -69,6 +72,27 @@ def grouped_scan(df: DataFrame, group: list[str], order: list[str], value: str,
         .drop("__pid", "__loc", "__carry")
 
 
+def _grouped_scan_many(df, group, order, values, fn, outs, backward, partitions):
+    ranged = range_chunks(df, [*group, *order], partitions)
+    sort = [F.col(c).desc() for c in order] if backward else [F.col(c) for c in order]
+    w = Window.partitionBy("__pid", *group).orderBy(*sort) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged
+    for i, v in enumerate(values):
+        local = local.withColumn(f"__loc{i}", _AGG[fn](v).over(w))
+    totals = ranged.groupBy("__pid", *group).agg(*[_AGG[fn](v).alias(f"__tot{i}") for i, v in enumerate(values)])
+    psort = F.col("__pid").desc() if backward else F.col("__pid")
+    wt = Window.partitionBy(*group).orderBy(psort).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals
+    for i in range(len(values)):
+        carry = carry.withColumn(f"__carry{i}", _AGG[fn](f"__tot{i}").over(wt)).drop(f"__tot{i}")
+    res = local.join(carry, ["__pid", *group], "left")
+    for i, o in enumerate(outs):
+        res = res.withColumn(o, _combine(fn, F.col(f"__loc{i}"), F.col(f"__carry{i}"))) \
+            .drop(f"__loc{i}", f"__carry{i}")
+    return res.drop("__pid")
+
+
 def next_at_or_after(points: DataFrame, queries: DataFrame, group: list[str], point: str,
                      query: str, key: str, out: str) -> DataFrame:
     """For every query row, the smallest ``point`` >= its ``query`` value in
