@@ -6,3 +6,4 @@ from keyspan.functions.text import (  # noqa: F401
     strip_ws, version_cmp, version_tuple,
 )
 from keyspan.functions.maps import deep_merge  # noqa: F401
+from keyspan.functions.dates import epoch_day, epoch_report_time  # noqa: F401,E402

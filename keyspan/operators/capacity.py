@@ -146,8 +146,8 @@ def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFra
     ``nxt(t)`` is found for every row at once (suffix-minimum scan), then the
     chain from each pool's first ts is followed by pointer doubling: after
     level k, the anchor set holds the first 2^k chain elements and the jump
-    table maps t to nxt^(2^k)(t).  log2(chain length) joins; each level is
-    checkpointed into the shared checkpoint dir to keep the plan small.
+    table maps t to nxt^(2^k)(t).  log2(chain length) joins; each jump table
+    is checkpointed into the shared checkpoint dir to keep the plan small.
     Returns ``(anchors(pool, ts), nxt(pool, ts, nxt))``."""
     gap = period - SEGMENT_SLACK
     pts = h.select("pool", "ts")
@@ -158,7 +158,9 @@ def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFra
     anchors = h.groupBy("pool").agg(F.min("ts").alias("ts"))
     for _ in range(_levels(h, gap)):
         stepped = anchors.join(jump, ["pool", "ts"]).select("pool", F.col("to").alias("ts"))
-        anchors = anchors.unionByName(stepped).checkpoint(eager=True)
+        # anchors stay small (one per period) and their plan grows linearly;
+        # only the jump table, which doubles its plan each level, is cut
+        anchors = anchors.unionByName(stepped)
         a, b = jump.alias("a"), jump.alias("b")
         jump = a.join(b, (F.col("a.pool") == F.col("b.pool")) & (F.col("a.to") == F.col("b.ts"))) \
             .select(F.col("a.pool"), F.col("a.ts"), F.col("b.to")).checkpoint(eager=True)
@@ -355,9 +357,12 @@ def _flags(blocks: DataFrame) -> DataFrame:
 def outlier_spikes(blocks: DataFrame) -> DataFrame:
     """Single evaluated blocks above 5x the baseline mean (or the zero
     rule), with GB/day values."""
+    from keyspan.functions.dates import epoch_report_time
     f = _flags(blocks)
     return f.filter("evaluated AND spike").select(
         "pool", "start", (F.col("start") + BLOCK_WIDTH).alias("end"),
+        epoch_report_time(F.col("start")).alias("start_time"),
+        epoch_report_time(F.col("start") + BLOCK_WIDTH).alias("end_time"),
         per_day(bytes_to_gb(F.col("now_rate"))).alias("usage_gb_day"),
         per_day(bytes_to_gb(F.col("baseline_mean"))).alias("prev_weeks_gb_day"))
 

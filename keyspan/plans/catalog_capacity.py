@@ -242,13 +242,15 @@ def q_outlier_runs(spark, sf_dir):
 
 @register("outlier_spikes", "WITH " + OUT_SQL + """
 SELECT pool, CAST(start AS BIGINT) AS start, CAST(start + 7320 AS BIGINT) AS "end",
+       strftime(epoch_ms(CAST(start AS BIGINT) * 1000), '%m/%d/%Y %H:%M:%S') AS start_time,
+       strftime(epoch_ms(CAST(start + 7320 AS BIGINT) * 1000), '%m/%d/%Y %H:%M:%S') AS end_time,
        round(now_rate / (1024.0 * 1049000.0) * 86400, 6) AS usage_gb_day,
        round(baseline_mean / (1024.0 * 1049000.0) * 86400, 6) AS prev_weeks_gb_day
 FROM fl WHERE evaluated AND spike
 """)
 def q_outlier_spikes(spark, sf_dir):
     s = cap.outlier_spikes(_blocks(spark, sf_dir))
-    return s.select("pool", F.col("start").cast("long"), F.col("end").cast("long"),
+    return s.select("pool", F.col("start").cast("long"), F.col("end").cast("long"), "start_time", "end_time",
                     F.round("usage_gb_day", 6).alias("usage_gb_day"),
                     F.round("prev_weeks_gb_day", 6).alias("prev_weeks_gb_day"))
 

@@ -106,3 +106,29 @@ def test_driver_contract(spark):
     assert df.count() > 0
     qs, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 50
+
+
+def test_dates_and_redelivery(spark):
+    from keyspan.functions import epoch_day, epoch_report_time
+    r = spark.createDataFrame([(1706659200,)], "t long").select(epoch_day(F.col("t")).alias("d"),
+                                                                  epoch_report_time(F.col("t")).alias("s")).first()
+    assert (r.d, r.s) == ("2024-01-31", "01/31/2024 00:00:00")
+    from keyspan.streaming.monitor import dedup_redelivery
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:05"), (2, "2024-01-01 00:00:09")],
+                                 "k long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    root = scratch_path(spark, "t-dedup")
+    rows.write.parquet(root + "/in")
+    s = spark.readStream.schema(rows.schema).parquet(root + "/in")
+    q = dedup_redelivery(s, ["k"], "ts").writeStream.format("memory").queryName("dd") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("SELECT count(*) FROM dd").first()[0] == 2
+
+
+def test_capacity_plan_job(spark):
+    from keyspan.operators.capacity import history_from_events
+    from keyspan.plans.jobs import capacity_plan
+    h = history_from_events(spark.read.parquet(f"{SF001}/events.parquet"))
+    out = capacity_plan(h, 1706659200)
+    assert {"segments", "growth", "days_left", "day_over_day", "outlier_runs", "outlier_spikes"} <= set(out)
+    assert out["growth"].count() == 5

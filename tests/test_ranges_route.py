@@ -129,3 +129,31 @@ def test_targets_and_merged_cover(spark):
     assert t["p-0-99"] == ("p-0-199", "p-0-99")
     assert t["p-200-299"] == ("p-200-299", "p-0-199")
     assert t["p-300-399"] == ("p-300-399", None)
+
+
+def test_state_transitions(spark):
+    import pytest
+    from keyspan.operators import transitions as tr
+    from keyspan.operators.route import check_parents, select_shards
+    rows = [("p", 0, 99, "ready"), ("p", 0, 49, "replicating", "p-0-99"), ("p", 50, 99, "replicating", "p-0-99"),
+            ("p", 100, 199, "ready"), ("p", 200, 299, "ready"), ("p", 100, 299, "initialized")]
+    m = shard_map_from_rows(spark, rows)
+    assert [r.name for r in select_shards(m, "P", being_split=True).collect()] == ["p-0-99"]
+    assert select_shards(m, in_prod=True).count() == 3
+    assert check_parents(m).count() == 0
+    m1 = tr.move_reads_to_children(m, "p-0-99")
+    st = {r.name: r.state for r in m1.collect()}
+    assert st["p-0-99"] == "deprecated" and st["p-0-49"] == "child"
+    with pytest.raises(tr.TransitionError):
+        tr.move_reads_to_children(m1, "p-0-99")          # children no longer replicating
+    m2 = tr.move_writes_to_children(m1, "p-0-99")
+    assert {r.state for r in m2.filter("parent = 'p-0-99'").collect()} == {"needs_cleanup"}
+    shards = ["p-100-199", "p-200-299"]
+    m3 = tr.merge_cleanup(tr.merge_writes(tr.merge_reads(m2, shards, "p-100-299"), shards, "p-100-299"),
+                          shards, "p-100-299")
+    st = {r.name: r.state for r in m3.collect()}
+    assert st["p-100-299"] == "ready" and st["p-100-199"] == "recycle"
+    with pytest.raises(tr.TransitionError):
+        tr.merge_writes(m2, shards, "p-100-299")          # shards are not merging yet
+    assert {r.state for r in tr.set_manual(m, "p-0-99", "read_only").filter("name = 'p-0-99'").collect()} \
+        == {"read_only"}
