@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS_PER_RANGE = 4
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 250_000   # ~25 MB of (range, bucket) rows
 
 
 @dataclass(frozen=True)

@@ -112,7 +112,8 @@ def route_targets(df: DataFrame, key: str, shard_map: DataFrame, pool: str | Non
     merged shard that covers it, writes to itself; anything else -> none."""
     routed = route(df, key, shard_map, pool, shard_col="__shard")
     tgt = shard_targets(shard_map).withColumnRenamed("name", "__shard")
-    return routed.join(F.broadcast(tgt), "__shard", "left") \
+    # one row per shard: Spark broadcasts it by its measured size
+    return routed.join(tgt, "__shard", "left") \
         .withColumnRenamed("__shard", "shard")
 
 

@@ -108,9 +108,10 @@ def export_chunked(df: DataFrame, spec: TableSpec, chunks: DataFrame, path: str,
     # cut lineage before the two actions (write + counts) re-run the join
     tagged = tagged.checkpoint(eager=True)
     out = tagged.drop("__cmin", "__cmax")
-    if spec.order_by:
-        out = out.sortWithinPartitions("file_name", *spec.order_by)
-    w = out.repartition("file_name").write.mode("overwrite").partitionBy("file_name")
+    out = out.sortWithinPartitions("file_name", *spec.order_by)
+    # no shuffle by file: every task writes its slice of each chunk, so a hot
+    # chunk is written by many tasks in parallel
+    w = out.write.mode("overwrite").partitionBy("file_name")
     if fmt == "tsv":
         w.options(**TSV_OPTIONS).csv(path)
     else:

@@ -72,9 +72,9 @@ def q_location_tree(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
     n = _t(spark, sf_dir, "nation")
     r = _t(spark, sf_dir, "region")
-    # nation and region are dimension tables (25 / 5 rows at every scale)
-    d = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey) \
-        .join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("r_name", "n_name", "c_mktsegment")
+    # nation and region are dimension tables; Spark broadcasts them by size
+    d = c.join(n, c.c_nationkey == n.n_nationkey) \
+        .join(r, n.n_regionkey == r.r_regionkey).select("r_name", "n_name", "c_mktsegment")
     t = rp.nested_counts(d, ["r_name", "n_name"], "c_mktsegment")
     return t.select("r_name", rp.render_tree(F.col("tree")).alias("tree"))
 
