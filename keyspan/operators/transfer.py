@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,23 +186,14 @@ def prune_to_range(df: DataFrame, keys, lo: int, hi: int | None) -> DataFrame:
 
 def next_keys(df: DataFrame, key: str) -> DataFrame:
     """B5 for every distinct key at once: the next larger and next smaller
-    key.  A global order is needed, so this runs as a range-partitioned sort
-    (``repartitionByRange``) with a per-partition window, stitched at the
-    partition edges by each partition's first/last key; no single task sees
-    all keys."""
+    key.  Two distributed lags (``grouped_lag`` with no group: range
+    partitions plus a carry from the neighbouring partition), so no single
+    task ever holds all keys."""
+    from keyspan.operators.scan import grouped_lag
     keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    n_parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = keys.repartitionByRange(n_parts, key).withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(key)
-    local = ranged.withColumn("next_key", F.lead(key).over(w)) \
-        .withColumn("prev_key", F.lag(key).over(w))
-    edges = ranged.groupBy("__p").agg(F.min(key).alias("__first"), F.max(key).alias("__last"))
-    we = Window.orderBy("__p")  # one row per partition: tiny
-    edges = edges.withColumn("__nfirst", F.lead("__first").over(we)) \
-        .withColumn("__plast", F.lag("__last").over(we))
-    joined = local.join(F.broadcast(edges.select("__p", "__nfirst", "__plast")), "__p")
-    return joined.select(key, F.coalesce("next_key", "__nfirst").alias("next_key"),
-                         F.coalesce("prev_key", "__plast").alias("prev_key"))
+    prev = grouped_lag(keys, [], [key], key, "prev_key")
+    both = grouped_lag(prev.withColumn("__neg", -F.col(key)), [], ["__neg"], key, "next_key")
+    return both.select(key, "next_key", "prev_key")
 
 
 def next_key_after(df: DataFrame, key: str, id_, direction: str = "asc") -> DataFrame:
