@@ -149,6 +149,8 @@ def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFra
     table maps t to nxt^(2^k)(t).  log2(chain length) joins; each jump table
     is checkpointed into the shared checkpoint dir to keep the plan small.
     Returns ``(anchors(pool, ts), nxt(pool, ts, nxt))``."""
+    from keyspan.session import checkpoint_dir
+    checkpoint_dir(h.sparkSession)
     gap = period - SEGMENT_SLACK
     pts = h.select("pool", "ts")
     q = pts.withColumn("__q", F.col("ts") + F.lit(gap + 1))

@@ -99,7 +99,9 @@ def chunk_ranges_from_bounds(bounds: DataFrame, chunks: int, lo: str = "lo", hi:
     """B11 over data-derived bounds (one row per table / shard): same rule,
     expressed as columns so the bounds never visit the driver."""
     width = F.greatest(F.expr(f"({hi} - {lo} + 1) div {int(chunks)}"), F.lit(min_per_chunk))
-    starts = F.sequence(F.col(lo), F.col(hi), width)
+    # an empty range (hi < lo) has no chunk; sequence() would raise on it
+    starts = F.when(F.col(hi) >= F.col(lo), F.sequence(F.col(lo), F.col(hi), width)) \
+        .otherwise(F.array().cast("array<bigint>"))
     out = bounds.withColumn("__w", width).withColumn("chunk_min", F.explode(starts))
     return out.withColumn("chunk_max", F.least(F.col("chunk_min") + F.col("__w") - 1, F.col(hi))) \
         .drop("__w")

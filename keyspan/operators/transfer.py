@@ -60,8 +60,10 @@ def shard_bounds(shard_map: DataFrame, tables: dict[str, tuple[DataFrame, str]],
     maxes = [d.select(F.max(k).cast("long").alias("k")) for d, k in tables.values()]
     top = reduce(lambda a, b: a.unionByName(b), maxes).select(
         F.floor(F.max("k") * F.lit(multiplier)).cast("long")).scalar()
+    # an open shard holding no key yet (top below its start) gets no bounded
+    # chunk; its open-ended chunk then starts at its own minimum
     return shard_map.select(F.col("name").alias("shard"), F.col("min_id").alias("lo"),
-                            F.coalesce(F.col("max_id"), top).alias("hi"),
+                            F.coalesce(F.col("max_id"), F.greatest(top, F.col("min_id") - 1)).alias("hi"),
                             F.col("max_id").isNull().alias("open"))
 
 
@@ -106,6 +108,8 @@ def export_chunked(df: DataFrame, spec: TableSpec, chunks: DataFrame, path: str,
         # a row with two keys in the same chunk is written once per chunk
         tagged = tagged.dropDuplicates([*spec.pk, "file_name"])
     # cut lineage before the two actions (write + counts) re-run the join
+    from keyspan.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     tagged = tagged.checkpoint(eager=True)
     out = tagged.drop("__cmin", "__cmax")
     out = out.sortWithinPartitions("file_name", *spec.order_by)

@@ -203,7 +203,7 @@ def q_prune_multi(spark, sf_dir):
 WITH m AS (SELECT * FROM {MAP_SQL}),
 mx AS (SELECT CAST(floor(max(k) * {MAX_TABLE_MULTIPLIER}) AS BIGINT) AS top FROM (
          SELECT max(o_custkey) AS k FROM orders UNION ALL SELECT max(c_custkey) FROM customer)),
-b AS (SELECT m.name AS shard, m.min_id AS lo, coalesce(m.max_id, mx.top) AS hi,
+b AS (SELECT m.name AS shard, m.min_id AS lo, coalesce(m.max_id, greatest(mx.top, m.min_id - 1)) AS hi,
              m.max_id IS NULL AS open FROM m, mx),
 w AS (SELECT *, greatest((hi - lo + 1) // 200, 1) AS width FROM b),
 c AS (SELECT shard, CAST(s AS BIGINT) AS chunk_min, CAST(least(s + width - 1, hi) AS BIGINT) AS chunk_max

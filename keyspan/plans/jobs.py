@@ -209,6 +209,8 @@ def consistency_check(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, ch
     """K9: chunk checksums of two copies (C10); only the differing chunks get
     a row-level diff (G3).  The chunk list is tiny, so it is joined back as a
     broadcast semi-join filter."""
+    from keyspan.session import checkpoint_dir
+    checkpoint_dir(a.sparkSession)
     cols = a.columns
     # the differing chunks are few; materialise them once (both sides and the
     # join sizing read them)
