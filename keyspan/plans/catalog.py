@@ -271,7 +271,7 @@ def q_even_split(spark, sf_dir):
 
 @register("cutover_map", f"""
 WITH m AS (SELECT * FROM {MAP_SQL}),
-cid AS (SELECT max(o_custkey) + 1 AS c FROM orders),
+cid AS (SELECT greatest(max(o_custkey), 1000) + 1 AS c FROM orders),
 nm AS (
   SELECT pool, min_id, max_id, CASE WHEN max_id IS NULL THEN 'recycle' ELSE state END AS state, name
   FROM m
@@ -287,7 +287,9 @@ def q_cutover(spark, sf_dir):
     from keyspan.operators.route import cutover
     o = _t(spark, sf_dir, "orders")
     m = shard_map_from_rows(spark, CUSTS_MAP)
-    cid = o.select(F.max("o_custkey") + 1).scalar()
+    # new last shard starts after every key in use and after the current
+    # last shard's start (1000), as a cutover requires
+    cid = o.select(F.greatest(F.max("o_custkey"), F.lit(1000)) + 1).scalar()
     new_map = cutover(m, cid, "custs")
     from keyspan.operators.counts import shard_counts
     live = new_map.filter(F.col("state") != "recycle")

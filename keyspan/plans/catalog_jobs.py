@@ -99,7 +99,8 @@ def q_schema_change(spark, sf_dir):
     m = shard_map_from_rows(spark, CUSTS_MAP)
     routed = route(_t(spark, sf_dir, "orders"), "o_custkey", m, "custs", how="inner")
     return schema_change(routed, lambda d: d.withColumn("my_new_column", F.lit(None).cast("int")),
-                         scratch_path(spark, "alter"), preflight="custs-0-39", dry_run=True)
+                         scratch_path(spark, "alter"), preflight="custs-0-39", dry_run=True,
+                         shards=m.select("name"))
 
 
 @register("rebuild_check", """

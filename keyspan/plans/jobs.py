@@ -150,13 +150,15 @@ def rebuild(df: DataFrame, spec: TableSpec, out_path: str, partitions: int | Non
 
 
 def schema_change(table: DataFrame, alter, out_path: str, shard_col: str = "shard",
-                  preflight: str | None = None, dry_run: bool = False) -> DataFrame:
+                  preflight: str | None = None, dry_run: bool = False,
+                  shards: DataFrame | None = None) -> DataFrame:
     """K7: apply ``alter`` (DataFrame -> DataFrame, column-level) to a
     sharded table.  The preflight shard is altered and verified first; if it
     passes, the rest follow in one pass.  Verification per shard: row count
     and a checksum of the columns ``alter`` left unchanged, before vs after,
     as one grouped aggregate (not one scan per shard).  Written partitioned
-    by shard unless ``dry_run``.  Returns one row per shard."""
+    by shard unless ``dry_run``.  Returns one row per shard; with ``shards``
+    (a one-column list of names) shards holding no rows are reported too."""
     new_all = alter(table)
     kept = [c for c in table.columns if c != shard_col and c in new_all.columns and
             table.schema[c].dataType == new_all.schema[c].dataType]
@@ -185,7 +187,17 @@ def schema_change(table: DataFrame, alter, out_path: str, shard_col: str = "shar
     if first.filter(~F.col("ok")).count():
         return first.select(shard_col, "phase", "rows_before", "rows_after", "ok")
     rest = run(table.filter(F.col(shard_col) != preflight), "rest")
-    return first.unionByName(rest).select(shard_col, "phase", "rows_before", "rows_after", "ok")
+    out = first.unionByName(rest).select(shard_col, "phase", "rows_before", "rows_after", "ok")
+    if shards is None:
+        return out
+    names = shards.select(F.col(shards.columns[0]).alias(shard_col)).distinct()
+    j = names.join(out, shard_col, "left")
+    return j.select(shard_col,
+                    F.coalesce("phase", F.when(F.col(shard_col) == preflight, "preflight").otherwise("rest"))
+                    .alias("phase"),
+                    F.coalesce("rows_before", F.lit(0)).cast("long").alias("rows_before"),
+                    F.coalesce("rows_after", F.lit(0)).cast("long").alias("rows_after"),
+                    F.coalesce("ok", F.lit(True)).alias("ok"))
 
 
 def capacity_plan(hist: DataFrame, now: int, autoinc: DataFrame | None = None,
