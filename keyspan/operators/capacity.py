@@ -276,7 +276,8 @@ def threshold_buckets(usage: DataFrame, critical: float = CRITICAL_MOUNT,
 # --- E6-E9 outliers ------------------------------------------------------------
 
 def outlier_blocks(h: DataFrame, now: int, pools: DataFrame | None = None) -> DataFrame:
-    """The 2-hour blocks of the last 3 days per pool (start every
+    """E6/E7 (with C6, the same block 7/14/21/28 days earlier): the 2-hour
+    blocks of the last 3 days per pool (start every
     7200 s from now - 3 days while start + 3720 < now, each [start, start +
     7320] closed), the current rate and the baseline rates of the same block
     7/14/21/28 days earlier (blocks with >= 2 timestamps).

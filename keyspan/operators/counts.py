@@ -32,8 +32,9 @@ def functional_counts(df: DataFrame, spec: TableSpec, label: str = "functional")
 
 
 def global_rowcount(counts: list[DataFrame]) -> DataFrame:
-    """Union of per-(table, shard) counts rolled up to per-table totals
-    and one grand total.  ``lvl`` is ``grouping_id``: 0 detail, 1 table total,
+    """D2/D12 (and the A15 "query every shard and reduce" idiom): union of
+    per-(table, shard) counts rolled up to per-table totals and one grand
+    total.  ``lvl`` is ``grouping_id``: 0 detail, 1 table total,
     3 grand total."""
     u = reduce(lambda a, b: a.unionByName(b), counts)
     return (u.rollup("table_name", "shard")

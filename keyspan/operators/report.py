@@ -114,8 +114,9 @@ def fingerprint(stmt: Column) -> Column:
 
 def query_digest(log: DataFrame, stmt: str, ms: str, db: str | None = None, db_col: str | None = None,
                  limit: int = DIGEST_LIMIT) -> DataFrame:
-    """Top ``limit`` query classes by total time, optional database
-    filter: count, total, mean and max milliseconds."""
+    """Top ``limit`` query classes by total time (a TakeOrdered, not
+    a full sort), optional database filter: count, total, mean and max
+    milliseconds."""
     d = log if db is None else log.filter(F.col(db_col) == db)
     g = d.groupBy(fingerprint(F.col(stmt)).alias("fingerprint")).agg(
         F.count(F.lit(1)).cast("long").alias("calls"), F.sum(ms).alias("total_ms"),
