@@ -26,7 +26,7 @@ def main():
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="keyspan-bench")
     from keyspan.plans.registry import all_queries
     from keyspan.plans.jobs import split
-    from keyspan.spec import CUSTS_MAP, ORDERS, shard_map_from_rows
+    from keyspan.spec import shard_map_from_rows
     from pyspark.sql import functions as F
 
     qs = all_queries()
@@ -49,16 +49,21 @@ def main():
         run(qs[name](spark, sf_dir))
         times[name] = round(time.time() - t0, 3)
 
-    # K1: split custs-100-999 in two, written and count-verified
-    orders = load_table(spark, sf_dir, "orders")
+    # K1: one shard holding the whole key range of lineitem (by l_partkey)
+    # split in two -- every row routed, written partitioned by child shard
+    # and count-verified, like the reference's whole-shard split
+    from keyspan.spec import LINEITEM
+    lineitem = load_table(spark, sf_dir, "lineitem")
+    top = lineitem.agg(F.max("l_partkey")).first()[0]
+    one_shard = shard_map_from_rows(spark, [("parts", 0, int(top), "ready")])
     t0 = time.time()
-    res = split(orders, ORDERS, shard_map_from_rows(spark, CUSTS_MAP), "custs-100-999",
+    res = split(lineitem, LINEITEM, one_shard, f"parts-0-{int(top)}",
                 scratch_path(spark, "bench-split"), n=2)
     split_rows = res.counts.agg(F.sum("n")).first()[0] or 0
     times["split_shard"] = round(time.time() - t0, 3)
 
     total = round(sum(times.values()), 3)
-    n_orders = orders.count()
+    n_orders = load_table(spark, sf_dir, "orders").count()
     print(json.dumps({
         "metric": "headline_total_sec", "value": total, "unit": "sec", "queries": times,
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "cpus": int(cpus),
