@@ -19,7 +19,6 @@ not by data volume, so small per-pool windows there are safe.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,10 +107,13 @@ def history_from_events(events: DataFrame, total=None) -> DataFrame:
         total = F.floor(total).cast("long")
     else:
         total = F.lit(int(total))
-    return h.select("pool", F.unix_seconds(F.col("__ts").cast("timestamp")).alias("ts"), "id", total.alias("total"),
-                    F.col("used").cast("long").alias("used"),
-                    (total - F.col("used")).cast("long").alias("available"),
-                    F.col("used").cast("long").alias("db_sizes"))
+    out = h.select("pool", F.unix_seconds(F.col("__ts").cast("timestamp")).alias("ts"), "id",
+                   total.alias("total"), F.col("used").cast("long").alias("used"),
+                   (total - F.col("used")).cast("long").alias("available"),
+                   F.col("used").cast("long").alias("db_sizes"))
+    # a derived table read by several steps: materialise it once in the
+    # shared checkpoint folder
+    return out.checkpoint(eager=True)
 
 
 # --- E1 -----------------------------------------------------------------------
@@ -129,16 +131,6 @@ def dedup_history(hist: DataFrame) -> DataFrame:
 
 # --- E2 -----------------------------------------------------------------------
 
-def _levels(h: DataFrame, gap: int) -> int:
-    """Doubling levels needed: the anchor chain of a pool is at most
-    span / (gap + 1) + 1 long.  One tiny aggregate."""
-    span = h.groupBy("pool").agg((F.max("ts") - F.min("ts")).alias("s")).agg(F.max("s")).first()[0]
-    if span is None:
-        return 0
-    chain = int(span) // (gap + 1) + 2
-    return max(1, math.ceil(math.log2(chain + 1)))
-
-
 def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFrame]:
     """Anchors of the greedy segmentation: the first ts of a pool, then
     repeatedly the first ts > anchor + period - 60.
@@ -158,7 +150,8 @@ def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFra
     nxt = nxt.checkpoint(eager=True)
     jump = nxt.filter(F.col("nxt").isNotNull()).select("pool", "ts", F.col("nxt").alias("to"))
     anchors = h.groupBy("pool").agg(F.min("ts").alias("ts"))
-    for _ in range(_levels(h, gap)):
+    # at most 64 levels (2^64 steps); stops as soon as no chain is longer
+    for _ in range(64):
         stepped = anchors.join(jump, ["pool", "ts"]).select("pool", F.col("to").alias("ts"))
         # anchors stay small (one per period) and their plan grows linearly;
         # only the jump table, which doubles its plan each level, is cut
@@ -177,7 +170,10 @@ def segmentify(hist: DataFrame, period: int = DAY, deduped: bool = False) -> Dat
 
     A trailing partial segment (last anchor to the pool's last ts) is
     emitted when it holds more than one row."""
-    h = hist if deduped else dedup_history(hist)
+    from keyspan.session import checkpoint_dir
+    checkpoint_dir(hist.sparkSession)
+    # read five times below (points, roots, last, two value lookups)
+    h = (hist if deduped else dedup_history(hist)).checkpoint(eager=True)
     anchors, nxt = segment_anchors(h, period)
     seg = anchors.join(nxt, ["pool", "ts"])
     last = h.groupBy("pool").agg(F.max("ts").alias("__last"))
