@@ -289,7 +289,7 @@ def q_cutover(spark, sf_dir):
     m = shard_map_from_rows(spark, CUSTS_MAP)
     # new last shard starts after every key in use and after the current
     # last shard's start (1000), as a cutover requires
-    cid = o.select(F.greatest(F.max("o_custkey"), F.lit(1000)) + 1).scalar()
+    cid = int(o.select(F.greatest(F.max("o_custkey"), F.lit(1000)) + 1).first()[0])
     new_map = cutover(m, cid, "custs")
     from keyspan.operators.counts import shard_counts
     live = new_map.filter(F.col("state") != "recycle")
@@ -365,11 +365,17 @@ DRIFT_SQL = """(SELECT o_orderkey, o_custkey, o_orderstatus,
        o_orderdate, o_orderpriority FROM orders WHERE o_orderkey <> 42)"""
 
 
+def _max_orderkey(o) -> int:
+    """The copies' boundaries are parameters derived once from the data (one
+    tiny aggregate), so each copy's filter is a literal the scan can push."""
+    return int(o.select(F.max("o_orderkey")).first()[0])
+
+
 def _overlap(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
-    m = o.select(F.max("o_orderkey")).scalar()
-    a = o.filter(F.col("o_orderkey") <= F.floor(m * 6 / 10))
-    b = o.filter(F.col("o_orderkey") >= F.floor(m * 4 / 10))
+    m = _max_orderkey(o)
+    a = o.filter(F.col("o_orderkey") <= (m * 6) // 10)
+    b = o.filter(F.col("o_orderkey") >= (m * 4) // 10)
     return a, b
 
 
@@ -408,11 +414,11 @@ SELECT u.o_orderkey, u.o_custkey, u.o_totalprice, u.shard, d.shards FROM u JOIN
 def q_duplicate_rows(spark, sf_dir):
     from keyspan.operators.audit import duplicate_rows
     o = _t(spark, sf_dir, "orders")
-    m = o.select(F.max("o_orderkey")).scalar()
+    m = _max_orderkey(o)
     k = F.col("o_orderkey")
-    shards = {"s1": o.filter(k <= F.floor(m * 5 / 10)),
-              "s2": o.filter((k >= F.floor(m * 4 / 10)) & (k <= F.floor(m * 8 / 10))),
-              "s3": o.filter(k >= F.floor(m * 7 / 10))}
+    shards = {"s1": o.filter(k <= (m * 5) // 10),
+              "s2": o.filter((k >= (m * 4) // 10) & (k <= (m * 8) // 10)),
+              "s3": o.filter(k >= (m * 7) // 10)}
     return duplicate_rows(shards, "o_orderkey", ["o_custkey", "o_totalprice"])
 
 
@@ -491,9 +497,8 @@ SELECT o_orderkey, o_totalprice FROM inc WHERE o_orderkey NOT IN (SELECT o_order
 def q_import_ignore(spark, sf_dir):
     from keyspan.operators.transfer import import_rows
     a, _ = _overlap(spark, sf_dir)
-    o = _t(spark, sf_dir, "orders")
-    m = o.select(F.max("o_orderkey")).scalar()
-    inc = _drifted(spark, sf_dir).filter(F.col("o_orderkey") >= F.floor(m * 4 / 10))
+    m = _max_orderkey(_t(spark, sf_dir, "orders"))
+    inc = _drifted(spark, sf_dir).filter(F.col("o_orderkey") >= (m * 4) // 10)
     return import_rows(a, inc, ["o_orderkey"], "ignore").select("o_orderkey", "o_totalprice")
 
 
@@ -507,9 +512,8 @@ SELECT o_orderkey, o_totalprice FROM a WHERE o_orderkey NOT IN (SELECT o_orderke
 def q_import_replace(spark, sf_dir):
     from keyspan.operators.transfer import import_rows
     a, _ = _overlap(spark, sf_dir)
-    o = _t(spark, sf_dir, "orders")
-    m = o.select(F.max("o_orderkey")).scalar()
-    inc = _drifted(spark, sf_dir).filter(F.col("o_orderkey") >= F.floor(m * 4 / 10))
+    m = _max_orderkey(_t(spark, sf_dir, "orders"))
+    inc = _drifted(spark, sf_dir).filter(F.col("o_orderkey") >= (m * 4) // 10)
     return import_rows(a, inc, ["o_orderkey"], "replace").select("o_orderkey", "o_totalprice")
 
 
