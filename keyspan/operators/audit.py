@@ -55,12 +55,13 @@ def duplicate_rows(shards: dict[str, DataFrame], key: str, fields) -> DataFrame:
 
 def count_check(expected: DataFrame, actual: DataFrame, key: str = "table_name",
                 left: str = "expected", right: str = "actual") -> DataFrame:
-    """Per table, expected vs actual counts; a full outer join so a table
-    missing on one side shows up as NULL.  ``match`` is False on any
-    difference."""
-    e = expected.select(key, F.col("n").alias(left))
-    a = actual.select(key, F.col("n").alias(right))
-    j = e.join(a, key, "full_outer")
+    """Per table, expected vs actual counts with full-outer semantics (a
+    table missing on one side shows up as NULL there); ``match`` is False on
+    any difference.  Built as a union plus one aggregate, not a join."""
+    u = expected.select(key, F.col("n").alias("__n"), F.lit(0).alias("__side")).unionByName(
+        actual.select(key, F.col("n").alias("__n"), F.lit(1).alias("__side")))
+    j = u.groupBy(key).agg(F.sum(F.when(F.col("__side") == 0, F.col("__n"))).cast("long").alias(left),
+                           F.sum(F.when(F.col("__side") == 1, F.col("__n"))).cast("long").alias(right))
     return j.withColumn("match", F.coalesce(F.col(left) == F.col(right), F.lit(False)))
 
 

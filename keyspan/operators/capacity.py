@@ -153,9 +153,10 @@ def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFra
     # at most 64 levels (2^64 steps); stops as soon as no chain is longer
     for _ in range(64):
         stepped = anchors.join(jump, ["pool", "ts"]).select("pool", F.col("to").alias("ts"))
-        # anchors stay small (one per period) and their plan grows linearly;
-        # only the jump table, which doubles its plan each level, is cut
-        anchors = anchors.unionByName(stepped)
+        # the anchor set is read twice per level (union and join), so its
+        # plan would double each level: cut it too (it is small: one row per
+        # period per pool)
+        anchors = anchors.unionByName(stepped).checkpoint(eager=True)
         a, b = jump.alias("a"), jump.alias("b")
         jump = a.join(b, (F.col("a.pool") == F.col("b.pool")) & (F.col("a.to") == F.col("b.ts"))) \
             .select(F.col("a.pool"), F.col("a.ts"), F.col("b.to")).checkpoint(eager=True)
