@@ -87,3 +87,25 @@ def test_parse_and_render(spark):
     r = {x.source: x.intervals for x in iv.render_interval_set(iv.merge_intervals(p, ["source"]), ["source"]).collect()}
     assert r == {"uuid1": "1-5:7:9-12", "uuid2": "1-100"}
     assert iv.pick_source(p, "uuid2").count() == 1
+
+
+def test_hot_group_is_spread_over_partitions(spark):
+    """One group holding 90 % of the rows must not land in one task."""
+    from keyspan.operators.scan import range_chunks
+    rows = [("hot" if i % 10 else "cold", i, 1) for i in range(20000)]
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    r = range_chunks(df, ["g", "o"], partitions=8)
+    sizes = [x["n"] for x in r.filter("g = 'hot'").groupBy("__pid").count()
+             .withColumnRenamed("count", "n").collect()]
+    assert len(sizes) >= 6 and max(sizes) < 0.3 * sum(sizes)
+
+
+def test_range_join_shuffle_path_matches_broadcast(spark):
+    from keyspan.operators.rangejoin import range_join
+    rnd = random.Random(11)
+    ranges = spark.createDataFrame([(i * 10, i * 10 + 9, i) for i in range(50)] + [(500, None, 99)],
+                                   "min_id long, max_id long, tag long")
+    df = spark.createDataFrame([(rnd.randint(-20, 900),) for _ in range(2000)] + [(3,)] * 500, "k long")
+    a = sorted(tuple(r) for r in range_join(df, "k", ranges, how="left").collect())
+    b = sorted(tuple(r) for r in range_join(df, "k", ranges, how="left", broadcast_max_rows=0).collect())
+    assert a == b
