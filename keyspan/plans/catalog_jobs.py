@@ -473,3 +473,35 @@ def q_merge_shards(spark, sf_dir):
     routed = route(_t(spark, sf_dir, "orders"), "o_custkey", m, "custs", how="inner")
     parts = {n: routed.filter(F.col("shard") == n).drop("shard") for n in ("custs-0-39", "custs-40-99")}
     return merge(parts, ORDERS, scratch_path(spark, "merge"))
+
+
+@register("command_counters_stream", """
+WITH lim AS (SELECT CAST(epoch_us(max(ts)) AS BIGINT) - 10000000 AS wm FROM events),
+w AS (SELECT user_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS window_start, event_type FROM events)
+SELECT user_id, window_start,
+       CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS com_select,
+       CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS com_insert,
+       CAST(count(*) FILTER (WHERE event_type NOT IN ('view', 'purchase')) AS BIGINT) AS com_delete
+FROM w, lim WHERE (window_start + 1) * 1000000 <= lim.wm
+GROUP BY user_id, window_start
+""")
+def q_command_counters_stream(spark, sf_dir):
+    """I5 as a stream: one-second windows per node with a 10 s watermark,
+    append mode, available-now trigger; windows still open when the input
+    ends (ending after the watermark) are not emitted."""
+    from keyspan.streaming.monitor import command_counters
+    e = _t(spark, sf_dir, "events").withColumn(
+        "cmd", F.when(F.col("event_type") == "view", "SELECT")
+        .when(F.col("event_type") == "purchase", "INSERT").otherwise("DELETE")) \
+        .select("user_id", "ts", "cmd")
+    root = scratch_path(spark, "counters")
+    e.write.mode("overwrite").parquet(f"{root}/in")
+    s = spark.readStream.schema(e.schema).parquet(f"{root}/in")
+    q = (command_counters(s, "ts", "user_id", "cmd").writeStream.format("parquet")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("user_id", F.unix_seconds("window.start").alias("window_start"),
+                      F.col("com_select").cast("long"), F.col("com_insert").cast("long"),
+                      F.col("com_delete").cast("long"))
