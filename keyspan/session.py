@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/object-store) folder there; we only pick a
-    local one when nothing is configured, which is the single-machine test
-    case.  Lineage is cut with ``DataFrame.checkpoint()`` into this folder,
+    A cluster names a shared (HDFS/object-store) folder there.  Where nothing
+    is configured only a single-machine ``local[...]`` session falls back to a
+    temporary folder; any other master raises.  Lineage is cut with ``DataFrame.checkpoint()`` into this folder,
     never with ``localCheckpoint``.
     """
     sc = spark.sparkContext
@@ -53,6 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"spark.checkpoint.dir is unset and master {sc.master} is not local: "
+                             "name a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="keyspan-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
@@ -62,7 +67,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
-    import uuid
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
