@@ -10,10 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm import mixing, packing, secrets
+from keyspan.llm import cotrain, mixing, packing, secrets, simhash
 from keyspan.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    judged = cotrain.classified(docs, table(spark, sf_dir, "labels"))
+    return judged.where("ct_kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of linked fingerprints one document stays."""
+    return simhash.deduplicated(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; no document is lost."""
     return secrets.redact(docs)
@@ -29,7 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("token_ids"))
 
 
-STAGES = [("secret scan", secret_scan), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("secret scan", secret_scan),
+          ("mixing", mix), ("packing", pack)]
 
 #: Tokenizing and hashing thresholds have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None

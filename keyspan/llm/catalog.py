@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm import kdshard, mixing, packing, rules, secrets
+from keyspan.llm import cotrain, kdshard, lbl, mainpage, mixing, packing, postings, rules, secrets, simhash
 from keyspan.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_cotraining")
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.classified(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "ct_scores.*", F.col("ct_kept").alias("kept"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op3_posting_lists")
+def op3_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = postings.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
@@ -78,6 +97,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
+@query("op7_lbl_scores")
+def op7_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpage.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.filtered(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
