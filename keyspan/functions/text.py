@@ -38,11 +38,17 @@ def parse_vertical(text: Column) -> Column:
 
 
 def _last_wins_map(pairs: Column) -> Column:
-    # map_from_entries raises on duplicate keys under the default policy;
-    # fold entries so the later value replaces the earlier one
-    empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(pairs, empty, lambda acc, e: F.map_concat(
-        F.map_filter(acc, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])))
+    """Entries to a map, the last one of a key winning: pairs are sorted by
+    key and position once and the last of each run is kept (``transform`` over
+    a one-element array binds the sorted pairs, so they are computed once)."""
+    placed = F.sort_array(F.transform(pairs, lambda e, i: F.struct(
+        e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+
+    def kept(s: Column) -> Column:
+        last = F.filter(s, lambda e, i: ~F.coalesce(F.get(s, i + 1)["key"] == e["key"], F.lit(False)))
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+    return F.get(F.transform(F.array(placed), kept), F.lit(0))
 
 
 def parse_vertical_rows(text: Column) -> Column:
@@ -55,12 +61,15 @@ def parse_vertical_rows(text: Column) -> Column:
 
 def status_sections(text: Column) -> Column:
     """Sectioned status text (a dashed line, an upper-case title, a dashed
-    line, then the body) -> ``map<title, array<line>>``."""
-    pat = r"-+\n([A-Z0-9 \p{Punct}]+)\n-+\n"
+    line, then the body) -> ``map<title, array<line>>``.  A section ends at the
+    next header, so what follows the last one is no section; of sections with
+    one title the last wins."""
+    pat = r"-+\n([\p{Lu} \p{Punct}]+)\n-+\n"
     titles = F.regexp_extract_all(text, F.lit(pat), 1)
     bodies = F.slice(F.split(text, pat), 2, 1 << 30)
-    return F.map_from_arrays(titles, F.transform(bodies, lambda b: F.filter(
-        F.split(F.regexp_replace(b, r"\n+$", ""), "\n"), lambda x: x != "")))
+    lines = F.transform(bodies, lambda b: F.filter(F.split(F.regexp_replace(b, r"\n+$", ""), "\n"), lambda x: x != ""))
+    pairs = F.zip_with(titles, lines, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    return _last_wins_map(F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0))))
 
 
 def hit_rate(line: Column) -> Column:
@@ -82,7 +91,7 @@ def version_tuple(v: Column, precision: int = 3) -> Column:
 def version_cmp(a: Column, b: Column, precision: int = 2) -> Column:
     """-1 / 0 / 1 comparing the first ``precision`` version numbers."""
     if precision < 1 or precision > 3:
-        raise ValueError(f"Invalid precision {precision}")
+        raise ValueError(f"precision must be 1, 2 or 3, got {precision}")
     ta, tb = version_tuple(a, precision), version_tuple(b, precision)
     return F.when(ta < tb, -1).when(ta > tb, 1).otherwise(0)
 

@@ -26,7 +26,7 @@ def union_shards(shards: dict[str, DataFrame], cols=None, tag: str = "shard") ->
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def duplicate_keys(shards: dict[str, DataFrame], key: str) -> DataFrame:
+def duplicate_keys(shards: dict[str, DataFrame], key: str | list[str]) -> DataFrame:
     """Keys present on more than one shard, with the number of
     rows carrying them and the sorted list of shards (comma-joined).
 
@@ -34,9 +34,10 @@ def duplicate_keys(shards: dict[str, DataFrame], key: str) -> DataFrame:
     key; documented divergence).  Plan: per-(key, shard) partial counts are
     combined map-side, then one shuffle on ``key``; a hot key sends at most
     one partial row per task, so skew cannot pile rows into one task."""
-    u = union_shards(shards, [key])
-    per = u.groupBy(key, "shard").agg(F.count(F.lit(1)).alias("__n"))
-    agg = per.groupBy(key).agg(F.sum("__n").cast("long").alias("n_rows"),
+    keys = [key] if isinstance(key, str) else list(key)
+    u = union_shards(shards, keys)
+    per = u.groupBy(*keys, "shard").agg(F.count(F.lit(1)).alias("__n"))
+    agg = per.groupBy(*keys).agg(F.sum("__n").cast("long").alias("n_rows"),
                                F.count(F.lit(1)).alias("__shards"),
                                F.array_join(F.array_sort(F.collect_list("shard")), ",")
                                .alias("shards"))
@@ -86,19 +87,30 @@ def manifest_diff(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def row_hash(cols) -> F.Column:
-    """64-bit hash of a row's values (NULL-safe: xxhash64 hashes NULL as a
-    seed pass-through, and column order matters)."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+    """64-bit hash of a row.  A NULL leaves xxhash64's running seed as it is,
+    so every column also puts in whether it is NULL: a value that moves from
+    one column to another changes the hash."""
+    return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
+
+
+def with_chunk(df: DataFrame, key: str, lo: int, hi: int, chunks: int) -> DataFrame:
+    """Adds ``chunk_min``/``chunk_max``.  No row is without a chunk: keys below
+    the range are in (NULL, lo - 1), keys above it in (hi + 1, NULL), and rows
+    without a key in (NULL, NULL)."""
+    k, width = F.col(key), max((hi - lo + 1) // chunks, 1)
+    start = chunk_of(k, lo, hi, chunks)
+    first = F.when(k > hi, F.lit(hi + 1)).otherwise(start).cast("long")
+    last = (F.when(k < lo, F.lit(lo - 1))
+            .when(k <= hi, F.least(start + (width - 1), F.lit(hi)))).cast("long")
+    return df.withColumn("chunk_min", first).withColumn("chunk_max", last)
 
 
 def chunk_checksums(df: DataFrame, key: str, lo: int, hi: int, chunks: int, cols) -> DataFrame:
     """C10 per chunk: row count and an order-independent checksum
-    ``bit_xor(xxhash64(row))`` plus ``sum`` of the hashes (xor alone cancels
-    pairs of equal rows).  One aggregation keyed by chunk start."""
+    ``bit_xor(hash(row))`` plus ``sum`` of the hashes (xor alone cancels
+    pairs of equal rows).  One aggregation keyed by chunk."""
     h = row_hash(cols)
-    return (df.withColumn("chunk_min", chunk_of(F.col(key), lo, hi, chunks))
-            .filter(F.col("chunk_min").isNotNull())
-            .groupBy("chunk_min")
+    return (with_chunk(df, key, lo, hi, chunks).groupBy("chunk_min", "chunk_max")
             .agg(F.count(F.lit(1)).cast("long").alias("rows"),
                  F.bit_xor(h).alias("xor_hash"),
                  F.sum(h.cast("decimal(38,0)")).alias("sum_hash")))
@@ -108,18 +120,17 @@ def checksum_diff(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, chunks
                   cols) -> DataFrame:
     """Chunks whose count or checksum differ between two copies (a
     chunk missing on one side differs too).  Only these chunks need a row
-    diff (G3) afterwards."""
-    ca = chunk_checksums(a, key, lo, hi, chunks, cols).alias("a")
-    cb = chunk_checksums(b, key, lo, hi, chunks, cols).alias("b")
-    j = ca.join(cb, "chunk_min", "full_outer")
-    differs = (F.col("a.rows").isNull() | F.col("b.rows").isNull() |
-               (F.col("a.rows") != F.col("b.rows")) | (F.col("a.xor_hash") != F.col("b.xor_hash")) |
-               (F.col("a.sum_hash") != F.col("b.sum_hash")))
-    width = max((hi - lo + 1) // chunks, 1)
-    return j.filter(differs).select(
-        "chunk_min", F.least(F.col("chunk_min") + width - 1, F.lit(hi)).cast("long").alias("chunk_max"),
-        F.coalesce(F.col("a.rows"), F.lit(0)).cast("long").alias("a_rows"),
-        F.coalesce(F.col("b.rows"), F.lit(0)).cast("long").alias("b_rows"))
+    diff (G3) afterwards.  Both copies' checksums are tagged and meet in one
+    aggregation, so the NULL bounds of the outer chunks need no care."""
+    side = lambda d, i: chunk_checksums(d, key, lo, hi, chunks, cols).withColumn("side", F.lit(i))
+    of = lambda c, i: F.max(F.when(F.col("side") == i, F.col(c)))
+    both = side(a, 0).unionByName(side(b, 1)).groupBy("chunk_min", "chunk_max").agg(
+        *[of(c, i).alias(f"{c}{i}") for c in ("rows", "xor_hash", "sum_hash") for i in (0, 1)])
+    same = F.lit(True)
+    for c in ("rows", "xor_hash", "sum_hash"):
+        same = same & F.col(f"{c}0").eqNullSafe(F.col(f"{c}1"))
+    return both.filter(~same).select("chunk_min", "chunk_max", F.coalesce("rows0", F.lit(0)).cast("long").alias("a_rows"),
+                                     F.coalesce("rows1", F.lit(0)).cast("long").alias("b_rows"))
 
 
 def result_set_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -162,6 +162,8 @@ def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFra
             .select(F.col("a.pool"), F.col("a.ts"), F.col("b.to")).checkpoint(eager=True)
         if jump.isEmpty():  # no chain is longer: later levels add nothing
             break
+    else:
+        raise RuntimeError("segment chains longer than 2^64")
     return anchors, nxt
 
 

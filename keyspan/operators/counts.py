@@ -4,24 +4,23 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.operators.ranges import chunk_of, key_range_predicate, range_check_predicate
-from keyspan.operators.route import route
+from keyspan.operators.route import route_all_keys
 from keyspan.spec import TableSpec
 
 
 def shard_counts(df: DataFrame, spec: TableSpec, shard_map: DataFrame) -> DataFrame:
     """Rows per shard of one sharded table: ``(table_name, shard, n)``.
 
-    A row counts for a shard when its first sharding key lies in the shard's
-    range; rows with a NULL key or outside every shard are not counted.  The
-    data meets the (small, broadcast) map once; the count is a partial
+    A row counts for every shard that holds one of its sharding keys; rows
+    whose keys are all NULL or outside every shard are not counted.  The
+    data meets the map once per key; the count is a partial
     aggregate per task followed by a tiny shuffle of (shard, n) pairs."""
-    routed = route(df.select(spec.keys[0]), spec.keys[0], shard_map, spec.pool, how="inner")
+    routed = route_all_keys(df.select(*spec.keys), spec.keys, shard_map, spec.pool)
     return routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit(spec.name).alias("table_name"), "shard", "n")
 
@@ -110,7 +109,3 @@ def range_violations(df: DataFrame, spec: TableSpec, lo: int, hi: int | None) ->
     long_ = wide.selectExpr(f"stack({len(spec.keys)}, {stack}) AS (key_col, violations)")
     return long_.select(F.lit(spec.name).alias("table_name"), "key_col", "violations",
                         F.when(F.col("violations") > 0, "invalid").otherwise("valid").alias("status"))
-
-
-def any_key_in(cols, lo, hi):
-    return reduce(or_, [F.col(c).between(lo, hi) for c in cols])

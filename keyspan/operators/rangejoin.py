@@ -11,8 +11,8 @@ compared with only the handful of ranges sharing its bucket.
 of ranges.  Open ranges (``hi`` NULL = infinity) are clamped to one bucket past
 the largest finite bound, and keys beyond it fall into that last bucket.
 
-The exploded side is broadcast only when its row count, bounded before the
-join from the range table alone, is under ``broadcast_max_rows``.  Above that the join shuffles on
+The exploded side is broadcast only when its row count, counted exactly on the
+range table before the join (overlaps included), is under ``broadcast_max_rows``.  Above that the join shuffles on
 ``bucket`` and AQE's skew handling splits any hot bucket.
 """
 
@@ -44,11 +44,12 @@ def floor_div(name: str, width: int) -> Column:
 
 
 def plan_buckets(ranges: DataFrame, lo: str = "min_id", hi: str = "max_id",
-                 count_factor: int = 1) -> BucketPlan:
-    """One tiny aggregate over the range table (never the data) to size
-    buckets.  ``count_factor`` scales the range count when the ranges that
-    will actually be joined are derived from these (e.g. at most 2n
-    effective intervals from n shards)."""
+                 disjoint_factor: int | None = None) -> BucketPlan:
+    """Aggregates over the range table (never the data) size the buckets and
+    count the exploded rows.  ``disjoint_factor``: the ranges that will be
+    joined are *disjoint* ones derived from these, at most so many times as
+    many (2n effective intervals from n shards); their exploded rows are then
+    bounded by span / width + 2n without a second aggregate."""
     s = ranges.agg(
         F.min(lo).alias("lo"),
         F.max(F.greatest(F.col(lo), F.coalesce(F.col(hi), F.col(lo)))).alias("hi"),
@@ -57,22 +58,27 @@ def plan_buckets(ranges: DataFrame, lo: str = "min_id", hi: str = "max_id",
     if s is None or s["n"] == 0 or s["lo"] is None:
         return BucketPlan(1, 0, 0)
     span = int(s["hi"]) - int(s["lo"]) + 1
-    n = int(s["n"]) * count_factor
+    n = int(s["n"]) * (disjoint_factor or 1)
     width = max(1, -(-span // (BUCKETS_PER_RANGE * n)))
-    cap = (int(s["hi"]) // width) + 1
-    lo_b = int(s["lo"]) // width
-    # disjoint ranges touch at most span/W + 2n buckets in total; overlapping
-    # ones (a parent and its children) at most that times the overlap depth
-    est = (cap - lo_b + 1) + 2 * n
-    return BucketPlan(width, cap, est)
+    plan = BucketPlan(width, (int(s["hi"]) // width) + 1, 0)
+    if disjoint_factor:
+        rows = (plan.cap_bucket - int(s["lo"]) // width + 1) + 2 * n
+    else:
+        b_lo, b_hi = _touched(plan, lo, hi)
+        rows = ranges.agg(F.sum(b_hi - b_lo + 1)).first()[0]
+    return BucketPlan(width, plan.cap_bucket, int(rows))
+
+
+def _touched(plan: BucketPlan, lo: str, hi: str) -> tuple[Column, Column]:
+    """First and last bucket of a range."""
+    cap = F.lit(plan.cap_bucket).cast("long")
+    b_lo = floor_div(lo, plan.width)
+    return b_lo, F.greatest(b_lo, F.coalesce(F.least(floor_div(hi, plan.width), cap), cap))
 
 
 def explode_ranges(ranges: DataFrame, plan: BucketPlan, lo: str = "min_id",
                    hi: str = "max_id") -> DataFrame:
-    b_lo = floor_div(lo, plan.width)
-    b_hi = F.coalesce(F.least(floor_div(hi, plan.width), F.lit(plan.cap_bucket).cast("long")),
-                      F.lit(plan.cap_bucket).cast("long"))
-    return ranges.withColumn("__bucket", F.explode(F.sequence(b_lo, F.greatest(b_lo, b_hi))))
+    return ranges.withColumn("__bucket", F.explode(F.sequence(*_touched(plan, lo, hi))))
 
 
 def range_join(df: DataFrame, key: str, ranges: DataFrame, *, lo: str = "min_id",
@@ -85,7 +91,7 @@ def range_join(df: DataFrame, key: str, ranges: DataFrame, *, lo: str = "min_id"
     ``how`` is ``inner`` or ``left``.  The output has ``df``'s columns plus the
     range columns (the internal bucket column is dropped).  ``plan`` may be
     given when the ranges are derived from a table already sized.
-    ``broadcast``: None = hint when the bounded exploded size is under
+    ``broadcast``: None = hint when the counted exploded size is under
     ``broadcast_max_rows``; False = no hint, Spark (AQE) decides from the
     measured size at run time; True = always hint.
     """

@@ -8,7 +8,7 @@ Range tables are DataFrames ``(min_id, max_id)``; generators use
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,15 +39,6 @@ def range_check_predicate(key: Column, lo, hi) -> Column:
     return below if hi is None else ((key > F.lit(hi)) | below)
 
 
-def keep_after_prune(keys, lo, hi) -> Column:
-    """A row survives pruning to ``[lo, hi]`` unless *every* sharding key
-    is non-NULL and outside the range.  Rows with any NULL key are kept."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    outside = [F.col(k).isNotNull() & ~F.col(k).between(lo, hi) if hi is not None
-               else F.col(k).isNotNull() & (F.col(k) < lo) for k in keys]
-    return ~reduce(and_, outside)
-
-
 def even_split(ranges: DataFrame, n: int, lo: str = "min_id", hi: str = "max_id") -> DataFrame:
     """Split each finite range into ``n`` contiguous pieces; the first
     ``(total % n)`` pieces get one extra id.  An open range raises."""
@@ -56,7 +47,7 @@ def even_split(ranges: DataFrame, n: int, lo: str = "min_id", hi: str = "max_id"
     extra = F.pmod(total, F.lit(n))
     checked = ranges.withColumn(
         "__ok", F.when(F.col(hi).isNull(),
-                       F.raise_error(F.lit("Cannot calculate an even split of last shard")))
+                       F.raise_error(F.lit("an open range has no even split; give explicit ranges")))
         .otherwise(F.lit(True)))
     pieces = checked.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     i = F.col("piece")
@@ -67,18 +58,21 @@ def even_split(ranges: DataFrame, n: int, lo: str = "min_id", hi: str = "max_id"
             .drop("__ok"))
 
 
-def check_contiguous(pieces: DataFrame, parent_lo: int, parent_hi: int,
+def check_contiguous(pieces: DataFrame, parent_lo: int, parent_hi: int | None,
                      lo: str = "min_id", hi: str = "max_id") -> DataFrame:
-    """Explicit split ranges must be gap-free and cover the parent.
-    Returns one row of flags ``(has_gaps, covers_start, covers_end, ok)``."""
+    """Explicit split ranges must be gap-free and cover the parent (an
+    open parent needs an open last piece).  Returns one row of flags
+    ``(has_gaps, covers_start, covers_end, ok)``.  The window runs over the
+    pieces of one split, a handful of rows."""
     w = Window.orderBy(lo)
-    d = pieces.withColumn("__prev", F.lag(hi).over(w))
-    return d.agg(
-        F.coalesce(F.max((F.col("__prev").isNotNull() & (F.col("__prev") + 1 != F.col(lo))).cast("int")),
-                   F.lit(0)).cast("boolean").alias("has_gaps"),
-        (F.min(lo) == parent_lo).alias("covers_start"),
-        (F.max(hi) == parent_hi).alias("covers_end"),
-    ).withColumn("ok", ~F.col("has_gaps") & F.col("covers_start") & F.col("covers_end"))
+    gap = (F.col("__row") > 1) & (F.col("__prev").isNull() | (F.col("__prev") + 1 != F.col(lo)))
+    d = pieces.withColumn("__prev", F.lag(hi).over(w)).withColumn("__row", F.row_number().over(w))
+    open_end = F.coalesce(F.max(F.col(hi).isNull()), F.lit(False))
+    end = open_end if parent_hi is None else ~open_end & (F.max(hi) == parent_hi)
+    flags = d.agg(F.coalesce(F.max(gap), F.lit(False)).alias("has_gaps"),
+                  F.coalesce(F.min(lo) == parent_lo, F.lit(False)).alias("covers_start"),
+                  F.coalesce(end, F.lit(False)).alias("covers_end"))
+    return flags.withColumn("ok", ~F.col("has_gaps") & F.col("covers_start") & F.col("covers_end"))
 
 
 def chunk_ranges(spark_or_df, lo: int, hi: int, chunks: int, min_per_chunk: int = 1) -> DataFrame:

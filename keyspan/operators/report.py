@@ -21,6 +21,7 @@ POLL_TRIES = 8              # samples per poll
 CONN_MAX = 4                # more connections than this: taking connections
 CONN_THRESHOLD = 1          # more new connections than this in the interval
 CAUGHT_UP_POLLS = 3         # zero lag in 3 polls in a row
+CATCH_UP_TIMEOUT = 21600    # seconds
 SAMPLE_MASK = 7             # low 3 bits ...
 SAMPLE_VALUE = 2            # ... equal to 2
 # ------------------------------------------------------------------------------
@@ -43,17 +44,16 @@ def count_rollup(df: DataFrame, levels: list[str]) -> DataFrame:
 def status_matrix(df: DataFrame, status: str, klass: str, classes: list[str],
                   aliases: list[str], excluded: str) -> tuple[DataFrame, DataFrame]:
     """Status x class count matrix with a row total, the excluded status
-    reported apart as its total.  Pivot values are explicit (no extra pass
-    to discover them)."""
-    kept = df.filter(F.col(status) != excluded)
-    piv = kept.groupBy(status).pivot(klass, classes).agg(F.count(F.lit(1)))
-    for c, a in zip(classes, aliases):
-        piv = piv.withColumnRenamed(c, a)
-    piv = piv.select(status, *[F.coalesce(F.col(a), F.lit(0)).cast("long").alias(a) for a in aliases])
-    total = sum((F.col(a) for a in aliases), F.lit(0)).cast("long")
+    reported apart as its total.  The total counts every row of the status,
+    also those of classes that are not listed or NULL; a NULL status has a row
+    of its own.  One aggregate, no pivot."""
+    kept = df.filter(~F.col(status).eqNullSafe(F.lit(excluded)))
+    matrix = kept.groupBy(status).agg(
+        *[F.count_if(F.col(klass).eqNullSafe(F.lit(c))).cast("long").alias(a) for c, a in zip(classes, aliases)],
+        F.count(F.lit(1)).cast("long").alias("total"))
     apart = df.filter(F.col(status) == excluded).agg(F.count(F.lit(1)).cast("long").alias("n")) \
         .select(F.lit(excluded).alias(status), "n")
-    return piv.withColumn("total", total), apart
+    return matrix, apart
 
 
 def nested_counts(df: DataFrame, levels: list[str], leaf: str) -> DataFrame:
@@ -158,20 +158,30 @@ def counter_deltas(polls: DataFrame, node: str, order: list[str], counter: str,
 
 
 def caught_up(polls: DataFrame, node: str, order: list[str], lag: str, ts: str,
-              polls_needed: int = CAUGHT_UP_POLLS) -> DataFrame:
-    """Per node, the first poll that completes ``polls_needed`` zero-lag
-    polls in a row (a non-zero lag resets; a NULL lag means broken and also
-    resets).  Running counts by the two-pass scan, run starts by aggregate:
-    no node is ever gathered into one task."""
-    p = polls.withColumn("__z", (F.col(lag) == 0).cast("int")) \
-        .withColumn("__z", F.coalesce(F.col("__z"), F.lit(0))) \
-        .withColumn("__nz", 1 - F.col("__z"))
-    p = grouped_scan(p, [node], order, "__z", "sum", "__zc")
-    p = grouped_scan(p, [node], order, "__nz", "sum", "__isl")
+              polls_needed: int = CAUGHT_UP_POLLS, seconds: str | None = None,
+              timeout: int = CATCH_UP_TIMEOUT) -> DataFrame:
+    """Per node, the first poll with the ``polls_needed``-th zero lag since
+    the last positive one.  A NULL lag (broken replication) neither counts nor
+    resets.  With ``seconds`` (a column of epoch seconds) polls ``timeout`` or
+    more seconds after the node's first one come too late, and ``timed_out``
+    tells the nodes that had not caught up by then.  Both running counts come
+    from one two-pass scan, run starts from an aggregate: no node is ever
+    gathered into one task."""
+    p = polls
+    if seconds is not None:
+        first = polls.groupBy(node).agg(F.min(seconds).alias("__t0"))
+        p = p.join(first, node).filter(F.col(seconds) - F.col("__t0") < timeout).drop("__t0")
+    p = p.withColumn("__z", F.coalesce((F.col(lag) == 0).cast("int"), F.lit(0))) \
+        .withColumn("__nz", F.coalesce((F.col(lag) != 0).cast("int"), F.lit(0)))
+    p = grouped_scan(p, [node], order, ["__z", "__nz"], "sum", ["__zc", "__isl"])
     start = p.groupBy(node, "__isl").agg(F.min(F.col("__zc") - F.col("__z")).alias("__zs"))
     p = p.join(start, [node, "__isl"])
     hit = p.filter((F.col("__z") == 1) & (F.col("__zc") - F.col("__zs") >= polls_needed))
-    first = hit.groupBy(node).agg(F.min(ts).alias("caught_up_at"))
+    done = hit.groupBy(node).agg(F.min(ts).alias("caught_up_at"))
     summary = polls.groupBy(node).agg(F.count(F.lit(1)).cast("long").alias("polls"),
                                       F.count_if(F.col(lag).isNull()).cast("long").alias("broken_polls"))
-    return summary.join(first, node, "left")
+    out = summary.join(done, node, "left")
+    if seconds is None:
+        return out
+    ended = polls.groupBy(node).agg((F.max(seconds) - F.min(seconds) >= timeout).alias("__late"))
+    return out.join(ended, node).withColumn("timed_out", F.col("__late") & F.col("caught_up_at").isNull()).drop("__late")

@@ -67,8 +67,8 @@ def effective_map(shard_map: DataFrame, plan=None) -> DataFrame:
               .distinct())
     wp = Window.partitionBy("pool").orderBy("p")
     elem = points.withColumn("e_hi", F.lead("p").over(wp) - 1)
-    hits = range_join(elem, "p", cand.withColumnRenamed("pool", "m_pool"), plan=plan)
-    hits = hits.filter(F.col("pool") == F.col("m_pool"))
+    # elementary intervals only meet the shards of their own pool; no hint, the map's size decides
+    hits = range_join(elem, "p", cand, plan=plan, on=("pool",), broadcast=False)
     pick = Window.partitionBy("pool", "p").orderBy(F.col("parent").isNull(), "seq")
     best = (hits.withColumn("__rk", F.row_number().over(pick)).filter("__rk = 1")
             .select("pool", "p", "e_hi", "name", "state", "parent", "seq",
@@ -94,9 +94,11 @@ def route(df: DataFrame, key: str, shard_map: DataFrame, pool: str | None = None
     """Add the owning shard's name to every row (NULL when no shard holds
     the key, or the key is NULL).  ``how='inner'`` drops unowned rows."""
     m = shard_map if pool is None else shard_map.filter(F.lower("pool") == pool.lower())
-    # effective intervals span the same ids as the map, at most 2n of them;
+    if pool is None and m.select("pool").distinct().limit(2).count() > 1:
+        raise ValueError("the map holds several pools and their ranges overlap: name the pool to route to")
+    # effective intervals are disjoint, at most 2n of them over the map's span;
     # one tiny sizing job on the map serves both joins
-    plan = plan_buckets(m, count_factor=2)
+    plan = plan_buckets(m, disjoint_factor=2)
     eff = effective_map(m, plan).select(F.col("name").alias(shard_col),
                                         F.col("min_id").alias("__lo"),
                                         F.col("max_id").alias("__hi"))
@@ -104,6 +106,20 @@ def route(df: DataFrame, key: str, shard_map: DataFrame, pool: str | None = None
     return out.drop("__lo", "__hi")
 
 
+def route_all_keys(df: DataFrame, keys, shard_map: DataFrame, pool: str | None = None,
+                   shard_col: str = "shard") -> DataFrame:
+    """A row once for every shard that holds any of its sharding keys (the
+    owner of each key; two keys in one shard count once).  Effective ranges
+    are disjoint, so each join adds at most one match to a row and repeated
+    rows stay repeated."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    names = [f"__shard{i}" for i in range(len(keys))]
+    for key, name in zip(keys, names):
+        df = route(df, key, shard_map, pool, shard_col=name)
+    held = F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull()))
+    return df.withColumn(shard_col, F.explode(held)).drop(*names)
+
+
 def route_targets(df: DataFrame, key: str, shard_map: DataFrame, pool: str | None = None) -> DataFrame:
     """Read and write target per row, from the owning shard's state.
 
@@ -133,13 +149,14 @@ def shard_targets(shard_map: DataFrame) -> DataFrame:
 def merged_cover(shard_map: DataFrame) -> DataFrame:
     """For each shard, the merged shard covering it: a different shard in
     state initialized/ready whose range contains it; infinite ranges are
-    excluded on both sides.  Theta self-join on the small map."""
+    excluded on both sides.  An equi-join on the pool of the small map; its size
+    decides the strategy."""
     a = shard_map.filter(F.col("max_id").isNotNull()).alias("a")
     b = shard_map.filter(F.col("max_id").isNotNull() & F.col("state").isin("initialized", "ready")) \
         .alias("b")
     cond = ((F.col("a.pool") == F.col("b.pool")) & (F.col("b.min_id") <= F.col("a.min_id")) &
             (F.col("b.max_id") >= F.col("a.max_id")) & (F.col("a.name") != F.col("b.name")))
-    j = a.join(F.broadcast(b), cond, "inner")
+    j = a.join(b, cond, "inner")
     return (j.select(F.col("a.name").alias("name"), F.col("b.name").alias("merged_name"),
                      F.col("b.seq").alias("__s"))
             .withColumn("__rk", F.row_number().over(Window.partitionBy("name").orderBy("__s")))
@@ -162,7 +179,7 @@ def cutover(shard_map: DataFrame, cutover_id, pool: str) -> DataFrame:
     is_last = (F.lower("pool") == pool.lower()) & F.col("max_id").isNull() & in_production()
     checked = shard_map.filter(is_last).withColumn(
         "__cid", F.when(cid > F.col("min_id"), cid)
-        .otherwise(F.raise_error(F.lit("Specified cutover ID is too low!")).cast("long")))
+        .otherwise(F.raise_error(F.lit("the cutover id must lie above the start of the last shard")).cast("long")))
     base = shard_map.withColumn("state", F.when(is_last, F.lit("recycle")).otherwise(F.col("state"))) \
         .withColumn("__sub", F.lit(0))
     replace = checked.select("pool", "min_id", (F.col("__cid") - 1).alias("max_id"),

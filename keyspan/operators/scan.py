@@ -30,7 +30,8 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 def _combine(fn: str, local: Column, carry: Column) -> Column:
     if fn == "sum":
-        return local + F.coalesce(carry, F.lit(0))
+        # a NULL on either side is "no value yet", as in a running SUM
+        return F.coalesce(local + F.coalesce(carry, F.lit(0)), carry)
     if fn == "min":
         return F.least(local, carry)  # least/greatest skip NULLs
     return F.greatest(local, carry)

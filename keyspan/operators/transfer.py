@@ -3,8 +3,8 @@ key seek (B5), projection by key list (B7).
 
 An export of a key range is a ``filter`` on the sharding keys (pushed into
 the Parquet scan), optionally sorted within partitions, written either as
-Parquet or as the reference's tab-separated text (``\\N`` for NULL, ``\\``
-escapes).  Chunks are not separate queries: the chunk start is a column and
+Parquet or as tab-separated text (``\\N`` for NULL; backslash, tab and line
+ends escaped, so any string survives).  Chunks are not separate queries: the chunk start is a column and
 the writer partitions by it, so one job writes every chunk in parallel.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +21,6 @@ from keyspan.operators.ranges import (chunk_ranges_from_bounds, export_file_name
                                       key_range_predicate)
 from keyspan.spec import MAX_TABLE_MULTIPLIER, TableSpec
 
-TSV_OPTIONS = {"sep": "\t", "nullValue": "\\N", "escape": "\\", "quote": "\u0000",
-               "header": "false", "emptyValue": ""}
-
-
 # --- A2 / A1 / B1 / F4 ------------------------------------------------------
 
 def export_range(df: DataFrame, spec: TableSpec, lo=None, hi=None) -> DataFrame:
@@ -37,16 +33,60 @@ def export_range(df: DataFrame, spec: TableSpec, lo=None, hi=None) -> DataFrame:
     return out
 
 
+# --- Fixed values: the text format ----------------------------------------------
+NULL_TEXT = "\\N"
+ESCAPES = (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0"))
+# ---------------------------------------------------------------------------------
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+
+
+def _escaped(c: Column, kind: T.DataType) -> Column:
+    """One field as text.  The backslash goes first, so every escape in the
+    output starts at an odd backslash and the reader can undo it."""
+    text = F.to_json(c) if _nested(kind) else F.base64(c) if isinstance(kind, T.BinaryType) else c.cast("string")
+    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, mark in ESCAPES:
+        text = F.replace(text, F.lit(raw), F.lit(mark))
+    return F.coalesce(text, F.lit(NULL_TEXT))
+
+
+def _unescaped(field: Column, kind: T.DataType) -> Column:
+    """The reverse: between doubled backslashes every backslash starts an
+    escape."""
+    def part(x: Column) -> Column:
+        for raw, mark in ESCAPES:
+            x = F.replace(x, F.lit(mark), F.lit(raw))
+        return x
+
+    text = F.array_join(F.transform(F.split(field, r"\\\\"), part), "\\")
+    text = F.when(field != NULL_TEXT, text)
+    if _nested(kind):
+        return F.from_json(text, kind)
+    return F.unbase64(text) if isinstance(kind, T.BinaryType) else text.cast(kind)
+
+
+def as_lines(df: DataFrame, *extra: str) -> DataFrame:
+    """Rows as one tab-separated ``value`` each, plus the ``extra`` columns."""
+    kept = [f for f in df.schema.fields if f.name not in extra]
+    return df.select(F.concat_ws("\t", *[_escaped(F.col(f"`{f.name}`"), f.dataType) for f in kept]).alias("value"), *extra)
+
+
 def write_tsv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    w = df.write.mode("overwrite").options(**TSV_OPTIONS)
+    w = as_lines(df, *partition_by).write.mode("overwrite").option("lineSep", "\n")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.csv(path)
+    w.text(path)
 
 
 def read_tsv(spark, path: str, schema: T.StructType) -> DataFrame:
     """Import a tab-separated export back with an explicit schema."""
-    return spark.read.options(**TSV_OPTIONS).schema(schema).csv(path)
+    fields = F.split("value", "\t")
+    lines = spark.read.option("lineSep", "\n").text(path).select(fields.alias("f"))
+    return lines.select(*[_unescaped(F.get("f", F.lit(i)), f.dataType).alias(f.name)
+                          for i, f in enumerate(schema.fields)])
 
 
 # --- A3 / A4 / A5 chunked export ---------------------------------------------
@@ -81,15 +121,6 @@ def export_chunks(shard_map: DataFrame, tables: dict[str, tuple[DataFrame, str]]
                                                         F.col("chunk_max")))
 
 
-def tag_chunks(df: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
-    """Add ``chunk_min``/``chunk_max`` to each row via a range join against the
-    chunk table (an open chunk has NULL ``chunk_max``).  Rows outside every
-    chunk are dropped (they belong to no export file)."""
-    from keyspan.operators.rangejoin import range_join
-    return range_join(df, key, chunks.select("chunk_min", "chunk_max", "file_name"),
-                      lo="chunk_min", hi="chunk_max")
-
-
 def export_chunked(df: DataFrame, spec: TableSpec, chunks: DataFrame, path: str,
                    fmt: str = "parquet") -> DataFrame:
     """A3: write every chunk of ``df`` as its own partition directory in one
@@ -115,11 +146,10 @@ def export_chunked(df: DataFrame, spec: TableSpec, chunks: DataFrame, path: str,
     out = out.sortWithinPartitions("file_name", *spec.order_by)
     # no shuffle by file: every task writes its slice of each chunk, so a hot
     # chunk is written by many tasks in parallel
-    w = out.write.mode("overwrite").partitionBy("file_name")
     if fmt == "tsv":
-        w.options(**TSV_OPTIONS).csv(path)
+        write_tsv(out, path, ("file_name",))
     else:
-        w.parquet(path)
+        out.write.mode("overwrite").partitionBy("file_name").parquet(path)
     return tagged.groupBy("file_name").agg(F.count(F.lit(1)).cast("long").alias("rows"))
 
 
@@ -131,13 +161,17 @@ def import_rows(existing: DataFrame, incoming: DataFrame, pk, mode: str | None =
     ``ignore``  keeps the existing row on a key clash (incoming duplicates of
                 an existing key are dropped);
     ``replace`` takes the incoming row;
-    ``None``    plain append; duplicates are the caller's to detect (C4).
-    Incoming rows that repeat a key among themselves (A8 multi-key chunk
-    copies) collapse to one."""
+    ``None``    every key may come once: a key that repeats, among the incoming
+                rows or with an existing one, fails the load when it runs.
+    Incoming rows that are equal in all columns (A8 multi-key chunk copies)
+    count once; of different incoming rows with one key the smallest (by all
+    columns) is taken, so a rerun loads the same rows."""
     pk = list(pk)
-    inc = incoming.dropDuplicates(pk)
     if mode is None:
-        return existing.unionByName(incoming)
+        return _unique(existing.unionByName(incoming), pk)
+    rest = [c for c in incoming.columns if c not in pk]
+    inc = incoming.groupBy(*pk).agg(F.min(F.struct(*rest)).alias("__r")).select(
+        *[F.col(f"__r.{c}").alias(c) if c in rest else F.col(c) for c in incoming.columns]) if rest else incoming.distinct()
     mode = mode.strip().lower()
     if mode == "ignore":
         return existing.unionByName(inc.join(existing.select(*pk), pk, "left_anti"))
@@ -146,26 +180,21 @@ def import_rows(existing: DataFrame, incoming: DataFrame, pk, mode: str | None =
     raise ValueError(f"unknown import mode {mode!r}")
 
 
-def import_option(spec: TableSpec, ranged: bool, extra_opts: str | None) -> str | None:
-    """The conflict option the reference would pick, quirk included: the
-    automatic IGNORE for multi-key ranged imports only applies when some
-    ``extra_opts`` string was given."""
-    if extra_opts is None:
-        return None
-    opt = None
-    if extra_opts.strip().upper() == "IGNORE" or (len(spec.keys) > 1 and ranged):
-        opt = "ignore"
-    if extra_opts.strip().upper() == "REPLACE":
-        opt = "replace"
-    return opt
+def _unique(rows: DataFrame, pk: list[str]) -> DataFrame:
+    """``rows``, failing at run time at the first key that repeats (a row with
+    a NULL key column never clashes).  A lag over key-sorted partitions, so
+    equal keys meet, and a hot key fails at its second row."""
+    keyed = F.lit(True)
+    for c in pk:
+        keyed = keyed & F.col(c).isNotNull()
+    before = F.lag(F.lit(1)).over(Window.partitionBy(*pk).orderBy(*pk))
+    clash = F.concat(F.lit("duplicate key on import: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in pk]))
+    return (rows.withColumn("__ok", F.when(keyed & before.isNotNull(), F.raise_error(clash).cast("int")).otherwise(1))
+            .where("__ok = 1").drop("__ok"))
 
 
 # --- A9 schema copy -----------------------------------------------------------
 
-def schema_json(df: DataFrame) -> str:
-    return df.schema.json()
-
-
 def empty_like(df: DataFrame) -> DataFrame:
     """An empty table with the same schema (``limit(0)`` keeps the plan
     lazy and reads nothing)."""
@@ -206,7 +235,7 @@ def next_key_after(df: DataFrame, key: str, id_, direction: str = "asc") -> Data
         return df.filter(F.col(key) > id_).agg(F.min(key).alias("next_id"))
     if direction == "desc":
         return df.filter(F.col(key) < id_).agg(F.max(key).alias("next_id"))
-    raise ValueError(f"Unknown direction parameter {direction}")
+    raise ValueError(f"direction must be asc or desc, got {direction!r}")
 
 
 def project_for_keys(df: DataFrame, keys_df: DataFrame, key: str, fields) -> DataFrame:

@@ -225,16 +225,16 @@ def q_chunk_ranges(spark, sf_dir):
 
 
 @register("chunk_rowcounts", """
-WITH o AS (SELECT o_custkey FROM orders WHERE o_custkey BETWEEN 100 AND 999)
-SELECT CAST(100 + ((o_custkey - 100) // 4) * 4 AS BIGINT) AS chunk_min,
-       CAST(least(100 + ((o_custkey - 100) // 4) * 4 + 3, 999) AS BIGINT) AS chunk_max,
+WITH b AS (SELECT max(o_custkey) AS hi, greatest((max(o_custkey) + 1) // 200, 1) AS w FROM orders)
+SELECT CAST((o_custkey // w) * w AS BIGINT) AS chunk_min, CAST(least((o_custkey // w) * w + w - 1, hi) AS BIGINT) AS chunk_max,
        CAST(count(*) AS BIGINT) AS n
-FROM o GROUP BY 1, 2
+FROM orders, b GROUP BY 1, 2
 """)
 def q_chunk_rowcounts(spark, sf_dir):
     from keyspan.operators.counts import chunk_rowcounts
-    # shard custs-100-999, 200 chunks -> width floor(900/200) = 4
-    return chunk_rowcounts(_t(spark, sf_dir, "orders"), "o_custkey", 100, 999, ORDERS.chunks)
+    # 200 chunks over the whole key span
+    o = _t(spark, sf_dir, "orders")
+    return chunk_rowcounts(o, "o_custkey", 0, int(o.agg(F.max("o_custkey")).first()[0]), ORDERS.chunks)
 
 
 # ---------------------------------------------------------------------------
@@ -337,16 +337,19 @@ def q_global_bounds(spark, sf_dir):
 
 
 @register("range_count_multi_key", """
+WITH b AS (SELECT greatest(max(l_partkey), max(l_suppkey)) // 2 AS hi FROM lineitem), w AS (SELECT hi, greatest((hi + 1) // 100, 1) AS w FROM b)
 SELECT CAST(count(*) AS BIGINT) AS n,
-       CAST(sum(CASE WHEN (l_partkey BETWEEN 0 AND 99) AND (l_suppkey BETWEEN 0 AND 99)
-                      AND (l_partkey // 1) <> (l_suppkey // 1) THEN 2 ELSE 1 END) AS BIGINT) AS chunk_sum
-FROM lineitem WHERE (l_partkey BETWEEN 0 AND 99) OR (l_suppkey BETWEEN 0 AND 99)
+       CAST(sum(CASE WHEN (l_partkey BETWEEN 0 AND hi) AND (l_suppkey BETWEEN 0 AND hi)
+                      AND (l_partkey // w) <> (l_suppkey // w) THEN 2 ELSE 1 END) AS BIGINT) AS chunk_sum
+FROM lineitem, w WHERE (l_partkey BETWEEN 0 AND hi) OR (l_suppkey BETWEEN 0 AND hi)
 """)
 def q_range_count(spark, sf_dir):
     from keyspan.operators.counts import range_count
-    # [0, 99] in 100 chunks: width 1, so a row counts twice when both keys
-    # are in range and differ
-    return range_count(_t(spark, sf_dir, "lineitem"), LINEITEM, 0, 99)
+    # the lower half of the key space in 100 chunks: a row counts twice when
+    # both keys are in range and in different chunks
+    li = _t(spark, sf_dir, "lineitem")
+    top = int(li.agg(F.greatest(F.max("l_partkey"), F.max("l_suppkey"))).first()[0])
+    return range_count(li, LINEITEM, 0, top // 2)
 
 
 # ---------------------------------------------------------------------------
@@ -518,12 +521,11 @@ def q_import_replace(spark, sf_dir):
 
 
 @register("multi_key_export_dedup", """
-WITH c AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey // 20 AS ch FROM lineitem
-  WHERE l_partkey BETWEEN 0 AND 1999
+WITH b AS (SELECT greatest(max(l_partkey), max(l_suppkey)) AS hi FROM lineitem), w AS (SELECT greatest((hi + 1) // 100, 1) AS w FROM b),
+c AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey // w AS ch FROM lineitem, w
   UNION ALL
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey // 20 FROM lineitem
-  WHERE l_suppkey BETWEEN 0 AND 1999),
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey // w FROM lineitem, w),
 files AS (SELECT DISTINCT * FROM c)
 SELECT CAST(count(*) AS BIGINT) AS exported_rows,
        CAST((SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM files))
@@ -531,12 +533,13 @@ SELECT CAST(count(*) AS BIGINT) AS exported_rows,
 FROM files
 """)
 def q_multi_key_export(spark, sf_dir):
-    # Chunks of [0, 1999] in 100 chunks (width 20) over both keys; a row
+    # 100 chunks of the whole key space over both keys; a row
     # lands in one file per distinct chunk its keys hit; import dedups on pk
     from keyspan.operators.ranges import chunk_ranges
     from keyspan.operators.rangejoin import range_join
     li = _t(spark, sf_dir, "lineitem").select(*LINEITEM.pk)
-    ch = chunk_ranges(spark, 0, 1999, LINEITEM.chunks)
+    top = int(li.agg(F.greatest(F.max("l_partkey"), F.max("l_suppkey"))).first()[0])
+    ch = chunk_ranges(spark, 0, top, LINEITEM.chunks)
     tagged = None
     for k in LINEITEM.keys:
         t = range_join(li, k, ch, lo="chunk_min", hi="chunk_max")

@@ -14,47 +14,51 @@ from keyspan.spec import CUSTS_MAP, CUSTS_SPLIT_MAP, CUSTOMER, LINEITEM, ORDERS,
 NOW = 1706659200
 
 
-@register("split_shard_counts", """
-WITH b AS (SELECT 100 AS lo, 999 AS hi, (999 - 100 + 1) // 3 AS base, (999 - 100 + 1) % 3 AS extra),
-p AS (SELECT i, lo + i * base + least(i, extra) AS a,
-             lo + i * base + least(i, extra) + base + CASE WHEN i < extra THEN 1 ELSE 0 END - 1 AS z
-      FROM b, range(0, 3) r(i))
+KIDS_SQL = """b AS (SELECT max(o_custkey) + 1 AS n FROM orders),
+p AS (SELECT i, i * (n // {k}) + least(i, n % {k}) AS a,
+             i * (n // {k}) + least(i, n % {k}) + n // {k} + CASE WHEN i < n % {k} THEN 1 ELSE 0 END - 1 AS z
+      FROM b, range(0, {k}) r(i))"""
+
+
+def _one_shard(spark, sf_dir):
+    """A map with one shard that holds every order, and its name."""
+    top = int(_t(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0])
+    return shard_map_from_rows(spark, [("custs", 0, top, "ready")]), f"custs-0-{top}"
+
+
+@register("split_shard_counts", f"""
+WITH {KIDS_SQL.format(k=3)}
 SELECT 'custs-' || a || '-' || z AS shard, CAST(a AS BIGINT) AS min_id, CAST(z AS BIGINT) AS max_id,
        CAST((SELECT count(*) FROM orders WHERE o_custkey BETWEEN a AND z) AS BIGINT) AS n_rows
 FROM p
 """)
 def q_split_counts(spark, sf_dir):
-    """K1 without the write: children of custs-100-999 (even split in 3)
-    and the parent's rows routed to them."""
-    from keyspan.operators.route import route
-    from keyspan.plans.jobs import child_ranges
-    m = shard_map_from_rows(spark, CUSTS_MAP)
-    kids = child_ranges(m, "custs-100-999", 3)
-    o = _t(spark, sf_dir, "orders").select("o_custkey").filter(F.col("o_custkey").between(100, 999))
-    n = route(o, "o_custkey", kids, how="inner").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    return kids.select(F.col("name").alias("shard"), "min_id", "max_id").join(n, "shard", "left") \
+    """K1: the job splits the shard that holds all orders in three and counts
+    what it wrote."""
+    from keyspan.plans.jobs import split
+    m, parent = _one_shard(spark, sf_dir)
+    res = split(_t(spark, sf_dir, "orders"), ORDERS, m, parent, scratch_path(spark, "split"), n=3)
+    kids = res.shard_map.filter(F.col("parent") == parent)
+    return kids.select(F.col("name").alias("shard"), "min_id", "max_id").join(res.counts, "shard", "left") \
         .select("shard", "min_id", "max_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"))
 
 
 @register("split_cleanup_prune", f"""
-WITH m AS (SELECT * FROM {SPLIT_MAP_SQL}),
-kids AS (SELECT name, min_id, max_id FROM m WHERE parent = 'custs-100-999'),
-clone AS (SELECT o_custkey FROM orders WHERE o_custkey BETWEEN 100 AND 999)
-SELECT k.name AS shard,
-       CAST(count(*) FILTER (WHERE c.o_custkey BETWEEN k.min_id AND k.max_id) AS BIGINT) AS kept_rows,
-       CAST(count(*) FILTER (WHERE NOT (c.o_custkey BETWEEN k.min_id AND k.max_id)) AS BIGINT) AS pruned_rows
-FROM kids k, clone c GROUP BY k.name
+WITH {KIDS_SQL.format(k=2)}
+SELECT 'custs-' || a || '-' || z AS shard,
+       CAST(count(*) FILTER (WHERE o_custkey BETWEEN a AND z) AS BIGINT) AS kept_rows,
+       CAST(count(*) FILTER (WHERE NOT (o_custkey BETWEEN a AND z)) AS BIGINT) AS pruned_rows
+FROM p, orders GROUP BY a, z
 """)
 def q_split_cleanup(spark, sf_dir):
     """K5: each child starts as a full clone of the parent's data and is
     pruned to its own range (B4)."""
-    from keyspan.plans.jobs import split_cleanup
-    m = shard_map_from_rows(spark, CUSTS_SPLIT_MAP)
-    m = m.withColumn("state", F.when(F.col("parent").isNotNull(), "needs_cleanup")
-                     .when(F.col("name") == "custs-100-999", "deprecated").otherwise(F.col("state")))
-    clone = _t(spark, sf_dir, "orders").select("o_custkey").filter(F.col("o_custkey").between(100, 999))
-    kids = ["custs-100-549", "custs-550-999"]
-    _, pruned = split_cleanup(m, "custs-100-999", {k: clone for k in kids}, ORDERS)
+    from keyspan.plans.jobs import child_ranges, split_cleanup
+    m, parent = _one_shard(spark, sf_dir)
+    m = m.withColumn("state", F.lit("deprecated")).unionByName(child_ranges(m, parent, 2, state="needs_cleanup"))
+    clone = _t(spark, sf_dir, "orders").select("o_custkey")
+    kids = [r["name"] for r in m.filter("parent is not null").select("name").collect()]
+    _, pruned = split_cleanup(m, parent, {k: clone for k in kids}, ORDERS)
     total = clone.agg(F.count(F.lit(1)).alias("t"))
     parts = [p.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(k).alias("shard"), "kept")
              for k, p in pruned.items()]
@@ -137,19 +141,42 @@ def q_tracker(spark, sf_dir):
         .agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-@register("manifest_diff")
+@register("manifest_diff", """
+SELECT 'docs/' || source || '/' || doc_id || '.txt' AS rel_path, n_chars AS length,
+       CASE WHEN doc_id % 11 = 3 THEN NULL ELSE n_chars + 1 END AS target_length,
+       CASE WHEN doc_id % 11 = 3 THEN 'missing' ELSE 'size' END AS problem
+FROM documents WHERE doc_id % 11 = 3 OR doc_id % 13 = 5
+""")
 def q_manifest(spark, sf_dir):
-    """A14 + C9: the files of this data folder checked against the smallest
-    data folder as the "copy": every file is there, sizes differ.  No
-    oracle: DuckDB sees no file sizes."""
+    """C9 on the manifest of the documents (a file each, its length the number
+    of characters) and a copy that lacks some, has some longer and more of its
+    own."""
     from keyspan.operators.audit import manifest_diff
-    from keyspan.sources.files import list_files
-    src = list_files(spark, sf_dir, "*.parquet")
-    tgt = list_files(spark, "/root/testdata/sf0.001", "*.parquet")
-    return manifest_diff(src, tgt)
-
-
-@register("schema_detect", """
+    d = _t(spark, sf_dir, "documents")
+    path = F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    src = d.select(path.alias("rel_path"), F.col("n_chars").alias("length"))
+    tgt = d.filter("doc_id % 11 <> 3").select(path.alias("rel_path"), F.expr(
+        "if(doc_id % 13 = 5, n_chars + 1, n_chars)").alias("length"))
+    extra = d.select(F.concat(F.lit("own/"), F.col("doc_id").cast("string")).alias("rel_path"), F.col("n_chars").alias("length"))
+    return manifest_diff(src, tgt.unionByName(extra))
+
+
+SCHEMA_COLUMNS = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "lineitem": ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+                 "l_returnflag l_linestatus l_shipdate"),
+}
+DATA_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {t}"
+    for t, names in SCHEMA_COLUMNS.items() for c in names.split())
+UNIQUE_SQL = " UNION ALL ".join(
+    f"SELECT '{s.name}' AS u, count(*) = count(DISTINCT ({', '.join(s.pk)})) AS pk_unique FROM {s.name}"
+    for s in (ORDERS, CUSTOMER, LINEITEM))
+
+
+@register("schema_detect", f"""
+WITH data AS ({DATA_SQL}), uniq AS ({UNIQUE_SQL})
 SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal,
        CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
                       WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END
@@ -158,12 +185,18 @@ SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal,
        column_name IN ('o_orderkey', 'c_custkey', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey') AS is_pk,
        CAST(CASE column_name WHEN 'o_orderkey' THEN 1 WHEN 'c_custkey' THEN 1 WHEN 'l_orderkey' THEN 1
             WHEN 'l_linenumber' THEN 2 WHEN 'l_partkey' THEN 3 WHEN 'l_suppkey' THEN 4 END AS INTEGER) AS pk_seq,
-       column_name IN ('o_custkey', 'c_custkey', 'l_partkey', 'l_suppkey') AS is_shard_key
-FROM information_schema.columns WHERE table_name IN ('orders', 'customer', 'lineitem')
+       column_name IN ('o_custkey', 'c_custkey', 'l_partkey', 'l_suppkey') AS is_shard_key,
+       data.n_rows, data.n_nulls, uniq.pk_unique
+FROM information_schema.columns JOIN data ON table_name = t AND column_name = c JOIN uniq ON table_name = u
 """)
 def q_schema(spark, sf_dir):
-    from keyspan.sources.schema import detect_schema
-    parts = [detect_schema(spark, _t(spark, sf_dir, s.name), s) for s in (ORDERS, CUSTOMER, LINEITEM)]
+    """A10 held against the data: declared columns and keys with the rows and
+    NULLs found, and whether the declared primary key is one."""
+    from keyspan.sources.schema import detect_schema, profile
+    parts = []
+    for spec in (ORDERS, CUSTOMER, LINEITEM):
+        df = _t(spark, sf_dir, spec.name)
+        parts.append(detect_schema(spark, df, spec).join(profile(df, spec), "column_name"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -201,7 +234,7 @@ def _merger(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     root = scratch_path(spark, "streams")
     srcs = write_change_sources(e, F.col("user_id") % 3, f"{root}/in", "event_id")
-    merger = StreamMerger(spark, e.schema, ["event_id"], "event_id", f"{root}/out")
+    merger = StreamMerger(spark, e.schema, ["user_id"], "event_id", f"{root}/out")
     for name, path in srcs.items():
         merger.add_source(name, path)
     merger.run_available_now()
@@ -209,10 +242,12 @@ def _merger(spark, sf_dir):
 
 
 @register("stream_merge", """
-SELECT event_id, ts, user_id, event_type, value, CAST(user_id % 3 AS VARCHAR) AS source FROM events
+SELECT user_id, event_id, ts, event_type, value, CAST(user_id % 3 AS VARCHAR) AS source FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1
 """)
 def q_stream_merge(spark, sf_dir):
-    """Three change streams (user_id % 3) merged into one table."""
+    """Three change streams (user_id % 3) merged into one table keyed by
+    user: many changes per key, the latest wins."""
     return _merger(spark, sf_dir).merged()
 
 
@@ -272,17 +307,18 @@ def q_caught_up_stream(spark, sf_dir):
 
 
 @register("export_rows_roundtrip", """
-SELECT * FROM orders WHERE o_custkey >= 100 AND o_custkey <= 999
+SELECT * FROM orders WHERE o_custkey >= (SELECT max(o_custkey) // 10 FROM orders)
 """)
 def q_export_roundtrip(spark, sf_dir):
-    """Range export as tab-separated text (``\\N`` nulls),
+    """Range export as tab-separated text (``\\N`` nulls),
     sorted within partitions by the key, and import back with the schema."""
     from keyspan.operators.transfer import export_range, read_tsv, write_tsv
     from keyspan.spec import TableSpec
     o = _t(spark, sf_dir, "orders")
     spec = TableSpec("orders", keys=("o_custkey",), pk=("o_orderkey",), chunks=200, order_by=("o_custkey",))
     path = scratch_path(spark, "export")
-    write_tsv(export_range(o, spec, 100, 999), path)
+    top = int(o.agg(F.max("o_custkey")).first()[0])
+    write_tsv(export_range(o, spec, top // 10, top), path)
     return read_tsv(spark, path, o.schema)
 
 
@@ -314,14 +350,17 @@ def q_chunked_export(spark, sf_dir):
     return export_chunked(o, ORDERS, ch, scratch_path(spark, "chunks"))
 
 
-@register("schema_copy", "SELECT * FROM orders WHERE false")
+@register("schema_copy", "SELECT * FROM orders")
 def q_schema_copy(spark, sf_dir):
-    """An empty table with the source schema, written and read back."""
+    """An empty table with the source schema, written, then loaded with
+    the source's rows under that schema and read back."""
     from keyspan.operators.transfer import empty_like
     o = _t(spark, sf_dir, "orders")
     path = scratch_path(spark, "schema")
     empty_like(o).write.mode("overwrite").parquet(path)
-    return spark.read.schema(o.schema).parquet(path)
+    copied = spark.read.schema(o.schema).parquet(path).schema
+    o.select(*[F.col(f.name).cast(f.dataType) for f in copied]).write.mode("append").parquet(path)
+    return spark.read.schema(copied).parquet(path)
 
 
 @register("key_projection", """
@@ -341,17 +380,36 @@ def q_key_projection(spark, sf_dir):
 
 
 @register("split_ranges_check", """
-SELECT false AS has_gaps, true AS covers_start, true AS covers_end, true AS ok
+WITH g AS (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders),
+blocks AS (SELECT min(o_custkey) AS a, max(o_custkey) AS z FROM orders GROUP BY o_custkey // 16),
+pieces AS (SELECT 'blocks' AS kind, a, z FROM blocks
+           UNION ALL SELECT 'joined', a, coalesce(lead(a) OVER (ORDER BY a) - 1, z) FROM blocks
+           UNION ALL SELECT 'short', a, lead(a) OVER (ORDER BY a) - 1 FROM blocks
+             QUALIFY lead(a) OVER (ORDER BY a) IS NOT NULL),
+p AS (SELECT *, lag(z) OVER (PARTITION BY kind ORDER BY a) AS before FROM pieces),
+f AS (SELECT kind, coalesce(max(before + 1 <> a), false) AS has_gaps, min(a) = any_value(lo) AS covers_start,
+             max(z) = any_value(hi) AS covers_end FROM p, g GROUP BY kind)
+SELECT *, NOT has_gaps AND covers_start AND covers_end AS ok FROM f
 """)
 def q_split_check(spark, sf_dir):
-    """B9 on data-derived pieces: the even split of the key span of orders
-    into 7 must be gap-free and cover it."""
-    from keyspan.operators.ranges import check_contiguous, even_split
-    o = _t(spark, sf_dir, "orders")
+    """B9 on ranges found in the data: the keys in use per block of 16 (with
+    whatever gaps there are), the blocks joined up, and those without the last."""
+    from pyspark.sql import Window
+    from keyspan.operators.ranges import check_contiguous
+    o = _t(spark, sf_dir, "orders").select("o_custkey")
     lo, hi = o.agg(F.min("o_custkey"), F.max("o_custkey")).first()
-    b = o.agg(F.min("o_custkey").alias("min_id"), F.max("o_custkey").alias("max_id"))
-    pieces = even_split(b, 7).select(F.col("piece_min").alias("min_id"), F.col("piece_max").alias("max_id"))
-    return check_contiguous(pieces, lo, hi)
+    blocks = o.groupBy(F.expr("o_custkey div 16").alias("b")).agg(F.min("o_custkey").alias("min_id"),
+                                                                  F.max("o_custkey").alias("max_id"))
+    # one row per block of keys: split ranges are few, and this stands in for them
+    following = F.lead("min_id").over(Window.orderBy("min_id")) - 1
+    joined = blocks.withColumn("next", following)
+    kinds = {"blocks": blocks, "joined": joined.withColumn("max_id", F.coalesce("next", "max_id")),
+             "short": joined.filter("next is not null").withColumn("max_id", F.col("next"))}
+    out = None
+    for kind, pieces in kinds.items():
+        row = check_contiguous(pieces.select("min_id", "max_id"), lo, hi).select(F.lit(kind).alias("kind"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 TARGET_MAP = [
@@ -428,80 +486,84 @@ FROM events GROUP BY ALL
 def q_command_counters(spark, sf_dir):
     """I5 in batch form: per node (user) and one-second window, commands by
     kind (view = SELECT, purchase = INSERT, the rest DELETE)."""
-    e = _t(spark, sf_dir, "events").withColumn(
-        "cmd", F.when(F.col("event_type") == "view", "SELECT")
-        .when(F.col("event_type") == "purchase", "INSERT").otherwise("DELETE"))
-    w = F.window(F.col("ts").cast("timestamp"), "1 second")
-    kinds = [("select", "SELECT"), ("insert", "INSERT"), ("delete", "DELETE")]
-    g = e.groupBy(F.col("user_id"), w.alias("w")).agg(
-        *[F.count(F.when(F.col("cmd") == v, 1)).cast("long").alias(f"com_{k}") for k, v in kinds])
-    return g.select("user_id", F.unix_seconds("w.start").alias("window_start"),
-                    "com_select", "com_insert", "com_delete")
+    from keyspan.streaming.monitor import command_counters
+    g = command_counters(_commands(spark, sf_dir), "ts", "user_id", "cmd")
+    return g.select("user_id", F.unix_seconds("window.start").alias("window_start"),
+                    *[F.col(f"com_{k}").cast("long") for k in ("select", "insert", "delete")])
+
+
+def _commands(spark, sf_dir):
+    kind = (F.when(F.col("event_type") == "view", "SELECT").when(F.col("event_type") == "purchase", "INSERT")
+            .otherwise("DELETE"))
+    return _t(spark, sf_dir, "events").select("user_id", "ts", kind.alias("cmd"))
 
 
 @register("backfill_tail", """
-WITH s AS (SELECT max(event_id) // 2 AS cut FROM events),
-snap AS (SELECT event_id, user_id, value FROM events, s WHERE event_id <= s.cut),
-tail AS (SELECT event_id, user_id, value + 1 AS value FROM events, s WHERE event_id > s.cut)
-SELECT * FROM (SELECT * FROM snap UNION ALL SELECT * FROM tail) WHERE user_id BETWEEN 0 AND 99
+WITH s AS (SELECT max(event_id) // 2 AS cut, max(user_id) // 2 AS top FROM events),
+c AS (SELECT user_id, event_id, CASE WHEN event_id > cut THEN value + 1 ELSE value END AS value FROM events, s)
+SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM c, s WHERE user_id <= top GROUP BY user_id
 """)
 def q_backfill_tail(spark, sf_dir):
-    """Snapshot at a position, changes after it applied on key, then the
-    rows outside the shard range pruned."""
-    from keyspan.streaming.merge import backfill_and_tail
+    """A snapshot with the latest row per user and the position it was
+    taken at, the changes after that position applied on key, then the rows
+    outside the shard range pruned."""
+    from keyspan.streaming.merge import backfill_and_tail, latest_per_key
     e = _t(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    cut = e.select((F.max("event_id") / 2).cast("long")).scalar()
-    cut = F.floor(cut)
-    snap = e.filter(F.col("event_id") <= cut)
+    last, top = e.agg(F.max("event_id"), F.max("user_id")).first()
+    path = scratch_path(spark, "backfill")
+    latest_per_key(e.filter(F.col("event_id") <= last // 2), ["user_id"], "event_id").write.parquet(path)
+    snap = spark.read.parquet(path)
+    taken_at = snap.agg(F.max("event_id")).first()[0]      # the recorded offset
     changes = e.withColumn("value", F.col("value") + 1)
-    return backfill_and_tail(snap, changes, ["event_id"], "event_id", cut,
-                             keep=F.col("user_id").between(0, 99))
+    return backfill_and_tail(snap, changes, ["user_id"], "event_id", taken_at,
+                             keep=F.col("user_id") <= top // 2)
 
 
 @register("merge_shards", f"""
-WITH m AS (SELECT * FROM {MAP_SQL})
-SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS source_rows, CAST(count(*) AS BIGINT) AS merged_rows,
-       true AS valid
-FROM orders o JOIN m ON o.o_custkey BETWEEN m.min_id AND m.max_id WHERE m.name IN ('custs-0-39', 'custs-40-99')
+WITH {KIDS_SQL.format(k=2)}
+SELECT 'orders' AS table_name, (SELECT CAST(count(*) AS BIGINT) FROM orders JOIN p ON o_custkey BETWEEN a AND z) AS source_rows,
+       (SELECT CAST(count(*) AS BIGINT) FROM orders) AS merged_rows,
+       (SELECT count(*) FROM orders JOIN p ON o_custkey BETWEEN a AND z) = (SELECT count(*) FROM orders) AS valid
 """)
 def q_merge_shards(spark, sf_dir):
-    """K2/K3: merge custs-0-39 and custs-40-99 (duplicate check, union, write,
+    """K2/K3: merge the two halves of orders (duplicate check, union, write,
     count validation)."""
     from keyspan.operators.route import route
-    from keyspan.plans.jobs import merge
-    m = shard_map_from_rows(spark, CUSTS_MAP)
-    routed = route(_t(spark, sf_dir, "orders"), "o_custkey", m, "custs", how="inner")
-    parts = {n: routed.filter(F.col("shard") == n).drop("shard") for n in ("custs-0-39", "custs-40-99")}
+    from keyspan.plans.jobs import child_ranges, merge
+    m, parent = _one_shard(spark, sf_dir)
+    kids = child_ranges(m, parent, 2)
+    routed = route(_t(spark, sf_dir, "orders"), "o_custkey", kids, "custs", how="inner")
+    names = [r["name"] for r in kids.select("name").collect()]
+    parts = {n: routed.filter(F.col("shard") == n).drop("shard") for n in names}
     return merge(parts, ORDERS, scratch_path(spark, "merge"))
 
 
 @register("command_counters_stream", """
-WITH lim AS (SELECT CAST(epoch_us(max(ts)) AS BIGINT) - 10000000 AS wm FROM events),
-w AS (SELECT user_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS window_start, event_type FROM events)
-SELECT user_id, window_start,
+SELECT user_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS window_start,
        CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS com_select,
        CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS com_insert,
        CAST(count(*) FILTER (WHERE event_type NOT IN ('view', 'purchase')) AS BIGINT) AS com_delete
-FROM w, lim WHERE (window_start + 1) * 1000000 <= lim.wm
-GROUP BY user_id, window_start
+FROM events GROUP BY ALL
 """)
 def q_command_counters_stream(spark, sf_dir):
-    """I5 as a stream: one-second windows per node with a 10 s watermark,
-    append mode, available-now trigger; windows still open when the input
-    ends (ending after the watermark) are not emitted."""
+    """I5 as a stream: one-second windows per node without a watermark; each
+    batch writes the windows that it changed under its number, and of a
+    window's rows the last batch's counts."""
     from keyspan.streaming.monitor import command_counters
-    e = _t(spark, sf_dir, "events").withColumn(
-        "cmd", F.when(F.col("event_type") == "view", "SELECT")
-        .when(F.col("event_type") == "purchase", "INSERT").otherwise("DELETE")) \
-        .select("user_id", "ts", "cmd")
+    e = _commands(spark, sf_dir)
     root = scratch_path(spark, "counters")
     e.write.mode("overwrite").parquet(f"{root}/in")
-    s = spark.readStream.schema(e.schema).parquet(f"{root}/in")
-    q = (command_counters(s, "ts", "user_id", "cmd").writeStream.format("parquet")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
-         .outputMode("append").trigger(availableNow=True).start())
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    counts = command_counters(s, "ts", "user_id", "cmd")
+
+    def keep(batch, number):
+        # the folder is the batch's own, so a batch that is run again writes the same
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/n={number}")
+
+    q = (counts.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/ckpt")
+         .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    return out.select("user_id", F.unix_seconds("window.start").alias("window_start"),
-                      F.col("com_select").cast("long"), F.col("com_insert").cast("long"),
-                      F.col("com_delete").cast("long"))
+    kinds = ["com_select", "com_insert", "com_delete"]
+    last = F.max_by(F.struct(*kinds), F.col("batch")).alias("c")
+    return (spark.read.parquet(f"{root}/out").groupBy("user_id", "window").agg(last)
+            .select("user_id", F.unix_seconds("window.start").alias("window_start"), *[F.col(f"c.{k}").cast("long").alias(k) for k in kinds]))

@@ -2,9 +2,9 @@
 job step.
 
 A callback takes and returns a DataFrame (or returns None to keep it).
-Callbacks run from high to low priority (default 100); raising
-:class:`Abort` stops the remaining callbacks of that step and the step
-itself.  Overridable steps (J2) are plain callables passed to the jobs.
+Callbacks run from high to low priority (default 100).  :class:`Abort` in a
+*before* callback skips the step; in an *after* callback it only skips the
+callbacks that are left, and the finished step's result stands.  Overridable steps (J2) are plain callables passed to the jobs.
 """
 
 from __future__ import annotations
@@ -49,13 +49,19 @@ class Hooks:
     def wrap(self, step: str, body: Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame | None:
         """Run ``before`` callbacks, the step, then ``after`` callbacks, each
         threading the DataFrame through ``df.transform``-style calls.
-        Returns None when a callback aborted."""
+        Returns None when a ``before`` callback aborted: the step did not run."""
         try:
             df = self._run(self._before.get(step, []), df)
-            df = body(df)
-            return self._run(self._after.get(step, []), df)
         except Abort:
             return None
+        df = body(df)
+        for _, _, fn in sorted(self._after.get(step, []), key=lambda t: (-t[0], t[1])):
+            try:
+                out = fn(df)
+            except Abort:
+                break
+            df = df if out is None else out
+        return df
 
 
 NO_HOOKS = Hooks()

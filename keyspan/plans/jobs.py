@@ -1,9 +1,11 @@
 """Composite jobs (K1-K10).  These are the only places that run actions:
-they write tables, verify counts and return small reports.
+they write tables, verify them and return small reports.
 
-Every job writes a new folder and only then swaps it in (plain files: rename
-after verification, the old folder kept as ``_old``; on object stores a
-rename is a copy and is not atomic -- keep the new path instead).
+A job that replaces a table writes a new folder beside it, verifies that, and
+only then renames: the live folder to ``<path>.old``, the new one to the live
+path.  The old folder is kept.  A rename is one metadata operation on a file
+system; on an object store it is a copy and not atomic, so there let readers
+follow the new path instead.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.operators.audit import (checksum_diff, count_check, duplicate_keys, merge_count_validation,
-                                     result_set_diff)
+                                     result_set_diff, row_hash, union_shards, with_chunk)
 from keyspan.operators.capacity import (current_usage, day_over_day, days_left, decaying_growth,
                                         dedup_history, outlier_blocks, outlier_runs, outlier_spikes,
                                         segmentify, threshold_buckets, top_exhaustion, total_consumed)
 from keyspan.operators.counts import global_rowcount, shard_counts
-from keyspan.operators.ranges import check_contiguous, even_split
-from keyspan.operators.route import cutover, route
+from keyspan.operators.ranges import check_contiguous, even_split, key_range_predicate
+from keyspan.operators.route import cutover, route_all_keys
 from keyspan.operators.transfer import prune_to_range
 from keyspan.plans.hooks import NO_HOOKS, Hooks
 from keyspan.spec import TableSpec, shard_name_col
@@ -38,23 +40,26 @@ class SplitResult:
 
 
 def child_ranges(shard_map: DataFrame, parent: str, n: int | None = None,
-                 ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+                 ranges: list[tuple[int, int | None]] | None = None, state: str = "child") -> DataFrame:
     """K1 step 1: the children of ``parent``: an even split into ``n``
-    or explicit ``ranges`` checked for gaps and cover (B9).  Children get
-    state ``child`` and the parent's name as ``parent``."""
+    or explicit ``ranges`` checked for gaps and cover (B9; a last range up to
+    None is open).  Children get ``state`` and the parent's name as
+    ``parent``."""
     p = shard_map.filter(F.col("name") == parent)
     if ranges is not None:
-        spark = shard_map.sparkSession
-        r = spark.createDataFrame([(int(a), int(b)) for a, b in ranges], "min_id long, max_id long")
-        lo, hi = p.select("min_id", "max_id").first()
-        chk = check_contiguous(r, lo, hi).first()
+        row = p.select("pool", "min_id", "max_id").first()
+        if row is None:
+            raise JobError(f"no shard {parent} in the map")
+        sql = ", ".join(f"(CAST({int(a)} AS BIGINT), CAST({'NULL' if b is None else int(b)} AS BIGINT))" for a, b in ranges)
+        r = shard_map.sparkSession.sql(f"SELECT * FROM VALUES {sql} AS r(min_id, max_id)")
+        chk = check_contiguous(r, row["min_id"], row["max_id"]).first()
         if not chk["ok"]:
             raise JobError(f"split ranges invalid: {chk.asDict()}")
-        pieces = r.withColumn("pool", F.lit(p.select("pool").first()[0])).withColumn("seq", F.lit(0))
+        pieces = r.withColumn("pool", F.lit(row["pool"])).withColumn("seq", F.lit(0))
     else:
         pieces = even_split(p, n).select("pool", "seq", F.col("piece_min").alias("min_id"),
                                          F.col("piece_max").alias("max_id"))
-    return pieces.select("pool", "min_id", "max_id", F.lit("child").alias("state"),
+    return pieces.select("pool", "min_id", "max_id", F.lit(state).alias("state"),
                          F.lit(parent).alias("parent"),
                          shard_name_col(F.col("pool"), F.col("min_id"), F.col("max_id")).alias("name"),
                          (F.lit(1000) + F.col("seq")).cast("int").alias("seq"))
@@ -62,47 +67,100 @@ def child_ranges(shard_map: DataFrame, parent: str, n: int | None = None,
 
 def split(df: DataFrame, spec: TableSpec, shard_map: DataFrame, parent: str, out_path: str,
           n: int | None = 2, ranges=None, hooks: Hooks = NO_HOOKS) -> SplitResult:
-    """K1: split a shard.  Children are added to the map, the parent's rows
-    routed to them by one range join and written partitioned by child, then
-    the child counts are verified against the parent's (C7)."""
-    children = child_ranges(shard_map, parent, n, ranges)
-    new_map = shard_map.unionByName(children)
-    prow = shard_map.filter(F.col("name") == parent).select("min_id", "max_id").first()
-    key = spec.keys[0]
-    parent_rows = df.filter(F.col(key).between(prow["min_id"], prow["max_id"]))
-    routed = route(parent_rows, key, children.withColumn("state", F.lit("child")), how="inner")
-    routed = hooks.wrap("split_write", lambda d: d, routed)
-    if routed is None:
+    """K1: split a shard that is ``ready``.
+
+    Every row that has any sharding key in the parent goes to each child that
+    holds one of its keys, written partitioned by child.  The rows that a child
+    must have are counted by its range predicate on the table itself, apart
+    from the routing, and compared with what was written (C7).  Children are
+    added to the map as ``replicating``: the parent serves until
+    ``transitions.move_reads_to_children``.  The ``split_write`` hook wraps the
+    write: a *before* callback may change the routed rows or abort the split."""
+    prow = shard_map.filter(F.col("name") == parent).select("min_id", "max_id", "state").first()
+    if prow is None or prow["state"] != "ready":
+        raise JobError(f"cannot split {parent}: " + ("not in the map" if prow is None else f"it is {prow['state']}"))
+    children = child_ranges(shard_map, parent, n, ranges, state="replicating")
+    parent_rows = df.filter(key_range_predicate(spec.keys, prow["min_id"], prow["max_id"]))
+    routed = route_all_keys(parent_rows, spec.keys, children.withColumn("state", F.lit("child")), spec.pool)
+
+    def write(rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").partitionBy("shard").parquet(out_path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(out_path)
+
+    written = hooks.wrap("split_write", write, routed)
+    if written is None:
         raise JobError("split aborted by a callback")
-    routed.write.mode("overwrite").partitionBy("shard").parquet(out_path)
-    written = df.sparkSession.read.parquet(out_path)
     got = written.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    total = got.agg(F.sum("n").alias("n")).select(F.lit(spec.name).alias("table_name"), "n")
-    expected = parent_rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(spec.name).alias("table_name"), "n")
-    check = count_check(expected, total)
-    if check.filter(~F.col("match")).count():
-        raise JobError("split count mismatch")
-    return SplitResult(new_map, got)
+    kids = children.select("name", "min_id", "max_id").collect()      # one row per child
+    wanted = df.agg(*[F.count_if(key_range_predicate(spec.keys, k["min_id"], k["max_id"])).alias(k["name"])
+                      for k in kids]).first()
+    found = {r["shard"]: r["n"] for r in got.collect()}
+    off = {k["name"]: (wanted[k["name"]], found.get(k["name"], 0)) for k in kids
+           if wanted[k["name"]] != found.get(k["name"], 0)}
+    if off or set(found) - {k["name"] for k in kids}:
+        raise JobError(f"split count mismatch (expected, written): {off}")
+    return SplitResult(shard_map.unionByName(children), got)
 
 
 def merge(shards: dict[str, DataFrame], spec: TableSpec, out_path: str, tables_allowed=None) -> DataFrame:
-    """K2/K3: merge shards: no key may be on two of them (C5), union, write,
-    then source counts must equal the merged count (C8).  Returns the
-    validation report."""
+    """K2/K3: merge shards, write, and compare the sources' rows with the
+    merged ones (C8).  Returns the validation report.
+
+    With one sharding key no primary key may be on two shards (C5).  A row of
+    a multi-key table may stand on several shards; its copies count once (as
+    often as on the shard that has it most often).  Shards that hold
+    *different* rows under one primary key are refused."""
     if tables_allowed is not None and spec.name not in tables_allowed:
         raise JobError(f"table {spec.name} not in the allow-list")
-    pk = spec.pk[0]
-    if duplicate_keys(shards, pk).limit(1).count():
-        raise JobError("duplicate keys between shards; resolve before merging")
-    u = reduce(lambda a, b: a.unionByName(b), shards.values())
-    u.write.mode("overwrite").parquet(out_path)
-    src = reduce(lambda a, b: a.unionByName(b), [
+    pk = list(spec.pk)
+    cols = next(iter(shards.values())).columns
+    source = reduce(lambda a, b: a.unionByName(b), [
         d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("node"),
                                                    F.lit(spec.name).alias("table_name"), "n")
         for name, d in shards.items()])
-    merged = u.sparkSession.read.parquet(out_path).agg(F.count(F.lit(1)).alias("n")) \
+    if len(spec.keys) > 1:
+        tagged = union_shards(shards).withColumn("__h", row_hash(cols))
+        clash = (tagged.groupBy(*pk).agg(F.count_distinct("__h").alias("h"), F.count_distinct("shard").alias("s"))
+                 .filter("h > 1 and s > 1"))
+        if not clash.isEmpty():
+            raise JobError("shards hold different rows under one primary key")
+        per = tagged.groupBy(*cols, "shard").agg(F.count(F.lit(1)).alias("__n"))
+        most = per.groupBy(*cols).agg(F.max("__n").alias("__most"), F.sum("__n").alias("__all"))
+        u = most.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__most").cast("int")))).select(*cols)
+        shared = most.agg(F.coalesce(F.sum(F.col("__most") - F.col("__all")), F.lit(0)).alias("n")).select(
+            F.lit("(shared rows)").alias("node"), F.lit(spec.name).alias("table_name"), "n")
+        source = source.unionByName(shared)
+    else:
+        if not duplicate_keys(shards, pk).isEmpty():
+            raise JobError("duplicate keys between shards; resolve before merging")
+        u = reduce(lambda a, b: a.unionByName(b), shards.values())
+    u.write.mode("overwrite").parquet(out_path)
+    merged = u.sparkSession.read.schema(u.schema).parquet(out_path).agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit(spec.name).alias("table_name"), "n")
-    return merge_count_validation(src, merged)
+    return merge_count_validation(source, merged)
+
+
+def _rename(spark: SparkSession, a: str, b: str) -> None:
+    """One rename through Hadoop's file system; it must succeed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(a).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(path(a), path(b)):
+        raise JobError(f"cannot rename {a} to {b}")
+
+
+def _exists(spark: SparkSession, a: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def swap_in(spark: SparkSession, live: str) -> None:
+    """``<live>.new`` becomes the live table, which is kept as ``<live>.old``."""
+    if not _exists(spark, f"{live}.new"):
+        raise JobError(f"nothing to swap in for {live}")
+    if _exists(spark, f"{live}.old"):
+        raise JobError(f"{live}.old is still there: remove the table kept by the last job first")
+    _rename(spark, live, f"{live}.old")
+    _rename(spark, f"{live}.new", live)
 
 
 def do_cutover(shard_map: DataFrame, cutover_id: int, pool: str, df: DataFrame | None = None,
@@ -144,60 +202,113 @@ def rebuild(df: DataFrame, spec: TableSpec, out_path: str, partitions: int | Non
     out = df.repartitionByRange(n, *cols).sortWithinPartitions(*(spec.order_by or cols))
     out.write.mode("overwrite").parquet(out_path)
     exp = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(spec.name).alias("table_name"), "n")
-    got = df.sparkSession.read.parquet(out_path).agg(F.count(F.lit(1)).alias("n")) \
+    got = df.sparkSession.read.schema(df.schema).parquet(out_path).agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit(spec.name).alias("table_name"), "n")
     return count_check(exp, got)
 
 
+def rebuild_table(spark: SparkSession, live: str, spec: TableSpec, partitions: int | None = None) -> DataFrame:
+    """K6 on a stored table: :func:`rebuild` into ``<live>.new`` and, if the
+    counts match, the swap."""
+    df = spark.read.parquet(live)
+    report = rebuild(df, spec, f"{live}.new", partitions).collect()   # one row
+    if not all(r["match"] for r in report):
+        raise JobError(f"rebuild of {live} lost rows; the live table is unchanged")
+    swap_in(spark, live)
+    return spark.createDataFrame(report)
+
+
 def schema_change(table: DataFrame, alter, out_path: str, shard_col: str = "shard",
                   preflight: str | None = None, dry_run: bool = False,
                   shards: DataFrame | None = None) -> DataFrame:
     """K7: apply ``alter`` (DataFrame -> DataFrame, column-level) to a
     sharded table.  The preflight shard is altered and verified first; if it
     passes, the rest follow in one pass.  Verification per shard: row count
-    and a checksum of the columns ``alter`` left unchanged, before vs after,
-    as one grouped aggregate (not one scan per shard).  Written partitioned
-    by shard unless ``dry_run``.  Returns one row per shard; with ``shards``
-    (a one-column list of names) shards holding no rows are reported too."""
+    and a checksum of the columns ``alter`` left unchanged, before against what
+    was written (``dry_run``: what would be), as one grouped aggregate (not one
+    scan per shard).  Written partitioned by shard.  Returns one row per shard;
+    with ``shards`` (a one-column list of names) shards holding no rows are
+    reported too.  A shard that is empty on one side only is never ``ok``."""
     new_all = alter(table)
     kept = [c for c in table.columns if c != shard_col and c in new_all.columns and
             table.schema[c].dataType == new_all.schema[c].dataType]
 
     def verify(before: DataFrame, after: DataFrame) -> DataFrame:
-        h = F.sum(F.xxhash64(*[F.col(c) for c in kept]).cast("decimal(38,0)"))
-        b = before.groupBy(shard_col).agg(F.count(F.lit(1)).alias("rows_before"), h.alias("__hb"))
-        a = after.groupBy(shard_col).agg(F.count(F.lit(1)).alias("rows_after"), h.alias("__ha"))
-        j = b.join(a, shard_col, "full_outer")
-        return j.select(shard_col, F.coalesce("rows_before", F.lit(0)).cast("long").alias("rows_before"),
-                        F.coalesce("rows_after", F.lit(0)).cast("long").alias("rows_after"),
-                        ((F.col("rows_before") == F.col("rows_after")) &
-                         (F.col("__hb") == F.col("__ha"))).alias("ok"))
-
-    def run(part: DataFrame, phase: str) -> DataFrame:
+        def side(d, i):
+            h = row_hash(kept).cast("decimal(38,0)") if kept else F.lit(0).cast("decimal(38,0)")
+            return d.groupBy(shard_col).agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).withColumn("i", F.lit(i))
+
+        of = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+        j = side(before, 0).unionByName(side(after, 1)).groupBy(shard_col).agg(
+            F.coalesce(of("n", 0), F.lit(0)).cast("long").alias("rows_before"),
+            F.coalesce(of("n", 1), F.lit(0)).cast("long").alias("rows_after"),
+            of("h", 0).alias("h0"), of("h", 1).alias("h1"))
+        return j.select(shard_col, "rows_before", "rows_after",
+                        ((F.col("rows_before") == F.col("rows_after")) & F.col("h0").eqNullSafe(F.col("h1"))).alias("ok"))
+
+    def run(mine, phase: str) -> DataFrame:
+        part = table.filter(mine)
         new = alter(part)
         if not dry_run:
             new.write.mode("append").partitionBy(shard_col).parquet(out_path)
-            new = part.sparkSession.read.parquet(out_path).filter(
-                F.col(shard_col).isin([r[0] for r in part.select(shard_col).distinct().collect()]))
+            new = part.sparkSession.read.schema(new.schema).parquet(out_path).filter(mine)
         return verify(part, new).withColumn("phase", F.lit(phase))
 
     if preflight is None:
         preflight = table.select(F.min(shard_col)).first()[0]
-    first = run(table.filter(F.col(shard_col) == preflight), "preflight")
-    if first.filter(~F.col("ok")).count():
-        return first.select(shard_col, "phase", "rows_before", "rows_after", "ok")
-    rest = run(table.filter(F.col(shard_col) != preflight), "rest")
-    out = first.unionByName(rest).select(shard_col, "phase", "rows_before", "rows_after", "ok")
+    is_first = F.col(shard_col).eqNullSafe(F.lit(preflight))
+    report = [shard_col, "phase", "rows_before", "rows_after", "ok"]
+    first = run(is_first, "preflight").select(*report)
+    if not first.filter(~F.col("ok")).isEmpty():
+        return first
+    out = first.unionByName(run(~is_first, "rest").select(*report))
     if shards is None:
         return out
     names = shards.select(F.col(shards.columns[0]).alias(shard_col)).distinct()
-    j = names.join(out, shard_col, "left")
-    return j.select(shard_col,
-                    F.coalesce("phase", F.when(F.col(shard_col) == preflight, "preflight").otherwise("rest"))
-                    .alias("phase"),
-                    F.coalesce("rows_before", F.lit(0)).cast("long").alias("rows_before"),
-                    F.coalesce("rows_after", F.lit(0)).cast("long").alias("rows_after"),
-                    F.coalesce("ok", F.lit(True)).alias("ok"))
+    found = names.join(out.withColumn("__seen", F.lit(True)), shard_col, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    # a name without any row on either side is empty and unchanged
+    return found.select(shard_col, F.coalesce("phase", F.when(is_first, "preflight").otherwise("rest")).alias("phase"),
+                        zero("rows_before"), zero("rows_after"),
+                        F.when(F.col("__seen"), F.col("ok")).otherwise(F.lit(True)).alias("ok"))
+
+
+class TableAlter:
+    """K7 on a stored table, with the states of an alter: ``idle`` ->
+    ``being_altered`` -> (``needs_rename`` when the rename is delayed) ->
+    ``idle``.  The altered copy is ``<live>.new``; a failed verification leaves
+    the live table as it is and drops back to ``idle`` with the copy kept for
+    inspection.  After the rename the former table is ``<live>.old``."""
+
+    def __init__(self, spark: SparkSession, live: str, shard_col: str = "shard"):
+        self.spark, self.live, self.shard_col, self.state = spark, live, shard_col, "idle"
+
+    def run(self, alter, delayed_rename: bool = False, preflight: str | None = None) -> DataFrame:
+        if self.state != "idle":
+            raise JobError(f"{self.live} cannot be altered: it is {self.state}")
+        if _exists(self.spark, f"{self.live}.new"):
+            raise JobError(f"{self.live}.new of an earlier alter is still there")
+        self.state = "being_altered"
+        try:
+            table = self.spark.read.parquet(self.live)
+            report = schema_change(table, alter, f"{self.live}.new", self.shard_col, preflight).collect()  # per shard
+        finally:
+            self.state = "idle"
+        if not all(r["ok"] for r in report):
+            raise JobError("schema change failed its verification: " + ", ".join(
+                f"{r[self.shard_col]} {r['rows_before']} -> {r['rows_after']}" for r in report if not r["ok"]))
+        self.state = "needs_rename"
+        if not delayed_rename:
+            self.rename()
+        return self.spark.createDataFrame(report, f"{self.shard_col} string, phase string, rows_before long, "
+                                                  "rows_after long, ok boolean")
+
+    def rename(self) -> None:
+        """Swap the verified copy in."""
+        if self.state != "needs_rename":
+            raise JobError(f"{self.live} has no altered copy to rename: it is {self.state}")
+        swap_in(self.spark, self.live)
+        self.state = "idle"
 
 
 def capacity_plan(hist: DataFrame, now: int, autoinc: DataFrame | None = None,
@@ -219,19 +330,19 @@ def capacity_plan(hist: DataFrame, now: int, autoinc: DataFrame | None = None,
 
 def consistency_check(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, chunks: int) -> DataFrame:
     """K9: chunk checksums of two copies (C10); only the differing chunks get
-    a row-level diff (G3).  The chunk list is tiny, so it is joined back as a
-    broadcast semi-join filter."""
+    a row-level diff (G3).  Rows outside ``[lo, hi]`` and rows without a key
+    have chunks of their own, so nothing escapes the check."""
     from keyspan.session import checkpoint_dir
     checkpoint_dir(a.sparkSession)
     cols = a.columns
-    # the differing chunks are few; materialise them once (both sides and the
-    # join sizing read them)
-    bad = checksum_diff(a, b, key, lo, hi, chunks, cols).select("chunk_min", "chunk_max") \
-        .checkpoint(eager=True)
-    from keyspan.operators.rangejoin import range_join
+    # the differing chunks are few; materialise them once (both sides read them)
+    bad = checksum_diff(a, b, key, lo, hi, chunks, cols).select(
+        F.col("chunk_min").alias("__lo"), F.col("chunk_max").alias("__hi")).checkpoint(eager=True)
 
     def only_bad(d):
-        return range_join(d, key, bad, lo="chunk_min", hi="chunk_max").drop("chunk_min", "chunk_max")
+        c = with_chunk(d, key, lo, hi, chunks)
+        same = c["chunk_min"].eqNullSafe(bad["__lo"]) & c["chunk_max"].eqNullSafe(bad["__hi"])
+        return c.join(bad, same, "left_semi").select(*cols)
     return result_set_diff(only_bad(a), only_bad(b))
 
 
@@ -242,8 +353,3 @@ def global_rowcount_report(tables: dict[str, tuple[DataFrame, TableSpec]], shard
     parts = [shard_counts(d, s, shard_map) for d, s in tables.values()]
     parts += [functional_counts(d, s) for d, s in functional.values()]
     return global_rowcount(parts)
-
-
-def new_session_map(spark: SparkSession, rows) -> DataFrame:
-    from keyspan.spec import shard_map_from_rows
-    return shard_map_from_rows(spark, rows)

@@ -9,6 +9,7 @@ CATALOG_MODULES = (
     "keyspan.plans.catalog_capacity",
     "keyspan.plans.catalog_reports",
     "keyspan.plans.catalog_jobs",
+    "keyspan.plans.catalog_moves",
 )
 
 

@@ -4,6 +4,8 @@ lists files with their sizes in parallel; contents are never read (only the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """A14 ``dir_list``: ``(rel_path, length)`` under ``root``, recursively."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
           .option("pathGlobFilter", pattern).load(root).select("path", "length"))
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.regexp_replace(rel, "^" + base.replace(".", r"\."), "")
-    return df.select(rel.alias("rel_path"), F.col("length"))
+    # paths come back with the scheme and authority of the store; compare what follows
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    base = re.sub(scheme, "", root).rstrip("/") + "/"
+    path = F.regexp_replace(F.col("path"), scheme, "")
+    return df.select(F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
+                     .alias("rel_path"), F.col("length"))
 
 
 def dir_size(listing: DataFrame) -> DataFrame:

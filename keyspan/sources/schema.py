@@ -21,6 +21,18 @@ def detect_schema(spark: SparkSession, df: DataFrame, spec: TableSpec) -> DataFr
               "is_pk boolean, pk_seq int, is_shard_key boolean")
 
 
+def profile(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """What the data says of the declared columns: (column_name, n_rows,
+    n_nulls, pk_unique).  One pass for the counts and one aggregation by key."""
+    names = df.columns
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+    pairs = ", ".join(f"'{c}', `{c}`" for c in names)
+    repeated = df.groupBy(*spec.pk).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.max("n"), F.lit(1)).alias("most")).select((F.col("most") == 1)).scalar()
+    return counts.selectExpr("n_rows", f"stack({len(names)}, {pairs}) AS (column_name, n_nulls)").select(
+        "column_name", "n_rows", "n_nulls", repeated.alias("pk_unique"))
+
+
 def store_snapshot(snapshot: DataFrame, path: str) -> None:
     """Append one capacity snapshot, partitioned by day (so history
     scans of a time range prune whole days)."""

@@ -71,9 +71,6 @@ DEFAULT_LARGE_CHUNKS = 200
 DEFAULT_MEDIUM_CHUNKS = 100
 # Upper bound multiplier for the open-ended last shard when exporting.
 MAX_TABLE_MULTIPLIER = 1.2
-# Page size the reference used for duplicate-key probing (informational only:
-# our duplicate search is one partitioned join, no paging).
-DUPLICATE_PAGE_SIZE = 5000
 # ---------------------------------------------------------------------------
 
 

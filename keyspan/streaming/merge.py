@@ -41,6 +41,8 @@ class StreamMerger:
     root: str                                   # shared folder: sinks + checkpoints
     sources: dict[str, str] = field(default_factory=dict)
     paused: set[str] = field(default_factory=set)
+    applied: list[str] = field(default_factory=list)   # every source whose changes were ever taken in
+    stop_at: object = None                             # I4: readers see changes up to this sequence
     _queries: dict[str, StreamingQuery] = field(default_factory=dict)
 
     # --- source management -------------------------------------------------
@@ -50,6 +52,7 @@ class StreamMerger:
         self.sources[name] = path
 
     def remove_source(self, name: str) -> None:
+        """The source sends no more; what it has applied stays."""
         self._known(name)
         self._stop(name)
         del self.sources[name]
@@ -80,22 +83,26 @@ class StreamMerger:
         return f"{self.root.rstrip('/')}/checkpoints/{name}"
 
     # --- running ---------------------------------------------------------------
-    def stream(self, name: str, until_seq=None) -> DataFrame:
-        """The change stream of one source; ``until_seq`` bounds a replay
-        (I4: replay up to a target position and stop)."""
-        s = self.spark.readStream.schema(self.schema).parquet(self.sources[name])
-        if until_seq is not None:
-            s = s.filter(F.col(self.seq) <= until_seq)
-        return s.withColumn("source", F.lit(name))
+    def stream(self, name: str) -> DataFrame:
+        """The change stream of one source."""
+        return self.spark.readStream.schema(self.schema).parquet(self.sources[name]).withColumn("source", F.lit(name))
 
     def run_available_now(self, until_seq=None) -> dict[str, dict]:
         """Process everything currently in every active source, then stop.
-        Returns the last progress of each source's query."""
+        Returns the last progress of each source's query.
+
+        ``until_seq`` stops all sources at one position (I4).  The changes
+        behind it are taken in as well, as a file may straddle it, but
+        ``changes`` and ``merged`` only show those up to the position until
+        the next run without one."""
+        self.stop_at = until_seq
         out = {}
         for name in self.sources:
             if name in self.paused:
                 continue
-            q = (self.stream(name, until_seq).writeStream.format("parquet")
+            if name not in self.applied:
+                self.applied.append(name)
+            q = (self.stream(name).writeStream.format("parquet")
                  .option("path", self.sink_path(name))
                  .option("checkpointLocation", self.checkpoint_path(name))
                  .trigger(availableNow=True).start())
@@ -112,13 +119,15 @@ class StreamMerger:
         return T.StructType([*self.schema.fields, T.StructField("source", T.StringType())])
 
     def changes(self) -> DataFrame:
-        """Every committed change of every source (each sink folder read
-        through its own commit log, so partial files are never seen)."""
+        """Every committed change of every source, removed ones too (each sink
+        folder read through its own commit log, so partial files are never
+        seen), up to the position of a bounded replay."""
         parts = [self.spark.read.schema(self.sink_schema).parquet(self.sink_path(n))
-                 for n in self.sources if _exists(self.spark, self.sink_path(n))]
+                 for n in self.applied if _exists(self.spark, self.sink_path(n))]
         if not parts:
             return self.spark.createDataFrame([], self.sink_schema)
-        return reduce(lambda a, b: a.unionByName(b), parts)
+        found = reduce(lambda a, b: a.unionByName(b), parts)
+        return found if self.stop_at is None else found.filter(F.col(self.seq) <= self.stop_at)
 
     def merged(self) -> DataFrame:
         """The latest change per key (largest ``seq``; a re-delivered
@@ -165,8 +174,13 @@ def write_change_sources(df: DataFrame, by, root: str, order: str) -> dict[str,
     tagged = df.withColumn("__src", by.cast("string"))
     # every task writes its own slice of each source (no per-source task)
     tagged.sortWithinPartitions("__src", order).write.mode("overwrite").partitionBy("__src").parquet(root)
-    names = [r[0] for r in tagged.select("__src").distinct().collect()]  # a handful of source ids
-    return {n: f"{root.rstrip('/')}/__src={n}" for n in sorted(names)}
+    # the sources are the folders that the write made, a handful of names
+    jvm = df.sparkSession.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    folders = [x.getPath().getName() for x in fs.listStatus(top) if x.isDirectory()]
+    names = sorted(f.removeprefix("__src=") for f in folders if f.startswith("__src="))
+    return {n: f"{root.rstrip('/')}/__src={n}" for n in names}
 
 
 def furthest_position(positions: DataFrame, pool: str, node: str, fileno: str, pos: str) -> DataFrame:
@@ -178,11 +192,6 @@ def furthest_position(positions: DataFrame, pool: str, node: str, fileno: str, p
         .select(pool, "furthest_node", F.col(f"__p.{fileno}").alias(fileno), F.col(f"__p.{pos}").alias(pos))
 
 
-def replay_until(changes: DataFrame, seq: str, target) -> DataFrame:
-    """I4 bounded replay in batch form: the changes up to the target."""
-    return changes.filter(F.col(seq) <= target)
-
-
 def backfill_and_tail(snapshot: DataFrame, changes: DataFrame, pk: list[str], seq: str,
                       snapshot_seq, keep=None) -> DataFrame:
     """The snapshot taken at ``snapshot_seq`` plus every change after it,

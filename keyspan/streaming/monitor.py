@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,20 +33,21 @@ def _caught_up_fn(polls_needed: int, timeout_ms: int):
         zeros, polls, done = state.get if state.exists else (0, 0, False)
         out = []
         for pdf in batches:
-            for lag, seq in zip(pdf["lag"].tolist(), pdf["seq"].tolist()):
-                if done:
-                    break
-                polls += 1
-                if lag is None or (isinstance(lag, float) and pd.isna(lag)):
-                    zeros = 0
-                    out.append((node, "broken", polls, int(seq)))
-                elif lag == 0:
-                    zeros += 1
-                    if zeros >= polls_needed:
-                        done = True
-                        out.append((node, "caught_up", polls, int(seq)))
-                else:
-                    zeros = 0
+            if done or not len(pdf):
+                continue
+            lag, seq = pdf["lag"].to_numpy(float), pdf["seq"].to_numpy()
+            broken, zero = np.isnan(lag), lag == 0
+            # zero polls since the last positive lag; broken polls neither count nor reset
+            counts = np.cumsum(zero) + zeros
+            reset = ~broken & ~zero
+            counts -= np.maximum.accumulate(np.where(reset, counts, 0))
+            hits = np.flatnonzero(zero & (counts >= polls_needed))
+            last = int(hits[0]) if len(hits) else len(lag) - 1
+            out += [(node, "broken", polls + int(i) + 1, int(seq[i])) for i in np.flatnonzero(broken[:last + 1])]
+            if len(hits):
+                done = True
+                out.append((node, "caught_up", polls + last + 1, int(seq[last])))
+            zeros, polls = int(counts[last]), polls + last + 1
         state.update((zeros, polls, done))
         if not done and timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
@@ -58,7 +60,7 @@ def caught_up_stream(polls: DataFrame, node: str, seq: str, lag: str,
                      polls_needed: int = CAUGHT_UP_POLLS,
                      timeout_s: int | None = CATCH_UP_TIMEOUT_S) -> DataFrame:
     """Per node, emit ``caught_up`` once ``polls_needed`` polls in a row
-    report zero lag (a non-zero lag resets the count), ``broken`` for a NULL
+    report zero lag (a positive lag resets the count, a NULL one does not), ``broken`` for a NULL
     lag, and ``timeout`` when no decision came within ``timeout_s`` of
     processing time (``None``: no timeout -- use this with the available-now
     trigger, where pending timers would keep scheduling empty batches).  State per node is three numbers; within a micro-batch
@@ -77,16 +79,24 @@ def caught_up_stream(polls: DataFrame, node: str, seq: str, lag: str,
 
 
 def command_counters(events: DataFrame, ts: str, node: str, kind: str,
-                     kinds=("select", "insert", "delete"), watermark: str = "10 seconds") -> DataFrame:
+                     kinds=("select", "insert", "delete"), watermark: str | None = None) -> DataFrame:
     """Per node and one-second window, how many commands of each kind
-    (``max(when...)`` style columns; streams cannot pivot)."""
+    (``count(when...)`` columns; streams cannot pivot).  Without a
+    ``watermark`` no row is ever too late: run it in ``complete`` or ``update``
+    mode.  With one, windows are emitted once and later rows are lost."""
     # watermarks need TIMESTAMP (zone-aware); the tables carry TIMESTAMP_NTZ
-    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    e = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    if watermark:
+        e = e.withWatermark(ts, watermark)
     aggs = [F.count(F.when(F.lower(F.col(kind)) == k, 1)).alias(f"com_{k}") for k in kinds]
     return e.groupBy(F.window(ts, "1 second"), F.col(node)).agg(*aggs)
 
 
-def dedup_redelivery(stream: DataFrame, pk: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
-    """Drop a change delivered twice (same key) within the watermark."""
+def dedup_redelivery(stream: DataFrame, pk: list[str], ts: str | None = None, watermark: str | None = None) -> DataFrame:
+    """Drop a change delivered twice (same key).  Without a watermark every
+    key is remembered and no row is lost; with one (on ``ts``) only that long,
+    and rows behind it are dropped."""
+    if watermark is None:
+        return stream.dropDuplicates(pk)
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark) \
         .dropDuplicatesWithinWatermark(pk)

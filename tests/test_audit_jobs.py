@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from keyspan.operators.audit import (checksum_diff, duplicate_keys, duplicate_rows, manifest_diff,
                                      result_set_diff)
 from keyspan.operators.counts import chunk_rowcounts, range_count
-from keyspan.operators.transfer import import_option, import_rows, read_tsv, write_tsv
+from keyspan.operators.transfer import import_rows, read_tsv, write_tsv
 from keyspan.plans.hooks import Abort, Hooks
 from keyspan.plans.jobs import JobError, merge, rebuild, split, split_cleanup
 from keyspan.session import scratch_path
@@ -30,11 +30,11 @@ def test_import_modes(spark):
     ign = {r.k: r.v for r in import_rows(ex, inc, ["k"], "ignore").collect()}
     rep = {r.k: r.v for r in import_rows(ex, inc, ["k"], "replace").collect()}
     assert ign == {1: "old", 2: "old", 3: "new"} and rep == {1: "old", 2: "new", 3: "new"}
-    assert import_rows(ex, inc, ["k"], None).count() == 5
-    # the reference's auto-IGNORE needs some extra option string
-    assert import_option(LINEITEM, True, None) is None
-    assert import_option(LINEITEM, True, "") == "ignore"
-    assert import_option(ORDERS, True, "replace") == "replace"
+    once = spark.createDataFrame([(3, "new")], "k long, v string")
+    assert import_rows(ex, once, ["k"], None).count() == 3
+    for clash in (inc, spark.createDataFrame([(9, "a"), (9, "b")], "k long, v string")):
+        with pytest.raises(Exception, match="duplicate key"):
+            import_rows(ex, clash, ["k"], None).collect()
 
 
 def test_tsv_round_trip(spark):
@@ -132,4 +132,9 @@ def test_hooks_order_and_abort(spark):
     @h.after("step")
     def stop(df):
         raise Abort()
-    assert h.wrap("step", lambda d: d, df) is None
+    assert h.wrap("step", lambda d: d, df).count() == 3   # the finished step's result stands
+
+    @h.before("other")
+    def refuse(df):
+        raise Abort()
+    assert h.wrap("other", lambda d: d, df) is None

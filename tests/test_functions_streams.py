@@ -32,10 +32,11 @@ def test_versions_and_positions(spark):
 
 def test_status_sections_and_hit_rate(spark):
     text = ("-----\nBUFFER POOL AND MEMORY\n-----\nTotal memory 10\nBuffer pool hit rate 990 / 1000\n"
-            "-----\nROW OPERATIONS\n-----\n0 queries inside\n")
+            "-----\nROW OPERATIONS\n-----\n0 queries inside\n-----\nROW OPERATIONS\n-----\n2 queries\n"
+            "-----\nEND OF STATUS\n-----\nno header follows\n")
     df = spark.createDataFrame([(text,)], "t string")
     m = df.select(status_sections(F.col("t")).alias("m")).first()["m"]
-    assert set(m) == {"BUFFER POOL AND MEMORY", "ROW OPERATIONS"}
+    assert set(m) == {"BUFFER POOL AND MEMORY", "ROW OPERATIONS"} and m["ROW OPERATIONS"] == ["2 queries"]
     line = [x for x in m["BUFFER POOL AND MEMORY"] if x.startswith("Buffer pool hit rate")][0]
     rate = spark.createDataFrame([(line,)], "l string").select(hit_rate(F.col("l"))).first()[0]
     assert rate == 99.0
@@ -47,6 +48,12 @@ def test_deep_merge(spark):
                   deep_merge(F.col("o"), F.col("n"), True).alias("y")).first()
     assert r.x == {"a": ["1"], "b": ["3"], "c": ["4"]}
     assert r.y == {"a": ["1"], "b": ["2", "3"], "c": ["4"]}
+    nested = spark.sql("SELECT map('x', map('a', array(1), 'b', array(2)), 'y', map('k', array(9))) AS o, "
+                       "map('x', map('b', array(3)), 'z', map('c', array(4))) AS n")
+    r = nested.select(deep_merge(F.col("o"), F.col("n"), levels=2).alias("x"),
+                      deep_merge(F.col("o"), F.col("n"), True, 2).alias("y")).first()
+    assert r.x == {"x": {"a": [1], "b": [3]}, "y": {"k": [9]}, "z": {"c": [4]}}
+    assert r.y["x"]["b"] == [2, 3]
 
 
 def test_stream_merge_sources(spark):
@@ -81,7 +88,12 @@ def test_command_counters_and_caught_up(spark):
     root = scratch_path(spark, "t-mon")
     kinds.write.parquet(f"{root}/in")
     s = spark.readStream.schema(kinds.schema).parquet(f"{root}/in")
-    q = (command_counters(s, "ts", "user_id", "cmd").writeStream.format("memory").queryName("cc")
+    q = (command_counters(s, "ts", "user_id", "cmd").writeStream.format("memory").queryName("all_windows")
+         .outputMode("complete").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.sql("SELECT sum(com_select) s, sum(com_insert) i, sum(com_delete) d FROM all_windows").first()
+    assert tuple(got) == tuple(kinds.filter(f"cmd = '{c}'").count() for c in ("SELECT", "INSERT", "DELETE"))
+    q = (command_counters(s, "ts", "user_id", "cmd", watermark="10 seconds").writeStream.format("memory").queryName("cc")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     got = spark.sql("SELECT sum(com_select) s, sum(com_insert) i, sum(com_delete) d FROM cc").first()
