@@ -21,12 +21,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyspan.operators.rangejoin import BucketPlan, range_join
-from keyspan.operators.scan import grouped_scan, next_at_or_after
+from keyspan.operators.scan import grouped_scan, next_at_or_after, range_chunks
 
 # --- Fixed values (must equal the reference) ---------------------------------
 GB_DIVISOR = 1024.0 * 1049000.0      # bytes_to_gb divides by 1024 * 1049000
@@ -131,40 +133,105 @@ def dedup_history(hist: DataFrame) -> DataFrame:
 
 # --- E2 -----------------------------------------------------------------------
 
-def segment_anchors(h: DataFrame, period: int = DAY) -> tuple[DataFrame, DataFrame]:
-    """Anchors of the greedy segmentation: the first ts of a pool, then
-    repeatedly the first ts > anchor + period - 60.
-
-    ``nxt(t)`` is found for every row at once (suffix-minimum scan), then the
-    chain from each pool's first ts is followed by pointer doubling: after
-    level k, the anchor set holds the first 2^k chain elements and the jump
-    table maps t to nxt^(2^k)(t).  log2(chain length) joins; each jump table
-    is checkpointed into the shared checkpoint dir to keep the plan small.
-    Returns ``(anchors(pool, ts), nxt(pool, ts, nxt))``."""
-    from keyspan.session import checkpoint_dir
-    checkpoint_dir(h.sparkSession)
+ENTRY = "pool string, entry long, last long"
+ANCHOR = "pool string, ts long, used long"
+
+
+def _walks(ts: np.ndarray, gap: int) -> np.ndarray:
+    """For every position of a sorted array the next anchor's position (the
+    array's length if that lies behind it)."""
+    return np.searchsorted(ts, ts + gap, side="right")
+
+
+def _runs(batches, names: list[str]):
+    """Sorted record batches -> (pool, column arrays) of each pool's rows."""
+    rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    if rows is None or not rows.num_rows:
+        return
+    pools = rows.column("pool").combine_chunks().dictionary_encode()
+    codes = pools.indices.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    arrays = [rows.column(n).to_numpy() for n in names]
+    for a, b in zip(starts, np.r_[starts[1:], len(codes)]):
+        yield pools.dictionary[codes[a]].as_py(), [x[a:b] for x in arrays]
+
+
+def _entry_map(gap: int):
+    """A partition's rows -> for every row at which a chain can enter it, the
+    last anchor that this chain reaches inside.  A chain comes in at the first
+    row after (an earlier anchor + gap), so at the first row that is more than
+    ``gap`` behind the partition's first one at the latest."""
+    def run(batches):
+        out = [[], [], []]
+        for pool, (ts,) in _runs(batches, ["ts"]):
+            nxt = _walks(ts, gap)
+            last = np.arange(len(ts))
+            while (inside := nxt[last] < len(ts)).any():
+                last = np.where(inside, nxt[np.minimum(last, len(ts) - 1)], last)
+            n = min(int(nxt[0]), len(ts) - 1) + 1
+            out[0] += [pool] * n
+            out[1].append(ts[:n])
+            out[2].append(ts[last[:n]])
+        flat = [pa.array(out[0], pa.string()), *[pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out[1:]]]
+        yield pa.RecordBatch.from_arrays(flat, names=["pool", "entry", "last"])
+    return run
+
+
+def _anchors_inside(gap: int):
+    """A partition's rows, with the row at which the chain enters (column
+    ``entry``, NULL if it passes by) -> the chain's anchors inside."""
+    def run(batches):
+        out = [[], [], []]
+        for pool, (ts, used, entry) in _runs(batches, ["ts", "used", "entry"]):
+            if not np.isfinite(entry[0].astype(float)):
+                continue
+            nxt, i = _walks(ts, gap), int(np.searchsorted(ts, int(entry[0])))
+            while i < len(ts):
+                for x, v in zip(out, (pool, int(ts[i]), int(used[i]))):
+                    x.append(v)
+                i = int(nxt[i])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()),
+                                          pa.array(out[2], pa.int64())], names=["pool", "ts", "used"])
+    return run
+
+
+def segment_anchors(h: DataFrame, period: int = DAY) -> DataFrame:
+    """Anchors of the greedy segmentation with their ``used``: the first ts of
+    a pool, then repeatedly the first ts > anchor + period - 60.
+
+    The history is range-partitioned by (pool, ts) and sorted once.  Inside a
+    partition the chain is followed in memory; across partitions only *entry
+    maps* travel: for the rows of a partition's first period, the last anchor
+    that a chain entering there reaches.  The maps are composed by pointer
+    doubling (log2 of the partitions, on that small table), which marks each
+    partition's entry, and a second pass emits the anchors."""
     gap = period - SEGMENT_SLACK
-    pts = h.select("pool", "ts")
-    q = pts.withColumn("__q", F.col("ts") + F.lit(gap + 1))
-    nxt = next_at_or_after(pts, q, ["pool"], "ts", "__q", "ts", "nxt").drop("__q")
-    nxt = nxt.checkpoint(eager=True)
-    jump = nxt.filter(F.col("nxt").isNotNull()).select("pool", "ts", F.col("nxt").alias("to"))
-    anchors = h.groupBy("pool").agg(F.min("ts").alias("ts"))
-    # at most 64 levels (2^64 steps); stops as soon as no chain is longer
+    ranged = range_chunks(h.select("pool", "ts", "used"), ["pool", "ts"])
+    # the checkpoint keeps partitions and their order is settled here
+    ordered = ranged.sortWithinPartitions("pool", "ts")
+    maps = ordered.select("pool", "ts").mapInArrow(_entry_map(gap), ENTRY) \
+        .withColumn("key", F.xxhash64("pool", "entry")).checkpoint(eager=True)
+    steps = next_at_or_after(maps.select("pool", "entry"), maps.withColumn("__q", F.col("last") + F.lit(gap + 1)),
+                             ["pool"], "entry", "__q", "entry", "to")
+    jump = steps.filter(F.col("to").isNotNull()).select("pool", "entry", "to").checkpoint(eager=True)
+    reached = h.groupBy("pool").agg(F.min("ts").alias("entry")).checkpoint(eager=True)
     for _ in range(64):
-        stepped = anchors.join(jump, ["pool", "ts"]).select("pool", F.col("to").alias("ts"))
-        # the anchor set is read twice per level (union and join), so its
-        # plan would double each level: cut it too (it is small: one row per
-        # period per pool)
-        anchors = anchors.unionByName(stepped).checkpoint(eager=True)
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = a.join(b, (F.col("a.pool") == F.col("b.pool")) & (F.col("a.to") == F.col("b.ts"))) \
-            .select(F.col("a.pool"), F.col("a.ts"), F.col("b.to")).checkpoint(eager=True)
-        if jump.isEmpty():  # no chain is longer: later levels add nothing
+        if jump.isEmpty():
             break
+        stepped = reached.join(jump, ["pool", "entry"]).select("pool", F.col("to").alias("entry"))
+        reached = reached.unionByName(stepped).checkpoint(eager=True)
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = a.join(b, (F.col("a.pool") == F.col("b.pool")) & (F.col("a.to") == F.col("b.entry"))) \
+            .select(F.col("a.pool"), F.col("a.entry"), F.col("b.to")).checkpoint(eager=True)
     else:
         raise RuntimeError("segment chains longer than 2^64")
-    return anchors, nxt
+    # a chain enters a partition once per pool: the entry among its own rows
+    spans = ranged.groupBy("pool", "__pid").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    at = spans.join(reached, "pool").filter(F.col("entry").between(F.col("lo"), F.col("hi"))) \
+        .groupBy("pool", "__pid").agg(F.min("entry").alias("entry"))
+    marked = ranged.join(at, ["pool", "__pid"], "left")
+    return marked.repartition("pool", "__pid").sortWithinPartitions("pool", "ts") \
+        .select("pool", "ts", "used", "entry").mapInArrow(_anchors_inside(gap), ANCHOR)
 
 
 def segmentify(hist: DataFrame, period: int = DAY, deduped: bool = False) -> DataFrame:
@@ -172,32 +239,23 @@ def segmentify(hist: DataFrame, period: int = DAY, deduped: bool = False) -> Dat
     rate, seg_no)`` with rate = delta used / delta t (bytes per second).
 
     A trailing partial segment (last anchor to the pool's last ts) is
-    emitted when it holds more than one row."""
+    emitted when it holds more than one row.  Only the anchors, one per
+    period and pool, meet in a window."""
     from keyspan.session import checkpoint_dir
     checkpoint_dir(hist.sparkSession)
-    # read five times below (points, roots, last, two value lookups)
     h = (hist if deduped else dedup_history(hist)).checkpoint(eager=True)
-    anchors, nxt = segment_anchors(h, period)
-    seg = anchors.join(nxt, ["pool", "ts"])
-    last = h.groupBy("pool").agg(F.max("ts").alias("__last"))
-    seg = seg.join(last, "pool").select(
-        "pool", F.col("ts").alias("seg_start"),
-        F.when(F.col("nxt").isNotNull(), F.col("nxt"))
-        .when(F.col("__last") > F.col("ts"), F.col("__last")).alias("seg_end"))
-    seg = seg.filter(F.col("seg_end").isNotNull())
-    u = h.select("pool", "ts", "used")
-    seg = (seg.join(u.select("pool", F.col("ts").alias("seg_start"), F.col("used").alias("__u0")),
-                    ["pool", "seg_start"])
-           .join(u.select("pool", F.col("ts").alias("seg_end"), F.col("used").alias("__u1")),
-                 ["pool", "seg_end"]))
-    w = Window.partitionBy("pool").orderBy("seg_start")
+    anchors = segment_anchors(h, period)
+    last = h.groupBy("pool").agg(F.max(F.struct("ts", "used")).alias("__last"))
+    w = Window.partitionBy("pool").orderBy("ts")
+    end = F.coalesce(F.lead(F.struct("ts", "used")).over(w), F.when(F.col("__last.ts") > F.col("ts"), F.col("__last")))
+    seg = anchors.join(last, "pool").withColumn("__end", end).withColumn("seg_no", F.row_number().over(w)) \
+        .filter(F.col("__end").isNotNull())
     return seg.select(
-        "pool", "seg_start", "seg_end",
-        F.concat_ws("-", F.col("seg_start").cast("string"), F.col("seg_end").cast("string"))
-        .alias("seg_key"),
-        ((F.col("__u1") - F.col("__u0")).cast("double") /
-         (F.col("seg_end") - F.col("seg_start")).cast("double")).alias("rate"),
-    ).withColumn("seg_no", F.row_number().over(w))
+        "pool", F.col("ts").alias("seg_start"), F.col("__end.ts").alias("seg_end"),
+        F.concat_ws("-", F.col("ts").cast("string"), F.col("__end.ts").cast("string")).alias("seg_key"),
+        ((F.col("__end.used") - F.col("used")).cast("double") /
+         (F.col("__end.ts") - F.col("ts")).cast("double")).alias("rate"),
+        "seg_no")
 
 
 # --- E3 / E4 / E5 / D6 ----------------------------------------------------------
@@ -391,19 +449,9 @@ def outlier_runs(blocks: DataFrame) -> DataFrame:
                        per_day(bytes_to_gb(F.col("__last.baseline_mean"))).alias("prev_weeks_gb_day"))
 
 
-def block_growth(h: DataFrame, pool: str, a: int, b: int) -> DataFrame:
-    """One pool's history block ``[a, b]`` (closed) and its growth
-    rate (first vs last in insertion order)."""
-    blk = h.filter((F.col("pool") == pool) & F.col("ts").between(a, b))
-    first = F.min_by(F.struct("ts", "used"), "first_id")
-    last = F.max_by(F.struct("ts", "used"), "first_id")
-    return blk.agg(F.count(F.lit(1)).alias("n"), first.alias("f"), last.alias("l")).select(
-        "n", F.try_divide((F.col("f.used") - F.col("l.used")).cast("double"),
-                          (F.col("f.ts") - F.col("l.ts")).cast("double")).alias("rate"))
-
-
 def block_growth_by_pool(blk: DataFrame) -> DataFrame:
-    """D7 for every pool of an already-filtered block at once."""
+    """A13/D7 for every pool of an already-filtered history block: its growth
+    rate (first vs last in insertion order)."""
     first = F.min_by(F.struct("ts", "used"), "first_id")
     last = F.max_by(F.struct("ts", "used"), "first_id")
     return blk.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), first.alias("f"), last.alias("l")).select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyspan.operators import capacity as cap
-from keyspan.plans.catalog import _t, register
+from keyspan.plans.catalog import ORACLE, _t, register
 
 NOW = 1706659200  # 2024-01-31 00:00:00 UTC
 NOW_DAY = "2024-01-31"
@@ -240,6 +240,55 @@ def q_outlier_runs(spark, sf_dir):
                     F.round("prev_weeks_gb_day", 6).alias("prev_weeks_gb_day"))
 
 
+# A history with known outliers on top of the hours found in ``events``: one
+# pool with a closed run of blocks, one with a run too short, one whose run is
+# still open at the end, and two without.
+RUNS_SQL = f"""
+g AS (SELECT event_type AS pool, CAST(epoch_us(ts) // 3600000000 * 3600 AS BIGINT) AS ts, min(event_id) AS first_id
+      FROM events GROUP BY ALL),
+i AS (SELECT *, CASE WHEN pool = 'view' AND ts BETWEEN {NOW - 60 * 3600} AND {NOW - 40 * 3600}
+                       OR pool = 'purchase' AND ts BETWEEN {NOW - 50 * 3600} AND {NOW - 47 * 3600}
+                       OR pool = 'click' AND ts >= {NOW - 30 * 3600} THEN 9000000 ELSE 1000000 END AS inc FROM g),
+h AS (SELECT pool, ts, first_id, first_id AS id, CAST(0 AS BIGINT) AS total,
+             CAST(sum(inc) OVER (PARTITION BY pool ORDER BY ts) AS BIGINT) AS used FROM i)"""
+
+
+def _runs_history(spark, sf_dir):
+    from keyspan.operators.scan import grouped_scan
+    e = _t(spark, sf_dir, "events")
+    g = e.groupBy(F.col("event_type").alias("pool"),
+                  (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600).cast("long").alias("ts")) \
+        .agg(F.min("event_id").alias("first_id"))
+    at, pool = F.col("ts"), F.col("pool")
+    high = (((pool == "view") & at.between(NOW - 60 * 3600, NOW - 40 * 3600))
+            | ((pool == "purchase") & at.between(NOW - 50 * 3600, NOW - 47 * 3600))
+            | ((pool == "click") & (at >= NOW - 30 * 3600)))
+    i = g.withColumn("inc", F.when(high, 9000000).otherwise(1000000).cast("long"))
+    return grouped_scan(i, ["pool"], ["ts"], "inc", "sum", "used").select("pool", "ts", "first_id", "used")
+
+
+@register("outlier_runs_found", "WITH " + OUT_SQL.replace(HIST_SQL, RUNS_SQL) + """,
+e AS (SELECT *, sum(CASE WHEN sustained THEN 0 ELSE 1 END)
+                  OVER (PARTITION BY pool ORDER BY block ROWS UNBOUNDED PRECEDING) AS isl
+      FROM fl WHERE evaluated),
+r AS (SELECT pool, isl, count(*) AS blocks, min(start) AS run_start, arg_max(start, block) AS ls
+      FROM e WHERE sustained GROUP BY pool, isl),
+z AS (SELECT pool, sum(CASE WHEN sustained THEN 0 ELSE 1 END) AS resets FROM e GROUP BY pool)
+SELECT 'run' AS kind, r.pool, CAST(run_start AS BIGINT) AS run_start, CAST(ls + 7320 AS BIGINT) AS run_end,
+       CAST(blocks AS BIGINT) AS blocks FROM r JOIN z USING (pool) WHERE blocks > 3 AND resets > isl
+UNION ALL
+SELECT 'spike', pool, CAST(start AS BIGINT), CAST(start + 7320 AS BIGINT), CAST(1 AS BIGINT) FROM fl WHERE evaluated AND spike
+""")
+def q_outlier_runs_found(spark, sf_dir):
+    """E8 and E9 where there is something to find: closed, short and open runs."""
+    b = cap.outlier_blocks(_runs_history(spark, sf_dir), NOW).checkpoint()
+    runs = cap.outlier_runs(b).select(F.lit("run").alias("kind"), "pool", F.col("run_start").cast("long"),
+                                      F.col("run_end").cast("long"), F.col("blocks").cast("long"))
+    spikes = cap.outlier_spikes(b).select(F.lit("spike").alias("kind"), "pool", F.col("start").cast("long").alias("run_start"),
+                                          F.col("end").cast("long").alias("run_end"), F.lit(1).cast("long").alias("blocks"))
+    return runs.unionByName(spikes)
+
+
 @register("outlier_spikes", "WITH " + OUT_SQL + """
 SELECT pool, CAST(start AS BIGINT) AS start, CAST(start + 7320 AS BIGINT) AS "end",
        strftime(epoch_ms(CAST(start AS BIGINT) * 1000), '%m/%d/%Y %H:%M:%S') AS start_time,
@@ -301,3 +350,69 @@ def q_key_exhaustion(spark, sf_dir):
     tables = {t: _t(spark, sf_dir, t) for t in KEY_TABLES}
     samples = cap.key_exhaustion(tables, KEY_POOLS, NOW, _is_key)
     return cap.top_exhaustion(samples, NOW_DAY)
+
+
+# --- K8, H2, H5 --------------------------------------------------------------------
+
+
+@register("capacity_plan", f"""
+WITH d AS ({ORACLE["days_left"]}), o AS ({ORACLE["day_over_day"]}), t AS ({ORACLE["threshold_buckets"]}),
+x AS ({ORACLE["total_consumed"]}),
+r AS (SELECT pool, count(*) AS segments FROM ({ORACLE["growth_segments"]}) GROUP BY pool)
+SELECT pool, used_gb, gb_per_day, days_left, d0, d1, d7, fill, bucket, CAST(segments AS BIGINT) AS segments, total_used,
+       total_growth_per_day
+FROM d LEFT JOIN o USING (pool) LEFT JOIN t USING (pool) LEFT JOIN r USING (pool), x
+""")
+def q_capacity_plan(spark, sf_dir):
+    """K8: the report of the job on one stored snapshot of the history, its
+    parts side by side per pool."""
+    from keyspan.plans.jobs import capacity_plan
+    plan = capacity_plan(_hist(spark, sf_dir), NOW)
+    six = lambda *names: [F.round(c, 6).alias(c) for c in names]
+    left = plan["days_left"].select("pool", *six("used_gb", "gb_per_day", "days_left"))
+    days = plan["day_over_day"].select("pool", *six("d0", "d1", "d7"))
+    fill = plan["thresholds"].select("pool", *six("fill"), "bucket")
+    count = plan["segments"].groupBy("pool").agg(F.count("*").cast("long").alias("segments"))
+    total = plan["total"].select("total_used", F.round("total_growth_per_day", 4).alias("total_growth_per_day"))
+    report = left.join(days, "pool", "left").join(fill, "pool", "left").join(count, "pool", "left")
+    # the total is one row
+    return report.withColumns({c: total.select(c).scalar() for c in total.columns})
+
+
+@register("size_units", """
+SELECT doc_id, CASE WHEN b >= 1048576 THEN printf('%.2f MiB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.2f KiB', b / 1024.0)
+                    ELSE printf('%.2f B', b * 1.0) END AS size,
+       CAST(b * 604800 AS DOUBLE) AS per_week, CAST(b * 2592000 AS DOUBLE) AS per_month,
+       round(CAST(b AS DOUBLE) / (1024 * 1024), 9) AS mb
+FROM (SELECT doc_id, strlen(text) * 64 + 1 AS b FROM documents)
+""")
+def q_size_units(spark, sf_dir):
+    """H1/H2: sizes in words and rates per week and month."""
+    b = F.octet_length("text").cast("long") * 64 + 1
+    return _t(spark, sf_dir, "documents").select(
+        "doc_id", cap.humanize_bytes(b).alias("size"), F.round(cap.per_week(b).cast("double"), 4).alias("per_week"),
+        F.round(cap.per_month(b).cast("double"), 4).alias("per_month"), F.round(cap.bytes_to_mb(b), 9).alias("mb"))
+
+
+TYPE_TEXTS_SQL = "['int(11) unsigned', 'bigint(20)', 'smallint(5) unsigned', 'INT', 'varchar(9)', 'mediumint(8) unsigned zerofill']"
+
+
+@register("key_type_limits", f"""
+WITH t AS (SELECT o_orderkey, {TYPE_TEXTS_SQL}[o_orderkey % 6 + 1] AS column_type,
+                  CASE WHEN o_orderkey % 4 = 0 THEN 'auto_increment' WHEN o_orderkey % 4 = 1 THEN 'on update' ELSE '' END AS extra FROM orders),
+m AS (SELECT *, regexp_extract(lower(column_type), '^[a-z]+') AS base, regexp_matches(lower(column_type), 'unsigned$') AS unsigned FROM t),
+x AS (SELECT *, CASE base WHEN 'int' THEN 4294967296 WHEN 'bigint' THEN 18446744073709551616 WHEN 'smallint' THEN 65536
+                          WHEN 'mediumint' THEN 16777216 END AS top FROM m)
+SELECT o_orderkey, column_type, contains(extra, 'auto_increment') AS auto_increment, unsigned,
+       CAST(CASE WHEN unsigned THEN top ELSE top // 2 - 1 END AS DECIMAL(20, 0)) AS data_type_max
+FROM (SELECT * REPLACE (CAST(top AS HUGEINT) AS top) FROM x)
+""")
+def q_key_type_limits(spark, sf_dir):
+    """H5 with H3: what a column's type text says of it."""
+    from keyspan.sources.schema import int_type_flags
+    texts = ["int(11) unsigned", "bigint(20)", "smallint(5) unsigned", "INT", "varchar(9)", "mediumint(8) unsigned zerofill"]
+    k = F.col("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select(
+        k, F.get(F.array(*[F.lit(t) for t in texts]), (k % 6).cast("int")).alias("column_type"),
+        F.when(k % 4 == 0, "auto_increment").when(k % 4 == 1, "on update").otherwise("").alias("extra"))
+    return o.select("o_orderkey", "column_type", *int_type_flags(F.col("column_type"), F.col("extra")))

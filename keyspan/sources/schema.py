@@ -33,6 +33,22 @@ def profile(df: DataFrame, spec: TableSpec) -> DataFrame:
         "column_name", "n_rows", "n_nulls", repeated.alias("pk_unique"))
 
 
+def int_type_flags(column_type, extra) -> list:
+    """H5: from a column's type text and its extra text: auto_increment,
+    unsigned (the type's last word) and data_type_max, the largest value of an
+    integer type (NULL for any other)."""
+    from keyspan.operators.capacity import TYPE_MAX
+    text = F.lower(F.trim(column_type))
+    base = F.regexp_extract(text, "^[a-z]+", 0)
+    unsigned = F.element_at(F.split(text, r"\s+"), -1) == "unsigned"
+    top = None
+    for name, size in TYPE_MAX.items():
+        values = F.when(unsigned, F.lit(str(size))).otherwise(F.lit(str(size // 2 - 1))).cast("decimal(20,0)")
+        top = F.when(base == name, values) if top is None else top.when(base == name, values)
+    return [F.contains(F.lower(extra), F.lit("auto_increment")).alias("auto_increment"), unsigned.alias("unsigned"),
+            top.alias("data_type_max")]
+
+
 def store_snapshot(snapshot: DataFrame, path: str) -> None:
     """Append one capacity snapshot, partitioned by day (so history
     scans of a time range prune whole days)."""
