@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from keyspan.session import scratch_path
 
-# white space that separates words, as a Java regex class and as characters
-WHITE_CLASS = r"[\x20\x09-\x0D]"
+BATCH_BYTES = 4 << 20           # of the Arrow batches that carry texts to Python
+# white space that separates words
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 
@@ -22,6 +22,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of some megabytes, whatever the length of
+    their texts: the default bounds rows only, and ten thousand long documents
+    are too much for a worker.  A setting of the session; it holds for what
+    runs after it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def words(text: Column) -> Column:
     """The ``[^\\x20\\x09-\\x0D]+`` words of a text, in order; null gives none.
     One-character split after mapping white space to blanks stays clear of the

@@ -13,7 +13,11 @@ padding.
 
 from __future__ import annotations
 
+import json
 import os
+import string
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.llm.common import bounded_batches
+
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 200_000         # words whose ids a worker remembers
+CACHE = 250_000         # words whose ids a worker remembers (some 60 MB)
 EMIT_ROWS = 2_000
 
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, token_ids binary")
@@ -36,29 +42,86 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes every byte as a letter: printable bytes as
+    themselves, the others as the letters from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 class WordEncoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.  The
-    tokenizer never merges across blanks, so the ids of a blank-separated word
-    do not depend on its neighbours and are remembered (the memory is emptied
-    when it holds ``CACHE`` words)."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
+
+    A tokenizer that drops white space and splits letters from other
+    characters gives a blank-separated word the same ids wherever it stands, and
+    a run of letters the same ids whatever ASCII signs follow it.  Both are
+    remembered (the memory is emptied when it holds ``CACHE`` entries), and a
+    run of letters goes straight to the tokenizer's BPE model.  Texts of any
+    other tokenizer are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        steps = described.get("pre_tokenizer") or {}
+        steps = [x.get("type") for x in steps.get("pretokenizers", [steps])]
+        normal = [x.get("type") for x in (described.get("normalizer") or {}).get("normalizers", [])]
+        # the one kind of tokenizer whose words and letter runs are known to be independent
+        self.by_word = (steps == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"]
+                        and described["model"].get("end_of_word_suffix") == "</w>")
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
         found = text.replace("\n", " ").split(" ")
-        new = list({w for w in found if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHE:
+        ids = list(map(self.known.get, found))
+        if None in ids:
+            if len(self.known) > CACHE:
                 self.known.clear()
-                new = list(set(found))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, found))
+            ids = [self._word(w) if x is None else x for w, x in zip(found, ids)]
+        return b"".join(ids)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        known = self.known
+        if (ids := known.get(word)) is not None:
+            return ids
+        run = word.rstrip(string.punctuation)
+        if not run.isalpha():
+            ids = self._whole(word)
+        elif len(run) < len(word):
+            signs = word[len(run):]
+            if (tail := known.get(signs)) is None:
+                tail = known[signs] = self._whole(signs)
+            ids = self._word(run) + tail
+        else:
+            ids = self._letters(run)
+        known[word] = ids
+        return ids
+
+    def _letters(self, run: str) -> bytes:
+        """Letters only: normalised as the tokenizer does it, character by
+        character, and split by its BPE model."""
+        lower = run.lower() if run.isascii() else "".join(map(str.lower, run))
+        if lower != run and (ids := self.known.get(lower)) is not None:
+            return ids
+        if run.isascii():
+            written = lower
+        elif lower.isalpha() and unicodedata.is_normalized("NFC", run):
+            written = "".join(map(self.letters.__getitem__, lower.encode("utf-8")))
+        else:
+            return self._whole(run)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        self.known[lower] = ids
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -209,6 +272,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     rows and packs them alike.  An empty table gives no rows; other columns are
     not read.
     """
+    bounded_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
             .mapInArrow(_pack_partition(path, window, end_id), SCHEMA))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import WHITE_CHARS, WHITE_CLASS, stored, words
+from keyspan.llm.common import WHITE_CHARS, stored, words
 
 MAX_RULES, MAX_CONDITIONS = 12, 4
 BINS = 24                      # candidate thresholds of a feature

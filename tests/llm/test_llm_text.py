@@ -61,6 +61,30 @@ def test_pack_real_has_no_padding(spark):
     assert padded == 0
 
 
+TRICKY = ["don't it's. we'll 'tis d'accord l'été", "\u0130stanbul \u03a3\u0391\u03a3 \u03c2\u03c3 STRASSE straße",
+          "H\u0331ello h\u0331ello J\u030c j\u030c e\u0301t\u00e9 E\u0301 \u00c9", "\u212bngstr\u00f6m \ufb01sh \u00bd \u00b2 x\u00b2 \u216b",
+          "a1b2 1,234.56 x... ...x (y) [z]! ##* a_b __init__ <|endoftext|> <|startoftext|>x",
+          "tab\there\u00a0nbsp\u0085nel\u2003em\u200bzero \x1c\x1d", "\U0001f600 smile\U0001f600 日本語 テキスト. 中文， mixed中文abc",
+          "ALLCAPS Title mIxEd ÀÉÎ. Àé\u0301", "", " ", "\n\n", "word.\u0301x", "'", "''s 's s'", "supercalifragilisticexpialidocious." * 40]
+
+
+def test_word_by_word_encoding_is_the_tokenizers_own():
+    e = packing.WordEncoder(packing.default_vocabulary())
+    assert e.by_word
+    for _ in range(2):                       # also from memory
+        for t in [*TRICKY, " ".join(TRICKY), "\n".join(TRICKY)]:
+            assert np.frombuffer(e(t), "<u4").tolist() == whole_ids(t)[:-1], t
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, t = packing.WordEncoder(path), Tokenizer.from_file(path)
+    assert not e.by_word
+    assert np.frombuffer(e("a  b\nc d"), "<u4").tolist() == t.encode("a  b\nc d", add_special_tokens=False).ids
+
+
 def test_sum_of_squares_choice():
     """Every placement takes the choice with the smallest sum of squares."""
     rng = random.Random(3)
