@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from keyspan.session import get_spark, load_table, scratch_path
+    from keyspan.session import drop_scratch, get_spark, load_table, scratch_path
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="keyspan-bench")
     from keyspan.plans.registry import all_queries
     from keyspan.plans.jobs import split
@@ -42,6 +42,7 @@ def main():
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     for name in headline:
         run(qs[name](spark, warm_dir))
+    drop_scratch(spark)
 
     times = {}
     for name in headline:
@@ -62,6 +63,7 @@ def main():
     split_rows = res.counts.agg(F.sum("n")).first()[0] or 0
     times["split_shard"] = round(time.time() - t0, 3)
 
+    drop_scratch(spark)
     total = round(sum(times.values()), 3)
     n_orders = load_table(spark, sf_dir, "orders").count()
     print(json.dumps({

@@ -64,10 +64,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_scratch: list[str] = []      # folders handed out and not yet dropped
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint dir for written tables."""
+    """A fresh folder under the shared checkpoint dir for written tables.
+    Results are lazy and read these folders, so they stay until the caller has
+    used its results and calls :func:`drop_scratch`."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(f"{base}/{name}-{uuid.uuid4().hex[:12]}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the folders that :func:`scratch_path` handed out in this process
+    (with the copies that jobs keep beside a table); returns how many."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _scratch:
+        folder = _scratch.pop()
+        for p in (folder, f"{folder}.old", f"{folder}.new"):
+            dropped += bool(path(p).getFileSystem(conf).delete(path(p), True))
+    return dropped
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

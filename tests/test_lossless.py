@@ -215,6 +215,17 @@ def test_stream_detector_across_batches(spark):
         assert hit == ([by_hand(lags)] if by_hand(lags) is not None else [])
 
 
+def test_scratch_folders_are_dropped(spark, monkeypatch):
+    from keyspan import session
+    monkeypatch.setattr(session, "_scratch", [])
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    spark.range(3).write.parquet(f"{path}.old")
+    assert session.drop_scratch(spark) == 2 and session._scratch == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Context:
         master = "spark://host:7077"
