@@ -124,7 +124,7 @@ def spans_text(spans, kinds=None):
 
 @query("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", secrets.spans(F.col("text")).alias("spans"))
+    found = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         F.sha2(spans_text(F.col("spans"), ("assign", "access", "hex")), 256).alias("base_sha256"),

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.llm.common import bounded_batches
+
 KINDS = ("assign", "access", "hex", "random")    # in the order in which equal starts are listed
 RATIO = 2.2                 # characters per token below which a string counts as random
 LEAST = 16                  # characters of a candidate
@@ -95,11 +97,18 @@ def spans(text: Column, vocabulary: str | None = None) -> Column:
     return scan(text)
 
 
+def scanned(docs: DataFrame, text_col: str = "text", name: str = "spans", vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with the secrets of every text in a column ``name``."""
+    bounded_batches(docs.sparkSession)
+    return docs.withColumn(name, spans(F.col(text_col), vocabulary))
+
+
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", mark: str = "<secret>",
            vocabulary: str | None = None) -> DataFrame:
     """Every row of ``docs`` with all its columns; secrets in the text are
     replaced by ``mark`` (overlapping spans by one mark) and the length column
     follows.  Rows without a secret stay as they are, null texts too."""
+    bounded_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     @F.pandas_udf("string")
