@@ -6,6 +6,9 @@ or the class of all others.  The model predicts a class from the two before it:
     s(w | u, v) = q_w . (R_u * a + R_v * b) + bias_w
 
 with class vectors R, target vectors q and diagonal position weights a, b.
+Texts are split and looked up once; what training and scoring read again is a
+table of class numbers, two bytes a token.
+
 Every training document is used.  The training partitions run stochastic
 gradient steps of noise-contrastive estimation on their own tokens, all from
 the same start; their parameters are averaged by tokens in a grouped Spark
@@ -31,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import stored
+from keyspan.llm.common import bounded_batches, stored
 
-CLASSES = 2048              # frequent tokens that the neural model knows (one of them may be the end)
+CLASSES = 2048              # frequent tokens that the neural model knows, the end first; 16 bits must hold them
 FREQUENT = 131_072          # frequent tokens whose counts are looked up in memory
 DIM = 16
 NOISE = 64                  # noise classes shared by a minibatch
@@ -138,6 +141,7 @@ class Trainer:
 
     @staticmethod
     def _summed(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of equal rows added up (16-bit rows sort by radix)."""
         order = np.argsort(rows, kind="stable")
         r = rows[order]
         starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
@@ -146,14 +150,15 @@ class Trainer:
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray):
         m, n = self.m, len(w)
         k = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]),
-                       len(self.cumulative) - 1)
+                       len(self.cumulative) - 1).astype(np.uint16)
         ru, rv, qw, qk = m.r[u], m.r[v], m.q[w], m.q[k]
         h = rv * m.a + ru * m.b
         # p(data) = s(s(w) - log(NOISE p_noise(w)))
-        data = (h * qw).sum(1) + m.bias[w] - self.log_noise[w] - np.log(NOISE)
-        noise = h @ qk.T + m.bias[k] - self.log_noise[k] - np.log(NOISE)
-        gd = 1 / (1 + np.exp(np.clip(data, -30, 30)))                # 1 - p
-        gn = -1 / (1 + np.exp(-np.clip(noise, -30, 30)))             # -p
+        data = (h * qw).sum(1) + m.bias[w] - self.log_noise[w] - np.float32(np.log(NOISE))
+        noise = h @ qk.T + m.bias[k] - self.log_noise[k] - np.float32(np.log(NOISE))
+        with np.errstate(over="ignore"):                             # an overflow is a probability of 0
+            gd = 1 / (1 + np.exp(data))                              # 1 - p
+            gn = -1 / (1 + np.exp(-noise))                           # -p
         gh = (gd[:, None] * qw + gn @ qk) / n
         gq = np.concatenate([gd[:, None] * h, gn.T @ h]) / n
         gb = np.concatenate([gd, gn.sum(0)]) / n
@@ -168,41 +173,42 @@ class Trainer:
         self._step("b", None, gb2)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], known: dict[bytes, int], other: int) -> Iterator[tuple]:
-    """(u, v, w) class arrays of whole batches; texts begin after two ends."""
-    end, get = known[END], known.get
+def _contexts(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple]:
+    """(u, v, w) class arrays of about a million tokens each; every text
+    begins after two ends."""
+    pad = np.array([end], np.uint16)             # context of the next text only, no token
+    parts, size = [pad, pad], 0
     for batch in batches:
-        stream, first = [end, end], []
-        for text in batch.column(0):
-            stream += [get(t, other) for t in tokens(text.as_py())]
-            stream += [end, end]                 # the second end only is the next text's context
-            first.append(len(stream) - 1)
-            if len(stream) > 1 << 20:
-                yield _cut(stream, first)
-                stream, first = [end, end], []
-        yield _cut(stream, first)
-
-
-def _cut(stream: list[int], padding: list[int]) -> tuple:
-    s = np.array(stream, np.int32)
+        for classes in batch.column(0):
+            # the text's own end and the padding are the next text's context
+            parts += [np.frombuffer(classes.as_buffer(), np.uint16), pad]
+            size += len(parts[-2])
+            if size > 1 << 20:
+                yield _cut(parts)
+                parts, size = [pad, pad], 0
+    yield _cut(parts)
+
+
+def _cut(parts: list[np.ndarray]) -> tuple:
+    s = np.concatenate(parts)
+    ends = np.cumsum([len(p) for p in parts])
     keep = np.ones(len(s), bool)
     keep[:2] = False
-    keep[padding] = False
+    keep[ends[3::2] - 1] = False                 # the paddings
     at = np.flatnonzero(keep)
     return s[at - 2], s[at - 1], s[at]
 
 
-def _train(words: list[bytes], unigram: np.ndarray, start: np.ndarray, number: int):
-    """Texts -> blocks of the parameters that this partition ends with, each
-    with the partition's number of tokens."""
+def _train(unigram: np.ndarray, start: np.ndarray, end: int, number: int):
+    """Texts' classes -> blocks of the parameters that this partition ends
+    with, each with the partition's number of tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        known = {w: i for i, w in enumerate(words)}
         model = Model(len(unigram), unigram).unpack(start)
         trainer = Trainer(model, unigram, seed=1000 * number + pid)
         total = 0
-        for u, v, w in _contexts(batches, known, len(words)):
+        for u, v, w in _contexts(batches, end):
             # tokens in random order, so that a minibatch mixes documents
             order = trainer.rng.permutation(len(w))
             for at in range(0, len(w), BATCH):
@@ -229,75 +235,99 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
                          "params": [total.astype(np.float32).tobytes()]})
 
 
-def train(docs: DataFrame, top: list[tuple[bytes, int]], total: int, text_col: str = "text", rounds: int = ROUNDS):
-    """(words, unigram, parameters).  ``top``: the most frequent tokens with
-    their counts, the end among them."""
-    words = [w for w, _ in top]
-    rest = max(total - sum(n for _, n in top), 0)
-    unigram = (np.array([n for _, n in top] + [rest], float) + 0.5)
-    unigram /= unigram.sum()
+def train(texts: DataFrame, unigram: np.ndarray, end: int, rounds: int = ROUNDS) -> np.ndarray:
+    """(classes: binary) rows, one a training text -> the parameters."""
     params = Model(len(unigram), unigram).pack()
     shape = "block int, lane int, weight double, params binary"
     for number in range(rounds):
-        own = docs.select(F.col(text_col).alias("text")).mapInArrow(_train(words, unigram, params, number), shape)
+        own = texts.mapInArrow(_train(unigram, params, end, number), shape)
         # two steps, so that no group holds a row of every partition
         lanes = own.groupBy("block", "lane").applyInPandas(_average, shape)
-        blocks = sorted(lanes.groupBy("block").applyInPandas(_average, shape).collect(),
-                        key=lambda r: r["block"])
+        blocks = sorted(lanes.groupBy("block").applyInPandas(_average, shape).collect(), key=lambda r: r["block"])
         if not blocks:
             break
         params = np.frombuffer(b"".join(r["params"] for r in blocks), np.float32).reshape(-1, DIM)
-    return words, unigram, params
+    return params
 
 
 # ---- scoring --------------------------------------------------------------------
 
-SUMS = ("doc_id long, held_out boolean, n_tokens long, n_in long, n_other long, base_in double, other_in double, "
-        "lm double, rare array<struct<token:binary,k:int>>")
+ENCODED = ("doc_id long, held_out boolean, n_tokens long, n_in long, n_other long, base_in double, other_in double, "
+           "classes binary, rare array<struct<token:binary,k:int>>")
+LOGS = "row long, lm double"
 
 _tables: dict[int, tuple] = {}
 
 
-def _sums(words: list[bytes], unigram: np.ndarray, params: np.ndarray, frequent: list[tuple[bytes, int]]):
-    """(doc_id, held_out, text) -> what needs no join: n_in frequent tokens
-    with the sum base_in of log10(c + 0.5), other_in of it for those in the
-    class of the others; n_other tokens in that class; lm, the classes' log10
-    probabilities; and the rare tokens with their counts in the text."""
-    key = zlib.crc32(params.tobytes())
-
+def _encode(frequent: list[tuple[bytes, int]], classes: int):
+    """(doc_id, held_out, text) -> the text's classes (16 bits a token) and
+    what of its base needs no join: n_in frequent tokens with the sum base_in
+    of log10(c + 0.5), other_in of it for those in the class of the others,
+    n_other tokens in that class, and the rare tokens with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _tables:
-            _tables.clear()
-            _tables[key] = Model(len(unigram), unigram).unpack(params).tables()
-        near, far, norm = _tables[key]
-        known = {w: i for i, w in enumerate(words)}
         index = {w: i for i, (w, _) in enumerate(frequent)}
-        other, end, rare_at, get = len(words), known[END], len(index), index.get
+        rare_at, get, other = len(index), index.get, min(classes, len(index))
         logs = np.log10(np.array([n for _, n in frequent] + [0], float) + 0.5)
-        classes = np.array([known.get(w, other) for w, _ in frequent] + [other], np.int64)
         shape = pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int32())]))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), shape]
+        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.binary(), shape]
+        names = [x.split()[0] for x in ENCODED.split(", ")]
         for batch in batches:
             rows = []
             for doc_id, held, text in zip(*(batch.column(i) for i in range(3))):
                 t = tokens(text.as_py())
                 t.append(END)
                 at = np.fromiter((get(w, rare_at) for w in t), np.int64, len(t))
-                w = classes[at]
-                c = np.concatenate([[end, end], w])
-                u, v = c[:-2], c[1:-1]
-                lm = (near[v, w].astype(np.float64) + far[u, w] - norm[v, u]).sum() / np.log(10)
+                w = np.minimum(at, other)                    # frequent tokens stand in order of their classes
                 inside = at < rare_at
                 rare = Counter(t[i] for i in np.flatnonzero(~inside))
                 rows.append((doc_id.as_py(), held.as_py(), len(t), int(inside.sum()), int((w == other).sum()),
-                             float(logs[at[inside]].sum()), float(logs[at[inside & (w == other)]].sum()), float(lm),
-                             [{"token": x, "k": k} for x, k in rare.items()]))
+                             float(logs[at[inside]].sum()), float(logs[at[inside & (w == other)]].sum()),
+                             w.astype(np.uint16).tobytes(), [{"token": x, "k": k} for x, k in rare.items()]))
             columns = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=[x.split()[0] for x in SUMS.split(", ")][:8] + ["rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    return run
+
+
+def _log_probabilities(unigram: np.ndarray, params: np.ndarray, end: int):
+    """(row, classes) -> lm, the sum of the classes' log10 probabilities."""
+    key = zlib.crc32(params.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _tables:
+            _tables.clear()
+            _tables[key] = Model(len(unigram), unigram).unpack(params).tables()
+        near, far, norm = _tables[key]
+        for batch in batches:
+            sums = []
+            for classes in batch.column(1):
+                w = np.frombuffer(classes.as_buffer(), np.uint16).astype(np.int64)
+                c = np.concatenate([[end, end], w])
+                u, v = c[:-2], c[1:-1]
+                sums.append(float((near[v, w].astype(np.float64) + far[u, w] - norm[v, u]).sum()) / np.log(10))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["row", "lm"])
     return run
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The end and the tokens with the highest counts, ``most`` at most, by
+    falling count; a count whose tokens would not all fit is left out.  The
+    least count comes from the sizes of the counts' groups, so that tasks only
+    send tokens that are taken."""
+    ends = counts.where(F.col("token") == F.lit(END)).collect()
+    if not ends:
+        return [(END, 0)]
+    others = counts.where(F.col("token") != F.lit(END))
+    room, least = most - 1, None
+    # every group has a token, so no more than ``most`` groups can be taken
+    for r in others.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.col("n").desc()).limit(most).collect():
+        if r["k"] > room:
+            break
+        room, least = room - r["k"], r["n"]
+    taken = others.where(F.col("n") >= least).collect() if least is not None else []
+    found = [(bytes(r["token"]), r["n"]) for r in taken]
+    return [(END, ends[0]["n"]), *sorted(found, key=lambda x: (-x[1], x[0]))]
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT,
            classes: int = CLASSES) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known,
@@ -308,31 +338,34 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", freq
     documents all counts are zero and every token shares one class.  An empty
     table gives an empty result; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                        F.col(text_col).alias("text"))
-    training = read.where("not held_out")
-    counts = stored(token_counts(training), "lbl-counts")
+    counts = stored(token_counts(read.where("not held_out")), "lbl-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # at most ``frequent`` tokens; the end is always one of them
-    ends = counts.where(F.col("token") == F.lit(END)).collect()
-    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.col("n").desc(), "token").limit(frequent - 1).collect()
-    common = [(bytes(r["token"]), r["n"]) for r in [*ends, *top]] if ends else [(END, 0)]
-    words, unigram, params = train(training, common[:classes], total)
-    in_class = sum(n for _, n in common[:classes])
+    common = most_frequent(counts, frequent)
+    in_class = [n for _, n in common[:classes]]
+    unigram = np.array([*in_class, max(total - sum(in_class), 0)], float) + 0.5
+    unigram /= unigram.sum()
+    encoded = stored(read.mapInArrow(_encode(common, classes), ENCODED)
+                     .withColumn("row", F.monotonically_increasing_id()), "lbl-encoded")
+    params = train(encoded.where("not held_out").select("classes"), unigram, end=0)
+    logs = encoded.select("row", "classes").mapInArrow(_log_probabilities(unigram, params, 0), LOGS)
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.k")
+    n = F.coalesce("n", F.lit(0))
+    met = rare.join(counts, "token", "left").select(
+        "row", (F.col("k") * F.log10(n + F.lit(0.5))).alias("rare_logs"),
+        F.when(n > 0, F.col("k")).otherwise(0).alias("rare_known"), F.lit(0.0).alias("lm"))
+    # both meet in one aggregation by row
+    none = [F.lit(0.0).alias("rare_logs"), F.lit(0).alias("rare_known")]
+    sums = logs.select("row", *none, "lm").unionByName(met).groupBy("row").agg(
+        F.sum("rare_logs").alias("rare_logs"), F.sum("rare_known").alias("rare_known"), F.sum("lm").alias("lm"))
     spread = np.log10(total + 0.5 * (distinct + 1))
     # the class of the others: its tokens' smoothed counts and the unseen token's half
-    rest = np.log10(max(total - in_class, 0) + 0.5 * (max(distinct - len(words), 0) + 1))
-    sums = stored(read.mapInArrow(_sums(words, unigram, params, common), SUMS), "lbl-sums")
-    sums = stored(sums.withColumn("row", F.monotonically_increasing_id()), "lbl-rows")
-    rare = sums.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.k")
-    n = F.coalesce("n", F.lit(0))
-    met = (rare.join(counts, "token", "left").groupBy("row")
-           .agg(F.sum(F.col("k") * F.log10(n + F.lit(0.5))).alias("rare_logs"),
-                F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("rare_known")))
-    logs, seen = F.coalesce("rare_logs", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
-    return (sums.drop("rare").join(met, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_in") * F.lit(int(bool(ends))) + seen).cast("long").alias("n_known"),
+    rest = np.log10(max(total - sum(in_class), 0) + 0.5 * (max(distinct - len(in_class), 0) + 1))
+    known = F.col("n_in") if total else F.lit(0)
+    return encoded.drop("classes", "rare").join(sums, "row").select(
+        "doc_id", "held_out", "n_tokens", (known + F.col("rare_known")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_in") + logs - F.col("n_tokens") * F.lit(float(spread))).alias("base_score"),
-        (F.col("lm") + F.col("other_in") + logs - F.col("n_other") * F.lit(float(rest))).alias("score")))
+        (F.col("base_in") + F.col("rare_logs") - F.col("n_tokens") * F.lit(float(spread))).alias("base_score"),
+        (F.col("lm") + F.col("other_in") + F.col("rare_logs") - F.col("n_other") * F.lit(float(rest))).alias("score"))

@@ -191,6 +191,24 @@ def test_lm_beats_the_base_on_held_out_text(spark):
     assert score > base + 0.1 * sum(r.n_tokens for r in held)
 
 
+def test_contexts_begin_at_each_text():
+    import pyarrow as pa
+    texts = [[3, 4, 0], [0], [5, 6, 7, 0]]
+    batch = pa.RecordBatch.from_arrays([pa.array([np.array(t, np.uint16).tobytes() for t in texts])], names=["classes"])
+    (u, v, w), = lbl._contexts(iter([batch]), 0)
+    assert list(zip(u.tolist(), v.tolist(), w.tolist())) == [
+        (0, 0, 3), (0, 3, 4), (3, 4, 0), (0, 0, 0), (0, 0, 5), (0, 5, 6), (5, 6, 7), (6, 7, 0)]
+
+
+def test_most_frequent_tokens(spark):
+    rows = [(b"", 3)] + [(f"w{i}".encode(), n) for i, n in enumerate([9, 9, 5, 5, 5, 1, 1])]
+    counts = spark.createDataFrame([(bytearray(a), b) for a, b in rows], "token binary, n long")
+    assert lbl.most_frequent(counts, 6) == [(b"", 3), (b"w0", 9), (b"w1", 9), (b"w2", 5), (b"w3", 5), (b"w4", 5)]
+    assert lbl.most_frequent(counts, 5) == [(b"", 3), (b"w0", 9), (b"w1", 9)]
+    assert lbl.most_frequent(counts, 100)[1:] == [(a, b) for a, b in rows[1:]]
+    assert lbl.most_frequent(counts.limit(0), 5) == [(b"", 0)]
+
+
 def test_lm_probabilities_are_normalised():
     rng = np.random.default_rng(2)
     unigram = rng.random(50)
@@ -214,7 +232,7 @@ def test_nce_learns_a_conditional_distribution():
     t = lbl.Trainer(lbl.Model(n, unigram), unigram, seed=1)
     for at in range(2, len(s), 2048):
         w = np.arange(at, min(at + 2048, len(s)))
-        t.step(s[w - 2], s[w - 1], s[w])
+        t.step(*(s[i].astype(np.uint16) for i in (w - 2, w - 1, w)))
     near, far, norm = t.m.tables()
     at = np.arange(2, len(s))
     mean = float((near[s[at - 1], s[at]] + far[s[at - 2], s[at]] - norm[s[at - 1], s[at - 2]]).mean())
