@@ -22,37 +22,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.llm.common import bounded_batches
+
 LABELLED, POOL = 12_000, 12_000     # bounds of the fitting sample
 ROUNDS = 4
 EXCHANGED = 600                     # pseudo-labels of a class that a view hands over in a round, at most
 CONFIDENT = 0.98                    # calibrated probability from which a view is sure
 WORD_BUCKETS, META_BUCKETS = 512, 64
-CACHE = 400_000                     # words whose bucket a worker remembers
 
 _TEXT_STATS = 8
 TEXT_SIZE = 256 + _TEXT_STATS + WORD_BUCKETS
 META_SIZE = 2 * META_BUCKETS + 24
 
-_buckets: dict[str, int] = {}
-
-
-def _word_buckets(found: list[str]) -> np.ndarray:
-    if len(_buckets) > CACHE:
-        _buckets.clear()
-    for w in set(found):
-        if w not in _buckets:
-            _buckets[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
-    return np.fromiter(map(_buckets.__getitem__, found), np.int64, len(found))
-
-
 def text_features(text: str | None) -> np.ndarray:
     """Byte frequencies, shape statistics and hashed word frequencies of the
     whole text; zeros for null and empty texts."""
     out = np.zeros(TEXT_SIZE, np.float32)
     if not text:
         return out
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    out[:256] = 10 * np.sqrt(np.bincount(raw, minlength=256) / len(raw))
+    encoded = text.encode("utf-8", "surrogatepass")
+    out[:256] = 10 * np.sqrt(np.bincount(np.frombuffer(encoded, np.uint8), minlength=256) / len(encoded))
     w = text.split()
     if w:
         lines = text.count("\n") + 1
@@ -60,7 +49,8 @@ def text_features(text: str | None) -> np.ndarray:
             np.log1p(len(w)), len(set(w)) / len(w), len(text) / len(w) / 10, np.log1p(len(w) / lines),
             sum(map(str.isupper, w)) / len(w), sum(map(str.isalpha, w)) / len(w),
             sum(a == b for a, b in zip(w, w[1:])) / len(w), sum(map(str.isdigit, w)) / len(w))
-        out[256 + _TEXT_STATS:] = 10 * np.sqrt(np.bincount(_word_buckets(w), minlength=WORD_BUCKETS) / len(w))
+        hashes = np.fromiter(map(zlib.crc32, encoded.split()), np.int64)
+        out[256 + _TEXT_STATS:] = 10 * np.sqrt(np.bincount(hashes % WORD_BUCKETS, minlength=WORD_BUCKETS) / max(1, len(hashes)))
     return out
 
 
@@ -84,9 +74,11 @@ class Logistic:
         self.penalty, self.w, self.b = penalty, None, 0.0
         self.mean, self.scale = None, None
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 12) -> Logistic:
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-2
-        z = (x - self.mean) / self.scale
+    def fit(self, z: np.ndarray, y: np.ndarray, steps: int = 12) -> Logistic:
+        """``z`` is scaled in place: the caller hands over its copy."""
+        self.mean, self.scale = z.mean(0), z.std(0) + np.float32(1e-2)
+        z -= self.mean
+        z /= self.scale
         # classes count alike up to a factor of four
         bad = max(1e-3, float((y == 0).mean()))
         c = np.where(y == 0, min(4.0, max(1.0, (1 - bad) / bad)), 1.0).astype(np.float32)
@@ -119,7 +111,8 @@ class Logistic:
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.w + self.b
+        return np.concatenate([x[at:at + 2048].astype(np.float32) @ self.w + self.b
+                               for at in range(0, max(1, len(x)), 2048)])
 
 
 def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -184,8 +177,10 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
         views, scales = [], []
         for i in (0, 1):
             rows = np.fromiter(extra[i], np.int64, len(extra[i]))
-            x = np.concatenate([labelled[i][~apart], pools[i][rows]])
+            x = np.empty((int((~apart).sum()) + len(rows), labelled[i].shape[1]), np.float32)
+            x[:len(x) - len(rows)], x[len(x) - len(rows):] = labelled[i][~apart], pools[i][rows]
             views.append(Logistic().fit(x, np.concatenate([y[~apart], [extra[i][r] for r in rows]]).astype(np.float32)))
+            del x
             scales.append(calibrate(views[i].score(labelled[i][apart]), y[apart]))
         model = CoTrained(views, scales, np.zeros(3))
         if step == rounds or not len(pool_text):
@@ -211,7 +206,7 @@ def _features_udf():
     @F.pandas_udf("binary")
     def features(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for text, source, lang, n in batches:
-            yield pd.Series([np.concatenate([text_features(t), meta_features(s, g, c)]).tobytes()
+            yield pd.Series([np.concatenate([text_features(t), meta_features(s, g, c)]).astype(np.float16).tobytes()
                              for t, s, g, c in zip(text, source, lang, n)], dtype=object)
     return features
 
@@ -224,7 +219,8 @@ def _meta_columns(docs: DataFrame, names: tuple[str, str, str]) -> list[Column]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         meta: tuple[str, str, str] = ("source", "lang", "n_chars"), label_col: str = "quality",
         labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Collects the two bounded samples' features and co-trains on the driver.
+    """Collects the two bounded samples' features (half precision, two bytes
+    each, some 45 MB at the default bounds) and co-trains on the driver.
     A document with several labels counts by their mean; null labels and ids
     are left out, and of rows that repeat an id one is used."""
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -241,10 +237,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .select("ct_id", "r.*").orderBy(order, "ct_id").collect())
     if not rows:
         return None
-    x = np.frombuffer(b"".join(r["ct_x"] for r in rows), np.float32).reshape(len(rows), -1)
+    # labelled rows first, so that both parts are views
+    rows.sort(key=lambda r: r["ct_y"] < 0)
     y = np.array([r["ct_y"] for r in rows])
+    x = np.empty((len(rows), TEXT_SIZE + META_SIZE), np.float16)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["ct_x"], np.float16)
+        rows[i] = None
+    n = int((y >= 0).sum())
     t, m = x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]
-    return co_train(t[y >= 0], m[y >= 0], y[y >= 0], t[y < 0], m[y < 0])
+    return co_train(t[:n], m[:n], y[:n], t[n:], m[n:])
 
 
 def scores(docs: DataFrame, model: CoTrained | None, text_col: str = "text",
@@ -283,6 +285,7 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     without labels of both kinds everything is kept.  Columns of ``docs`` must
     not begin with ``ct_``.
     """
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col, meta, label_col)
     out = docs.withColumn("ct_scores", scores(docs, model, text_col, meta))
     return out.withColumn("ct_kept", F.col("ct_scores.score") >= least)
