@@ -13,7 +13,8 @@ per anchor finds every link.
 Only distinct fingerprints take part, so copies cost nothing.  An anchor with
 very many homes is split by the four bytes of the other half: two fingerprints
 that differ in at most three bits agree in one of them.  Per anchor a spanning
-forest of the links is kept instead of all pairs.
+forest of the links is kept instead of all pairs (a link of each replica, and
+those that join homes).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import stored
+from keyspan.llm.common import bounded_batches, stored
 from keyspan.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
@@ -131,8 +132,9 @@ def _cover(batches: Iterator[pa.RecordBatch], homes: bool, others: bool) -> Iter
 
 
 def _linked(homes: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links between an anchor's homes and replicas.
-    Pairs are compared in blocks; a link is kept only if it joins two trees."""
+    """Links between an anchor's homes and replicas that connect what all its
+    links connect: one for every replica that has any, and one for every home
+    that joins another home's tree.  Pairs are compared in blocks."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -141,17 +143,25 @@ def _linked(homes: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
             x = p
         return x
 
+    # the first home that each replica is near to; it stands for all pairs of that replica
+    first = np.full(len(others), -1)
     step = max(1, COMPARE_BLOCK // max(1, len(others)))
     for at in range(0, len(homes), step):
         h = homes[at:at + step]
         near = np.bitwise_count((h[:, None] ^ others[None, :]).view(np.uint64)) <= THRESHOLD
         near &= h[:, None] != others[None, :]
-        for i, j in zip(*np.nonzero(near)):
-            a, b = int(h[i]), int(others[j])
-            ra, rb = root(a), root(b)
+        new = near.any(axis=0) & (first < 0)
+        first[new] = at + near[:, new].argmax(axis=0)
+        i, j = np.nonzero(near)
+        # homes that share a replica are linked through it, once for each pair of a home and a first home
+        _, once = np.unique((i + at) * len(homes) + first[j], return_index=True)
+        for i, j in zip(i[once].tolist(), j[once].tolist()):
+            ra, rb = root(at + i), root(int(first[j]))
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
-                yield a, b
+                yield int(h[i]), int(others[j])
+    for j in np.flatnonzero(first >= 0).tolist():
+        yield int(homes[first[j]]), int(others[j])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is null only if no row of the component has an id.  An empty
     table gives an empty result.  Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     marked = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")),
                     "simhash-fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
