@@ -260,6 +260,27 @@ def test_blocks_by_markup():
     assert text_of("<article><header><h1>Title</h1></header><p>t</p></article><!-- unclosed <p>x") == "Title\n\nt"
 
 
+def test_wrappers_do_not_hide_the_article():
+    body = "<article><h1>Head</h1><p>the story</p></article>"
+    want = "Head\n\nthe story"
+    for page in (f"<body><form id=aspnet><div>{body}</div></form></body>",
+                 f"<body class='has-sidebar'>{body}<div class=sidebar>side</div></body>",
+                 f"<div class='content-with-sidebar'>{body}</div>", f"<div class='ads widget'><div>{body}</div></div>",
+                 "<article class='post comments-open'><h1>Head</h1><p>the story</p></article>",
+                 "<main id=widget><h1>Head</h1><p>the story</p></main>",
+                 "<div class=social><main><h1>Head</h1><p>the story</p></main></div>",
+                 f"<main><div class=page-widget>{body}</div></main>",
+                 f"<form><form>q</form>{body}</form>",
+                 "<body class=has-sidebar><div>Head</div><div>the story</div><nav>menu</nav></body>",
+                 "<form><h1>Head</h1><div>the story</div><footer>f</footer></form>",
+                 # teasers and comments beside or in an article stay out
+                 f"{body}<div class=related><article>teaser</article></div>",
+                 "<article><h1>Head</h1><p>the story</p><div class=comments><article>reader</article></div></article>",
+                 f"<form>search</form><aside><article>teaser</article></aside>{body}"):
+        assert text_of(page) == want, page
+    assert text_of("<form>" * 30000 + "x") == ""             # unclosed forms are searched once
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, host string, text string, blocks string")
 
