@@ -305,6 +305,28 @@ def test_repeats_of_a_host_are_removed(spark):
     assert mainpage.extracted(pages(spark, [])).count() == 0
 
 
+def test_blocks_that_stand_in_most_articles_are_removed(spark):
+    notice = "this site uses small files to keep you signed in"
+    story = lambda i: f"story {i} is about topic {i} and nothing else {i}"
+    page = lambda i, more="": f"<main><p>{story(i)}</p><div>{notice}</div>{more}</main>"
+    rows = [(i, f"https://a.example/p{i}", page(i), "", "", "") for i in range(20)]
+    # a passage that some articles share stays; so does a short heading that all have
+    rows += [(i, f"https://b.example/p{i}", f"<article><h2>Summary</h2><p>{story(i)}</p>"
+              + "<p>a passage that only some of the articles share</p>" * (i < 40) + "</article>", "", "", "")
+             for i in range(30, 60)]
+    # one article under many addresses is no repeat; a host with few articles has no boilerplate
+    rows += [(i, f"https://c.example/p{i}", f"<main><p>{story(60)}</p></main><nav>{i}</nav>", "", "", "") for i in range(60, 80)]
+    rows += [(i, f"https://d.example/p{i}", page(i), "", "", "") for i in range(80, 83)]
+    # beside open text, and twice in one article
+    rows += [(90, "https://a.example/open", page(90, f"<p>{notice}</p>") + "<div>open words</div>", "", "", "")]
+    got = {r.page_id: r.text.split("\n\n") for r in mainpage.extracted(pages(spark, rows)).collect()}
+    assert all(got[i] == [story(i)] for i in range(20))
+    assert all(got[i][:2] == ["Summary", story(i)] and len(got[i]) == 2 + (i < 40) for i in range(30, 60))
+    assert all(got[i] == [story(60)] for i in range(60, 80))
+    assert all(got[i] == [story(i), notice] for i in range(80, 83))
+    assert got[90] == [story(90), "open words"]
+
+
 def test_repeated_prefixes_against_brute_force(spark):
     import random
     rng = random.Random(4)
