@@ -424,20 +424,22 @@ def q_export_sorted(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     spec = TableSpec("orders", keys=("o_custkey",), pk=("o_orderkey",), chunks=200, order_by=("o_custkey", "o_orderkey"))
     path = scratch_path(spark, "sorted")
-    n = 5
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     write_tsv(export_range(o.repartitionByRange(n, *spec.order_by), spec), path)
-    # number the lines by file and place in it: the counts of the files before, plus the place
+    # number the lines by split and place in it: the counts of the splits before, plus the place
     lines = spark.read.option("lineSep", "\n").option("wholetext", False).text(path)
-    named = lines.select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    named = lines.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("at"))
     stored = scratch_path(spark, "sorted-lines")
     named.write.parquet(stored)
     named = spark.read.parquet(stored)
-    files = named.groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("first"))    # one row per file
+    # one row per split of a file; a split is read by one task, so its ids follow each other
+    splits = named.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     from pyspark.sql import Window
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    before = Window.orderBy(F.length("file"), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     f = F.split("value", "\t")
-    return named.join(files, "file").select(
+    return named.join(splits, ["file", "block"]).select(
         F.get(f, F.lit(0)).cast("long").alias("o_custkey"), F.get(f, F.lit(1)).cast("long").alias("o_orderkey"),
         (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"))
 

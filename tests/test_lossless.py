@@ -241,3 +241,20 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_sorted_export_numbers_lines_of_split_files(spark):
+    """Files of several splits, in as many files as the session has shuffle partitions."""
+    from keyspan.plans.catalog_moves import q_export_sorted
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {k: spark.conf.get(k) for k in names}
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_custkey", "o_orderkey")
+    want = [(i, r.o_custkey, r.o_orderkey) for i, r in enumerate(o.orderBy("o_custkey", "o_orderkey").collect(), 1)]
+    try:
+        for k, v in zip(names, ("4000", "1")):
+            spark.conf.set(k, v)
+        got = q_export_sorted(spark, "/root/testdata/sf0.01")
+        assert sorted((r.line, r.o_custkey, r.o_orderkey) for r in got.collect()) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
