@@ -249,14 +249,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of every component one
-    row, that of its smallest id (of repeated rows one).  A component whose
+    row, that of its smallest id (of repeated rows one).  An id may stand on
+    rows of several components: each keeps a row of its own.  A component whose
     rows all lack an id keeps one of them, too.  Columns must not begin with
     ``sh_``."""
     found = stored(near_duplicates(docs, id_col, text_col), "simhash-components")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("sh_keep")).distinct()
+    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("sh_keep")).agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("sh_kept"), (F.min("fp") != F.max("fp")).alias("sh_several"))
+    ids = stored(ids.where("sh_kept"), "simhash-ids")
+    keep = ids.where("not sh_several").select("sh_keep")
     # the join on the id leaves rows partitioned by it, so one row per id needs no second shuffle
     named = docs.join(keep, docs[id_col] == keep["sh_keep"], "left_semi").dropDuplicates([id_col])
+    # ids of several texts: the text says which component a row is in
+    twice = ids.where("sh_several").select("sh_keep")
+    roots = found.where("doc_id = component_id").join(twice, F.col("doc_id") == F.col("sh_keep"), "left_semi").select(
+        F.col("doc_id").alias("sh_id"), F.col("fp").alias("sh_fp"), F.col("root").alias("sh_root")).distinct()
+    several = (docs.join(twice, docs[id_col] == twice["sh_keep"], "left_semi").withColumn("sh_own", fingerprint(F.col(text_col)))
+               .join(roots, (F.col(id_col) == F.col("sh_id")) & (F.col("sh_own") == F.col("sh_fp")))
+               .dropDuplicates(["sh_root"]).select(*docs.columns))
     unnamed = found.where("component_id is null").select(F.col("fp").alias("sh_fp"), F.col("root").alias("sh_root")).distinct()
     rest = (docs.where(F.col(id_col).isNull()).withColumn("sh_own", fingerprint(F.col(text_col)))
             .join(unnamed, F.col("sh_own") == F.col("sh_fp")).dropDuplicates(["sh_root"]).select(*docs.columns))
-    return named.unionByName(rest)
+    return named.unionByName(several).unionByName(rest)

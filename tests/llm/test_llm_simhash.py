@@ -132,3 +132,11 @@ def test_deduplicated_keeps_one_of_each(spark):
     nulls = spark.createDataFrame([(None, "some words that stay"), (None, "some words that stay"), (None, "others here now")],
                                   "doc_id long, text string")
     assert sorted(r.text for r in simhash.deduplicated(nulls).collect()) == ["others here now", "some words that stay"]
+
+
+def test_deduplicated_keeps_every_text_of_a_repeated_id(spark):
+    texts = ["one text about the first thing of all", "some other words that stand for themselves here",
+             "a third document with its very own sentence"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (2, texts[2]), (3, texts[2])]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, texts[0]), (1, texts[1]), (2, texts[2])]
