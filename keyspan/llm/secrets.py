@@ -3,9 +3,11 @@
 Three fixed patterns give the base spans.  The method adds strings that a
 byte-level vocabulary cannot compress: words of natural or programming language
 take few tokens for their length, random strings many.  A candidate (a run of
-key characters, long enough, with letters and digits mixed) is a secret if it
-has less than ``RATIO`` characters per token, unless it is a known kind of
-digest or identifier.
+key characters, long enough, with letters) is a secret if it has less than
+``RATIO`` characters per token, unless it is a known kind of digest or
+identifier.  Letters without digits, or with digits at their end only, may be a
+word, so less is asked of them: ``CASED`` if capitals follow small letters,
+``PLAIN`` if not.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from keyspan.llm.common import bounded_batches
 
 KINDS = ("assign", "access", "hex", "random")    # in the order in which equal starts are listed
 RATIO = 2.2                 # characters per token below which a string counts as random
+CASED, PLAIN = 1.8, 1.6     # the same for strings shaped like words
 LEAST = 16                  # characters of a candidate
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -32,14 +35,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}(?![A-Za-z0-9+/_=-])" % LEAST)
 # known digests and identifiers: hex digests of the usual lengths, UUIDs, numbers, dates and versions,
-# words joined by separators, words with a number at an end
+# words joined by separators
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
     r"|sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*"
     r"|[0-9+/_=-]+"
-    r"|(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[+/_=-]+)+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)?"
-    r"|[+/_=-]*[A-Za-z]+[0-9]*[+/_=-]*)\Z")
+    r"|(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[+/_=-]+)+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)?)\Z")
+# no digits, or only behind the letters
+WORD = re.compile(r"[A-Za-z+/_=-]+[0-9]*[+/_=-]*\Z")
 
 
 def default_vocabulary() -> str:
@@ -64,9 +68,10 @@ def encoding(path: str):
 
 def random_string(s: str, path: str) -> bool:
     """Whether a candidate fails the token-efficiency test."""
-    if KNOWN.match(s) or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+    if KNOWN.match(s) or not re.search("[A-Za-z]", s):
         return False
-    return len(s) < RATIO * len(encoding(path).encode_ordinary(s))
+    ratio = RATIO if not WORD.match(s) else CASED if re.search("[a-z][A-Z]", s) else PLAIN
+    return len(s) < ratio * len(encoding(path).encode_ordinary(s))
 
 
 def find(text: str | None, path: str) -> list[tuple[str, int, int]]:

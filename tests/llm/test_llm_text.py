@@ -163,6 +163,18 @@ def test_random_strings_are_found_and_words_left_alone():
     assert found >= 297
 
 
+def test_random_letters_are_found_and_words_left_alone():
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n in (16, 20, 24, 32):
+        for tail in ("", "7", "42"):
+            found = sum(bool(by_hand("key " + "".join(rng.choices(letters, k=n)) + tail + " end")) for _ in range(300))
+            assert found >= 285, (n, tail)
+    for clean in ("getElementsByClassName", "ArrayIndexOutOfBoundsException2", "uncharacteristically", "INTERNATIONALIZATION",
+                  "Donaudampfschifffahrtsgesellschaft", "einpfauaueinchpf", "/usr/share/javaScript/nodeModules"):
+        assert not by_hand(f"a {clean} b"), clean
+
+
 def test_scan_and_redact(spark):
     from pyspark.sql import functions as F
     df = edge.docs(spark)
