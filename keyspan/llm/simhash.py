@@ -223,6 +223,21 @@ def links(fps: DataFrame) -> DataFrame:
             .mapInArrow(_compare, "a long, b long"))
 
 
+def _components(marked: DataFrame) -> DataFrame:
+    """Stored rows (doc_id, fp and others) -> the same with component_id (the
+    smallest id that links reach) and root (the component's smallest
+    fingerprint)."""
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    trees = stored(links(classes.select("fp")), "simhash-links")
+    rooted = stored(classes.join(components(trees).withColumnRenamed("node", "fp"), "fp"), "simhash-members")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("linked_first"))
+    linked = rooted.join(smallest, "root").select("fp", "root", "linked_first")
+    labelled = classes.join(linked, "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("linked_first")).alias("component_id"),
+        F.coalesce("root", "fp").alias("root"))
+    return marked.join(labelled, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp (the signed fingerprint), component_id
     (the smallest id that links reach from the row's text) and root (the
@@ -236,38 +251,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     marked = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")),
                     "simhash-fingerprints")
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    trees = stored(links(classes.select("fp")), "simhash-links")
-    rooted = stored(classes.join(components(trees).withColumnRenamed("node", "fp"), "fp"), "simhash-members")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("linked_first"))
-    linked = rooted.join(smallest, "root").select("fp", "root", "linked_first")
-    labelled = classes.join(linked, "fp", "left").select(
-        "fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("linked_first")).alias("component_id"),
-        F.coalesce("root", "fp").alias("root"))
-    return marked.join(labelled, "fp").select("doc_id", "fp", "component_id", "root")
+    return _components(marked).select("doc_id", "fp", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of every component one
     row, that of its smallest id (of repeated rows one).  An id may stand on
     rows of several components: each keeps a row of its own.  A component whose
-    rows all lack an id keeps one of them, too.  Columns must not begin with
-    ``sh_``."""
-    found = stored(near_duplicates(docs, id_col, text_col), "simhash-components")
-    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("sh_keep")).agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("sh_kept"), (F.min("fp") != F.max("fp")).alias("sh_several"))
-    ids = stored(ids.where("sh_kept"), "simhash-ids")
-    keep = ids.where("not sh_several").select("sh_keep")
-    # the join on the id leaves rows partitioned by it, so one row per id needs no second shuffle
-    named = docs.join(keep, docs[id_col] == keep["sh_keep"], "left_semi").dropDuplicates([id_col])
-    # ids of several texts: the text says which component a row is in
-    twice = ids.where("sh_several").select("sh_keep")
-    roots = found.where("doc_id = component_id").join(twice, F.col("doc_id") == F.col("sh_keep"), "left_semi").select(
-        F.col("doc_id").alias("sh_id"), F.col("fp").alias("sh_fp"), F.col("root").alias("sh_root")).distinct()
-    several = (docs.join(twice, docs[id_col] == twice["sh_keep"], "left_semi").withColumn("sh_own", fingerprint(F.col(text_col)))
-               .join(roots, (F.col(id_col) == F.col("sh_id")) & (F.col("sh_own") == F.col("sh_fp")))
-               .dropDuplicates(["sh_root"]).select(*docs.columns))
-    unnamed = found.where("component_id is null").select(F.col("fp").alias("sh_fp"), F.col("root").alias("sh_root")).distinct()
-    rest = (docs.where(F.col(id_col).isNull()).withColumn("sh_own", fingerprint(F.col(text_col)))
-            .join(unnamed, F.col("sh_own") == F.col("sh_fp")).dropDuplicates(["sh_root"]).select(*docs.columns))
-    return named.unionByName(several).unionByName(rest)
+    rows all lack an id keeps one of them, too.  A column that begins with
+    ``sh_`` raises ``ValueError``.
+
+    The rows are written once with a row number and their fingerprint.  What
+    stays is decided on those narrow columns; then the texts are shuffled once,
+    at any size, to meet the numbers of the rows that stay."""
+    if clash := [c for c in docs.columns if c.lower().startswith("sh_")]:
+        raise ValueError(f"columns {clash} begin with sh_, which the operator uses itself")
+    bounded_batches(docs.sparkSession)
+    rows = stored(docs.withColumn("sh_row", F.monotonically_increasing_id())
+                  .withColumn("sh_fp", fingerprint(F.col(text_col))), "simhash-rows")
+    found = _components(rows.select(F.col(id_col).alias("doc_id"), F.col("sh_fp").alias("fp"), "sh_row"))
+    # one row of each component: among those of the smallest id (of all, if none has an id) the first
+    first = found.where("doc_id <=> component_id").groupBy("root").agg(F.min("sh_row").alias("sh_row"))
+    keep = stored(first.select("sh_row"), "simhash-kept")
+    return rows.join(keep.hint("merge"), "sh_row", "left_semi").select(*docs.columns)

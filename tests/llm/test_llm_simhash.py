@@ -140,3 +140,16 @@ def test_deduplicated_keeps_every_text_of_a_repeated_id(spark):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (2, texts[2]), (3, texts[2])]
     got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, texts[0]), (1, texts[1]), (2, texts[2])]
+
+
+def test_deduplicated_names(spark):
+    clash = spark.createDataFrame([(1, "text", "x")], "doc_id long, text string, sh_row string")
+    with pytest.raises(ValueError):
+        simhash.deduplicated(clash)
+
+
+def test_deduplicated_reads_texts_in_python_once(spark):
+    """The plan that returns the rows has no Python in it: fingerprints are stored."""
+    out = simhash.deduplicated(spark.read.parquet(f"{SF}/documents.parquet"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "simhash" not in plan.replace("simhash-", "")
