@@ -14,6 +14,7 @@ documents, those with the smallest hash of their id.  Scoring covers every row.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -226,9 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("ct_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("ct_y")))
     order = F.xxhash64("ct_id")
-    sample = known.orderBy(order, "ct_id").limit(labelled)
-    others = (docs.select(F.col(id_col).alias("ct_id")).where("ct_id is not null").distinct()
-              .join(known, "ct_id", "left_anti").orderBy(order, "ct_id").limit(pool)
+    there = docs.select(F.col(id_col).alias("ct_id")).where("ct_id is not null").distinct()
+    # labels of other documents must not use up the sample
+    sample = known.join(there, "ct_id", "left_semi").orderBy(order, "ct_id").limit(labelled)
+    others = (there.join(known, "ct_id", "left_anti").orderBy(order, "ct_id").limit(pool)
               .withColumn("ct_y", F.lit(-1)))
     chosen = sample.unionByName(others)              # at most labelled + pool rows
     rows = (docs.join(F.broadcast(chosen), docs[id_col] == chosen["ct_id"])
@@ -282,10 +284,14 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Null and empty texts are zeros in the text view and are judged by what the
     labels say of such documents; null metadata are values of their own.
     Repeated rows are judged alike.  An empty table gives an empty result;
-    without labels of both kinds everything is kept.  Columns of ``docs`` must
-    not begin with ``ct_``.
+    without labels of both kinds on its documents everything is kept, with a
+    warning.  A column of ``docs`` that begins with ``ct_`` raises ``ValueError``.
     """
+    if clash := [c for c in docs.columns if c.lower().startswith("ct_")]:
+        raise ValueError(f"columns {clash} begin with ct_, which the operator uses itself")
     bounded_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col, meta, label_col)
+    if model is None:
+        warnings.warn("no documents labelled of both kinds: every document is kept", stacklevel=2)
     out = docs.withColumn("ct_scores", scores(docs, model, text_col, meta))
     return out.withColumn("ct_kept", F.col("ct_scores.score") >= least)

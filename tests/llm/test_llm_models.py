@@ -24,6 +24,24 @@ def test_cotraining_accuracy_on_held_out_labels(spark):
     assert got.lost <= 0.01 * got.good
 
 
+def test_cotraining_sample_is_of_its_documents(spark, monkeypatch):
+    """Labels of other documents do not use up the sample."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.doc_id for r in cotrain.classified(docs, labels).where("not ct_kept").collect()}
+    others = spark.range(10 ** 6, 10 ** 6 + 50_000).selectExpr("id doc_id", "0 quality", "0 toxic")
+    more = labels.selectExpr("doc_id", "quality", "toxic").unionByName(others)
+    got = {r.doc_id for r in cotrain.classified(docs, more).where("not ct_kept").collect()}
+    assert want and got == want
+
+
+def test_cotraining_says_when_it_does_nothing(spark):
+    df = edge.docs(spark)
+    with pytest.warns(UserWarning, match="every document is kept"):
+        cotrain.classified(df, spark.createDataFrame([(10 ** 6, 0), (10 ** 6 + 1, 1)], "doc_id long, quality int"))
+    with pytest.raises(ValueError):
+        cotrain.classified(df.withColumnRenamed("kept", "ct_kept"), spark.createDataFrame([], "doc_id long, quality int"))
+
+
 def test_cotraining_exchanges_confident_labels():
     """With few labels on one side the other view's pseudo-labels help."""
     rng = np.random.default_rng(0)
@@ -95,9 +113,18 @@ def by_query(df):
     return got
 
 
-@pytest.mark.parametrize("path", [f"{SF1}/embeddings.parquet", "/root/testdata/check_s/embeddings.parquet"])
-def test_recall(spark, path):
-    df = spark.read.parquet(path)
+def clustered(spark, n=12_000, centres=400, dim=32, seed=1):
+    """Vectors around centres that lie in groups themselves; more lists than a query opens."""
+    rng = np.random.default_rng(seed)
+    groups = rng.standard_normal((20, dim))
+    c = groups[rng.integers(0, 20, centres)] + 0.5 * rng.standard_normal((centres, dim))
+    x = c[rng.integers(0, centres, n)] + 0.25 * rng.standard_normal((n, dim))
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+
+
+@pytest.mark.parametrize("table", ["given", "clustered"])
+def test_recall(spark, table):
+    df = spark.read.parquet(f"{SF1}/embeddings.parquet") if table == "given" else clustered(spark)
     got = by_query(postings.search(df, lambda i: i % 100 == 0))
     want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()], lambda i: i % 100 == 0)
     assert set(got) == set(want)
