@@ -64,7 +64,6 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         steps = described.get("pre_tokenizer") or {}
@@ -73,11 +72,13 @@ class WordEncoder:
         # the one kind of tokenizer whose words and letter runs are known to be independent
         self.by_word = (steps == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"]
                         and described["model"].get("end_of_word_suffix") == "</w>")
+        # texts with a special token in them, which may reach over words, are encoded whole
+        self.special = [x["content"].lower() for x in described.get("added_tokens", [])]
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word:
+        if not self.by_word or self.special and ("<" in text and any(map(text.lower().__contains__, self.special))):
             return self._whole(text)
         found = text.replace("\n", " ").split(" ")
         ids = list(map(self.known.get, found))

@@ -83,8 +83,15 @@ def find(text: str | None, path: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    added = [("random", m.start(), m.end()) for m in CANDIDATE.finditer(text)
-             if not any(a < m.end() and m.start() < b for _, a, b in base) and random_string(m.group(), path)]
+    base.sort(key=lambda x: x[1])
+    added, at, far = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        # the end of the furthest base span that starts before the candidate's end
+        while at < len(base) and base[at][1] < m.end():
+            far = max(far, base[at][2])
+            at += 1
+        if far <= m.start() and random_string(m.group(), path):
+            added.append(("random", m.start(), m.end()))
     return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
