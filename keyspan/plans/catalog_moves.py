@@ -389,6 +389,50 @@ def q_replay(spark, sf_dir):
     return stopped.unionByName(merger.merged().select(F.lit("resumed").alias("phase"), *cols))
 
 
+@register("stream_merge_restart", """
+WITH s AS (SELECT max(event_id) // 3 AS cut, max(event_id) // 2 AS half FROM events),
+-- every change of source 0 is sent again by source 1 under the same sequence, with another value
+c AS (SELECT event_id, user_id, value, CAST(user_id % 3 AS VARCHAR) AS source FROM events
+      UNION ALL SELECT event_id, user_id, -value, '1' FROM events WHERE user_id % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, source DESC) AS k, 'all' AS phase FROM c
+      UNION ALL
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, source DESC), 'stopped' FROM c
+      WHERE event_id <= (SELECT half FROM s)
+      UNION ALL
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, source DESC), 'first' FROM c
+      WHERE event_id <= (SELECT cut FROM s) AND source <> '2')
+SELECT phase, user_id, event_id, value, source FROM r WHERE k = 1
+""")
+def q_merge_restart(spark, sf_dir):
+    """Three merger objects in a row on one folder.  The first takes in
+    two of three sources up to a position, the second stops all three together
+    at a later one, the third goes on to the end; sources, states, positions and
+    stop points come from the manifest.  Two sources share sequences."""
+    from keyspan.streaming.merge import StreamMerger, write_change_sources
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("user_id") % 3).alias("src"))
+    again = e.where("src = 0").select("event_id", "user_id", (-F.col("value")).alias("value"), F.lit(1).cast("long").alias("src"))
+    sent = e.withColumn("src", F.col("src").cast("long")).unionByName(again)
+    root, top = scratch_path(spark, "restart"), _top(e, "event_id")
+    paths = write_change_sources(sent, F.col("src"), f"{root}/in", "event_id")
+    kind = e.drop("src").schema
+    merger = lambda: StreamMerger(spark, kind, ["user_id"], "event_id", f"{root}/out")
+    cols = ["user_id", "event_id", "value", "source"]
+    first = merger()
+    for name, path in paths.items():
+        first.add_source(name, path)
+    first.pause("2")
+    first.run_available_now(until_seq=top // 3)
+    out = merger().merged().select(F.lit("first").alias("phase"), *cols)        # read by an object that ran nothing
+    second = merger()
+    second.replay_together(until=top // 2)
+    out = out.unionByName(merger().merged().select(F.lit("stopped").alias("phase"), *cols))
+    third = merger()
+    for name in sorted(third.paused):
+        third.resume(name)
+    third.run_available_now()
+    return out.unionByName(merger().merged().select(F.lit("all").alias("phase"), *cols))
+
+
 # --- B12, H2, H7-H9, H12, F4, G5 --------------------------------------------------------
 
 

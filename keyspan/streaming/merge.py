@@ -6,6 +6,9 @@ checkpoint, so sources can be added, removed, paused and resumed one at a
 time -- Spark does not allow changing the set of sources of one running
 query against the same checkpoint.
 
+What has been merged outlives the process: a manifest of sources, positions
+and stop point is versioned beside the sinks (:mod:`keyspan.streaming.manifest`).
+
 Sinks are append-only and exactly-once (file sink + checkpoint), one folder
 per source.  The merged table is *merge-on-read*: the latest change per key
 (largest sequence) over all source folders, one ``max_by`` aggregate with
@@ -15,6 +18,7 @@ is the batch, not the table.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,6 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from keyspan.operators.audit import row_hash
+from keyspan.sources.files import exists
+from keyspan.streaming.manifest import ACTIVE, PAUSED, REMOVED, Manifest, Source
+
+# --- Fixed values ---------------------------------------------------------------
+REPLAY_TIMEOUT_S = 3600
+# ---------------------------------------------------------------------------------
+
 
 class UnknownSource(KeyError):
     pass
@@ -32,44 +44,75 @@ class DuplicateSource(ValueError):
     pass
 
 
+class PositionsDiffer(RuntimeError):
+    """Sources that were to stop at one position stand at different ones."""
+
+
 @dataclass
 class StreamMerger:
+    """All state lives under ``root``: the sinks and checkpoints of Spark, and a
+    versioned manifest of the sources (paths, active / paused / removed,
+    positions) and of the stop point.  A new object on the same folder, in any
+    process, goes on where the last one stopped; every change of the manifest is
+    a new version, so of two writers one fails instead of undoing the other."""
     spark: SparkSession
     schema: T.StructType
     pk: list[str]
     seq: str
-    root: str                                   # shared folder: sinks + checkpoints
-    sources: dict[str, str] = field(default_factory=dict)
-    paused: set[str] = field(default_factory=set)
-    applied: list[str] = field(default_factory=list)   # every source whose changes were ever taken in
-    stop_at: object = None                             # I4: readers see changes up to this sequence
+    root: str                                   # shared folder: sinks, checkpoints, manifest
     _queries: dict[str, StreamingQuery] = field(default_factory=dict)
 
+    # --- state ---------------------------------------------------------------
+    def manifest(self) -> Manifest:
+        """The newest version."""
+        return Manifest.load(self.spark, self.root)
+
+    @property
+    def sources(self) -> dict[str, str]:
+        """The sources that still send, active or paused."""
+        return {n: s.path for n, s in self.manifest().sources.items() if s.state != REMOVED}
+
+    @property
+    def paused(self) -> set[str]:
+        return {n for n, s in self.manifest().sources.items() if s.state == PAUSED}
+
+    @property
+    def stop_at(self):
+        """I4: readers see changes up to this sequence (None: all)."""
+        return self.manifest().stop_at
+
+    def positions(self) -> dict[str, object]:
+        """The last committed position of every source, removed ones too."""
+        return {n: s.position for n, s in self.manifest().sources.items()}
+
     # --- source management -------------------------------------------------
     def add_source(self, name: str, path: str) -> None:
-        if name in self.sources:
+        """A removed source may be added again; it goes on behind what it sent."""
+        m = self.manifest()
+        if name in m.sources and m.sources[name].state != REMOVED:
             raise DuplicateSource(f"source {name} already merged")
-        self.sources[name] = path
+        before = m.sources.get(name)
+        m.sources[name] = Source(path, ACTIVE, before.position if before else None)
+        m.commit(self.spark, self.root)
 
     def remove_source(self, name: str) -> None:
         """The source sends no more; what it has applied stays."""
-        self._known(name)
-        self._stop(name)
-        del self.sources[name]
-        self.paused.discard(name)
+        self._set(name, REMOVED)
 
     def pause(self, name: str) -> None:
-        self._known(name)
-        self._stop(name)
-        self.paused.add(name)
+        self._set(name, PAUSED)
 
     def resume(self, name: str) -> None:
-        self._known(name)
-        self.paused.discard(name)
+        self._set(name, ACTIVE)
 
-    def _known(self, name: str) -> None:
-        if name not in self.sources:
+    def _set(self, name: str, state: str) -> None:
+        m = self.manifest()
+        if name not in m.sources or m.sources[name].state == REMOVED:
             raise UnknownSource(name)
+        if state != ACTIVE:
+            self._stop(name)
+        m.sources[name].state = state
+        m.commit(self.spark, self.root)
 
     def _stop(self, name: str) -> None:
         q = self._queries.pop(name, None)
@@ -87,52 +130,122 @@ class StreamMerger:
         """The change stream of one source."""
         return self.spark.readStream.schema(self.schema).parquet(self.sources[name]).withColumn("source", F.lit(name))
 
-    def run_available_now(self, until_seq=None) -> dict[str, dict]:
-        """Process everything currently in every active source, then stop.
-        Returns the last progress of each source's query.
+    def run_available_now(self, until_seq=None, timeout_s: float | None = None) -> dict[str, dict]:
+        """Process everything currently in every active source, then stop and
+        commit the positions.  Returns the last progress of each source's query.
 
         ``until_seq`` stops all sources at one position (I4).  The changes
         behind it are taken in as well, as a file may straddle it, but
         ``changes`` and ``merged`` only show those up to the position until
-        the next run without one."""
-        self.stop_at = until_seq
-        out = {}
-        for name in self.sources:
-            if name in self.paused:
-                continue
-            if name not in self.applied:
-                self.applied.append(name)
-            q = (self.stream(name).writeStream.format("parquet")
-                 .option("path", self.sink_path(name))
-                 .option("checkpointLocation", self.checkpoint_path(name))
-                 .trigger(availableNow=True).start())
-            self._queries[name] = q
-        for name, q in list(self._queries.items()):
-            q.awaitTermination()
+        the next run without one.  The stop point is committed before any
+        change is taken in, so a run that dies shows nothing behind it.  After
+        ``timeout_s`` the queries are stopped and ``TimeoutError`` is raised;
+        what they have committed stays."""
+        m = self.manifest()
+        names = [n for n, s in m.sources.items() if s.state == ACTIVE]
+        if m.stop_at != until_seq:
+            m.stop_at = until_seq
+            m.commit(self.spark, self.root)
+        for name in names:
+            self._queries[name] = (self.stream(name).writeStream.format("parquet")
+                                   .option("path", self.sink_path(name))
+                                   .option("checkpointLocation", self.checkpoint_path(name))
+                                   .trigger(availableNow=True).start())
+        out, late = {}, []
+        ends = None if timeout_s is None else time.monotonic() + timeout_s
+        for name in names:
+            q = self._queries[name]
+            if ends is None:
+                q.awaitTermination()
+            elif not q.awaitTermination(max(0.001, ends - time.monotonic())):
+                late.append(name)
             out[name] = q.lastProgress or {}
-            self._queries.pop(name, None)
+            self._stop(name)
+        self._commit_positions(names)
+        if late:
+            raise TimeoutError(f"sources {late} did not finish within {timeout_s} s")
         return out
 
+    def _commit_positions(self, names: list[str]) -> None:
+        found = self._applied(self._sinks(names)).groupBy("source").agg(F.max(self.seq).alias("p")).collect()   # a row a source
+        m = self.manifest()
+        for r in found:
+            m.sources[r["source"]].position = r["p"]
+        if m.changed:
+            m.commit(self.spark, self.root)
+
+    def replay_together(self, names: list[str] | None = None, until=None, timeout_s: float = REPLAY_TIMEOUT_S) -> object:
+        """I4: stops sources at the same position and pauses them there.
+
+        ``names`` default to all that still send, paused ones too; ``until``
+        to the furthest position that one of them has committed.  Each runs up
+        to there (``TimeoutError`` after ``timeout_s``); then every source must
+        have taken in whatever its input holds up to that position, or
+        ``PositionsDiffer`` is raised.  Returns the position."""
+        m = self.manifest()
+        names = sorted(names or self.sources)
+        if missing := [n for n in names if n not in m.sources or m.sources[n].state == REMOVED]:
+            raise UnknownSource(missing)
+        reached = [m.sources[n].position for n in names if m.sources[n].position is not None]
+        until = max(reached, default=None) if until is None else until
+        if until is None:
+            raise ValueError("no source has a position yet: name one")
+        for n, s in m.sources.items():
+            if s.state != REMOVED:
+                s.state = ACTIVE if n in names else PAUSED
+        m.commit(self.spark, self.root)
+        try:
+            self.run_available_now(until, timeout_s)
+        finally:
+            m = self.manifest()
+            for n in names:
+                m.sources[n].state = PAUSED
+            m.commit(self.spark, self.root)
+        if behind := self.behind(names, until):
+            raise PositionsDiffer(f"not at {until}: {behind}")
+        return until
+
+    def behind(self, names: list[str], until) -> dict[str, int]:
+        """How many changes up to a position the sources' inputs hold beyond
+        those taken in: {} if all stand there.  One aggregate over the sequence
+        column of inputs and sinks."""
+        here = F.col(self.seq) <= until
+        read = reduce(lambda a, b: a.unionByName(b), [
+            self.spark.read.schema(self.schema).parquet(self.manifest().sources[n].path).where(here)
+            .select(F.lit(n).alias("source"), F.lit(1).alias("n")) for n in names])
+        done = self._sinks(names)
+        if done is not None:
+            read = read.unionByName(done.where(here).select("source", F.lit(-1).alias("n")))
+        return {r["source"]: r["n"] for r in read.groupBy("source").agg(F.sum("n").alias("n")).where("n <> 0").collect()}
+
     # --- reading -----------------------------------------------------------------
     @property
     def sink_schema(self) -> T.StructType:
         return T.StructType([*self.schema.fields, T.StructField("source", T.StringType())])
 
-    def changes(self) -> DataFrame:
-        """Every committed change of every source, removed ones too (each sink
-        folder read through its own commit log, so partial files are never
-        seen), up to the position of a bounded replay."""
+    def _sinks(self, names) -> DataFrame | None:
+        """The committed changes of sources, each sink folder read through its
+        own commit log, so partial files are never seen."""
         parts = [self.spark.read.schema(self.sink_schema).parquet(self.sink_path(n))
-                 for n in self.applied if _exists(self.spark, self.sink_path(n))]
-        if not parts:
-            return self.spark.createDataFrame([], self.sink_schema)
-        found = reduce(lambda a, b: a.unionByName(b), parts)
-        return found if self.stop_at is None else found.filter(F.col(self.seq) <= self.stop_at)
+                 for n in names if exists(self.spark, self.sink_path(n))]
+        return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+    def _applied(self, found: DataFrame | None) -> DataFrame:
+        return self.spark.createDataFrame([], self.sink_schema) if found is None else found
+
+    def changes(self) -> DataFrame:
+        """Every committed change of every source, removed ones too, up to the
+        position of a bounded replay."""
+        m = self.manifest()
+        found = self._applied(self._sinks(m.sources))
+        return found if m.stop_at is None else found.filter(F.col(self.seq) <= m.stop_at)
 
     def merged(self) -> DataFrame:
-        """The latest change per key (largest ``seq``; a re-delivered
-        change is the same row and collapses).  Exactly one row per key."""
-        return latest_per_key(self.changes(), self.pk, self.seq)
+        """The latest change per key (largest ``seq``; of equal ones the
+        largest source name, then the largest row hash; a re-delivered change
+        is the same row and collapses).  Exactly one row per key, the same
+        whatever the order in which the changes came."""
+        return latest_per_key(self.changes(), self.pk, self.seq, ["source"])
 
     def progress(self, now_ts=None) -> DataFrame:
         """Per source, rows applied, last sequence, last event time and
@@ -145,16 +258,12 @@ class StreamMerger:
         return {"all_running": bool(active) and all(active), "any_running": any(active)}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Path test through Hadoop's FileSystem (works for HDFS / object stores)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def latest_per_key(changes: DataFrame, pk: list[str], seq: str) -> DataFrame:
+def latest_per_key(changes: DataFrame, pk: list[str], seq: str, ties: list[str] | None = None) -> DataFrame:
+    """The row of the largest ``seq`` of each key.  Equal sequences are decided
+    by the columns ``ties`` and then by the row's hash, never by arrival."""
     cols = [c for c in changes.columns if c not in pk]
-    pick = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(seq))
+    order = F.struct(F.col(seq), *[F.col(c) for c in ties or ()], row_hash(cols))
+    pick = F.max_by(F.struct(*[F.col(c) for c in cols]), order)
     return changes.groupBy(*pk).agg(pick.alias("__r")).select(*pk, *[F.col(f"__r.{c}").alias(c) for c in cols])
 
 
