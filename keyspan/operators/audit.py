@@ -116,12 +116,10 @@ def chunk_checksums(df: DataFrame, key: str, lo: int, hi: int, chunks: int, cols
                  F.sum(h.cast("decimal(38,0)")).alias("sum_hash")))
 
 
-def checksum_diff(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, chunks: int,
-                  cols) -> DataFrame:
-    """Chunks whose count or checksum differ between two copies (a
-    chunk missing on one side differs too).  Only these chunks need a row
-    diff (G3) afterwards.  Both copies' checksums are tagged and meet in one
-    aggregation, so the NULL bounds of the outer chunks need no care."""
+def compare_chunks(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, chunks: int, cols) -> DataFrame:
+    """``(chunk_min, chunk_max, a_rows, b_rows, same)`` of every chunk that
+    holds rows in either copy.  Both copies' checksums are tagged and meet in
+    one aggregation, so the NULL bounds of the outer chunks need no care."""
     side = lambda d, i: chunk_checksums(d, key, lo, hi, chunks, cols).withColumn("side", F.lit(i))
     of = lambda c, i: F.max(F.when(F.col("side") == i, F.col(c)))
     both = side(a, 0).unionByName(side(b, 1)).groupBy("chunk_min", "chunk_max").agg(
@@ -129,8 +127,16 @@ def checksum_diff(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, chunks
     same = F.lit(True)
     for c in ("rows", "xor_hash", "sum_hash"):
         same = same & F.col(f"{c}0").eqNullSafe(F.col(f"{c}1"))
-    return both.filter(~same).select("chunk_min", "chunk_max", F.coalesce("rows0", F.lit(0)).cast("long").alias("a_rows"),
-                                     F.coalesce("rows1", F.lit(0)).cast("long").alias("b_rows"))
+    return both.select("chunk_min", "chunk_max", F.coalesce("rows0", F.lit(0)).cast("long").alias("a_rows"),
+                       F.coalesce("rows1", F.lit(0)).cast("long").alias("b_rows"), same.alias("same"))
+
+
+def checksum_diff(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, chunks: int,
+                  cols) -> DataFrame:
+    """Chunks whose count or checksum differ between two copies (a
+    chunk missing on one side differs too).  Only these chunks need a row
+    diff (G3) afterwards."""
+    return compare_chunks(a, b, key, lo, hi, chunks, cols).filter(~F.col("same")).drop("same")
 
 
 def result_set_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyspan.operators.audit import row_hash
 from keyspan.operators.ranges import (chunk_ranges_from_bounds, export_file_name,
                                       key_range_predicate)
 from keyspan.spec import MAX_TABLE_MULTIPLIER, TableSpec
@@ -121,36 +122,44 @@ def export_chunks(shard_map: DataFrame, tables: dict[str, tuple[DataFrame, str]]
                                                         F.col("chunk_max")))
 
 
+def chunk_files(df: DataFrame, keys, chunks: DataFrame) -> DataFrame:
+    """Every row once for each chunk (``chunk_min``, ``chunk_max``,
+    ``file_name``) that any of its keys falls in.  Chunks are disjoint, so each
+    key adds one name to its row at most, and the names are made distinct
+    inside the row: repeated rows and rows without a primary key stay as they
+    are, and nothing is shuffled."""
+    from keyspan.operators.rangejoin import range_join
+    names = [f"__file{i}" for i in range(len(keys))]
+    for key, name in zip(keys, names):
+        df = range_join(df, key, chunks.select(F.col("chunk_min").alias("__cmin"), F.col("chunk_max").alias("__cmax"),
+                                               F.col("file_name").alias(name)),
+                        lo="__cmin", hi="__cmax", how="left").drop("__cmin", "__cmax")
+    held = F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull()))
+    return df.withColumn("file_name", F.explode(held)).drop(*names)
+
+
 def export_chunked(df: DataFrame, spec: TableSpec, chunks: DataFrame, path: str,
                    fmt: str = "parquet") -> DataFrame:
     """A3: write every chunk of ``df`` as its own partition directory in one
-    job and return the per-chunk row counts (summed = rows exported).  A
-    multi-key table writes a row once per chunk any of its keys falls in
-    (A8); the import side removes those duplicates."""
-    from keyspan.operators.rangejoin import range_join
-    tagged = None
-    for k in spec.keys:
-        t = range_join(df, k, chunks.select(F.col("chunk_min").alias("__cmin"),
-                                            F.col("chunk_max").alias("__cmax"),
-                                            F.col("file_name")),
-                       lo="__cmin", hi="__cmax")
-        tagged = t if tagged is None else tagged.unionByName(t)
-    if len(spec.keys) > 1:
-        # a row with two keys in the same chunk is written once per chunk
-        tagged = tagged.dropDuplicates([*spec.pk, "file_name"])
-    # cut lineage before the two actions (write + counts) re-run the join
-    from keyspan.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
-    out = tagged.drop("__cmin", "__cmax")
-    out = out.sortWithinPartitions("file_name", *spec.order_by)
-    # no shuffle by file: every task writes its slice of each chunk, so a hot
-    # chunk is written by many tasks in parallel
+    job and return the row counts ``(file_name, rows)`` of what was written,
+    read back (summed = rows exported).  A multi-key table writes a row once per
+    chunk any of its keys falls in (A8); the import side removes those copies.
+
+    One exchange by (chunk, primary key) ranges: a task writes the chunks of its
+    range, so there are about as many files as tasks and chunks together, and a
+    hot chunk is written by many tasks."""
+    tagged = chunk_files(df, spec.keys, chunks)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("file_name"), *[F.col(c) for c in spec.pk if c in df.columns], row_hash(df.columns)]
+    out = tagged.repartitionByRange(n, *order).sortWithinPartitions("file_name", *spec.order_by)
     if fmt == "tsv":
         write_tsv(out, path, ("file_name",))
+        # a row is a line: line ends in values are escaped
+        written = df.sparkSession.read.option("lineSep", "\n").text(path)
     else:
         out.write.mode("overwrite").partitionBy("file_name").parquet(path)
-    return tagged.groupBy("file_name").agg(F.count(F.lit(1)).cast("long").alias("rows"))
+        written = df.sparkSession.read.schema(out.schema).parquet(path)
+    return written.groupBy("file_name").agg(F.count(F.lit(1)).cast("long").alias("rows"))
 
 
 # --- A7 / A8 import conflict modes -------------------------------------------

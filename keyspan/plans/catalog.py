@@ -535,16 +535,13 @@ FROM files
 def q_multi_key_export(spark, sf_dir):
     # 100 chunks of the whole key space over both keys; a row
     # lands in one file per distinct chunk its keys hit; import dedups on pk
-    from keyspan.operators.ranges import chunk_ranges
-    from keyspan.operators.rangejoin import range_join
+    from keyspan.operators.ranges import chunk_ranges, export_file_name
+    from keyspan.operators.transfer import chunk_files
     li = _t(spark, sf_dir, "lineitem").select(*LINEITEM.pk)
     top = int(li.agg(F.greatest(F.max("l_partkey"), F.max("l_suppkey"))).first()[0])
     ch = chunk_ranges(spark, 0, top, LINEITEM.chunks)
-    tagged = None
-    for k in LINEITEM.keys:
-        t = range_join(li, k, ch, lo="chunk_min", hi="chunk_max")
-        tagged = t if tagged is None else tagged.unionByName(t)
-    files = tagged.dropDuplicates([*LINEITEM.pk, "chunk_min"])
+    files = chunk_files(li, LINEITEM.keys, ch.withColumn(
+        "file_name", export_file_name(F.lit("lineitem"), F.col("chunk_min"), F.col("chunk_max"))))
     exported = files.agg(F.count(F.lit(1)).cast("long").alias("exported_rows"))
     imported = files.select(*LINEITEM.pk).distinct().agg(
         F.count(F.lit(1)).cast("long").alias("imported_rows"))

@@ -26,6 +26,7 @@ from keyspan.operators.ranges import check_contiguous, even_split, key_range_pre
 from keyspan.operators.route import cutover, route_all_keys
 from keyspan.operators.transfer import prune_to_range
 from keyspan.plans.hooks import NO_HOOKS, Hooks
+from keyspan.sources.files import exists, names_in
 from keyspan.spec import TableSpec, shard_name_col
 
 
@@ -140,7 +141,7 @@ def merge(shards: dict[str, DataFrame], spec: TableSpec, out_path: str, tables_a
     return merge_count_validation(source, merged)
 
 
-def _rename(spark: SparkSession, a: str, b: str) -> None:
+def rename(spark: SparkSession, a: str, b: str) -> None:
     """One rename through Hadoop's file system; it must succeed."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(a).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -148,19 +149,14 @@ def _rename(spark: SparkSession, a: str, b: str) -> None:
         raise JobError(f"cannot rename {a} to {b}")
 
 
-def _exists(spark: SparkSession, a: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
 def swap_in(spark: SparkSession, live: str) -> None:
     """``<live>.new`` becomes the live table, which is kept as ``<live>.old``."""
-    if not _exists(spark, f"{live}.new"):
+    if not exists(spark, f"{live}.new"):
         raise JobError(f"nothing to swap in for {live}")
-    if _exists(spark, f"{live}.old"):
+    if exists(spark, f"{live}.old"):
         raise JobError(f"{live}.old is still there: remove the table kept by the last job first")
-    _rename(spark, live, f"{live}.old")
-    _rename(spark, f"{live}.new", live)
+    rename(spark, live, f"{live}.old")
+    rename(spark, f"{live}.new", live)
 
 
 def do_cutover(shard_map: DataFrame, cutover_id: int, pool: str, df: DataFrame | None = None,
@@ -228,7 +224,11 @@ def schema_change(table: DataFrame, alter, out_path: str, shard_col: str = "shar
     was written (``dry_run``: what would be), as one grouped aggregate (not one
     scan per shard).  Written partitioned by shard.  Returns one row per shard;
     with ``shards`` (a one-column list of names) shards holding no rows are
-    reported too.  A shard that is empty on one side only is never ``ok``."""
+    reported too, and shards that are not in the list still are.  A shard that
+    is empty on one side only is never ``ok``.  A folder that holds anything is
+    refused: a second run would write the rows again."""
+    if not dry_run and names_in(table.sparkSession, out_path):
+        raise JobError(f"{out_path} is not empty")
     new_all = alter(table)
     kept = [c for c in table.columns if c != shard_col and c in new_all.columns and
             table.schema[c].dataType == new_all.schema[c].dataType]
@@ -265,7 +265,7 @@ def schema_change(table: DataFrame, alter, out_path: str, shard_col: str = "shar
     if shards is None:
         return out
     names = shards.select(F.col(shards.columns[0]).alias(shard_col)).distinct()
-    found = names.join(out.withColumn("__seen", F.lit(True)), shard_col, "left")
+    found = names.join(out.withColumn("__seen", F.lit(True)), shard_col, "full")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     # a name without any row on either side is empty and unchanged
     return found.select(shard_col, F.coalesce("phase", F.when(is_first, "preflight").otherwise("rest")).alias("phase"),
@@ -286,7 +286,7 @@ class TableAlter:
     def run(self, alter, delayed_rename: bool = False, preflight: str | None = None) -> DataFrame:
         if self.state != "idle":
             raise JobError(f"{self.live} cannot be altered: it is {self.state}")
-        if _exists(self.spark, f"{self.live}.new"):
+        if exists(self.spark, f"{self.live}.new"):
             raise JobError(f"{self.live}.new of an earlier alter is still there")
         self.state = "being_altered"
         try:

@@ -10,6 +10,7 @@ CATALOG_MODULES = (
     "keyspan.plans.catalog_reports",
     "keyspan.plans.catalog_jobs",
     "keyspan.plans.catalog_moves",
+    "keyspan.plans.catalog_state",
 )
 
 
