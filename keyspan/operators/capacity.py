@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyspan.operators.rangejoin import BucketPlan, range_join
-from keyspan.operators.scan import grouped_scan, next_at_or_after, range_chunks
+from keyspan.operators.scan import grouped_scan
 
 # --- Fixed values (must equal the reference) ---------------------------------
 GB_DIVISOR = 1024.0 * 1049000.0      # bytes_to_gb divides by 1024 * 1049000
@@ -133,14 +133,9 @@ def dedup_history(hist: DataFrame) -> DataFrame:
 
 # --- E2 -----------------------------------------------------------------------
 
-ENTRY = "pool string, entry long, last long"
+PIECE = "pool string, entry long, last long, lo long, first boolean"
 ANCHOR = "pool string, ts long, used long"
-
-
-def _walks(ts: np.ndarray, gap: int) -> np.ndarray:
-    """For every position of a sorted array the next anchor's position (the
-    array's length if that lies behind it)."""
-    return np.searchsorted(ts, ts + gap, side="right")
+BLOCK_PERIODS = 8            # periods of a pool that always lie in one partition
 
 
 def _runs(batches, names: list[str]):
@@ -156,82 +151,120 @@ def _runs(batches, names: list[str]):
         yield pools.dictionary[codes[a]].as_py(), [x[a:b] for x in arrays]
 
 
-def _entry_map(gap: int):
-    """A partition's rows -> for every row at which a chain can enter it, the
-    last anchor that this chain reaches inside.  A chain comes in at the first
-    row after (an earlier anchor + gap), so at the first row that is more than
-    ``gap`` behind the partition's first one at the latest."""
+def _last_anchors(ts: np.ndarray, at: np.ndarray, gap: int) -> np.ndarray:
+    """Where the chains that start at the positions ``at`` have their last anchors."""
+    while True:
+        nxt = np.searchsorted(ts, ts[at] + gap, side="right")
+        inside = nxt < len(ts)
+        if not inside.any():
+            return at
+        at = np.where(inside, nxt, at)
+
+
+def _entry_pieces(gap: int):
+    """A partition's rows -> what it does to a chain that comes in: a step
+    function from the time from which the chain looks for its next anchor to the
+    last anchor that it reaches inside, one row (``entry``: the last time of
+    the step) for each step.
+
+    Only the first pool of a partition can come from another one, by a row of
+    its first period; all other pools start at their first row, and only the
+    last one of them goes on elsewhere."""
     def run(batches):
-        out = [[], [], []]
-        for pool, (ts,) in _runs(batches, ["ts"]):
-            nxt = _walks(ts, gap)
-            last = np.arange(len(ts))
-            while (inside := nxt[last] < len(ts)).any():
-                last = np.where(inside, nxt[np.minimum(last, len(ts) - 1)], last)
-            n = min(int(nxt[0]), len(ts) - 1) + 1
-            out[0] += [pool] * n
-            out[1].append(ts[:n])
-            out[2].append(ts[last[:n]])
-        flat = [pa.array(out[0], pa.string()), *[pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out[1:]]]
-        yield pa.RecordBatch.from_arrays(flat, names=["pool", "entry", "last"])
+        out = [[] for _ in range(5)]
+        runs = [(pool, ts) for pool, (ts,) in _runs(batches, ["ts"])]
+        for i, (pool, ts) in enumerate(runs):
+            if i not in (0, len(runs) - 1):
+                continue
+            # a chain that comes from outside enters no later than at the first row a whole gap behind the first one
+            n = 1 if i else min(int(np.searchsorted(ts, ts[0] + gap, side="right")), len(ts) - 1) + 1
+            last = _last_anchors(ts, np.arange(n), gap)
+            ends = np.flatnonzero(np.r_[last[1:] != last[:-1], True])
+            for x, v in zip(out, (np.repeat(pool, len(ends)).tolist(), ts[ends], ts[last[ends]], np.repeat(ts[0], len(ends)),
+                                  np.repeat(i == 0, len(ends)))):
+                x.extend(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (
+            pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["pool", "entry", "last", "lo", "first"])
     return run
 
 
 def _anchors_inside(gap: int):
-    """A partition's rows, with the row at which the chain enters (column
-    ``entry``, NULL if it passes by) -> the chain's anchors inside."""
+    """A partition's rows, with the time (``entry``) from which the chain of
+    its first pool looks for an anchor, NULL if it passes by -> the anchors."""
     def run(batches):
         out = [[], [], []]
-        for pool, (ts, used, entry) in _runs(batches, ["ts", "used", "entry"]):
-            if not np.isfinite(entry[0].astype(float)):
-                continue
-            nxt, i = _walks(ts, gap), int(np.searchsorted(ts, int(entry[0])))
-            while i < len(ts):
-                for x, v in zip(out, (pool, int(ts[i]), int(used[i]))):
-                    x.append(v)
-                i = int(nxt[i])
+        for i, (pool, (ts, used, entry)) in enumerate(_runs(batches, ["ts", "used", "entry"])):
+            at = 0
+            if i == 0:
+                if not np.isfinite(float(entry[0])):
+                    continue
+                at = int(np.searchsorted(ts, int(entry[0])))
+            found = []
+            while at < len(ts):
+                found.append(at)
+                at = int(np.searchsorted(ts, ts[at] + gap, side="right"))
+            for x, v in zip(out, ([pool] * len(found), ts[found], used[found])):
+                x.extend(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()),
                                           pa.array(out[2], pa.int64())], names=["pool", "ts", "used"])
     return run
 
 
-def segment_anchors(h: DataFrame, period: int = DAY) -> DataFrame:
-    """Anchors of the greedy segmentation with their ``used``: the first ts of
-    a pool, then repeatedly the first ts > anchor + period - 60.
-
-    The history is range-partitioned by (pool, ts) and sorted once.  Inside a
-    partition the chain is followed in memory; across partitions only *entry
-    maps* travel: for the rows of a partition's first period, the last anchor
-    that a chain entering there reaches.  The maps are composed by pointer
-    doubling (log2 of the partitions, on that small table), which marks each
-    partition's entry, and a second pass emits the anchors."""
-    gap = period - SEGMENT_SLACK
-    ranged = range_chunks(h.select("pool", "ts", "used"), ["pool", "ts"])
-    # the checkpoint keeps partitions and their order is settled here
-    ordered = ranged.sortWithinPartitions("pool", "ts")
-    maps = ordered.select("pool", "ts").mapInArrow(_entry_map(gap), ENTRY) \
-        .withColumn("key", F.xxhash64("pool", "entry")).checkpoint(eager=True)
-    steps = next_at_or_after(maps.select("pool", "entry"), maps.withColumn("__q", F.col("last") + F.lit(gap + 1)),
-                             ["pool"], "entry", "__q", "entry", "to")
-    jump = steps.filter(F.col("to").isNotNull()).select("pool", "entry", "to").checkpoint(eager=True)
-    reached = h.groupBy("pool").agg(F.min("ts").alias("entry")).checkpoint(eager=True)
+def entry_pieces(ordered: DataFrame, gap: int) -> DataFrame:
+    """The steps of every partition (see :func:`_entry_pieces`), with its id."""
+    rows = ordered.select("pool", "ts").mapInArrow(_entry_pieces(gap), PIECE)
+    return rows.withColumn("pid", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def _entered(pieces: DataFrame, gap: int) -> DataFrame:
+    """(pid, entry): from when the chain that comes into a partition's first
+    pool looks for an anchor; no row if it passes by.  The steps are composed
+    by pointer doubling, log2 of the partitions that a pool lies on."""
+    none = F.lit(None).cast("long")
+    points = pieces.select("pool", F.col("entry").alias("v"), F.lit(1).alias("kind"), none.alias("entry"), F.col("entry").alias("to"))
+    looks = pieces.select("pool", (F.col("last") + F.lit(gap + 1)).alias("v"), F.lit(0).alias("kind"), "entry", none.alias("to"))
+    # the steps of a pool: a few a partition, whatever its rows
+    w = Window.partitionBy("pool").orderBy(F.col("v").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    jump = (points.unionByName(looks).withColumn("to", F.min("to").over(w)).where("kind = 0 and to is not null")
+            .select("pool", "entry", "to", F.col("v").alias("q")))
+    start = pieces.groupBy("pool").agg(F.min("entry").alias("to"), F.min("lo").alias("q"))
+    # one table for both, so that a round is one job: steps (entry -> to, q) and what is reached (entry NULL)
+    both = jump.unionByName(start.withColumn("entry", none)).checkpoint(eager=True)
     for _ in range(64):
+        jump = both.where("entry is not null")
         if jump.isEmpty():
             break
-        stepped = reached.join(jump, ["pool", "entry"]).select("pool", F.col("to").alias("entry"))
-        reached = reached.unionByName(stepped).checkpoint(eager=True)
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = a.join(b, (F.col("a.pool") == F.col("b.pool")) & (F.col("a.to") == F.col("b.entry"))) \
-            .select(F.col("a.pool"), F.col("a.entry"), F.col("b.to")).checkpoint(eager=True)
+        on = jump.select("pool", F.col("entry").alias("to"), F.col("to").alias("to2"), F.col("q").alias("q2"))
+        further = both.join(on, ["pool", "to"]).select("pool", "entry", F.col("to2").alias("to"), F.col("q2").alias("q"))
+        both = both.where("entry is null").unionByName(further).checkpoint(eager=True)
     else:
         raise RuntimeError("segment chains longer than 2^64")
-    # a chain enters a partition once per pool: the entry among its own rows
-    spans = ranged.groupBy("pool", "__pid").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    at = spans.join(reached, "pool").filter(F.col("entry").between(F.col("lo"), F.col("hi"))) \
-        .groupBy("pool", "__pid").agg(F.min("entry").alias("entry"))
-    marked = ranged.join(at, ["pool", "__pid"], "left")
-    return marked.repartition("pool", "__pid").sortWithinPartitions("pool", "ts") \
-        .select("pool", "ts", "used", "entry").mapInArrow(_anchors_inside(gap), ANCHOR)
+    reached = both.select("pool", F.col("to").alias("entry"), "q")
+    return reached.join(pieces.where("first").select("pool", "entry", "pid"), ["pool", "entry"]).select("pid", F.col("q").alias("entry"))
+
+
+def segment_anchors(h: DataFrame, period: int = DAY) -> DataFrame:
+    """Anchors of the greedy segmentation with their ``used``: the first ts of
+    a pool, then repeatedly the first ts > anchor + period - 60.
+
+    The history (one row per pool and second) is range-partitioned by pool and
+    blocks of ``BLOCK_PERIODS`` periods and sorted once; that is the only
+    exchange of the rows.  Inside a partition chains are followed in memory.
+    Across partitions only step functions travel: for the partition's first
+    pool, which last anchor is reached by a chain that comes in during its first
+    period.  Their steps are bounded by the seconds of a period and merge as
+    chains do, so they do not grow with a partition's rows.  The second pass
+    reads the partitions as they lie, with one number each."""
+    from keyspan.session import checkpoint_dir
+    checkpoint_dir(h.sparkSession)
+    gap = period - SEGMENT_SLACK
+    n = int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (h.select("pool", F.col("ts").cast("long").alias("ts"), F.col("used").cast("long").alias("used"))
+               .repartitionByRange(n, F.col("pool"), F.floor(F.col("ts") / (BLOCK_PERIODS * period)))
+               .sortWithinPartitions("pool", "ts").withColumn("pid", F.spark_partition_id()).checkpoint(eager=True))
+    # at most one row for each of the n partitions
+    entered = F.broadcast(_entered(entry_pieces(ordered, gap), gap))
+    return ordered.join(entered, "pid", "left").select("pool", "ts", "used", "entry").mapInArrow(_anchors_inside(gap), ANCHOR)
 
 
 def segmentify(hist: DataFrame, period: int = DAY, deduped: bool = False) -> DataFrame:

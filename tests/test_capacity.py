@@ -158,3 +158,41 @@ def test_history_fixture_exact(spark):
     want = {r.event_type: r.s for r in ev.groupBy("event_type").agg(
         F.sum(F.round(F.col("value") * 100).cast("long") * 10000).alias("s")).collect()}
     assert {r.pool: r.u for r in last} == want
+
+
+@pytest.mark.parametrize("blocks,partitions,seed", [(1, 7, 0), (1, 16, 1), (2, 5, 2), (8, 3, 3)])
+def test_segments_over_many_partitions(spark, monkeypatch, blocks, partitions, seed):
+    """Chains that cross, skip and start in partitions, by the sequential model."""
+    monkeypatch.setattr(cap, "BLOCK_PERIODS", blocks)
+    rng = random.Random(seed)
+    rows = []
+    for pool, n, step in (("dense", 3000, 400), ("even", 60, 86340), ("gaps", 200, 90_000), ("few", 2, 10), ("one", 1, 1),
+                          ("steps", 800, 86_340 // 4)):
+        t, used = rng.randint(0, 10 ** 6), 0
+        for i in range(n):
+            t += step if pool in ("even", "steps") else rng.randint(1, 2 * step)
+            used += rng.randint(0, 50)
+            rows.append((pool, t, len(rows), used))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = sorted((r.pool, r.seg_start, r.seg_end) for r in cap.segmentify(_hist(spark, rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted((p, a, b) for p, a, b, *_ in model_segments(rows))
+
+
+def test_entry_steps_do_not_grow_with_rows(spark):
+    """A partition's step function has the chains of a period, however many rows it holds."""
+    gap = cap.DAY - cap.SEGMENT_SLACK
+    found = []
+    for n in (2_000, 20_000, 100_000):
+        h = spark.range(n).selectExpr("'p' pool", f"int(id * 40 * {cap.DAY} / {n}) + pmod(hash(id), 5) ts", "id used")
+        ordered = (h.dropDuplicates(["ts"]).repartitionByRange(4, F.floor(F.col("ts") / (8 * cap.DAY))).sortWithinPartitions("ts"))
+        pieces = cap.entry_pieces(ordered.selectExpr("pool", "cast(ts as long) ts"), gap)
+        found.append(pieces.count() / 4)
+    assert found[2] < 2 * found[1] or found[2] < 86_400 / 4
+    short = spark.range(20_000).selectExpr("'p' pool", "id ts", "id used")       # all of it shorter than a period
+    assert len(cap.segmentify(_hist(spark, [("p", i, i, i) for i in range(5000)])).collect()) == 1
+    ordered = short.repartitionByRange(16, F.floor(F.col("ts") / (8 * cap.DAY))).sortWithinPartitions("ts")
+    assert cap.entry_pieces(ordered, gap).count() <= 20_000
