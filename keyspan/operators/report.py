@@ -17,6 +17,7 @@ from keyspan.operators.scan import grouped_lag, grouped_scan
 
 # --- Fixed values -------------------------------------------------------------
 DIGEST_LIMIT = 30           # top 30 slowest query classes
+PERCENTILE_ACCURACY = 10_000
 POLL_TRIES = 8              # samples per poll
 CONN_MAX = 4                # more connections than this: taking connections
 CONN_THRESHOLD = 1          # more new connections than this in the interval
@@ -93,6 +94,17 @@ def invert_results(results: DataFrame, key: str, value: str, error: str | None =
                                 F.count(F.lit(1)).cast("long").alias("n"))
 
 
+def result_classes(results: DataFrame, key: str, value: str, error: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """D15 at any size: the classes ``(value, failed, n)`` and the membership
+    table ``(value, failed, key)`` that belongs to them.  Keys with an error are
+    a class of their own per error (``value`` NULL, ``failed`` the error).  The
+    classes are a partial aggregate, the members are not grouped at all, so a
+    value that nearly all keys return is no single row or task."""
+    failed = F.col(error).cast("string") if error is not None else F.lit(None).cast("string")
+    members = results.select(F.when(failed.isNull(), F.col(value)).alias(value), failed.alias("failed"), F.col(key))
+    return members.groupBy(value, "failed").agg(F.count(F.lit(1)).cast("long").alias("n")), members
+
+
 def first_by_priority(df: DataFrame, group: str, is_local: Column, seq: str, cols) -> DataFrame:
     """Per group, the row of a local copy beats a remote one; among
     equals the last (largest ``seq``) wins.  ``max_by`` aggregate: partial
@@ -113,15 +125,22 @@ def fingerprint(stmt: Column) -> Column:
 
 
 def query_digest(log: DataFrame, stmt: str, ms: str, db: str | None = None, db_col: str | None = None,
-                 limit: int = DIGEST_LIMIT) -> DataFrame:
+                 limit: int = DIGEST_LIMIT, accuracy: int = PERCENTILE_ACCURACY, by_db: bool = False) -> DataFrame:
     """Top ``limit`` query classes by total time (a TakeOrdered, not
-    a full sort), optional database filter: count, total, mean and max
-    milliseconds."""
+    a full sort), optional database filter or, with ``by_db``, a class per
+    database: count, total, mean, median, 95th percentile and maximum
+    milliseconds.  Percentiles come from a mergeable sketch per class (partial
+    and final), whose rank error is at most 1 / ``accuracy`` of the calls; up to
+    about that many calls it is exact."""
+    if (db is not None or by_db) and db_col is None:
+        raise ValueError("a database filter needs the column that names the database")
     d = log if db is None else log.filter(F.col(db_col) == db)
-    g = d.groupBy(fingerprint(F.col(stmt)).alias("fingerprint")).agg(
+    keys = [fingerprint(F.col(stmt)).alias("fingerprint"), *([F.col(db_col).alias("db")] if by_db else [])]
+    g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("long").alias("calls"), F.sum(ms).alias("total_ms"),
-        F.avg(ms).alias("mean_ms"), F.max(ms).alias("max_ms"))
-    return g.orderBy(F.col("total_ms").desc(), "fingerprint").limit(limit)
+        F.avg(ms).alias("mean_ms"), F.percentile_approx(ms, [0.5, 0.95], accuracy).alias("__p"), F.max(ms).alias("max_ms"))
+    return (g.orderBy(F.col("total_ms").desc(), *[k for k in ("fingerprint", "db") if k in g.columns]).limit(limit)
+            .withColumns({"p50_ms": F.col("__p")[0], "p95_ms": F.col("__p")[1]}).drop("__p"))
 
 
 def poll_stats(samples: DataFrame, node: str, order, value: str, tries: int = POLL_TRIES) -> DataFrame:

@@ -149,18 +149,18 @@ def shard_targets(shard_map: DataFrame) -> DataFrame:
 def merged_cover(shard_map: DataFrame) -> DataFrame:
     """For each shard, the merged shard covering it: a different shard in
     state initialized/ready whose range contains it; infinite ranges are
-    excluded on both sides.  An equi-join on the pool of the small map; its size
-    decides the strategy."""
-    a = shard_map.filter(F.col("max_id").isNotNull()).alias("a")
-    b = shard_map.filter(F.col("max_id").isNotNull() & F.col("state").isin("initialized", "ready")) \
-        .alias("b")
-    cond = ((F.col("a.pool") == F.col("b.pool")) & (F.col("b.min_id") <= F.col("a.min_id")) &
-            (F.col("b.max_id") >= F.col("a.max_id")) & (F.col("a.name") != F.col("b.name")))
-    j = a.join(b, cond, "inner")
-    return (j.select(F.col("a.name").alias("name"), F.col("b.name").alias("merged_name"),
-                     F.col("b.seq").alias("__s"))
-            .withColumn("__rk", F.row_number().over(Window.partitionBy("name").orderBy("__s")))
-            .filter("__rk = 1").drop("__rk", "__s"))
+    excluded on both sides, of several covers the first in the list counts.
+
+    A cover holds the shard's first id, so shards meet their possible covers in
+    the bucketed range join of that id, not in pairs of all shards of a pool."""
+    a = shard_map.filter(F.col("max_id").isNotNull()).select("pool", "name", "min_id", "max_id")
+    b = (shard_map.filter(F.col("max_id").isNotNull() & F.col("state").isin("initialized", "ready"))
+         .select("pool", F.col("name").alias("merged_name"), F.col("min_id").alias("__lo"), F.col("max_id").alias("__hi"),
+                 F.col("seq").alias("__seq")))
+    held = range_join(a, "min_id", b, lo="__lo", hi="__hi", on=("pool",))
+    covers = held.filter((F.col("__hi") >= F.col("max_id")) & (F.col("name") != F.col("merged_name")))
+    # names are unique in a map, and a pool's list numbers too
+    return covers.groupBy("name").agg(F.min_by("merged_name", F.struct("__seq", "merged_name")).alias("merged_name"))
 
 
 def shards_within(shard_map: DataFrame, lo: int, hi: int, pool: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.plans.catalog import _drifted, _t, DRIFT_SQL, register
+from keyspan.plans.catalog import DRIFT_SQL, _drifted, _t, register
 from keyspan.session import scratch_path
 from keyspan.spec import LINEITEM, ORDERS
 
@@ -100,3 +100,103 @@ def q_schema_change_unlisted(spark, sf_dir):
     names = spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("9-NONE",)], "name string")
     return schema_change(o, lambda d: d.where("shard <> '3-MEDIUM'").withColumn("new_column", F.lit(1)),
                          scratch_path(spark, "alter-unlisted"), preflight="1-URGENT", shards=names)
+
+
+# --- G4, G5 ---------------------------------------------------------------------------
+
+
+@register("interval_subset", """
+WITH a AS (SELECT event_type AS source, event_id AS id FROM events),
+b AS (SELECT event_type AS source, event_id AS id FROM events WHERE value >= 5 OR event_type <> 'view'),
+m AS (SELECT source, CAST(count(*) FILTER (b.id IS NULL) AS BIGINT) AS missing FROM a LEFT JOIN b USING (source, id) GROUP BY source)
+SELECT source, missing, missing = 0 AS subset, (SELECT sum(missing) FROM m) = 0 AS all_subset FROM m
+""")
+def q_interval_subset(spark, sf_dir):
+    """Whether one set holds another, source by source and as a whole."""
+    from keyspan.operators import intervals as iv
+    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("source"), "event_id", "value")
+    a = iv.ids_to_intervals(e, ["source"], "event_id")
+    b = iv.ids_to_intervals(e.where("value >= 5 or source <> 'view'"), ["source"], "event_id")
+    found = iv.subset_by(a, b, ["source"])
+    return found.withColumn("all_subset", iv.is_subset(a, b, ["source"]).scalar())
+
+
+@register("interval_pick_source", """
+WITH t AS (SELECT min(event_type) AS source FROM events),
+a AS (SELECT DISTINCT event_id // 2 AS id FROM events JOIN t ON event_type = source),
+r AS (SELECT id, id - row_number() OVER (ORDER BY id) AS isl FROM a)
+SELECT (SELECT source FROM t) AS source, min(id) AS lo, max(id) AS hi FROM r GROUP BY isl
+""")
+def q_interval_pick(spark, sf_dir):
+    """One source's part of an interval set, that of the first source by name."""
+    from keyspan.operators import intervals as iv
+    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.floor(F.col("event_id") / 2).alias("id"))
+    return iv.pick_source(iv.ids_to_intervals(e, ["source"], "id"), e.select(F.min("source")).first()[0])
+
+
+# --- C2 -------------------------------------------------------------------------------
+
+
+@register("merged_cover_shards", """
+WITH s AS (
+  SELECT 'pool' || (c_nationkey % 3) AS pool, 'shard-' || c_custkey AS name, CAST(c_custkey AS BIGINT) AS min_id,
+         CASE WHEN c_custkey % 29 <> 0 THEN CAST(c_custkey + (c_custkey * 7919) % 50 AS BIGINT) END AS max_id,
+         CASE c_custkey % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'merging' WHEN 2 THEN 'initialized' ELSE 'child' END AS state,
+         (c_custkey * 31) % 1009 AS seq FROM customer)
+SELECT a.name, arg_min(b.name, (b.seq, b.name)) AS merged_name FROM s a JOIN s b
+  ON a.pool = b.pool AND b.min_id <= a.min_id AND b.max_id >= a.max_id AND a.name <> b.name AND b.state IN ('ready', 'initialized')
+WHERE a.max_id IS NOT NULL GROUP BY a.name
+""")
+def q_merged_cover(spark, sf_dir):
+    """C2 on a map of one shard a customer, with nested and open ranges."""
+    from keyspan.operators.route import merged_cover
+    k = F.col("c_custkey").cast("long")
+    state = F.when(k % 4 == 0, "ready").when(k % 4 == 1, "merging").when(k % 4 == 2, "initialized").otherwise("child")
+    m = _t(spark, sf_dir, "customer").select(
+        F.concat(F.lit("pool"), (F.col("c_nationkey") % 3).cast("string")).alias("pool"),
+        F.concat(F.lit("shard-"), k.cast("string")).alias("name"), k.alias("min_id"),
+        F.when(k % 29 != 0, k + (k * 7919) % 50).alias("max_id"), state.alias("state"), ((k * 31) % 1009).alias("seq"))
+    return merged_cover(m)
+
+
+# --- D15, D17 -------------------------------------------------------------------------
+
+
+@register("result_classes", """
+WITH r AS (SELECT o_orderkey, CASE WHEN o_custkey % 50 <> 0 THEN o_orderpriority END AS priority,
+                  CASE WHEN o_custkey % 50 = 0 THEN 'lost ' || (o_orderkey % 3) END AS failed FROM orders)
+SELECT priority, failed, o_orderkey, CAST(count(*) OVER (PARTITION BY priority, failed) AS BIGINT) AS n FROM r
+""")
+def q_result_classes(spark, sf_dir):
+    """Every order's result, the class it is in and that class's size;
+    errors are classes of their own."""
+    from keyspan.operators.report import result_classes
+    lost = F.col("o_custkey") % 50 == 0
+    r = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.when(
+        lost, F.concat(F.lit("lost "), (F.col("o_orderkey") % 3).cast("string"))).alias("error"))
+    classes, members = result_classes(r, "o_orderkey", "priority", "error")
+    same = F.col("m.priority").eqNullSafe(F.col("c.priority")) & F.col("m.failed").eqNullSafe(F.col("c.failed"))
+    return members.alias("m").join(classes.alias("c"), same).select("m.priority", "m.failed", "o_orderkey", "n")
+
+
+@register("slow_query_percentiles", """
+WITH l AS (SELECT event_type AS fingerprint, 'db' || (user_id % 4) AS db, value FROM events)
+SELECT 'all' AS scope, fingerprint, db, CAST(count(*) AS BIGINT) AS calls, round(sum(value), 4) AS total_ms,
+       quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms
+FROM l GROUP BY ALL
+UNION ALL
+SELECT 'db1', fingerprint, NULL, CAST(count(*) AS BIGINT), round(sum(value), 4), quantile_disc(value, 0.5),
+       quantile_disc(value, 0.95), max(value)
+FROM l WHERE db = 'db1' GROUP BY ALL
+""")
+def q_query_percentiles(spark, sf_dir):
+    """Median and 95th percentile of every class and database, and of one
+    database alone."""
+    from keyspan.operators.report import query_digest
+    log = _t(spark, sf_dir, "events").select(
+        "event_type", F.concat(F.lit("db"), (F.col("user_id") % 4).cast("string")).alias("db"), "value")
+    cols = ["calls", F.round("total_ms", 4).alias("total_ms"), "p50_ms", "p95_ms", "max_ms"]
+    every = query_digest(log, "event_type", "value", db_col="db", by_db=True)
+    one = query_digest(log, "event_type", "value", db="db1", db_col="db")
+    return every.select(F.lit("all").alias("scope"), "fingerprint", "db", *cols).unionByName(
+        one.select(F.lit("db1").alias("scope"), "fingerprint", F.lit(None).cast("string").alias("db"), *cols))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -109,3 +110,44 @@ def test_range_join_shuffle_path_matches_broadcast(spark):
     a = sorted(tuple(r) for r in range_join(df, "k", ranges, how="left").collect())
     b = sorted(tuple(r) for r in range_join(df, "k", ranges, how="left", broadcast_max_rows=0).collect())
     assert a == b
+
+
+@pytest.mark.parametrize("partitions,seed", [(1, 0), (3, 1), (9, 2), (30, 3)])
+def test_interval_sweep_over_partitions(spark, partitions, seed):
+    """Intervals open over one or many partition edges, repeated and nested ones, a NULL group."""
+    rng = random.Random(seed)
+    make = lambda n, far: [(rng.choice(["a", "b", None, "z"]), lo := rng.randint(0, 300), lo + rng.choice([0, 1, 3, far]))
+                           for _ in range(n)]
+    a, b = make(60, 120) + [("whole", 0, 5000)] + [("dots", 2 * i, 2 * i) for i in range(300)], make(40, 30) + [("whole", 100, 101)]
+
+    def ids(rows):
+        out = {}
+        for g, lo, hi in rows:
+            out.setdefault(g, set()).update(range(lo, hi + 1))
+        return out
+
+    def runs(sets):
+        out = set()
+        for g, s in sets.items():
+            for x in s:
+                if x - 1 not in s:
+                    hi = x
+                    while hi + 1 in s:
+                        hi += 1
+                    out.add((g, x, hi))
+        return out
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        fa, fb = (spark.createDataFrame(x, "g string, lo long, hi long") for x in (a, b))
+        got = [tuple(r) for r in iv.merge_intervals(fa, ["g"]).collect()]
+        extra = [tuple(r) for r in iv.interval_difference(fa, fb, ["g"]).collect()]
+        missing = {r.g: (r.missing, r.subset) for r in iv.subset_by(fa, fb, ["g"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sa, sb = ids(a), ids(b)
+    left = {g: s - sb.get(g, set()) for g, s in sa.items()}
+    assert len(got) == len(set(got)) and set(got) == runs(sa)
+    assert len(extra) == len(set(extra)) and set(extra) == runs(left)
+    assert missing == {g: (len(s), not s) for g, s in left.items()}
