@@ -287,15 +287,19 @@ hit AS (SELECT s.event_type, s.event_id, s.k,
 SELECT event_type AS node, 'caught_up' AS status, CAST(k AS BIGINT) AS polls, event_id AS at_seq FROM hit WHERE r = 1
 """)
 def q_caught_up_stream(spark, sf_dir):
-    """The stateful detector run as a stream over the polls, sink read
-    back."""
+    """The stateful detector run as a stream over polls that come out of
+    order, sink read back."""
+    from keyspan.operators.scan import grouped_scan
     from keyspan.streaming.monitor import caught_up_stream
     e = _t(spark, sf_dir, "events").select("event_type", "event_id",
                                            F.floor(F.col("value") / 50).alias("lag"))
+    # a poll's number in its node; every file holds polls from all over, and a file is a batch
+    e = grouped_scan(e.withColumn("one", F.lit(1)), ["event_type"], ["event_id"], "one", "sum", "number").drop("one")
+    e = e.repartition(5, F.xxhash64("event_id"))
     root = scratch_path(spark, "caughtup")
     e.write.mode("overwrite").parquet(f"{root}/in")
-    s = spark.readStream.schema(e.schema).parquet(f"{root}/in")
-    out = caught_up_stream(s, "event_type", "event_id", "lag", timeout_s=None)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = caught_up_stream(s, "event_type", "event_id", "lag", timeout_s=None, number="number", first=1)
     q = (out.writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/ckpt").outputMode("append")
          .trigger(availableNow=True).start())

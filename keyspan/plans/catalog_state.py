@@ -200,3 +200,91 @@ def q_query_percentiles(spark, sf_dir):
     one = query_digest(log, "event_type", "value", db="db1", db_col="db")
     return every.select(F.lit("all").alias("scope"), "fingerprint", "db", *cols).unionByName(
         one.select(F.lit("db1").alias("scope"), "fingerprint", F.lit(None).cast("string").alias("db"), *cols))
+
+
+# --- I5, I6, I8 -----------------------------------------------------------------------
+
+
+@register("replica_roots_furthest", """
+WITH RECURSIVE n AS (
+  SELECT c_custkey AS node, 'pool' || c_nationkey AS pool, CASE WHEN c_custkey % 40 <> 0 THEN c_custkey - c_custkey % 40 + (c_custkey % 40) // 3 END AS parent,
+         CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey * 13) % 5 END AS fileno, (c_custkey * 17) % 4 AS pos
+  FROM customer WHERE c_custkey % 40 <> 39),
+t AS (SELECT node, CASE WHEN parent IS NULL OR parent = node THEN node ELSE parent END AS root, parent IS NULL AS stop FROM n
+      UNION ALL
+      SELECT t.node, coalesce(n.parent, t.root), n.parent IS NULL FROM t LEFT JOIN n ON n.node = t.root WHERE NOT t.stop),
+r AS (SELECT node, root FROM t WHERE stop),
+a AS (SELECT n.*, root FROM n JOIN r USING (node)),
+m AS (SELECT pool, root, arg_min(node, (-fileno, -pos, node)) FILTER (fileno IS NOT NULL) AS furthest_node,
+             max((fileno, pos)) FILTER (fileno IS NOT NULL) AS p, count(*) AS nodes, count(*) FILTER (fileno IS NULL) AS unknown
+      FROM a GROUP BY pool, root),
+e AS (SELECT a.pool, a.root, count(*) AS there FROM a JOIN m ON a.pool = m.pool AND a.root = m.root AND (a.fileno, a.pos) = m.p GROUP BY ALL)
+SELECT m.pool, CAST(m.root AS BIGINT) AS root, CAST(furthest_node AS BIGINT) AS furthest_node, CAST(p[1] AS BIGINT) AS fileno,
+       CAST(p[2] AS BIGINT) AS pos, CAST(coalesce(there, 0) AS BIGINT) AS there,
+       CAST(nodes - unknown - coalesce(there, 0) AS BIGINT) AS behind, CAST(unknown AS BIGINT) AS unknown,
+       count(*) OVER (PARTITION BY m.pool) = 1 AS comparable
+FROM m LEFT JOIN e ON m.pool = e.pool AND m.root = e.root
+""")
+def q_replica_roots(spark, sf_dir):
+    """I8: customers as nodes that replicate from each other in trees of 40, in
+    the pools of their nations; furthest node of every root in every pool."""
+    from keyspan.streaming.merge import furthest_replicas
+    k = F.col("c_custkey").cast("long")
+    up = (k - k % 40 + F.floor((k % 40) / 3)).cast("long")
+    nodes = _t(spark, sf_dir, "customer").where(k % 40 != 39).select(
+        k.alias("node"), F.concat(F.lit("pool"), F.col("c_nationkey").cast("string")).alias("pool"),
+        F.when(k % 40 != 0, up).alias("parent"), F.when(k % 11 != 0, (k * 13) % 5).alias("fileno"), ((k * 17) % 4).alias("pos"))
+    return furthest_replicas(nodes, "pool", "node", "parent", "fileno", "pos")
+
+
+@register("command_counters_running", """
+WITH w AS (SELECT user_id AS node, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS s, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS v,
+                  CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS p FROM events GROUP BY ALL),
+r AS (SELECT node, s, s AS until, sum(v) OVER o AS com_select, sum(p) OVER o AS com_insert, lag(s) OVER o AS before FROM w
+      WINDOW o AS (PARTITION BY node ORDER BY s))
+SELECT node, s AS second, until, CAST(com_select AS BIGINT) AS com_select, CAST(com_insert AS BIGINT) AS com_insert FROM r
+UNION ALL SELECT node, before + 1, s - 1, NULL, NULL FROM r WHERE s > before + 1
+""")
+def q_counters_running(spark, sf_dir):
+    """The counters' stream, summed up as they stand each second, with the
+    stretches without a report as N/A."""
+    from keyspan.streaming.monitor import command_counters, cumulative_counters
+    e = _t(spark, sf_dir, "events").select("ts", F.col("user_id").alias("node"), F.when(
+        F.col("event_type") == "view", "SELECT").when(F.col("event_type") == "purchase", "INSERT").otherwise("DELETE").alias("cmd"))
+    root = scratch_path(spark, "running")
+    e.write.parquet(f"{root}/in")
+    windows = command_counters(spark.readStream.schema(e.schema).parquet(f"{root}/in"), "ts", "node", "cmd", ("select", "insert"))
+
+    def put(batch, number):                                 # the windows that the batch changed, as they now stand
+        batch.select("node", F.unix_seconds("window.start").alias("second"), "com_select", "com_insert").write.mode(
+            "overwrite").parquet(f"{root}/out/batch={number}")
+
+    windows.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{root}/ckpt").trigger(
+        availableNow=True).start().awaitTermination()
+    kinds = ["com_select", "com_insert"]
+    last = spark.read.parquet(f"{root}/out").groupBy("node", "second").agg(
+        *[F.max_by(c, "batch").alias(c) for c in kinds])
+    return cumulative_counters(last, "node", "second", kinds)
+
+
+@register("backfill_stream", """
+WITH s AS (SELECT max(event_id) // 2 AS cut, max(user_id) // 2 AS top FROM events),
+c AS (SELECT user_id, event_id, CASE WHEN event_id > cut THEN value + 1 ELSE value END AS value FROM events, s)
+SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM c, s WHERE user_id <= top GROUP BY user_id
+""")
+def q_backfill_stream(spark, sf_dir):
+    """A snapshot, then two streaming runs over changes that came before
+    and after its offset; the second goes on behind the first."""
+    from keyspan.streaming.merge import latest_per_key, stream_backfill
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    last, top = e.agg(F.max("event_id"), F.max("user_id")).first()
+    root = scratch_path(spark, "backfill-stream")
+    latest_per_key(e.where(F.col("event_id") <= last // 2), ["user_id"], "event_id").write.parquet(f"{root}/snapshot")
+    snap = spark.read.parquet(f"{root}/snapshot")
+    taken_at = snap.agg(F.max("event_id")).first()[0]
+    later = e.withColumn("value", F.col("value") + 1)
+    later.where(F.col("event_id") % 3 != 0).repartition(4, "user_id").write.parquet(f"{root}/in")
+    changes = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    stream_backfill(snap, changes, ["user_id"], "event_id", taken_at, f"{root}/target")
+    later.where(F.col("event_id") % 3 == 0).repartition(3, "event_id").write.mode("append").parquet(f"{root}/in")
+    return stream_backfill(snap, changes, ["user_id"], "event_id", taken_at, f"{root}/target", F.col("user_id") <= top // 2)

@@ -301,6 +301,76 @@ def furthest_position(positions: DataFrame, pool: str, node: str, fileno: str, p
         .select(pool, "furthest_node", F.col(f"__p.{fileno}").alias(fileno), F.col(f"__p.{pos}").alias(pos))
 
 
+def replica_roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """``(node, root)``: the top of every node's chain of parents, by pointer
+    doubling (log2 of the longest chain).  A node without a parent is its own
+    root; a parent that is no node itself ends the chain.  A circle raises
+    ``ValueError``: no chain is longer than there are nodes."""
+    from keyspan.session import checkpoint_dir
+    checkpoint_dir(nodes.sparkSession)
+    at = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")).distinct()
+    below = F.col("up").isNotNull() & (F.col("up") != F.col("node"))
+    at = at.select("node", F.coalesce("up", "node").alias("root"), below.alias("moving"), below.alias("below")).checkpoint(eager=True)
+    for _ in range(at.count().bit_length() + 2):
+        if at.where("moving").isEmpty():
+            if not at.where("below and node = root").isEmpty():       # a pointer that came round to its own node
+                break
+            return at.select("node", "root")
+        on = at.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("__up"))
+        at = at.join(on, "root", "left").select("node", F.coalesce("__up", "root").alias("root"),
+                                                F.col("__up").isNotNull().alias("moving"), "below").checkpoint(eager=True)
+    raise ValueError("the parents run in a circle")
+
+
+def furthest_replicas(nodes: DataFrame, pool: str, node: str, parent: str, fileno: str, pos: str) -> DataFrame:
+    """I8: per pool and root the node with the furthest ``(file number,
+    position)``, the number of nodes that stand there and of those behind, and
+    whether the pool's positions are ``comparable`` at all: positions count
+    within one root only, so a pool with nodes under several roots has a row for
+    each and none of them is the furthest of the pool.  Nodes without a position
+    are counted as ``unknown``."""
+    roots = replica_roots(nodes, node, parent)
+    at = nodes.join(roots.withColumnRenamed("node", "__node"), F.col(node) == F.col("__node")).drop("__node")
+    known = F.col(fileno).isNotNull() & F.col(pos).isNotNull()
+    key = F.when(known, F.struct(F.col(fileno), F.col(pos)))
+    most = at.groupBy(pool, "root").agg(
+        F.max(key).alias("__p"), F.min(F.when(known, F.struct((-F.col(fileno)).alias("f"), (-F.col(pos)).alias("p"), F.col(node).alias("n"))))
+        .alias("__best"), F.count(F.lit(1)).alias("nodes"), F.count_if(~known).alias("unknown"))
+    per = at.select(pool, "root", key.alias("__k")).groupBy(pool, "root", "__k").agg(F.count(F.lit(1)).alias("equal"))
+    top = most.join(per.where("__k is not null").select(F.col(pool).alias("__pool"), F.col("root").alias("__root"),
+                                                        F.col("__k"), "equal"),
+                    F.col(pool).eqNullSafe(F.col("__pool")) & (F.col("root") == F.col("__root")) & (F.col("__p") == F.col("__k")), "left")
+    several = most.groupBy(pool).agg(F.count(F.lit(1)).alias("__roots")).withColumnRenamed(pool, "__in")
+    out = top.join(several, F.col(pool).eqNullSafe(F.col("__in")))
+    return out.select(pool, "root", F.col("__best.n").alias("furthest_node"), F.col(f"__p.{fileno}").alias(fileno),
+                      F.col(f"__p.{pos}").alias(pos), F.coalesce("equal", F.lit(0)).alias("there"),
+                      (F.col("nodes") - F.col("unknown") - F.coalesce("equal", F.lit(0))).alias("behind"), "unknown",
+                      (F.col("__roots") == 1).alias("comparable"))
+
+
+def stream_backfill(snapshot: DataFrame, changes: DataFrame, pk: list[str], seq: str, snapshot_seq, root: str,
+                    keep=None) -> DataFrame:
+    """I6 as a stream: the changes after the offset that the snapshot recorded
+    are taken from a streaming source and applied to it batch by batch, each
+    batch's last change per key in a folder of its batch number, written over
+    if the batch runs again.  A second call on the same ``root`` goes on behind
+    the last committed batch.  Returns the table as it stands: the snapshot with
+    the changes, pruned by ``keep`` (B4)."""
+    spark = snapshot.sparkSession
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        latest_per_key(batch, pk, seq).write.mode("overwrite").parquet(f"{root.rstrip('/')}/applied/batch={number}")
+
+    q = (changes.where(F.col(seq) > snapshot_seq).writeStream.foreachBatch(upsert)
+         .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    applied = f"{root.rstrip('/')}/applied"
+    tail = (spark.read.schema(changes.schema).parquet(applied).select(*changes.columns) if exists(spark, applied)
+            else spark.createDataFrame([], changes.schema))
+    merged = latest_per_key(snapshot.unionByName(tail, allowMissingColumns=True), pk, seq)
+    return merged if keep is None else merged.filter(keep)
+
+
 def backfill_and_tail(snapshot: DataFrame, changes: DataFrame, pk: list[str], seq: str,
                       snapshot_seq, keep=None) -> DataFrame:
     """The snapshot taken at ``snapshot_seq`` plus every change after it,

@@ -17,40 +17,63 @@ CATCH_UP_TIMEOUT_S = 21600
 # ---------------------------------------------------------------------------------
 
 CAUGHT_UP_OUT = "node string, status string, polls long, at_seq long"
-CAUGHT_UP_STATE = "zeros long, polls long, done boolean"
+#: next: the number that is waited for; held: polls that came before their turn, sorted by number
+CAUGHT_UP_STATE = ("next long, zeros long, polls long, done boolean, held_no array<bigint>, held_seq array<bigint>, "
+                   "held_lag array<double>")
 
 
-def _caught_up_fn(polls_needed: int, timeout_ms: int):
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        node = key[0]
-        if state.hasTimedOut:
-            zeros, polls, done = state.get if state.exists else (0, 0, False)
-            state.remove()
-            if not done:
-                yield pd.DataFrame({"node": [node], "status": ["timeout"], "polls": [polls],
-                                    "at_seq": [None]})
-            return
-        zeros, polls, done = state.get if state.exists else (0, 0, False)
-        out = []
-        for pdf in batches:
-            if done or not len(pdf):
-                continue
-            lag, seq = pdf["lag"].to_numpy(float), pdf["seq"].to_numpy()
-            broken, zero = np.isnan(lag), lag == 0
+def _caught_up_fn(polls_needed: int, timeout_ms: int | None, gap_ms: int | None, first: int):
+    def fresh():
+        return first, 0, 0, False, [], [], []
+
+    def taken(node, nos, seqs, lags, state, out):
+        """One more lot of polls: what is in turn is judged, the rest is held."""
+        nxt, zeros, polls, done, *held = state
+        no = np.concatenate([np.asarray(held[0], np.int64), nos])
+        order = np.argsort(no, kind="stable")
+        no, seq, lag = no[order], np.concatenate([np.asarray(held[1], np.int64), seqs])[order], \
+            np.concatenate([np.asarray(held[2], float), lags])[order]
+        keep = (no >= nxt) & np.r_[True, no[1:] != no[:-1]]           # those in turn already, and repeated ones, go
+        no, seq, lag = no[keep], seq[keep], lag[keep]
+        n = int((no == nxt + np.arange(len(no))).argmin()) if len(no) and (no != nxt + np.arange(len(no))).any() else len(no)
+        if n:
+            x = lag[:n]
+            broken, zero = np.isnan(x), x == 0
             # zero polls since the last positive lag; broken polls neither count nor reset
             counts = np.cumsum(zero) + zeros
-            reset = ~broken & ~zero
-            counts -= np.maximum.accumulate(np.where(reset, counts, 0))
+            counts -= np.maximum.accumulate(np.where(~broken & ~zero, counts, 0))
             hits = np.flatnonzero(zero & (counts >= polls_needed))
-            last = int(hits[0]) if len(hits) else len(lag) - 1
+            last = int(hits[0]) if len(hits) else n - 1
             out += [(node, "broken", polls + int(i) + 1, int(seq[i])) for i in np.flatnonzero(broken[:last + 1])]
             if len(hits):
                 done = True
                 out.append((node, "caught_up", polls + last + 1, int(seq[last])))
-            zeros, polls = int(counts[last]), polls + last + 1
-        state.update((zeros, polls, done))
-        if not done and timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
+            nxt, zeros, polls = nxt + n, int(counts[last]), polls + last + 1
+        if done:
+            return nxt, zeros, polls, True, [], [], []
+        return nxt, zeros, polls, False, no[n:].tolist(), seq[n:].tolist(), lag[n:].tolist()
+
+    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        node, out = key[0], []
+        now = state.get if state.exists else fresh()
+        if state.hasTimedOut:
+            if gap_ms is not None and len(now[4]):                     # the poll that is waited for is given up
+                out.append((node, "gap", now[2], int(now[5][0])))
+                now = taken(node, np.array([], np.int64), np.array([], np.int64), np.array([], float),
+                            (int(now[4][0]), *now[1:]), out)
+            else:
+                state.remove()
+                if not now[3]:
+                    yield pd.DataFrame({"node": [node], "status": ["timeout"], "polls": [now[2]], "at_seq": [None]})
+                return
+        for pdf in batches:
+            if not now[3] and len(pdf):
+                now = taken(node, pdf["number"].to_numpy(np.int64), pdf["seq"].to_numpy(np.int64),
+                            pdf["lag"].to_numpy(float), now, out)
+        state.update(tuple(now))
+        wait = gap_ms if gap_ms is not None and len(now[4]) else timeout_ms
+        if not now[3] and wait is not None:
+            state.setTimeoutDuration(wait)
         if out:
             yield pd.DataFrame(out, columns=["node", "status", "polls", "at_seq"])
     return fn
@@ -58,24 +81,27 @@ def _caught_up_fn(polls_needed: int, timeout_ms: int):
 
 def caught_up_stream(polls: DataFrame, node: str, seq: str, lag: str,
                      polls_needed: int = CAUGHT_UP_POLLS,
-                     timeout_s: int | None = CATCH_UP_TIMEOUT_S) -> DataFrame:
+                     timeout_s: int | None = CATCH_UP_TIMEOUT_S, number: str | None = None, first: int = 0,
+                     gap_s: int | None = None) -> DataFrame:
     """Per node, emit ``caught_up`` once ``polls_needed`` polls in a row
     report zero lag (a positive lag resets the count, a NULL one does not), ``broken`` for a NULL
     lag, and ``timeout`` when no decision came within ``timeout_s`` of
     processing time (``None``: no timeout -- use this with the available-now
-    trigger, where pending timers would keep scheduling empty batches).  State per node is three numbers; within a micro-batch
-    the node's polls are handled in ``seq`` order (sorted in the batch)."""
-    p = polls.select(F.col(node).cast("string").alias("node"), F.col(seq).cast("long").alias("seq"),
-                     F.col(lag).cast("double").alias("lag"))
-    fn = _caught_up_fn(polls_needed, None if timeout_s is None else timeout_s * 1000)
-
-    def ordered(key, batches, state):
-        frames = [b for b in batches]
-        merged = pd.concat(frames).sort_values("seq") if frames else pd.DataFrame(columns=["seq", "lag"])
-        return fn(key, iter([merged]), state)
+    trigger, where pending timers would keep scheduling empty batches).
 
-    mode = GroupStateTimeout.NoTimeout if timeout_s is None else GroupStateTimeout.ProcessingTimeTimeout
-    return p.groupBy("node").applyInPandasWithState(ordered, CAUGHT_UP_OUT, CAUGHT_UP_STATE, "append", mode)
+    ``number`` (default: ``seq``) counts a node's polls without gaps from
+    ``first``.  Polls are judged in that order whatever the files and batches in
+    which they come: one that is ahead of its turn is held in the node's state
+    until those before it are there, and a repeated one is dropped.  So the
+    answer does not depend on arrival, and the state is as large as the disorder,
+    not as the history.  With ``gap_s`` a poll that does not come for so long is
+    given up (status ``gap``, at the poll that follows)."""
+    p = polls.select(F.col(node).cast("string").alias("node"), F.col(seq).cast("long").alias("seq"),
+                     F.col(lag).cast("double").alias("lag"), F.col(number or seq).cast("long").alias("number"))
+    fn = _caught_up_fn(polls_needed, None if timeout_s is None else timeout_s * 1000, None if gap_s is None else gap_s * 1000, first)
+    timed = timeout_s is not None or gap_s is not None
+    mode = GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return p.groupBy("node").applyInPandasWithState(fn, CAUGHT_UP_OUT, CAUGHT_UP_STATE, "append", mode)
 
 
 def command_counters(events: DataFrame, ts: str, node: str, kind: str,
@@ -92,6 +118,26 @@ def command_counters(events: DataFrame, ts: str, node: str, kind: str,
     return e.groupBy(F.window(ts, "1 second"), F.col(node)).agg(*aggs)
 
 
+def cumulative_counters(counts: DataFrame, node: str, second: str, kinds: list[str]) -> DataFrame:
+    """I5 as the counters stand: one row a node and second with the running
+    totals of each kind, and one row for each stretch of seconds without any
+    report of a node that comes back later, with NULL totals (N/A) from
+    ``second`` to ``until``.  ``counts``: a node's counts by second, such as the
+    sink of :func:`command_counters`; a late second only adds to what follows.
+    Two ordered scans in range partitions, so a node with a third of all rows is
+    spread over many tasks; silent seconds are stretches, never a row each."""
+    from keyspan.operators.scan import grouped_lag, grouped_scan
+    per = counts.groupBy(node, second).agg(*[F.sum(k).cast("long").alias(k) for k in kinds])
+    run = grouped_scan(per, [node], [second], kinds, "sum", [f"__{k}" for k in kinds])
+    run = run.select(node, F.col(second).cast("long").alias(second), *[F.col(f"__{k}").alias(k) for k in kinds])
+    seen = grouped_lag(run, [node], [second], second, "__before")
+    rows = seen.select(node, second, F.col(second).alias("until"), *kinds)
+    silent = seen.where(F.col(second) > F.col("__before") + 1).select(
+        node, (F.col("__before") + 1).alias(second), (F.col(second) - 1).alias("until"),
+        *[F.lit(None).cast("long").alias(k) for k in kinds])
+    return rows.unionByName(silent)
+
+
 def dedup_redelivery(stream: DataFrame, pk: list[str], ts: str | None = None, watermark: str | None = None) -> DataFrame:
     """Drop a change delivered twice (same key).  Without a watermark every
     key is remembered and no row is lost; with one (on ``ts``) only that long,
