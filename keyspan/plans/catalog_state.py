@@ -288,3 +288,69 @@ def q_backfill_stream(spark, sf_dir):
     stream_backfill(snap, changes, ["user_id"], "event_id", taken_at, f"{root}/target")
     later.where(F.col("event_id") % 3 == 0).repartition(3, "event_id").write.mode("append").parquet(f"{root}/in")
     return stream_backfill(snap, changes, ["user_id"], "event_id", taken_at, f"{root}/target", F.col("user_id") <= top // 2)
+
+
+# --- J1 -------------------------------------------------------------------------------
+
+
+@register("job_hooks", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders), n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM o)
+SELECT * FROM (
+  SELECT 'merge_write' AS step, 'before high' AS event, 1 AS place, n AS rows FROM n
+  UNION ALL SELECT 'merge_write', 'before low', 2, (SELECT CAST(count(*) AS BIGINT) FROM o WHERE o_orderkey % 5 <> 0)
+  UNION ALL SELECT 'merge_write', 'after', 3, (SELECT CAST(count(*) AS BIGINT) FROM o WHERE o_orderkey % 5 <> 0)
+  UNION ALL SELECT 'rebuild_write', 'before', 4, n FROM n
+  UNION ALL SELECT 'rebuild_write', 'after', 5, n FROM n
+  UNION ALL SELECT 'alter_shards', 'before', 6, (SELECT CAST(count(*) AS BIGINT) FROM o WHERE o_orderpriority = '1-URGENT')
+  UNION ALL SELECT 'alter_shards', 'after', 7, (SELECT CAST(count(*) AS BIGINT) FROM o WHERE o_orderpriority = '1-URGENT')
+  UNION ALL SELECT 'alter_shards', 'before', 8, (SELECT CAST(count(*) AS BIGINT) FROM o WHERE o_orderpriority <> '1-URGENT')
+  UNION ALL SELECT 'alter_shards', 'after', 9, (SELECT CAST(count(*) AS BIGINT) FROM o WHERE o_orderpriority <> '1-URGENT')
+  UNION ALL SELECT 'cutover_map', 'before', 10, 1
+  UNION ALL SELECT 'cutover_map', 'after', 11, 3
+  UNION ALL SELECT 'cleanup_prune', 'before', 12, n FROM n
+  UNION ALL SELECT 'cleanup_prune', 'after', 13, (SELECT CAST(count(*) AS BIGINT) FROM o WHERE o_custkey < (SELECT max(o_custkey) // 2 FROM o))
+  UNION ALL SELECT 'merge_write', 'aborted', 14, 0)
+""")
+def q_job_hooks(spark, sf_dir):
+    """Callbacks before and after the steps of five jobs, by priority, with
+    the rows that each was given; the last job is aborted before it writes."""
+    from keyspan.plans.hooks import Abort, Hooks, JobAborted
+    from keyspan.plans.jobs import do_cutover, merge, rebuild, schema_change, split_cleanup
+    from keyspan.sources.files import exists
+    from keyspan.spec import shard_map_from_rows
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    top, root, seen, hooks = o.agg(F.max("o_custkey")).first()[0], scratch_path(spark, "hooks"), [], Hooks()
+
+    def note(name, event, change=None):
+        def call(df):
+            df = df if change is None else change(df)
+            seen.append((name, event, len(seen) + 1, df.count()))
+            return df
+        return call
+
+    hooks.before("merge_write", 10)(note("merge_write", "before low", lambda d: d.where("o_orderkey % 5 <> 0")))
+    hooks.before("merge_write", 900)(note("merge_write", "before high"))
+    hooks.after("merge_write")(note("merge_write", "after"))
+    for name in ("rebuild_write", "alter_shards", "cutover_map", "cleanup_prune"):
+        hooks.before(name)(note(name, "before"))
+        hooks.after(name)(note(name, "after"))
+    merge({"a": o.where("o_orderkey % 2 = 0"), "b": o.where("o_orderkey % 2 = 1")}, ORDERS, f"{root}/merged", hooks=hooks)
+    rebuild(o, ORDERS, f"{root}/rebuilt", hooks=hooks)
+    schema_change(o.withColumnRenamed("o_orderpriority", "shard"), lambda d: d.withColumn("more", F.lit(1)), f"{root}/altered",
+                  preflight="1-URGENT", hooks=hooks)
+    open_shard = shard_map_from_rows(spark, [("custs", 0, None, "ready", None, 1)])
+    do_cutover(open_shard, top + 1, "custs", hooks=hooks)
+    kids = shard_map_from_rows(spark, [("custs", 0, top, "deprecated", None, 1),
+                                       ("custs", 0, top // 2 - 1, "needs_cleanup", f"custs-0-{top}", 2)])
+    split_cleanup(kids, f"custs-0-{top}", {f"custs-0-{top // 2 - 1}": o}, ORDERS, hooks)
+    stop = Hooks()
+
+    @stop.before("merge_write")
+    def no(df):
+        raise Abort
+
+    try:
+        merge({"a": o}, ORDERS, f"{root}/never", hooks=stop)
+    except JobAborted:
+        seen.append(("merge_write", "aborted", len(seen) + 1, int(exists(spark, f"{root}/never"))))
+    return spark.createDataFrame(seen, "step string, event string, place int, rows long")

@@ -17,6 +17,20 @@ from pyspark.sql import DataFrame
 
 DEFAULT_PRIORITY = 100
 
+#: The steps of the jobs and what a callback of theirs is given: rows that are
+#: about to be written or have been, or the shard map before and after.
+STEPS = {
+    "split_write": "K1: rows routed to the children",
+    "merge_write": "K2: rows of all shards",
+    "cutover_map": "K4: the shard map",
+    "cleanup_prune": "K5: the rows of one child",
+    "rebuild_write": "K6: the table's rows",
+    "alter_shards": "K7: the altered rows of the preflight shard, then of the rest",
+    "plan_history": "K8: the stored history",
+    "check_copy": "K9: the copy that is checked",
+    "count_rows": "K10: the report",
+}
+
 
 class Abort(Exception):
     """Raised by a callback to stop the step."""
@@ -65,3 +79,18 @@ class Hooks:
 
 
 NO_HOOKS = Hooks()
+
+
+class JobAborted(RuntimeError):
+    """A *before* callback stopped a step that the job cannot do without."""
+
+
+def step(hooks: Hooks, name: str, body: Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame:
+    """One step of a job, with its callbacks; raises :class:`JobAborted` if one
+    of them aborts it, so nothing of the step has happened then."""
+    if name not in STEPS:
+        raise ValueError(f"{name} is no step of a job")
+    out = hooks.wrap(name, body, df)
+    if out is None:
+        raise JobAborted(f"{name} aborted by a callback")
+    return out

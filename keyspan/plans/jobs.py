@@ -25,8 +25,9 @@ from keyspan.operators.counts import global_rowcount, shard_counts
 from keyspan.operators.ranges import check_contiguous, even_split, key_range_predicate
 from keyspan.operators.route import cutover, route_all_keys
 from keyspan.operators.transfer import prune_to_range
-from keyspan.plans.hooks import NO_HOOKS, Hooks
+from keyspan.plans.hooks import NO_HOOKS, Hooks, step
 from keyspan.sources.files import exists, names_in
+from keyspan.sources.schema import store_snapshot
 from keyspan.spec import TableSpec, shard_name_col
 
 
@@ -88,9 +89,7 @@ def split(df: DataFrame, spec: TableSpec, shard_map: DataFrame, parent: str, out
         rows.write.mode("overwrite").partitionBy("shard").parquet(out_path)
         return rows.sparkSession.read.schema(rows.schema).parquet(out_path)
 
-    written = hooks.wrap("split_write", write, routed)
-    if written is None:
-        raise JobError("split aborted by a callback")
+    written = step(hooks, "split_write", write, routed)
     got = written.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     kids = children.select("name", "min_id", "max_id").collect()      # one row per child
     wanted = df.agg(*[F.count_if(key_range_predicate(spec.keys, k["min_id"], k["max_id"])).alias(k["name"])
@@ -103,7 +102,8 @@ def split(df: DataFrame, spec: TableSpec, shard_map: DataFrame, parent: str, out
     return SplitResult(shard_map.unionByName(children), got)
 
 
-def merge(shards: dict[str, DataFrame], spec: TableSpec, out_path: str, tables_allowed=None) -> DataFrame:
+def merge(shards: dict[str, DataFrame], spec: TableSpec, out_path: str, tables_allowed=None,
+          hooks: Hooks = NO_HOOKS) -> DataFrame:
     """K2/K3: merge shards, write, and compare the sources' rows with the
     merged ones (C8).  Returns the validation report.
 
@@ -135,8 +135,12 @@ def merge(shards: dict[str, DataFrame], spec: TableSpec, out_path: str, tables_a
         if not duplicate_keys(shards, pk).isEmpty():
             raise JobError("duplicate keys between shards; resolve before merging")
         u = reduce(lambda a, b: a.unionByName(b), shards.values())
-    u.write.mode("overwrite").parquet(out_path)
-    merged = u.sparkSession.read.schema(u.schema).parquet(out_path).agg(F.count(F.lit(1)).alias("n")) \
+
+    def write(rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(out_path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(out_path)
+
+    merged = step(hooks, "merge_write", write, u).agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit(spec.name).alias("table_name"), "n")
     return merge_count_validation(source, merged)
 
@@ -160,16 +164,16 @@ def swap_in(spark: SparkSession, live: str) -> None:
 
 
 def do_cutover(shard_map: DataFrame, cutover_id: int, pool: str, df: DataFrame | None = None,
-               schema_path: str | None = None) -> DataFrame:
+               schema_path: str | None = None, hooks: Hooks = NO_HOOKS) -> DataFrame:
     """K4: B10 on the map, plus the schema copy for the new last shard (A9:
     an empty table with the same schema)."""
     if df is not None and schema_path is not None:
         df.limit(0).write.mode("overwrite").parquet(schema_path)
-    return cutover(shard_map, cutover_id, pool)
+    return step(hooks, "cutover_map", lambda m: cutover(m, cutover_id, pool), shard_map)
 
 
 def split_cleanup(shard_map: DataFrame, parent: str, children_data: dict[str, DataFrame],
-                  spec: TableSpec) -> tuple[DataFrame, dict[str, DataFrame]]:
+                  spec: TableSpec, hooks: Hooks = NO_HOOKS) -> tuple[DataFrame, dict[str, DataFrame]]:
     """K5: prune each child to its range (B4) and move the states: children
     needs_cleanup -> ready, the deprecated parent -> recycle.  Guard: the
     parent must be deprecated and every child needs_cleanup."""
@@ -180,14 +184,16 @@ def split_cleanup(shard_map: DataFrame, parent: str, children_data: dict[str, Da
         raise JobError("cleanup needs a deprecated parent and needs_cleanup children")
     pruned = {}
     for r in kids.select("name", "min_id", "max_id").collect():  # one row per child shard
-        pruned[r["name"]] = prune_to_range(children_data[r["name"]], spec.keys, r["min_id"], r["max_id"])
+        prune = lambda d, r=r: prune_to_range(d, spec.keys, r["min_id"], r["max_id"])
+        pruned[r["name"]] = step(hooks, "cleanup_prune", prune, children_data[r["name"]])
     st = (F.when(F.col("name") == parent, F.lit("recycle"))
           .when(F.col("parent") == parent, F.lit("ready")).otherwise(F.col("state")))
     par = F.when(F.col("parent") == parent, F.lit(None).cast("string")).otherwise(F.col("parent"))
     return shard_map.withColumn("state", st).withColumn("parent", par), pruned
 
 
-def rebuild(df: DataFrame, spec: TableSpec, out_path: str, partitions: int | None = None) -> DataFrame:
+def rebuild(df: DataFrame, spec: TableSpec, out_path: str, partitions: int | None = None,
+            hooks: Hooks = NO_HOOKS) -> DataFrame:
     """K6: compaction: range-partition by the sharding key, sort within
     partitions, write a new folder and verify the count (C7)."""
     key = spec.keys[0] if spec.keys else spec.first_pk_col
@@ -195,19 +201,23 @@ def rebuild(df: DataFrame, spec: TableSpec, out_path: str, partitions: int | Non
     # the primary key breaks ties, so one hot key value still spreads over
     # several range partitions
     cols = [key, *[c for c in spec.pk if c != key]]
-    out = df.repartitionByRange(n, *cols).sortWithinPartitions(*(spec.order_by or cols))
-    out.write.mode("overwrite").parquet(out_path)
+
+    def write(rows: DataFrame) -> DataFrame:
+        rows.repartitionByRange(n, *cols).sortWithinPartitions(*(spec.order_by or cols)).write.mode("overwrite").parquet(out_path)
+        return rows.sparkSession.read.schema(df.schema).parquet(out_path)
+
+    written = step(hooks, "rebuild_write", write, df)
     exp = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(spec.name).alias("table_name"), "n")
-    got = df.sparkSession.read.schema(df.schema).parquet(out_path).agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit(spec.name).alias("table_name"), "n")
+    got = written.agg(F.count(F.lit(1)).alias("n")).select(F.lit(spec.name).alias("table_name"), "n")
     return count_check(exp, got)
 
 
-def rebuild_table(spark: SparkSession, live: str, spec: TableSpec, partitions: int | None = None) -> DataFrame:
+def rebuild_table(spark: SparkSession, live: str, spec: TableSpec, partitions: int | None = None,
+                  hooks: Hooks = NO_HOOKS) -> DataFrame:
     """K6 on a stored table: :func:`rebuild` into ``<live>.new`` and, if the
     counts match, the swap."""
     df = spark.read.parquet(live)
-    report = rebuild(df, spec, f"{live}.new", partitions).collect()   # one row
+    report = rebuild(df, spec, f"{live}.new", partitions, hooks).collect()   # one row
     if not all(r["match"] for r in report):
         raise JobError(f"rebuild of {live} lost rows; the live table is unchanged")
     swap_in(spark, live)
@@ -216,7 +226,7 @@ def rebuild_table(spark: SparkSession, live: str, spec: TableSpec, partitions: i
 
 def schema_change(table: DataFrame, alter, out_path: str, shard_col: str = "shard",
                   preflight: str | None = None, dry_run: bool = False,
-                  shards: DataFrame | None = None) -> DataFrame:
+                  shards: DataFrame | None = None, hooks: Hooks = NO_HOOKS) -> DataFrame:
     """K7: apply ``alter`` (DataFrame -> DataFrame, column-level) to a
     sharded table.  The preflight shard is altered and verified first; if it
     passes, the rest follow in one pass.  Verification per shard: row count
@@ -248,10 +258,14 @@ def schema_change(table: DataFrame, alter, out_path: str, shard_col: str = "shar
 
     def run(mine, phase: str) -> DataFrame:
         part = table.filter(mine)
-        new = alter(part)
-        if not dry_run:
-            new.write.mode("append").partitionBy(shard_col).parquet(out_path)
-            new = part.sparkSession.read.schema(new.schema).parquet(out_path).filter(mine)
+
+        def write(rows: DataFrame) -> DataFrame:
+            if dry_run:
+                return rows
+            rows.write.mode("append").partitionBy(shard_col).parquet(out_path)
+            return part.sparkSession.read.schema(rows.schema).parquet(out_path).filter(mine)
+
+        new = step(hooks, "alter_shards", write, alter(part))
         return verify(part, new).withColumn("phase", F.lit(phase))
 
     if preflight is None:
@@ -283,7 +297,7 @@ class TableAlter:
     def __init__(self, spark: SparkSession, live: str, shard_col: str = "shard"):
         self.spark, self.live, self.shard_col, self.state = spark, live, shard_col, "idle"
 
-    def run(self, alter, delayed_rename: bool = False, preflight: str | None = None) -> DataFrame:
+    def run(self, alter, delayed_rename: bool = False, preflight: str | None = None, hooks: Hooks = NO_HOOKS) -> DataFrame:
         if self.state != "idle":
             raise JobError(f"{self.live} cannot be altered: it is {self.state}")
         if exists(self.spark, f"{self.live}.new"):
@@ -291,7 +305,7 @@ class TableAlter:
         self.state = "being_altered"
         try:
             table = self.spark.read.parquet(self.live)
-            report = schema_change(table, alter, f"{self.live}.new", self.shard_col, preflight).collect()  # per shard
+            report = schema_change(table, alter, f"{self.live}.new", self.shard_col, preflight, hooks=hooks).collect()  # per shard
         finally:
             self.state = "idle"
         if not all(r["ok"] for r in report):
@@ -312,8 +326,20 @@ class TableAlter:
 
 
 def capacity_plan(hist: DataFrame, now: int, autoinc: DataFrame | None = None,
-                  day: str | None = None) -> dict[str, DataFrame]:
-    """K8: the capacity report as named DataFrames."""
+                  day: str | None = None, snapshot: DataFrame | None = None, history_path: str | None = None,
+                  hooks: Hooks = NO_HOOKS) -> dict[str, DataFrame]:
+    """K8: the capacity report as named DataFrames.
+
+    ``snapshot`` is the usage just measured: it is appended to the stored
+    history at ``history_path`` first (A12), which is then the history of the
+    report (``hist`` fills a store that is still empty)."""
+    if snapshot is not None:
+        spark = hist.sparkSession
+        if not exists(spark, history_path):
+            store_snapshot(hist, history_path)
+        store_snapshot(snapshot, history_path)
+        hist = spark.read.schema(hist.schema).parquet(history_path)
+    hist = step(hooks, "plan_history", lambda d: d, hist)
     h = dedup_history(hist)
     seg = segmentify(h, deduped=True)
     growth = decaying_growth(seg)
@@ -328,13 +354,15 @@ def capacity_plan(hist: DataFrame, now: int, autoinc: DataFrame | None = None,
     return out
 
 
-def consistency_check(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, chunks: int) -> DataFrame:
+def consistency_check(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, chunks: int,
+                      hooks: Hooks = NO_HOOKS) -> DataFrame:
     """K9: chunk checksums of two copies (C10); only the differing chunks get
     a row-level diff (G3).  Rows outside ``[lo, hi]`` and rows without a key
     have chunks of their own, so nothing escapes the check."""
     from keyspan.session import checkpoint_dir
     checkpoint_dir(a.sparkSession)
     cols = a.columns
+    b = step(hooks, "check_copy", lambda d: d, b)
     # the differing chunks are few; materialise them once (both sides read them)
     bad = checksum_diff(a, b, key, lo, hi, chunks, cols).select(
         F.col("chunk_min").alias("__lo"), F.col("chunk_max").alias("__hi")).checkpoint(eager=True)
@@ -347,9 +375,9 @@ def consistency_check(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, ch
 
 
 def global_rowcount_report(tables: dict[str, tuple[DataFrame, TableSpec]], shard_map: DataFrame,
-                           functional: dict[str, tuple[DataFrame, TableSpec]]) -> DataFrame:
+                           functional: dict[str, tuple[DataFrame, TableSpec]], hooks: Hooks = NO_HOOKS) -> DataFrame:
     """D2 over sharded and functional tables."""
     from keyspan.operators.counts import functional_counts
     parts = [shard_counts(d, s, shard_map) for d, s in tables.values()]
     parts += [functional_counts(d, s) for d, s in functional.values()]
-    return global_rowcount(parts)
+    return step(hooks, "count_rows", lambda d: d, global_rowcount(parts))

@@ -118,3 +118,38 @@ def test_schema_change_reports_every_shard(spark):
         ("z", "rest", 0, 0, True)}
     with pytest.raises(JobError, match="not empty"):
         schema_change(df, lambda d: d.withColumn("n", F.lit(1)), out)
+
+
+def test_capacity_plan_takes_a_snapshot_first(spark):
+    from keyspan.operators.capacity import history_from_events
+    from keyspan.plans.jobs import capacity_plan
+    h = history_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    path = scratch_path(spark, "t-plan")
+    now = 1706659200
+    top = h.groupBy("pool").agg(F.max("id").alias("id"), F.max("used").alias("used"), F.max("total").alias("total"))
+    new = top.select("pool", F.lit(now).cast("long").alias("ts"), (F.col("id") + 10 ** 9).alias("id"), "total",
+                     (F.col("used") + 1).alias("used"), (F.col("total") - F.col("used") - 1).alias("available"), F.col("used").alias("db_sizes"))
+    out = capacity_plan(h, now, snapshot=new.select(*h.columns), history_path=path)
+    assert spark.read.parquet(path).count() == h.count() + 5
+    assert {r.pool: r.used for r in out["thresholds"].select("pool", "used").collect()} == {r.pool: r.used + 1 for r in top.collect()} \
+        if "used" in out["thresholds"].columns else out["thresholds"].count() == 5
+    ends = {r.e for r in out["segments"].groupBy("pool").agg(F.max("seg_end").alias("e")).collect()}
+    assert ends == {now}
+    again = capacity_plan(h, now, snapshot=new.withColumn("ts", F.lit(now + 5).cast("long")).select(*h.columns), history_path=path)
+    assert spark.read.parquet(path).count() == h.count() + 10 and again["growth"].count() == 5
+
+
+def test_steps_are_known_and_aborts_stop_them(spark):
+    from keyspan.plans.hooks import Abort, Hooks, JobAborted, STEPS, step
+    df = spark.range(3)
+    with pytest.raises(ValueError):
+        step(Hooks(), "no_such_step", lambda d: d, df)
+    hooks = Hooks()
+
+    @hooks.before("count_rows")
+    def stop(d):
+        raise Abort
+
+    with pytest.raises(JobAborted):
+        step(hooks, "count_rows", lambda d: 1 / 0, df)
+    assert {"merge_write", "rebuild_write", "alter_shards", "cutover_map", "cleanup_prune"} <= set(STEPS)
