@@ -381,3 +381,28 @@ def test_real_pages_match_the_article(spark):
         want = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in parts]
         assert got[r.page_id].text.split("\n\n") == [x for x in want if x]
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+HOSTILE = {"open tags": "<a " * 350_000, "end tags": "</p>" * 250_000, "open quotes": "<a \"" * 250_000,
+           "deep, then unmatched ends": "<b>" * 160_000 + "</p>" * 130_000, "names without end": "<aaa" * 250_000,
+           "comments": "<!-- " * 200_000, "crossed quotes": "<a '\"" * 200_000 + ">", "list items": "<b><li>" * 140_000,
+           "items over inline": "<li><div>" + "<b>" * 100_000 + "<li></li>" * 70_000, "forms": "<form>" * 160_000}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_a_bad_page_of_a_megabyte_takes_no_time(kind):
+    import time
+    began = time.perf_counter()
+    mainpage.blocks(HOSTILE[kind])
+    assert time.perf_counter() - began < 10
+
+
+def test_quotes_and_broken_tags():
+    text = lambda page: [t for t, _ in mainpage.blocks(page)]
+    assert text('<p title="a > b">one</p><p title=\'"\'>two</p>') == ["one", "two"]
+    assert text("a < b, 1 <2> 3") == ["a < b, 1 <2> 3"]
+    assert text("<p>one <a href='x>two") == ["one <a href='x>two"]
+    assert text("x<!-- y --><p>z<!-- never") == ["x", "z"]
+    assert text("<![CDATA[a < b]]>") == ["a < b"]
+    assert text("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == ["a", "b", "c", "d"]
+    assert text("one</b></i></p>two") == ["one", "two"]
