@@ -3,10 +3,11 @@
 Centroids are fitted on a bounded sample by splitting clusters in two until
 none holds more than its fair share, so lists are balanced.  Every vector is
 indexed: it goes into the list of its nearest centroid and, if it lies near a
-boundary, into further ones whose centroid is at most ``REPLICATE`` times as far
+boundary, into a further one whose centroid is at most ``REPLICATE`` times as far
 (``COPIES`` lists at most).  Centroids are found through an in-memory graph of
 centroids by best-first search.  A query opens the lists whose centroid is at
-most ``PROBE`` times as far as the nearest one.
+most ``PROBE`` times as far as the nearest one, however many they are: few where
+vectors form clusters, many where they lie evenly.
 
 Lists and queries meet in a join by list.  A list with very many vectors is
 dealt out over several parts, its queries to each of them, so a hot vector or
@@ -32,8 +33,8 @@ SAMPLE = 20_000             # vectors that fit the centroids
 MOST_LISTS = 1024           # bounds the centroids, which every task holds
 PER_LIST = 48               # sample vectors of a list
 DEGREE, BEAM = 24, 64       # edges of a centroid, and how many the search keeps
-COPIES, REPLICATE = 6, 1.15
-PROBE, MOST_PROBES, LEAST_PROBES = 1.35, 160, 24
+COPIES, REPLICATE = 2, 1.06
+PROBE, LEAST_PROBES = 1.18, 4
 PART_ROWS = 4096            # vectors of a list that one part holds on average
 QUERY_BLOCK = 256
 
@@ -137,9 +138,20 @@ def _graph(centroids: np.ndarray) -> CentroidGraph:
     return _graphs[key]
 
 
-def _lists(centroids: np.ndarray, most: int, least: int, ratio: float):
-    """(vec_id, vec) batches -> (list, vec_id, vec) for the lists within the
-    ratio of the nearest one's distance, ``least`` at least and ``most`` at most."""
+def _near_lists(graph: CentroidGraph, v: np.ndarray, least: int, ratio: float, most: int | None) -> np.ndarray:
+    """The lists of a vector: those within the ratio of the nearest one's
+    distance, ``least`` at least and ``most`` at most, nearest first."""
+    k = most or 4 * least
+    while True:
+        near, d = graph.search(v, k)
+        n = int(np.searchsorted(d, ratio * ratio * d[0] + 1e-12, side="right"))
+        if most or n < len(d) or len(d) == len(graph.c):
+            return near[:max(least, n)]
+        k *= 2                       # all that was found lies within the ratio: look further
+
+
+def _lists(centroids: np.ndarray, least: int, ratio: float, most: int | None = None):
+    """(vec_id, vec) batches -> (list, vec_id, vec) for a vector's lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = _graph(centroids)
         for b in batches:
@@ -147,14 +159,10 @@ def _lists(centroids: np.ndarray, most: int, least: int, ratio: float):
                 part = b.slice(at, 2048)
                 vectors = np.asarray(part.column(1).flatten(), np.float64)
                 vectors = vectors.reshape(part.num_rows, -1)
-                rows, lists = [], []
-                for i, v in enumerate(vectors):
-                    near, d = graph.search(v, most)
-                    n = max(least, int(np.searchsorted(d, ratio * ratio * d[0] + 1e-12, side="right")))
-                    rows += [i] * min(n, len(near))
-                    lists += near[:n].tolist()
+                found = [_near_lists(graph, v, least, ratio, most) for v in vectors]
+                rows = np.repeat(np.arange(part.num_rows), [len(x) for x in found])
                 out = part.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), out.column(0), out.column(1)],
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int32()), out.column(0), out.column(1)],
                                                  names=["list", "vec_id", "vec"])
     return run
 
@@ -219,10 +227,10 @@ def search(vectors: DataFrame, queries, k: int = NEIGHBOURS, id_col: str = "vec_
     else:
         centroids = fit_centroids(np.array([r["vec"] for r in fitted], np.float64))
         spread = "list int, vec_id long, vec array<double>"
-        lists = v.mapInArrow(_lists(centroids, COPIES, 1, REPLICATE), spread)
+        lists = v.mapInArrow(_lists(centroids, 1, REPLICATE, COPIES), spread)
         index = stored(lists, "postings-index")
         asked = v.where(queries(F.col("vec_id"))).mapInArrow(
-            _lists(centroids, MOST_PROBES, LEAST_PROBES, PROBE), spread)
+            _lists(centroids, LEAST_PROBES, PROBE), spread)
         # at most MOST_LISTS + 1 rows; a list's parts hold about PART_ROWS vectors each
         parts = F.broadcast(stored(index.groupBy("list").agg(
             F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("int").alias("parts")), "postings-parts"))

@@ -133,6 +133,24 @@ def test_recall(spark, table):
     assert recall(got, want) >= 0.9
 
 
+def test_lists_are_pruned(spark):
+    """How much of a table a query is compared with, and what that finds."""
+    share = {}
+    for name, df in (("given", spark.read.parquet(f"{SF1}/embeddings.parquet")), ("clustered", clustered(spark))):
+        v = postings.usable(df, "vec_id", "embedding").persist()
+        c = postings.fit_centroids(np.array([r.vec for r in v.select("vec").collect()]))
+        kind = "list int, vec_id long, vec array<double>"
+        index = v.mapInArrow(postings._lists(c, 1, postings.REPLICATE, postings.COPIES), kind).groupBy("list").count()
+        asked = v.where("vec_id % 100 = 0").mapInArrow(postings._lists(c, postings.LEAST_PROBES, postings.PROBE), kind)
+        n, q = v.count(), v.where("vec_id % 100 = 0").count()
+        share[name] = asked.join(index, "list").agg({"count": "sum"}).first()[0] / (n * q)
+        opened = asked.count() / q
+        assert opened < len(c)
+        v.unpersist()
+    assert share["clustered"] < 0.05          # where there are clusters
+    assert share["given"] < 1.2               # vectors that lie evenly: about a third of them lie in two lists
+
+
 def test_nearest_edges(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.standard_normal(4)], "x", 1) for i in range(60)]
