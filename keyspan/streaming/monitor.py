@@ -22,7 +22,7 @@ CAUGHT_UP_STATE = ("next long, zeros long, polls long, done boolean, held_no arr
                    "held_lag array<double>")
 
 
-def _caught_up_fn(polls_needed: int, timeout_ms: int | None, gap_ms: int | None, first: int):
+def _caught_up_fn(polls_needed: int, timeout_ms: int | None, gap_ms: int | None = None, first: int = 0):
     def fresh():
         return first, 0, 0, False, [], [], []
 
@@ -68,7 +68,8 @@ def _caught_up_fn(polls_needed: int, timeout_ms: int | None, gap_ms: int | None,
                 return
         for pdf in batches:
             if not now[3] and len(pdf):
-                now = taken(node, pdf["number"].to_numpy(np.int64), pdf["seq"].to_numpy(np.int64),
+                number = pdf["number" if "number" in pdf else "seq"].to_numpy(np.int64)
+                now = taken(node, number, pdf["seq"].to_numpy(np.int64),
                             pdf["lag"].to_numpy(float), now, out)
         state.update(tuple(now))
         wait = gap_ms if gap_ms is not None and len(now[4]) else timeout_ms
