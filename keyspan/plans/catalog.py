@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.session import load_table
-from keyspan.spec import (CUSTOMER, CUSTS_MAP, CUSTS_SPLIT_MAP, LINEITEM, MAX_TABLE_MULTIPLIER,
-                          ORDERS, UNSHARDED, shard_map_from_rows, shard_map_sql_values)
+from keyspan.spec import CUSTOMER, LINEITEM, MAX_TABLE_MULTIPLIER, ORDERS, UNSHARDED, shard_map_from_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,8 +36,35 @@ def _t(spark, sf_dir, name):
     return load_table(spark, sf_dir, name)
 
 
-MAP_SQL = shard_map_sql_values(CUSTS_MAP)
-SPLIT_MAP_SQL = shard_map_sql_values(CUSTS_SPLIT_MAP)
+
+# The pool of orders and customers: four shards that share the span of the
+# keys in use, and the same with the third one split in two.
+def custs_map(spark, sf_dir):
+    return shard_map_from_rows(spark, _custs_rows(spark, sf_dir))
+
+
+def custs_split_map(spark, sf_dir):
+    rows = _custs_rows(spark, sf_dir)
+    _, lo, hi, _ = rows[2]
+    cut = lo + (hi - lo + 1) // 2
+    parent = f"custs-{lo}-{hi}"
+    return shard_map_from_rows(spark, [*rows, ("custs", lo, cut - 1, "child", parent), ("custs", cut, hi, "child", parent)])
+
+
+def _custs_rows(spark, sf_dir):
+    q = int(_t(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0]) // 4
+    return [("custs", i * q, (i + 1) * q - 1 if i < 3 else None, "ready") for i in range(4)]
+
+
+_ROWS_SQL = """SELECT 'custs' AS pool, i * q AS min_id, CASE WHEN i < 3 THEN (i + 1) * q - 1 END AS max_id,
+  'ready' AS state, CAST(NULL AS VARCHAR) AS parent, i AS seq
+  FROM (SELECT max(o_custkey) // 4 AS q FROM orders), range(4) AS r(i)"""
+_NAMED_SQL = "*, pool || '-' || min_id || '-' || coalesce(CAST(max_id AS VARCHAR), 'infinity') AS name"
+MAP_SQL = f"(SELECT {_NAMED_SQL} FROM ({_ROWS_SQL})) AS m"
+SPLIT_MAP_SQL = f"""(SELECT {_NAMED_SQL} FROM ({_ROWS_SQL}
+  UNION ALL SELECT 'custs', CASE WHEN j = 0 THEN 2 * q ELSE 2 * q + q // 2 END, CASE WHEN j = 0 THEN 2 * q + q // 2 - 1 ELSE 3 * q - 1 END,
+  'child', 'custs-' || (2 * q) || '-' || (3 * q - 1), 4 + j
+  FROM (SELECT max(o_custkey) // 4 AS q FROM orders), range(2) AS r(j))) AS m"""
 IN_PROD_SQL = "('merging', 'ready', 'child', 'needs_cleanup', 'read_only', 'offline')"
 
 # ---------------------------------------------------------------------------
@@ -58,7 +84,7 @@ SELECT o_orderkey, o_custkey, name AS shard FROM hits WHERE rk = 1
 """)
 def q_route_orders(spark, sf_dir):
     from keyspan.operators.route import route
-    m = shard_map_from_rows(spark, CUSTS_SPLIT_MAP)
+    m = custs_split_map(spark, sf_dir)
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return route(o, "o_custkey", m, "custs")
 
@@ -88,7 +114,7 @@ FROM c GROUP BY ROLLUP (table_name, shard)
 """)
 def q_rowcount_rollup(spark, sf_dir):
     from keyspan.operators.counts import functional_counts, global_rowcount, shard_counts
-    m = shard_map_from_rows(spark, CUSTS_MAP)
+    m = custs_map(spark, sf_dir)
     parts = [shard_counts(_t(spark, sf_dir, s.name), s, m) for s in (ORDERS, CUSTOMER)]
     parts += [functional_counts(_t(spark, sf_dir, s.name), s) for s in UNSHARDED]
     return global_rowcount(parts)
@@ -100,25 +126,29 @@ def q_rowcount_rollup(spark, sf_dir):
 
 
 @register("range_filter_multi_key", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
-WHERE (l_partkey >= 50 AND l_partkey <= 149) OR (l_suppkey >= 50 AND l_suppkey <= 149)
+WITH b AS (SELECT max(l_suppkey) // 4 AS lo, max(l_partkey) // 2 AS hi FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem, b
+WHERE (l_partkey >= lo AND l_partkey <= hi) OR (l_suppkey >= lo AND l_suppkey <= hi)
 """)
 def q_range_filter_multi(spark, sf_dir):
     from keyspan.operators.ranges import key_range_predicate
     li = _t(spark, sf_dir, "lineitem")
-    return li.filter(key_range_predicate(LINEITEM.keys, 50, 149)) \
+    supp, part = li.agg(F.max("l_suppkey"), F.max("l_partkey")).first()
+    return li.filter(key_range_predicate(LINEITEM.keys, supp // 4, part // 2)) \
         .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @register("range_filter_open_ends", """
-SELECT 'min_only' AS kind, count(*) AS n FROM orders WHERE o_custkey >= 1000
-UNION ALL SELECT 'max_only', count(*) FROM orders WHERE o_custkey <= 39
-UNION ALL SELECT 'closed', count(*) FROM orders WHERE o_custkey >= 40 AND o_custkey <= 99
+WITH b AS (SELECT max(o_custkey) // 3 AS t FROM orders)
+SELECT 'min_only' AS kind, count(*) AS n FROM orders, b WHERE o_custkey >= 2 * t
+UNION ALL SELECT 'max_only', count(*) FROM orders, b WHERE o_custkey <= t - 1
+UNION ALL SELECT 'closed', count(*) FROM orders, b WHERE o_custkey >= t AND o_custkey <= 2 * t - 1
 """)
 def q_range_filter_open(spark, sf_dir):
     from keyspan.operators.ranges import key_range_predicate
     o = _t(spark, sf_dir, "orders").select("o_custkey")
-    kinds = [("min_only", 1000, None), ("max_only", None, 39), ("closed", 40, 99)]
+    t = int(o.agg(F.max("o_custkey")).first()[0]) // 3
+    kinds = [("min_only", 2 * t, None), ("max_only", None, t - 1), ("closed", t, 2 * t - 1)]
     aggs = [F.count_if(key_range_predicate("o_custkey", lo, hi)).cast("long").alias(k)
             for k, lo, hi in kinds]
     wide = o.agg(*aggs)
@@ -185,13 +215,16 @@ def _lineitem_nulled(spark, sf_dir):
 
 
 @register("prune_multi_key", f"""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {NULLED_SUPP_SQL} t
+WITH b AS (SELECT max(l_suppkey) // 2 AS hi FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {NULLED_SUPP_SQL} t, b
 WHERE NOT (l_partkey IS NOT NULL AND l_suppkey IS NOT NULL
-           AND NOT (l_partkey BETWEEN 0 AND 49) AND NOT (l_suppkey BETWEEN 0 AND 49))
+           AND NOT (l_partkey BETWEEN 0 AND hi) AND NOT (l_suppkey BETWEEN 0 AND hi))
 """)
 def q_prune_multi(spark, sf_dir):
     from keyspan.operators.transfer import prune_to_range
-    return prune_to_range(_lineitem_nulled(spark, sf_dir), LINEITEM.keys, 0, 49)
+    li = _lineitem_nulled(spark, sf_dir)
+    # the lower half of the supplier keys
+    return prune_to_range(li, LINEITEM.keys, 0, int(_t(spark, sf_dir, "lineitem").agg(F.max("l_suppkey")).first()[0]) // 2)
 
 
 # ---------------------------------------------------------------------------
@@ -217,7 +250,7 @@ FROM c
 """)
 def q_chunk_ranges(spark, sf_dir):
     from keyspan.operators.transfer import export_chunks
-    m = shard_map_from_rows(spark, CUSTS_MAP)
+    m = custs_map(spark, sf_dir)
     tables = {"orders": (_t(spark, sf_dir, "orders"), "o_custkey"),
               "customer": (_t(spark, sf_dir, "customer"), "c_custkey")}
     ch = export_chunks(m, tables, "orders", ORDERS.chunks)
@@ -271,7 +304,7 @@ def q_even_split(spark, sf_dir):
 
 @register("cutover_map", f"""
 WITH m AS (SELECT * FROM {MAP_SQL}),
-cid AS (SELECT greatest(max(o_custkey), 1000) + 1 AS c FROM orders),
+cid AS (SELECT max(o_custkey) + 1 AS c FROM orders),
 nm AS (
   SELECT pool, min_id, max_id, CASE WHEN max_id IS NULL THEN 'recycle' ELSE state END AS state, name
   FROM m
@@ -286,10 +319,9 @@ FROM nm
 def q_cutover(spark, sf_dir):
     from keyspan.operators.route import cutover
     o = _t(spark, sf_dir, "orders")
-    m = shard_map_from_rows(spark, CUSTS_MAP)
-    # new last shard starts after every key in use and after the current
-    # last shard's start (1000), as a cutover requires
-    cid = int(o.select(F.greatest(F.max("o_custkey"), F.lit(1000)) + 1).first()[0])
+    m = custs_map(spark, sf_dir)
+    # the new last shard starts after every key in use
+    cid = int(o.select(F.max("o_custkey") + 1).first()[0])
     new_map = cutover(m, cid, "custs")
     from keyspan.operators.counts import shard_counts
     live = new_map.filter(F.col("state") != "recycle")
@@ -442,7 +474,7 @@ FROM src s JOIN mer USING (table_name)
 def q_merge_validation(spark, sf_dir):
     from keyspan.operators.audit import merge_count_validation
     from keyspan.operators.counts import shard_counts
-    m = shard_map_from_rows(spark, CUSTS_MAP)
+    m = custs_map(spark, sf_dir)
     src = [shard_counts(_t(spark, sf_dir, s.name), s, m).select(
         F.col("shard").alias("node"), "table_name", "n") for s in (ORDERS, CUSTOMER)]
     merged = [_t(spark, sf_dir, s.name).agg(F.count(F.lit(1)).alias("n"))

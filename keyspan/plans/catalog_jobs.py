@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyspan.plans.catalog import DRIFT_SQL, MAP_SQL, SPLIT_MAP_SQL, _drifted, _t, register
+from keyspan.plans.catalog import DRIFT_SQL, MAP_SQL, SPLIT_MAP_SQL, _drifted, _t, custs_map, custs_split_map, register
 from keyspan.session import scratch_path
-from keyspan.spec import CUSTS_MAP, CUSTS_SPLIT_MAP, CUSTOMER, LINEITEM, ORDERS, shard_map_from_rows
+from keyspan.spec import CUSTOMER, LINEITEM, ORDERS, shard_map_from_rows
 
 NOW = 1706659200
 
@@ -100,10 +100,11 @@ def q_schema_change(spark, sf_dir):
     first, verify counts and a checksum of the untouched columns."""
     from keyspan.operators.route import route
     from keyspan.plans.jobs import schema_change
-    m = shard_map_from_rows(spark, CUSTS_MAP)
+    m = custs_map(spark, sf_dir)
     routed = route(_t(spark, sf_dir, "orders"), "o_custkey", m, "custs", how="inner")
+    first = m.where("seq = 0").select("name").first()["name"]
     return schema_change(routed, lambda d: d.withColumn("my_new_column", F.lit(None).cast("int")),
-                         scratch_path(spark, "alter"), preflight="custs-0-39", dry_run=True,
+                         scratch_path(spark, "alter"), preflight=first, dry_run=True,
                          shards=m.select("name"))
 
 
@@ -134,7 +135,7 @@ def q_tracker(spark, sf_dir):
     from keyspan.operators.route import route
     from keyspan.sources.tracker import read_tracker, write_tracker
     path = scratch_path(spark, "tracker")
-    write_tracker(shard_map_from_rows(spark, CUSTS_SPLIT_MAP), path)
+    write_tracker(custs_split_map(spark, sf_dir), path)
     m = read_tracker(spark, path)
     o = _t(spark, sf_dir, "orders").select("o_custkey")
     return route(o, "o_custkey", m, "custs", how="inner").groupBy("shard") \
@@ -347,7 +348,7 @@ def q_chunked_export(spark, sf_dir):
     """A3/A4/A5: every chunk of every shard written as its own partition in
     one job; the per-file counts come back (their sum = rows exported)."""
     from keyspan.operators.transfer import export_chunked, export_chunks
-    m = shard_map_from_rows(spark, CUSTS_MAP)
+    m = custs_map(spark, sf_dir)
     o = _t(spark, sf_dir, "orders")
     tables = {"orders": (o, "o_custkey"), "customer": (_t(spark, sf_dir, "customer"), "c_custkey")}
     ch = export_chunks(m, tables, "orders", ORDERS.chunks)

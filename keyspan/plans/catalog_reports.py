@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from keyspan.functions.text import WS_CLASS, parse_vertical
 from keyspan.operators import intervals as iv
 from keyspan.operators import report as rp
-from keyspan.plans.catalog import MAP_SQL, _t, register
-from keyspan.spec import CUSTS_MAP, shard_map_from_rows
+from keyspan.plans.catalog import MAP_SQL, _t, custs_map, register
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 PRIORITY_COLS = ["p1_urgent", "p2_high", "p3_medium", "p4_not_specified", "p5_low"]
@@ -94,7 +93,7 @@ FROM t WHERE rk = 1 GROUP BY o_orderpriority
 """)
 def q_invert_results(spark, sf_dir):
     from keyspan.operators.route import route
-    m = shard_map_from_rows(spark, CUSTS_MAP)
+    m = custs_map(spark, sf_dir)
     o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority")
     per = route(o, "o_custkey", m, "custs", how="inner").groupBy("shard", "o_orderpriority") \
         .agg(F.count(F.lit(1)).alias("k"))
