@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # whitespace as the reference's strip sees it (space, \t, \n, \v, \f, \r)
 WS_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 # a "*** 1. row ***" separator line (one digit, as the reference matches it)
-ROW_SEPARATOR = r"^\*+ \d\. row \*+$"
+ROW_SEPARATOR_LINE = r"(?m)^\*+ \d\. row \*+$"
 # log file number: the trailing digits of the name.  Wider than the
 # reference's pattern, which only allows letters, dots and zeros before the
 # number and so rejects names with a hyphen (documented divergence).
@@ -30,8 +30,19 @@ def _line_pair(line: Column) -> Column:
                                     strip_ws(F.element_at(parts, 2)).alias("value")))
 
 
-def parse_vertical(text: Column) -> Column:
-    """Vertical result text -> ``map<string,string>`` (later duplicates win)."""
+def client_output(text: Column) -> Column:
+    """The text, failing at run time where one of its lines begins with
+    ``ERROR``: then it is a client's message and no result."""
+    return F.when(text.rlike("(?m)^ERROR"), F.raise_error(F.regexp_replace(text, r"\n$", "")).cast("string")).otherwise(text)
+
+
+def parse_vertical(text: Column, errors: str = "ignore") -> Column:
+    """Vertical result text -> ``map<string,string>`` (later duplicates win; an
+    empty map for NULL).  ``errors="raise"`` fails on an error message
+    (:func:`client_output`), ``"ignore"`` reads it like any other text."""
+    if errors not in ("raise", "ignore"):
+        raise ValueError(f"errors must be raise or ignore, got {errors!r}")
+    text = F.coalesce(client_output(text) if errors == "raise" else text, F.lit(""))
     lines = F.split(text, "\n")
     pairs = F.filter(F.transform(lines, _line_pair), lambda x: x.isNotNull())
     return _last_wins_map(pairs)
@@ -51,10 +62,10 @@ def _last_wins_map(pairs: Column) -> Column:
     return F.get(F.transform(F.array(placed), kept), F.lit(0))
 
 
-def parse_vertical_rows(text: Column) -> Column:
+def parse_vertical_rows(text: Column, errors: str = "ignore") -> Column:
     """Many-row vertical output: split at the ``*** n. row ***`` lines, one
-    map per row."""
-    rows = F.split(text, r"(?m)^\*+ \d\. row \*+$")
+    map per row.  ``errors`` as in :func:`parse_vertical`."""
+    rows = F.split(client_output(text) if errors == "raise" else text, ROW_SEPARATOR_LINE)
     rows = F.filter(rows, lambda r: F.length(strip_ws(r)) > 0)
     return F.transform(rows, lambda r: parse_vertical(r))
 

@@ -190,16 +190,18 @@ def import_rows(existing: DataFrame, incoming: DataFrame, pk, mode: str | None =
 
 
 def _unique(rows: DataFrame, pk: list[str]) -> DataFrame:
-    """``rows``, failing at run time at the first key that repeats (a row with
-    a NULL key column never clashes).  A lag over key-sorted partitions, so
-    equal keys meet, and a hot key fails at its second row."""
+    """``rows``, failing at run time at the first key that repeats.  A lag over
+    key-sorted partitions, so equal keys meet, and a hot key fails at its second
+    row.  A row with a NULL key column never clashes and is not shuffled."""
     keyed = F.lit(True)
     for c in pk:
         keyed = keyed & F.col(c).isNotNull()
     before = F.lag(F.lit(1)).over(Window.partitionBy(*pk).orderBy(*pk))
     clash = F.concat(F.lit("duplicate key on import: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in pk]))
-    return (rows.withColumn("__ok", F.when(keyed & before.isNotNull(), F.raise_error(clash).cast("int")).otherwise(1))
-            .where("__ok = 1").drop("__ok"))
+    checked = (rows.where(keyed)
+               .withColumn("__ok", F.when(before.isNotNull(), F.raise_error(clash).cast("int")).otherwise(1))
+               .where("__ok = 1").drop("__ok"))
+    return checked.unionByName(rows.where(~keyed))
 
 
 # --- A9 schema copy -----------------------------------------------------------

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.plans.catalog import DRIFT_SQL, _drifted, _t, register
+from keyspan.plans.catalog import DRIFT_SQL, MAP_SQL, _drifted, _t, custs_map, register
 from keyspan.session import scratch_path
 from keyspan.spec import LINEITEM, ORDERS
 
@@ -354,3 +354,127 @@ def q_job_hooks(spark, sf_dir):
     except JobAborted:
         seen.append(("merge_write", "aborted", len(seen) + 1, int(exists(spark, f"{root}/never"))))
     return spark.createDataFrame(seen, "step string, event string, place int, rows long")
+
+
+# --- A7, A14, I7, H6, H11, H13 --------------------------------------------------------
+
+
+@register("import_strict", """
+SELECT 'loaded' AS kind, CASE WHEN o_orderkey % 10 <> 3 THEN o_orderkey END AS o_orderkey, o_totalprice FROM orders
+UNION ALL SELECT 'refused', NULL, NULL
+""")
+def q_import_strict(spark, sf_dir):
+    """A7 without a mode: the upper half of the keys loads into the lower one,
+    rows without a key too; a load that brings keys again is refused."""
+    from keyspan.operators.transfer import import_rows
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    half = o.agg(F.max("o_orderkey")).first()[0] // 2
+    keyless = o.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 10 != 3, F.col("o_orderkey")))
+    low = F.col("o_orderkey") <= half
+    old, new = keyless.where(low), keyless.where(~low | F.col("o_orderkey").isNull())
+    rows = import_rows(old, new, ["o_orderkey"]).select(F.lit("loaded").alias("kind"), "*")
+    try:
+        import_rows(old, keyless, ["o_orderkey"]).write.format("noop").mode("overwrite").save()
+    except Exception as e:
+        if "duplicate key on import" not in str(e):
+            raise
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in o.schema]
+        rows = rows.unionByName(spark.range(1).select(F.lit("refused").alias("kind"), *none))
+    return rows
+
+
+@register("export_listing", f"""
+WITH m AS (SELECT * FROM {MAP_SQL}),
+f AS (SELECT m.name AS folder, sum(strlen(concat_ws(chr(9), o_orderkey, o_custkey, o_orderpriority)) + 1) AS bytes
+      FROM orders o JOIN m ON o.o_custkey >= m.min_id AND (m.max_id IS NULL OR o.o_custkey <= m.max_id) GROUP BY 1)
+SELECT folder, CAST(bytes AS BIGINT) AS bytes FROM f UNION ALL SELECT 'all', CAST(sum(bytes) AS BIGINT) FROM f
+""")
+def q_export_listing(spark, sf_dir):
+    """The files of a text export by shard, listed with their sizes."""
+    from keyspan.operators.route import route
+    from keyspan.operators.transfer import write_tsv
+    from keyspan.sources.files import dir_size, list_files
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    path = scratch_path(spark, "listed")
+    write_tsv(route(o, "o_custkey", custs_map(spark, sf_dir), "custs", how="inner"), path, ("shard",))
+    files = list_files(spark, path, "*.txt")
+    folder = F.regexp_extract("rel_path", "^shard=([^/]+)/", 1).alias("folder")
+    each = files.groupBy(folder).agg(F.sum("length").cast("long").alias("bytes"))
+    return each.unionByName(dir_size(files).select(F.lit("all").alias("folder"), "bytes"))
+
+
+@register("redelivery_stream", "SELECT event_id, user_id, value FROM events")
+def q_redelivery_stream(spark, sf_dir):
+    """Changes that come again, in the same run and in one after a stop,
+    are applied once."""
+    from keyspan.streaming.monitor import dedup_redelivery
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    root = scratch_path(spark, "redelivery")
+
+    def run():
+        changes = spark.readStream.schema(e.schema).parquet(f"{root}/in")
+        dedup_redelivery(changes, ["event_id"]).writeStream.format("parquet").option(
+            "checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+
+    e.where("event_id % 4 <> 1").unionByName(e.where("event_id % 3 = 0")).write.parquet(f"{root}/in")
+    run()
+    e.where("event_id % 2 = 1").write.mode("append").parquet(f"{root}/in")
+    run()
+    return spark.read.schema(e.schema).parquet(f"{root}/out")
+
+
+@register("vertical_rows", """
+SELECT l_orderkey, l_linenumber, 'part' AS kind, CAST(l_partkey AS BIGINT) AS id FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 'supplier', CAST(l_suppkey AS BIGINT) FROM lineitem
+""")
+def q_vertical_rows(spark, sf_dir):
+    """H6: a client's vertical output of two rows for every line item, parsed
+    back into rows."""
+    from keyspan.functions import parse_vertical_rows
+    star = "*" * 27
+
+    def row(n, kind, key):
+        return F.concat(F.lit(f"{star} {n}. row {star}\n  Kind: {kind}\nempty:\n    Id: "), F.col(key).cast("string"), F.lit("\n"))
+
+    text = F.concat(row(1, "part", "l_partkey"), row(2, "supplier", "l_suppkey"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(
+        parse_vertical_rows(text, errors="raise")).alias("r"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("r")["kind"].alias("kind"), F.col("r")["id"].cast("long").alias("id"))
+
+
+@register("array_helpers", """
+WITH s AS (SELECT o_orderkey, list_distinct([o_custkey % 4, o_custkey % 6, o_orderkey % 5, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 END]) AS v
+           FROM orders),
+e AS (SELECT o_orderkey, unnest(v) AS x FROM s)
+SELECT CAST(a.x AS BIGINT) AS a, CAST(b.x AS BIGINT) AS b, CAST(count(*) AS BIGINT) AS n
+FROM e a JOIN e b ON a.o_orderkey = b.o_orderkey AND a.x < b.x GROUP BY 1, 2
+""")
+def q_array_helpers(spark, sf_dir):
+    """Two short lists of every order as one sorted set, and its pairs."""
+    from keyspan.functions import element_pairs, sorted_set
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    one = F.array(c % 4, c % 6)
+    two = F.array(k % 5, F.when(k % 3 > 0, k % 3))
+    pairs = _t(spark, sf_dir, "orders").select(F.explode(element_pairs(sorted_set(one, two))).alias("p"))
+    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("status_json", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'db' || o_custkey END AS from_host,
+       CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey AS BIGINT) END AS from_pid,
+       CASE WHEN o_orderkey % 7 <> 0 THEN CAST(1700000000 + o_custkey AS BIGINT) END AS at,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'can_be_altered' ELSE o_orderpriority END AS state
+FROM orders
+""")
+def q_status_json(spark, sf_dir):
+    """Status documents of runs and of schema changes, written and read."""
+    from keyspan.functions import alter_state, parse_run_status, run_status_json, set_alter_state
+    k = F.col("o_orderkey")
+    path = scratch_path(spark, "status")
+    run = run_status_json(F.concat(F.lit("DB"), F.col("o_custkey").cast("string")), k, F.col("o_custkey") + 1_700_000_000)
+    before = set_alter_state(F.lit(None).cast("string"), F.lit("needs_rename"))
+    now = set_alter_state(before, F.when(k % 3 != 0, F.col("o_orderpriority")))
+    _t(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 7 != 0, run).otherwise("").alias("run"), now.alias("alter")).write.parquet(path)
+    r = spark.read.parquet(path).withColumn("run", parse_run_status(F.col("run")))
+    return r.select("o_orderkey", "run.from_host", "run.from_pid", F.col("run.timestamp").alias("at"),
+                    alter_state(F.col("alter")).alias("state"))
