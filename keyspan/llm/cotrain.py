@@ -2,32 +2,35 @@
 
 Two logistic models see each document from one side only: its text, or its
 page metadata (source, language, length).  Both begin with the labelled
-documents.  In every round each of them marks the pool documents of which it
-is surest, judged by probabilities calibrated on labelled documents kept apart,
-and these pseudo-labels go into the *other* model's training set.  In the end
-both views' calibrated log-odds are combined, again on labels kept apart, and
-all documents are scored in one pass without a shuffle.
-
-Fitting uses a bounded sample: ``LABELLED`` labelled and ``POOL`` unlabelled
-documents, those with the smallest hash of their id.  Scoring covers every row.
+documents.  In every round each of them judges *all* documents without a label
+and marks those of which it is sure, by probabilities calibrated on labelled
+documents kept apart; these pseudo-labels go into the *other* model's training
+set.  In the end both views' calibrated log-odds are combined, again on labels
+kept apart, and all documents are scored in one pass without a shuffle.
+
+Every document's features are written once and read again in each round.  What
+a model is fitted on is a bounded sample of rows with labels: ``LABELLED``
+labelled documents, and of the documents marked in a round ``EXCHANGED`` of
+each label, in both cases those with the smallest hash of their id.
 """
 
 from __future__ import annotations
 
 import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import bounded_batches
+from keyspan.llm.common import bounded_batches, stored
 
-LABELLED, POOL = 12_000, 12_000     # bounds of the fitting sample
+LABELLED = 12_000                   # labelled documents that a model is fitted on, at most
 ROUNDS = 4
-EXCHANGED = 600                     # pseudo-labels of a class that a view hands over in a round, at most
+EXCHANGED = 600                     # pseudo-labelled documents of a class that a round adds to them, at most
 CONFIDENT = 0.98                    # calibrated probability from which a view is sure
 WORD_BUCKETS, META_BUCKETS = 512, 64
 
@@ -164,45 +167,79 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(x, -40, 40))) for x in (*odds, both))
 
 
+SURE = float(np.log(CONFIDENT / (1 - CONFIDENT)))       # the log-odds of CONFIDENT
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
              rounds: int = ROUNDS) -> CoTrained | None:
-    """Labelled rows (y: 1 good, 0 bad) and pool rows, each in both views.
+    """Labelled rows (y: 1 good, 0 bad) and pool rows, each in both views, all
+    in memory; see :func:`fit` for tables."""
+    pools = (pool_text, pool_meta)
+    order = np.random.default_rng(0).permutation(len(pool_text))
+    taken: list[set] = [set(), set()]
+
+    def exchange(model: CoTrained) -> list[tuple[np.ndarray, np.ndarray]]:
+        found: list = [None, None]
+        for i in (0, 1):
+            odds = model.log_odds(i, model.views[i].score(pools[i]))
+            free = [r for r in order if r not in taken[1 - i]]
+            bad = [r for r in free if odds[r] <= -SURE][:EXCHANGED]
+            good = [r for r in free if odds[r] >= SURE][:EXCHANGED]
+            taken[1 - i].update(bad + good)
+            found[1 - i] = (pools[1 - i][np.array(bad + good, np.int64)], np.repeat([0, 1], [len(bad), len(good)]))
+        return found
+
+    return _co_train(text, meta, y, exchange, rounds if len(pool_text) else 0)
+
+
+def _co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray,
+              exchange: Callable[[CoTrained], list[tuple[np.ndarray, np.ndarray]]], rounds: int) -> CoTrained | None:
+    """``exchange`` gives what each view learns from the other in a round: its
+    features of documents of which the other one is sure, and their labels.
     Every third labelled row calibrates and combines and trains nothing.  None
     without rows of both labels on both sides."""
     apart = np.arange(len(y)) % 3 == 2
     if len(y) < 6 or any(len(set(y[m].tolist())) < 2 for m in (apart, ~apart)):
         return None
-    labelled, pools = (text, meta), (pool_text, pool_meta)
-    extra: list[dict[int, int]] = [{}, {}]           # pool row -> pseudo-label, by the view that learns it
+    labelled = (text, meta)
+    learned: list[list] = [[(x[~apart], y[~apart])] for x in labelled]
     for step in range(rounds + 1):
         views, scales = [], []
         for i in (0, 1):
-            rows = np.fromiter(extra[i], np.int64, len(extra[i]))
-            x = np.empty((int((~apart).sum()) + len(rows), labelled[i].shape[1]), np.float32)
-            x[:len(x) - len(rows)], x[len(x) - len(rows):] = labelled[i][~apart], pools[i][rows]
-            views.append(Logistic().fit(x, np.concatenate([y[~apart], [extra[i][r] for r in rows]]).astype(np.float32)))
+            x = np.concatenate([x for x, _ in learned[i]], dtype=np.float32)     # a copy: fitting scales it in place
+            views.append(Logistic().fit(x, np.concatenate([t for _, t in learned[i]]).astype(np.float32)))
             del x
             scales.append(calibrate(views[i].score(labelled[i][apart]), y[apart]))
         model = CoTrained(views, scales, np.zeros(3))
-        if step == rounds or not len(pool_text):
-            break
-        for i in (0, 1):
-            odds = model.log_odds(i, views[i].score(pools[i]))
-            sure = np.log(CONFIDENT / (1 - CONFIDENT))
-            for label, order in ((1, np.argsort(-odds, kind="stable")), (0, np.argsort(odds, kind="stable"))):
-                given = 0
-                for r in order:
-                    if given == EXCHANGED or (odds[r] < sure if label else odds[r] > -sure):
-                        break
-                    if int(r) not in extra[1 - i]:
-                        extra[1 - i][int(r)] = label
-                        given += 1
+        if step < rounds:
+            for i, more in enumerate(exchange(model)):
+                learned[i].append(more)
     odds = [model.log_odds(i, views[i].score(labelled[i][apart])) for i in (0, 1)]
     model.combined = _newton(np.stack([*odds, np.ones_like(odds[0])], 1), y[apart].astype(float),
                              np.array([1e-2, 1e-2, 1e-6]))
     return model
 
 
+def _split(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Stored features to both views."""
+    x = np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), TEXT_SIZE + META_SIZE)
+    return x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]
+
+
+def _sure(model: CoTrained):
+    """(ct_id, ct_x) -> (ct_id, ct_side, ct_y): what a view is sure of, for
+    the other one (``ct_side``) to learn."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(_split(batch.column(1).to_pylist())):
+                odds = model.log_odds(i, model.views[i].score(x))
+                rows = np.flatnonzero(np.abs(odds) >= SURE)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), 1 - i, np.int32)),
+                     pa.array((odds[rows] > 0).astype(np.int32))], names=["ct_id", "ct_side", "ct_y"])
+    return run
+
+
 def _features_udf():
     @F.pandas_udf("binary")
     def features(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -219,36 +256,57 @@ def _meta_columns(docs: DataFrame, names: tuple[str, str, str]) -> list[Column]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         meta: tuple[str, str, str] = ("source", "lang", "n_chars"), label_col: str = "quality",
-        labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Collects the two bounded samples' features (half precision, two bytes
-    each, some 45 MB at the default bounds) and co-trains on the driver.
+        labelled: int = LABELLED, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> CoTrained | None:
+    """Co-trains on the driver with the features of at most ``labelled`` +
+    2 x ``rounds`` x ``exchanged`` documents a view (half precision, some 1.9
+    KB each); judging, in each round, runs over all documents without a label.
     A document with several labels counts by their mean; null labels and ids
     are left out, and of rows that repeat an id one is used."""
+    spark = docs.sparkSession
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-             .groupBy(F.col(id_col).alias("ct_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("ct_y")))
+             .groupBy(F.col(id_col).cast(docs.schema[id_col].dataType).alias("ct_id"))
+             .agg((F.avg(label_col) >= 0.5).cast("int").alias("ct_y")))
+    features = stored(docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("ct_id"), _features_udf()(F.col(text_col), *_meta_columns(docs, meta)).alias("ct_x")), "ct-features")
     order = F.xxhash64("ct_id")
-    there = docs.select(F.col(id_col).alias("ct_id")).where("ct_id is not null").distinct()
     # labels of other documents must not use up the sample
-    sample = known.join(there, "ct_id", "left_semi").orderBy(order, "ct_id").limit(labelled)
-    others = (there.join(known, "ct_id", "left_anti").orderBy(order, "ct_id").limit(pool)
-              .withColumn("ct_y", F.lit(-1)))
-    chosen = sample.unionByName(others)              # at most labelled + pool rows
-    rows = (docs.join(F.broadcast(chosen), docs[id_col] == chosen["ct_id"])
-            .select("ct_id", "ct_y", _features_udf()(F.col(text_col), *_meta_columns(docs, meta)).alias("ct_x"))
-            .groupBy("ct_id").agg(F.min(F.struct("ct_y", "ct_x")).alias("r"))
-            .select("ct_id", "r.*").orderBy(order, "ct_id").collect())
+    sample = known.join(features.select("ct_id").distinct(), "ct_id", "left_semi").orderBy(order, "ct_id").limit(labelled)
+    rows = (features.join(F.broadcast(sample), "ct_id")             # at most ``labelled`` rows
+            .groupBy("ct_id").agg(F.min(F.struct("ct_y", "ct_x")).alias("r")).select("ct_id", "r.*").orderBy(order, "ct_id").collect())
     if not rows:
         return None
-    # labelled rows first, so that both parts are views
-    rows.sort(key=lambda r: r["ct_y"] < 0)
     y = np.array([r["ct_y"] for r in rows])
-    x = np.empty((len(rows), TEXT_SIZE + META_SIZE), np.float16)
-    for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r["ct_x"], np.float16)
-        rows[i] = None
-    n = int((y >= 0).sum())
-    t, m = x[:, :TEXT_SIZE], x[:, TEXT_SIZE:]
-    return co_train(t[:n], m[:n], y[:n], t[n:], m[n:])
+    text, about = _split([r["ct_x"] for r in rows])
+    del rows
+    kind = features.schema["ct_id"].dataType.simpleString()
+    learner = f"ct_id {kind}, ct_side int"
+    taken: list[tuple] = []
+
+    def exchange(model: CoTrained) -> list[tuple[np.ndarray, np.ndarray]]:
+        marked = (features.mapInArrow(_sure(model), f"{learner}, ct_y int").distinct()
+                  .join(known.select("ct_id"), "ct_id", "left_anti")
+                  .join(spark.createDataFrame(taken, learner), ["ct_id", "ct_side"], "left_anti"))
+        marked = stored(marked.withColumn("ct_h", F.pmod(order, F.lit(1 << 40))), "ct-marked")
+        counts = marked.groupBy("ct_side", "ct_y").count().collect()
+        # twice as many as needed lie below the threshold, so the first ones are there
+        near = F.lit(False)
+        for r in counts:
+            least = -(-(2 * exchanged << 40) // r["count"]) if r["count"] > 2 * exchanged else 1 << 40
+            near = near | ((F.col("ct_side") == r["ct_side"]) & (F.col("ct_y") == r["ct_y"]) & (F.col("ct_h") < least))
+        groups: dict[tuple, list] = {}
+        for r in marked.where(near).orderBy("ct_h", "ct_id").collect():
+            group = groups.setdefault((r["ct_side"], r["ct_y"]), [])
+            if len(group) < exchanged:
+                group.append(r["ct_id"])
+        chosen = [(doc, side, label) for (side, label), ids in groups.items() for doc in ids]
+        taken.extend(c[:2] for c in chosen)
+        told = spark.createDataFrame(chosen, f"{learner}, ct_y int")
+        got = (features.join(F.broadcast(told), "ct_id")             # at most 4 x ``exchanged`` rows
+               .groupBy("ct_id", "ct_side", "ct_y").agg(F.min("ct_x").alias("ct_x")).orderBy("ct_side", "ct_y", order, "ct_id").collect())
+        return [(_split([r["ct_x"] for r in got if r["ct_side"] == i])[i],
+                 np.array([r["ct_y"] for r in got if r["ct_side"] == i], int)) for i in (0, 1)]
+
+    return _co_train(text, about, y, exchange, rounds)
 
 
 def scores(docs: DataFrame, model: CoTrained | None, text_col: str = "text",
