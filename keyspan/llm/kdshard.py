@@ -9,9 +9,10 @@ All nodes of a level share one aggregation per step, and the driver only sees
 (nodes x BINS) sums.
 
 A dimension's key is its coordinate (``COORD_BITS`` bits) followed by a
-tie-breaker from the text's checksum and the id's hash.  A median therefore may
-cut through a coordinate that many rows share (a source with a third of all
-rows), and equal texts stay neighbours when it does.
+tie-breaker from the text's checksum, the id's hash and a number that tells
+equal rows apart.  A median therefore may cut through a coordinate that many
+rows share (a source with a third of all rows) and through a row that is
+repeated as often, and equal texts stay neighbours when it does.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from keyspan.llm.common import stored
 SHARDS = 24
 BINS = 4096
 COORD_BITS, TIE_BITS = 20, 42
+TEXT_TIE, ID_TIE, ROW_TIE = 20, 10, 12      # bits of the tie-breaker
 TOLERANCE = 0.0005        # of a shard's target bytes
 SLOT_ROWS = 50_000        # rows that one numbering group holds on average
 DIMENSIONS = ("size", "lang", "source", "doc_id")
@@ -45,10 +47,11 @@ def _coordinates(meta: DataFrame) -> DataFrame:
     def hashed(c: str) -> Column:
         return F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(top)) + 1).cast("long")
 
-    tie = (F.shiftleft(F.col("text_crc32").bitwiseAND((1 << (TIE_BITS - 16)) - 1), 16)
-           .bitwiseOR(F.xxhash64("doc_id").bitwiseAND(65535)))
+    tie = (F.shiftleft(F.col("text_crc32").bitwiseAND((1 << TEXT_TIE) - 1), ID_TIE + ROW_TIE)
+           .bitwiseOR(F.shiftleft(F.xxhash64("doc_id").bitwiseAND((1 << ID_TIE) - 1), ROW_TIE))
+           .bitwiseOR(F.col("row").bitwiseAND((1 << ROW_TIE) - 1)))
     coords = {"size": scaled("size"), "doc_id": scaled("doc_id"), "lang": hashed("lang"), "source": hashed("source")}
-    return meta.select("doc_id", "size", "text_crc32",
+    return meta.select("doc_id", "size", "text_crc32", "row",
                        *[F.shiftleft(coords[d], TIE_BITS).bitwiseOR(tie).alias(f"k_{d}") for d in DIMENSIONS])
 
 
@@ -134,7 +137,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     slot (gapless from 0 in each shard), one row per input row.
 
     Null texts count as empty; null ids, languages and sources sort lowest.
-    Repeated rows have equal keys and share a shard.  With fewer rows than
+    Repeated rows stay neighbours; where a median cuts through them they fall on
+    both sides, told apart by a hash of their place in the table.  With fewer rows than
     shards some shards stay empty; an empty table gives an empty result.
     Other columns are not read.
     """
@@ -142,17 +146,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     meta = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
                               F.col(source_col).alias("source"),
                               (F.octet_length(text) + 8).cast("long").alias("size"),
-                              F.crc32(text.cast("binary")).alias("text_crc32")), "kd-meta")
+                              F.crc32(text.cast("binary")).alias("text_crc32"),
+                              F.xxhash64(F.monotonically_increasing_id()).alias("row")), "kd-meta")
     points = stored(_coordinates(meta), "kd-points")
     root = build_tree(points, shards)
     groups = max(1, meta.count() // (shards * SLOT_ROWS))
     placed = points.select(
         "doc_id", "size", "text_crc32", root.label().cast("int").alias("shard"),
-        F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(groups)).cast("int").alias("grp"))
+        "row",
+        F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)).cast("int").alias("grp"))
     # slots: numbered inside small groups, plus the rows of the shard's earlier groups
     counts = placed.groupBy("shard", "grp").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select("shard", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "grp").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "grp").orderBy("doc_id", "text_crc32", "size", "row")
     return (placed.withColumn("at", F.row_number().over(inside) - 1).join(start, ["shard", "grp"])
             .select("doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("start")).cast("long").alias("slot")))

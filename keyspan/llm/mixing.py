@@ -25,10 +25,12 @@ MOST = 2                 # times its source's size, and a document's size
 BITS, LEVELS = 10, 3     # hash bits of a histogram, and how often it is refined
 
 
-def document_hash(doc_id: Column, size: Column) -> Column:
+def document_hash(doc_id: Column, size: Column, text: Column) -> Column:
     """60 bits that depend on the document alone, so reruns agree.  Rows with
-    equal id and size are repeated rows and are taken together."""
-    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"))
+    equal id and size are repeated rows and are taken together; rows without an
+    id are told apart by their texts."""
+    nameless = F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), nameless), size.cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
@@ -114,8 +116,9 @@ def _copies(docs: DataFrame, plan: DataFrame, source: str, prefix: Column, most:
 
 def _plan(docs, id_col, source_col, text_col, weights, share, most) -> tuple[DataFrame, DataFrame]:
     sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                               F.size(words(F.col(text_col))).cast("long").alias("size"))
-                   .withColumn("h", document_hash(F.col("doc_id"), F.col("size"))), "mix-sizes")
+                               F.size(words(F.col(text_col))).cast("long").alias("size"), F.col(text_col).alias("text"))
+                   .select("doc_id", "source", "size", document_hash(F.col("doc_id"), F.col("size"), F.col("text")).alias("h")),
+                   "mix-sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = thresholds(sized, targets(sums, weights, share, most))
     return sized, t.select(*[F.col(c).alias(f"mix_{c}") for c in t.columns])
@@ -127,7 +130,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     target, copies (0, 1 or 2).
 
     Null texts have size 0, a null source is a source of its own and ranks
-    last, null ids hash like the text "null".  Documents of size 0 may be given
+    last, a document with a null id hashes by its text.  Documents of size 0 may be given
     any number of copies; they add no words.  Repeated rows share one fate.  An
     empty table gives an empty result; other columns are not read.
     """
@@ -145,7 +148,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     ``mix_``."""
     _, plan = _plan(docs, id_col, source_col, text_col, weights, share, most)
     size = F.size(words(F.col(text_col))).cast("long")
-    chosen = _copies(docs, plan, source_col, _hash_prefix(document_hash(F.col(id_col), size)), most)
+    h = document_hash(F.col(id_col), size, F.col(text_col))
+    chosen = _copies(docs, plan, source_col, _hash_prefix(h), most)
     return (chosen.where("mix_copies > 0")
             .withColumn("mix_i", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
             .select(*docs.columns))

@@ -62,6 +62,44 @@ def test_cotraining_exchanges_confident_labels():
     assert acc[1][2] >= max(acc[1][:2]) - 0.01              # both views together are no worse than one
 
 
+def test_cotraining_against_brute_force(spark):
+    """The same rounds over all documents in memory give the same scores."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.where("doc_id % 3 = 0")
+    model = cotrain.fit(docs, labels, labelled=200, rounds=2, exchanged=25)
+    rows = docs.selectExpr("*", "xxhash64(doc_id) h", "pmod(xxhash64(doc_id), 1L << 40) p").orderBy("h").collect()
+    known = {r.doc_id: int(r.quality >= 0.5) for r in labels.where("quality is not null").collect()}
+    x = {r.doc_id: np.concatenate([cotrain.text_features(r.text), cotrain.meta_features(r.source, r.lang, r.n_chars)])
+         .astype(np.float16) for r in rows}
+    cut = cotrain.TEXT_SIZE
+    side = (lambda d: x[d][:cut], lambda d: x[d][cut:])
+    first = [r.doc_id for r in rows if r.doc_id in known][:200]
+    y = np.array([known[d] for d in first])
+    apart = np.arange(len(y)) % 3 == 2
+    learned = [[(d, known[d]) for d in np.array(first)[~apart]] for _ in (0, 1)]
+    for step in range(3):
+        views, scales = [], []
+        for i in (0, 1):
+            z = np.stack([side[i](d) for d, _ in learned[i]]).astype(np.float32)
+            views.append(cotrain.Logistic().fit(z, np.array([t for _, t in learned[i]], np.float32)))
+            scales.append(cotrain.calibrate(views[i].score(np.stack([side[i](d) for d in first])[apart]), y[apart]))
+        if step == 2:
+            break
+        for i in (0, 1):
+            have = {d for d, _ in learned[1 - i]}
+            odds = {r.doc_id: scales[i][0] * views[i].score(side[i](r.doc_id)[None])[0] + scales[i][1] for r in rows}
+            free = [r for r in sorted(rows, key=lambda r: r.p) if r.doc_id not in known and r.doc_id not in have]
+            for label in (0, 1):
+                sure = [r for r in free if (odds[r.doc_id] if label else -odds[r.doc_id]) >= cotrain.SURE][:25]
+                learned[1 - i] += [(r.doc_id, label) for r in sorted(sure, key=lambda r: r.h)]
+    given = [len(t) - int((~apart).sum()) for t in learned]
+    assert max(given) > 25, given                                   # something was exchanged
+    for i in (0, 1):
+        every = np.stack([side[i](d) for d in x])
+        want = scales[i][0] * views[i].score(every) + scales[i][1]
+        np.testing.assert_allclose(model.log_odds(i, model.views[i].score(every)), want, rtol=0.02, atol=0.05)
+
+
 def test_cotraining_edges(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     df = edge.docs(spark)

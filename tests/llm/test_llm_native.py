@@ -90,6 +90,14 @@ def test_mixed_documents_repeat_rows(spark):
     assert got == +want
 
 
+def test_mix_without_ids(spark):
+    """Texts tell documents without an id apart, so their source comes near its target."""
+    df = spark.range(2100).selectExpr("if(id % 3 = 0, null, id) as doc_id", "concat('a b c d e f w', id) as text",
+                                      "if(id % 3 = 0, 'nameless', 's') as source")
+    rows = mixing.mix(df).where("source = 'nameless'").collect()
+    assert abs(sum(r.size * r.copies for r in rows) - rows[0].target) <= 70
+
+
 # ---- sharding ---------------------------------------------------------------
 
 def check_shards(df, shards, slack):
@@ -126,6 +134,13 @@ def test_shards_hot_group_is_cut(spark):
     check_shards(df, 24, 400)
 
 
+def test_shards_repeated_row_is_cut(spark):
+    """A third of all rows are one row, repeated: sizes stay near equal."""
+    df = spark.range(9000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'one text', concat('text ', id)) as text",
+                                      "'en' as lang", "if(id % 3 = 0, 'hot', concat('s', id % 5)) as source")
+    check_shards(df, 24, 400)
+
+
 # ---- rules ------------------------------------------------------------------
 
 def brute_stats(text):
