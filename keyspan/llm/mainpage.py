@@ -7,19 +7,23 @@ stands in an ``article`` or ``main`` element is *content*, also where a form or
 a named element is wrapped around it.  Everything else is
 *open*, and the suffix array decides about it.
 
-The suffix array of a host covers the token streams of all its pages (content
-excepted: an article that is published under two addresses is no boilerplate).
-It is never built in one place: each suffix is cut to its first ``DEPTH``
-tokens, and equal prefixes are exactly those neighbours in the array whose
-common prefix has ``DEPTH`` tokens or more, of which longer repeats are made up.
-A prefix that occurs on two distinct pages is found by a partial aggregation of
-the smallest and the largest page, so a prefix that is on every page of a large
-host is no hot group.  Open runs covered by such prefixes are removed, unique
-runs stay.
-
+The suffix array of a host covers the token streams of all its articles and,
+where a host has open text, of what its pages have beside them (an article that
+is published under two addresses is one article, and no boilerplate).  A stream
+ends at every block border, so no repeat runs from one block into the next.  The
+array is never built in one place: suffixes, cut to their first ``DEPTH`` tokens,
+are sorted over range partitions, and one pass over each compares neighbours.
+Those whose common prefix has ``DEPTH`` tokens or more are repeats, of which
+longer ones are made up; how many distinct pages an interval of such neighbours
+has is added up over its partitions, and a repeat that is on every page of a
+large host is spread by page, so it is no hot group.
+
+Open runs covered by repeats of two pages are removed, unique runs stay.
 Articles of a host share passages, so a run that two of them have is no
-boilerplate.  A content block goes only if it stands, whole, in more than half
-of the host's distinct articles, as a notice on every page does.
+boilerplate.  A content block goes only if repeats that stand in more than half
+of the host's distinct articles cover it whole, as a notice on every page does.
+Such a repeat is in more than half of the articles by any hash of it, too: suffixes whose
+hash is not are left out of the sort, which changes no result.
 """
 
 from __future__ import annotations
@@ -30,14 +34,19 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import bounded_batches, stored
 
 DEPTH = 6                # tokens of a repeat that counts as long
-ARTICLES = 5             # distinct articles that a content block stands in at least before it can be boilerplate
+ARTICLES = 5             # distinct articles that a run stands in at least before it can be boilerplate of a content block
+MARKS = 2048             # hashes of runs that are counted by host; fewer let more suffixes into the sort
+BORDER = ""              # stands after every block of a stream; no token is empty
 
 OPEN, CONTENT, CHROME = 0, 1, 2
 # kinds inside the parser: what stands in an element that is chrome by its name, or in a form; in an article; in an
@@ -239,50 +248,108 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _stream(chosen: Column) -> Column:
+    """The tokens of all blocks with a border after each."""
+    return F.flatten(F.transform(chosen, lambda b: F.concat(F.split(b["text"], " "), F.array(F.lit(BORDER)))))
+
+
+def _windows(stream: Column, depth: int) -> Column:
+    """Every ``depth`` neighbouring tokens, by where they begin."""
+    n = F.size(stream)
+    return F.when(n < depth, F.array().cast("array<array<string>>")).otherwise(
+        F.transform(F.sequence(F.lit(0), n - depth), lambda i: F.slice(stream, i + 1, depth)))
+
+
+def _mark(window: Column) -> Column:
+    return F.pmod(F.xxhash64(window), F.lit(MARKS)).cast("int")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes -> those that share all their tokens with the one before
+    or after them, and the first and the last, whose neighbours may be in
+    another partition."""
+    held, shares = None, True                    # the last suffix so far, and whether it is kept whatever comes next
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        n, with_last = rows.num_rows, np.zeros(rows.num_rows + 1, bool)
+        for name in ("host", "prefix"):
+            column = rows.column(name)
+            same = pc.equal(column.slice(1), column.slice(0, n - 1)).to_numpy()
+            with_last[1:n] = same if name == "host" else with_last[1:n] & same
+        with_last[0] = shares
+        keep = with_last[:n] | with_last[1:]
+        yield from rows.slice(0, n - 1).filter(pa.array(keep[:n - 1])).to_batches()
+        held, shares = rows.slice(n - 1).to_batches()[0], bool(with_last[n - 1])
+    if held is not None:
+        yield held
+
+
+def suffix_array(streams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(host, page, stream, least, marks) -> (host, prefix, page, at, least): of
+    the sorted suffixes of each host's streams, cut to ``depth`` tokens, those
+    that share all of them with a neighbour in the array, and those at the
+    borders of partitions.  Suffixes with a border in them are left out, and,
+    where ``marks`` is not null, those whose mark it does not hold."""
+    suffixes = (streams.select("host", "page", "least", "marks", F.posexplode(_windows(F.col("stream"), depth)).alias("at", "tokens"))
+                .where(~F.array_contains("tokens", F.lit(BORDER)))
+                .where(F.col("marks").isNull() | F.array_contains("marks", _mark(F.col("tokens"))))
+                .select("host", F.array_join("tokens", " ").alias("prefix"), "page", "at", "least"))
+    # a page's equal suffixes are in one partition, those of many pages spread over several
+    array = suffixes.repartitionByRange("host", "prefix", "page").sortWithinPartitions("host", "prefix", "page", "at")
+    return array.mapInArrow(_neighbours, array.schema)
+
+
 def repeated(streams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, page, stream: array of tokens) -> (page, starts): where on each
-    page a repeat begins that some distinct page of the host has, too."""
-    suffixes = streams.where(F.size("stream") >= depth).select(
-        "host", "page", F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.size("stream") - depth),
-            lambda i: F.array_join(F.slice("stream", i + 1, depth), " "))).alias("at", "prefix"))
-    on = suffixes.groupBy("host", "prefix").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    long = on.where("first <> last").select("host", "prefix")
-    return (suffixes.join(long, ["host", "prefix"]).groupBy("page")
+    """(host, page, stream: array of tokens), distinct -> (host, page, starts):
+    where on each page a repeat begins that ``least`` distinct pages of the host
+    have (a column, constant by host; two where there is none)."""
+    for name, kind, value in (("least", "long", 2), ("marks", "array<int>", None)):
+        if name not in streams.columns:
+            streams = streams.withColumn(name, F.lit(value).cast(kind))
+    near = stored(suffix_array(streams, depth), "pages-suffixes")
+    on = near.select("host", "prefix", "page", "least").distinct().groupBy("host", "prefix").agg(
+        F.count("*").alias("pages"), F.max("least").alias("least"))
+    long = on.where("pages >= least").select("host", "prefix")
+    return (near.join(long, ["host", "prefix"]).groupBy("host", "page")
             .agg(F.array_sort(F.collect_list("at")).alias("starts")))     # bounded by the page's own tokens
 
 
-def standing(articles: DataFrame) -> DataFrame:
-    """(host, article, hashes: array of block hashes), distinct -> (host,
-    article, drop): the blocks of an article that stand in more than half of
-    its host's articles, and in ``ARTICLES`` at least.  Articles without such
-    blocks are left out."""
-    of = articles.select("host", "article", F.explode("hashes").alias("block"))
-    sizes = articles.groupBy("host").agg(F.count("*").alias("of_host"))
-    often = of.groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= ARTICLES)
-    # written, so that Spark knows how few they are
-    often = stored(often.join(sizes, "host").where(2 * F.col("n") > F.col("of_host")).select("host", "block"), "pages-often")
-    return (of.join(often, ["host", "block"]).groupBy("host", "article")
-            .agg(F.collect_list("block").alias("drop")))                  # bounded by the article's own blocks
-
-
-def unique_runs(page_blocks: list, starts, depth: int = DEPTH) -> str:
-    """The text of a page: content blocks whole, of open blocks the runs that
-    no long repeat covers, chrome left out."""
-    covered = set()
-    for s in starts if starts is not None else ():
-        covered.update(range(s, s + depth))
-    out, at = [], 0
+def common_marks(articles: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(host, page, stream) of articles -> (host, least, marks): how many
+    distinct articles boilerplate of the host has at least, and the marks of
+    runs that so many have; hosts without any are left out.  An article that
+    stands there several times counts as often here, which only adds marks."""
+    least = F.greatest(F.lit(ARTICLES), F.floor(F.count("*") / 2) + 1).cast("long")
+    hosts = (articles.select("host", "page").distinct().groupBy("host")
+             .agg(F.count("*").alias("articles"), least.alias("least")).where(F.col("articles") >= ARTICLES))
+    whole = F.filter(_windows(F.col("stream"), depth), lambda w: ~F.array_contains(w, F.lit(BORDER)))
+    touched = articles.select("host", F.explode(F.array_distinct(F.transform(whole, _mark))).alias("mark")) \
+        .groupBy("host", "mark").agg(F.count("*").alias("n"))
+    return (touched.join(hosts, "host").where("n >= least").groupBy("host")
+            .agg(F.max("least").alias("least"), F.collect_list("mark").alias("marks")))   # MARKS at most
+
+
+def unique_runs(page_blocks: list, starts, common=None, depth: int = DEPTH) -> str:
+    """The text of a page: of open blocks the runs that no long repeat covers,
+    content blocks whole unless repeats of most articles cover them whole,
+    chrome left out.  ``starts`` are places in the stream of the blocks that are
+    no content, ``common`` in that of the content."""
+    covered, boiler = ({i for s in (found if found is not None else ()) for i in range(s, s + depth)} for found in (starts, common))
+    out, at, in_content = [], 0, 0
     for b in page_blocks:
+        words = b["text"].split(" ")
         if b["kind"] == CONTENT:
-            out.append(b["text"])
+            if not all(i in boiler for i in range(in_content, in_content + len(words))):
+                out.append(b["text"])
+            in_content += len(words) + 1
             continue
-        words = b["text"].split(" ")
         if b["kind"] == OPEN:
             kept = " ".join(w for i, w in enumerate(words, at) if i not in covered)
             if kept:
                 out.append(kept)
-        at += len(words)
+        at += len(words) + 1
     return "\n\n".join(out)
 
 
@@ -299,36 +366,34 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     bounded_batches(pages.sparkSession)
     split = F.pandas_udf(_split, BLOCKS)
+    content = F.filter("blocks", lambda b: b["kind"] == CONTENT)
+    beside = F.filter("blocks", lambda b: b["kind"] != CONTENT)
+    on_host = F.coalesce(host(F.col(url_col)), F.lit(""))
+    # a host's articles and what its pages have beside them are two parts of the array
     cut = stored(pages.select(
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(host(F.col(url_col)), F.lit("")).alias("host"),
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
+        F.xxhash64(on_host).alias("host"), F.xxhash64(on_host, F.lit("articles")).alias("articles"),
         F.xxhash64(html_col).alias("page"), split(F.col(html_col)).alias("blocks"))
         .withColumn("has_open", F.exists("blocks", lambda b: b["kind"] == OPEN))
-        .withColumn("content", F.transform(F.filter("blocks", lambda b: b["kind"] == CONTENT), lambda b: b["text"]))
-        .withColumn("article", F.xxhash64("content"))
-        .withColumn("hashes", F.array_distinct(F.transform(
-            F.filter("content", lambda t: F.size(F.split(t, " ")) >= depth), lambda t: F.xxhash64(t))))
-        .drop("content"), "pages-blocks")
+        .withColumn("has_content", F.size(content) > 0)
+        .withColumn("article", F.xxhash64(F.transform(content, lambda b: b["text"]))), "pages-blocks")
+    articles = cut.where("has_content").select(F.col("articles").alias("host"), F.col("article").alias("page"),
+                                               _stream(content).alias("stream"))
     # written, so that Spark knows how few they are and the pages need no shuffle to meet them
-    key = F.xxhash64("host")
-    boiler = stored(standing(cut.where(F.size("hashes") > 0).select(key.alias("host"), "article", "hashes")
-                             .dropDuplicates(["host", "article"])), "pages-standing")
-    streamed = cut
-    boiler = boiler.withColumnsRenamed({"host": "on_host", "article": "on_article"})
-    cut = cut.join(boiler, (key == F.col("on_host")) & (cut["article"] == F.col("on_article")), "left").withColumn("blocks", F.when(
-        F.col("drop").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~(
-            (b["kind"] == CONTENT) & F.array_contains("drop", F.xxhash64(b["text"]))))))
-    # pages that markup settles need no join
-    settled = cut.where("not has_open").select("page_id", "url", F.array_join(F.transform(
-        F.filter("blocks", lambda b: b["kind"] == CONTENT), lambda b: b["text"]), "\n\n").alias("text"))
-    stream = F.flatten(F.transform(F.filter("blocks", lambda b: b["kind"] != CONTENT),
-                                   lambda b: F.split(b["text"], " ")))
-    # repeats matter on hosts with open text only; written, so that Spark knows how few they are
-    open_hosts = stored(streamed.where("has_open").select("host").distinct(), "pages-open-hosts")
-    streams = (streamed.join(open_hosts, "host", "left_semi").select("host", "page", stream.alias("stream"))
-               .dropDuplicates(["host", "page"]))
-    on_open = cut.where("has_open")
-    starts = repeated(streams, depth).withColumnRenamed("page", "of")
-    assemble = F.udf(lambda b, s: unique_runs(b, s, depth), "string")
-    rest = (on_open.join(starts, on_open["page"] == starts["of"], "left")
-            .select("page_id", "url", assemble("blocks", "starts").alias("text")))
-    return settled.unionByName(rest)
+    marks = stored(common_marks(articles, depth), "pages-marks")
+    # what stands beside articles matters on hosts with open text only
+    open_hosts = stored(cut.where("has_open").select("host").distinct(), "pages-open-hosts")
+    streams = articles.join(marks, "host").unionByName(
+        cut.join(open_hosts, "host", "left_semi").select("host", "page", _stream(beside).alias("stream")), allowMissingColumns=True)
+    starts = stored(repeated(streams.dropDuplicates(["host", "page"]).withColumn("least", F.coalesce("least", F.lit(2))), depth),
+                    "pages-starts")
+    of = lambda name: starts.select(F.col("host").alias(f"{name}_host"), F.col("page").alias(f"{name}_page"),
+                                    F.col("starts").alias(name))
+    met = (cut.join(of("repeats"), (F.col("host") == F.col("repeats_host")) & (F.col("page") == F.col("repeats_page")), "left")
+           .join(of("common"), (F.col("articles") == F.col("common_host")) & (F.col("article") == F.col("common_page")), "left"))
+    # pages on which the array found no repeat keep all that is no chrome
+    none = F.col("repeats").isNull() & F.col("common").isNull()
+    whole = met.where(none).select("page_id", "url", F.array_join(F.transform(
+        F.filter("blocks", lambda b: b["kind"] != CHROME), lambda b: b["text"]), "\n\n").alias("text"))
+    assemble = F.udf(lambda b, s, c: unique_runs(b, s, c, depth), "string")
+    return whole.unionByName(met.where(~none).select("page_id", "url", assemble("blocks", "repeats", "common").alias("text")))

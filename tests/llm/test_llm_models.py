@@ -410,6 +410,37 @@ def test_blocks_that_stand_in_most_articles_are_removed(spark):
     assert got[90] == [story(90), "open words"]
 
 
+def test_suffix_array_decides_on_runs_inside_blocks(spark):
+    first, second = "this site uses small files for you", "read all about them in our terms"
+    story = lambda i: f"story {i} is about topic {i} and nothing else {i}"
+    # one notice, set as one block or as two: neither form stands in more than half of the articles
+    rows = [(i, f"https://a.example/p{i}", f"<main><p>{story(i)}</p>" + (f"<p>{first} {second}</p>" if i % 2 else
+             f"<p>{first}</p><p>{second}</p>") + "</main>", "", "", "") for i in range(20)]
+    # a repeat ends with its block, also if the next blocks begin alike
+    rows += [(i, f"https://b.example/p{i}", f"<div>{first}</div><div>here now is story {i}</div>", "", "", "") for i in range(30, 40)]
+    # a block that goes on after the notice stays whole; so does one beside a copy of its page
+    rows += [(40, "https://a.example/on", f"<main><p>{first} forty</p></main>", "", "", ""), rows[0]]
+    got = collections.defaultdict(list)
+    for r in mainpage.extracted(pages(spark, rows)).collect():
+        got[r.page_id].append(r.text)
+    assert got[0] == [story(0)] * 2
+    assert all(got[i] == [story(i)] for i in range(1, 20))
+    assert all(got[i] == [f"here now is story {i}"] for i in range(30, 40))
+    assert got[40] == [f"{first} forty"]
+
+
+def test_neighbours_in_the_array_whatever_the_batches():
+    import pyarrow as pa
+    rows = sorted([("h", p, i) for i, p in enumerate("aabcccdefff")] + [("k", "f", 50), ("k", "g", 51)])
+    schema = pa.schema([("host", "string"), ("prefix", "string"), ("at", "int64")])
+    want = [r for i, r in enumerate(rows) if i in (0, len(rows) - 1) or r[:2] in (rows[i - 1][:2], rows[i + 1][:2])]
+    for n in (1, 2, 3, 5, 50):
+        cut = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + n])], schema=schema) for i in range(0, len(rows), n)]
+        got = [tuple(r.values()) for b in mainpage._neighbours(iter([cut[0].slice(0, 0), *cut])) for r in b.to_pylist()]
+        assert got == want, n
+    assert list(mainpage._neighbours(iter([]))) == []
+
+
 def test_repeated_prefixes_against_brute_force(spark):
     import random
     rng = random.Random(4)
