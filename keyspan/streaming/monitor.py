@@ -9,11 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # --- Fixed values ---------------------------------------------------------------
 CAUGHT_UP_POLLS = 3
 CATCH_UP_TIMEOUT_S = 21600
+CHUNK = 8192                # polls of a node, by number, that are put in order together
+# the only store with maps, and one bound for the memory of all its instances in an executor
+STATE_STORE = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "rocksdb.boundedMemoryUsage": "true"}
 # ---------------------------------------------------------------------------------
 
 CAUGHT_UP_OUT = "node string, status string, polls long, at_seq long"
@@ -80,6 +85,97 @@ def _caught_up_fn(polls_needed: int, timeout_ms: int | None, gap_ms: int | None
     return fn
 
 
+ZERO, POSITIVE, BROKEN = 0, 1, 2
+#: polls of a chunk that came before their turn, by their place in the chunk
+CHUNK_STATE = "next long, held_at array<int>, held_seq array<bigint>, held_kind array<int>"
+#: polls in turn, n from number at on: the first zeros of those before a positive lag, and all; the first hit after one (-1: none)
+#: and the zeros since the last; the broken ones (places count from at)
+STRETCH = ("at long, n long, lead array<bigint>, lead_seq array<bigint>, zeros long, positive boolean, hit long, hit_seq long, "
+           "tail long, broken array<bigint>, broken_seq array<bigint>")
+
+
+def _stretch(at: int, seq: np.ndarray, kind: np.ndarray, polls_needed: int) -> tuple:
+    """What the detector has to know of polls that follow each other, whatever came before them."""
+    zero, positive = kind == ZERO, kind == POSITIVE
+    first = int(positive.argmax()) if positive.any() else len(kind)
+    lead = np.flatnonzero(zero[:first])
+    counts = np.cumsum(zero)
+    counts -= np.maximum.accumulate(np.where(positive, counts, 0))
+    hits = np.flatnonzero(zero[first:] & (counts[first:] >= polls_needed)) + first
+    hit = int(hits[0]) if len(hits) else -1
+    broken = np.flatnonzero((kind[:hit] if hit >= 0 else kind) == BROKEN)
+    return (at, len(kind), lead[:polls_needed].tolist(), seq[lead[:polls_needed]].tolist(), len(lead), first < len(kind), hit,
+            int(seq[hit]) if hit >= 0 else -1, int(counts[-1]), broken.tolist(), seq[broken].tolist())
+
+
+def _chunk_fn(polls_needed: int, first: int, chunk: int):
+    """Polls of one chunk of a node -> the stretches that are in turn within it."""
+    names = ["node", *(c.split()[0] for c in STRETCH.split(", "))]
+
+    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        node, begins = key[0], first + int(key[1]) * chunk
+        nxt, *held = state.get if state.exists else (0, [], [], [])
+        at, seq, kind = (np.asarray(h, np.int64) for h in held)
+        out = []
+        for pdf in batches:
+            at = np.concatenate([at, pdf["number"].to_numpy(np.int64) - begins])
+            order = np.argsort(at, kind="stable")
+            at, seq, kind = at[order], np.concatenate([seq, pdf["seq"].to_numpy(np.int64)])[order], \
+                np.concatenate([kind, pdf["kind"].to_numpy(np.int64)])[order]
+            keep = (at >= nxt) & np.diff(at, prepend=-1).astype(bool)     # those in turn already, and repeated ones, go
+            at, seq, kind = at[keep], seq[keep], kind[keep]
+            n = int(np.count_nonzero(at == nxt + np.arange(len(at))))     # at is ascending, so these come first
+            if n:
+                out.append((node, *_stretch(begins + nxt, seq[:n], kind[:n], polls_needed)))
+                nxt, at, seq, kind = nxt + n, at[n:], seq[n:], kind[n:]
+        state.update((nxt, at.tolist(), seq.tolist(), kind.tolist()))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+    return fn
+
+
+class Stretches(StatefulProcessor):
+    """A node's stretches, in any order -> its statuses.  Those ahead of their
+    turn wait in a map by number, which is read one by one."""
+
+    def __init__(self, polls_needed: int, first: int):
+        self.polls_needed, self.first = polls_needed, first
+
+    def init(self, handle) -> None:
+        self.now = handle.getValueState("now", "next long, zeros long, polls long, done boolean")
+        self.waiting = handle.getMapState("waiting", "number long", STRETCH)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        node, out, columns = key[0], [], [c.split()[0] for c in STRETCH.split(", ")]
+        nxt, zeros, polls, done = self.now.get() if self.now.exists() else (self.first, 0, 0, False)
+        for pdf in rows:
+            came = {} if done else {int(s[0]): s for s in pdf[columns].itertuples(index=False, name=None)}
+            while not done and (nxt in came or self.waiting.containsKey((nxt,))):
+                at = nxt
+                _, n, lead, lead_seq, led, positive, hit, hit_seq, tail, broken, broken_seq = \
+                    came.pop(at) if at in came else self.waiting.getValue((at,))
+                if zeros + led >= self.polls_needed:
+                    hit, hit_seq = lead[self.polls_needed - zeros - 1], lead_seq[self.polls_needed - zeros - 1]
+                done = hit >= 0
+                out += [(node, "broken", polls + int(b) + 1, int(q)) for b, q in zip(broken, broken_seq) if not done or b < hit]
+                if done:
+                    out.append((node, "caught_up", polls + int(hit) + 1, int(hit_seq)))
+                nxt, polls, zeros = nxt + int(n), polls + int(n), int(tail) if positive else zeros + int(led)
+                self.waiting.removeKey((at,))
+            if not done:
+                for at, s in came.items():
+                    self.waiting.updateValue((at,), tuple([int(x) for x in v] if np.ndim(v) else bool(v) if name == "positive"
+                                                          else int(v) for name, v in zip(columns, s)))
+        if done:
+            self.waiting.clear()
+        self.now.update((nxt, zeros, polls, done))
+        if out:
+            yield pd.DataFrame(out, columns=["node", "status", "polls", "at_seq"])
+
+    def close(self) -> None:
+        pass
+
+
 def caught_up_stream(polls: DataFrame, node: str, seq: str, lag: str,
                      polls_needed: int = CAUGHT_UP_POLLS,
                      timeout_s: int | None = CATCH_UP_TIMEOUT_S, number: str | None = None, first: int = 0,
@@ -96,13 +192,26 @@ def caught_up_stream(polls: DataFrame, node: str, seq: str, lag: str,
     until those before it are there, and a repeated one is dropped.  So the
     answer does not depend on arrival, and the state is as large as the disorder,
     not as the history.  With ``gap_s`` a poll that does not come for so long is
-    given up (status ``gap``, at the poll that follows)."""
+    given up (status ``gap``, at the poll that follows).
+
+    Without timers, polls are held and put in order by chunks of ``CHUNK``
+    numbers, so one task never holds more of a node than a chunk, and what
+    a chunk comes to goes on to the node's state.  A timer acts on all that a
+    node holds, so with one the held polls stand in the node's own state."""
     p = polls.select(F.col(node).cast("string").alias("node"), F.col(seq).cast("long").alias("seq"),
                      F.col(lag).cast("double").alias("lag"), F.col(number or seq).cast("long").alias("number"))
     fn = _caught_up_fn(polls_needed, None if timeout_s is None else timeout_s * 1000, None if gap_s is None else gap_s * 1000, first)
-    timed = timeout_s is not None or gap_s is not None
-    mode = GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    return p.groupBy("node").applyInPandasWithState(fn, CAUGHT_UP_OUT, CAUGHT_UP_STATE, "append", mode)
+    if timeout_s is not None or gap_s is not None:
+        return p.groupBy("node").applyInPandasWithState(fn, CAUGHT_UP_OUT, CAUGHT_UP_STATE, "append",
+                                                        GroupStateTimeout.ProcessingTimeTimeout)
+    kind = F.when(F.col("lag").isNull() | F.isnan("lag"), BROKEN).when(F.col("lag") == 0, ZERO).otherwise(POSITIVE)
+    for name, value in STATE_STORE.items():                   # settings of the session; they hold for what runs after it
+        polls.sparkSession.conf.set(f"spark.sql.streaming.stateStore.{name}", value)
+    ahead = F.greatest(F.col("number") - first, F.lit(0))
+    stretches = p.select("node", ((ahead - ahead % CHUNK) / CHUNK).cast("long").alias("chunk"), "number", "seq", kind.alias("kind")) \
+        .groupBy("node", "chunk").applyInPandasWithState(_chunk_fn(polls_needed, first, CHUNK), f"node string, {STRETCH}",
+                                                         CHUNK_STATE, "append", GroupStateTimeout.NoTimeout)
+    return stretches.groupBy("node").transformWithStateInPandas(Stretches(polls_needed, first), CAUGHT_UP_OUT, "Append", "None")
 
 
 def command_counters(events: DataFrame, ts: str, node: str, kind: str,
