@@ -26,6 +26,7 @@ from keyspan.operators.ranges import check_contiguous, even_split, key_range_pre
 from keyspan.operators.route import cutover, route_all_keys
 from keyspan.operators.transfer import prune_to_range
 from keyspan.plans.hooks import NO_HOOKS, Hooks, step
+from keyspan.session import scratch_path
 from keyspan.sources.files import exists, names_in
 from keyspan.sources.schema import store_snapshot
 from keyspan.spec import TableSpec, shard_name_col
@@ -120,13 +121,21 @@ def merge(shards: dict[str, DataFrame], spec: TableSpec, out_path: str, tables_a
                                                    F.lit(spec.name).alias("table_name"), "n")
         for name, d in shards.items()])
     if len(spec.keys) > 1:
-        tagged = union_shards(shards).withColumn("__h", row_hash(cols))
-        clash = (tagged.groupBy(*pk).agg(F.count_distinct("__h").alias("h"), F.count_distinct("shard").alias("s"))
-                 .filter("h > 1 and s > 1"))
+        # rows with the shards they stand on by number; stored, as three steps read them
+        tagged = union_shards({i: d for i, d in enumerate(shards.values())}, tag="__s")
+        # one exchange serves both counts (not by fractions, which are normalised when they are grouped)
+        spread = [c for c, kind in tagged.dtypes if c != "__s" and not any(x in kind for x in ("float", "double"))] or cols
+        per = tagged.repartition(*spread).groupBy(*cols, "__s").agg(F.count(F.lit(1)).alias("__n"))
+        most = per.groupBy(*cols).agg(F.max("__n").alias("__most"), F.sum("__n").alias("__all"),
+                                      F.min("__s").alias("__first"), F.max("__s").alias("__last"))
+        held = scratch_path(most.sparkSession, f"merge-{spec.name}-rows")
+        most.write.parquet(held)
+        most = most.sparkSession.read.schema(most.schema).parquet(held)
+        h = row_hash(cols)
+        clash = (most.groupBy(*pk).agg(F.min(h).alias("h0"), F.max(h).alias("h1"), F.min("__first").alias("s0"),
+                                       F.max("__last").alias("s1")).filter("h0 <> h1 and s0 <> s1"))
         if not clash.isEmpty():
             raise JobError("shards hold different rows under one primary key")
-        per = tagged.groupBy(*cols, "shard").agg(F.count(F.lit(1)).alias("__n"))
-        most = per.groupBy(*cols).agg(F.max("__n").alias("__most"), F.sum("__n").alias("__all"))
         u = most.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__most").cast("int")))).select(*cols)
         shared = most.agg(F.coalesce(F.sum(F.col("__most") - F.col("__all")), F.lit(0)).alias("n")).select(
             F.lit("(shared rows)").alias("node"), F.lit(spec.name).alias("table_name"), "n")

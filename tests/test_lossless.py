@@ -80,6 +80,30 @@ def test_merge_takes_whole_keys_and_shared_rows(spark):
         merge({"a": rows, "b": other}, TWO, scratch_path(spark, "m4"))
 
 
+def test_merge_of_two_keys_moves_its_rows_once(spark):
+    """Counting, checking and writing read one stored result; nothing of it is computed twice."""
+    from keyspan.plans.hooks import Hooks
+    h, plans = Hooks(), []
+
+    @h.before("merge_write")
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    spec = TableSpec("t", keys=("a", "b"), pk=("id",))
+    rows = spark.createDataFrame([(1, 1, 2, 0.5, "x"), (1, 1, 2, 0.5, "x"), (2, 3, 4, float("nan"), None), (3, 5, None, 0.0, ""),
+                                  (None, 7, 8, None, "y"), (4, 9, 9, -1.0, "z")], "id long, a long, b long, q double, s string")
+    path = scratch_path(spark, "m5")
+    report = merge({"x": rows, "y": rows.filter("id < 4"), "z": rows.limit(1)}, spec, path, hooks=h).first()
+    assert report["valid"] and report["merged_rows"] == 6
+    assert result_set_diff(rows, spark.read.parquet(path).select(*rows.columns)).count() == 0
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    # two rows of one key on one shard are its own affair; on two shards they clash
+    pair = rows.limit(1).unionByName(rows.limit(1).withColumn("s", F.lit("other")))
+    assert merge({"x": pair, "y": rows.filter("id = 2")}, spec, scratch_path(spark, "m6")).first()["merged_rows"] == 3
+    with pytest.raises(JobError, match="different rows"):
+        merge({"x": pair, "y": rows.limit(1)}, spec, scratch_path(spark, "m7"))
+
+
 def test_schema_change_sees_a_lost_shard(spark):
     t = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, shard string")
     lost = schema_change(t, lambda d: d.filter("shard <> 'b'").withColumn("x", F.lit(1)), scratch_path(spark, "lost"))
